@@ -1,3 +1,4 @@
 """Imports every family of registered queries (fills ``registry``)."""
 
 from . import consensus_queries  # noqa: F401
+from . import progress_queries  # noqa: F401

@@ -20,6 +20,8 @@ null limits and empty feeds all occur at sf0.01):
 * three questions per study (j = 0 radio 'sentimento', 1 and 2 checkbox
   'tematicas'), three categories per question named 'A', 'N', 'R'
 * submissions = lineitems; category from l_returnflag A/N/R
+* feed requests: one per user; study id % 5 asked for unless id % 3 = 0 (then
+  none, i.e. the default study); history mode when id % 4 = 1
 """
 
 from __future__ import annotations
@@ -82,13 +84,17 @@ SELECT l_orderkey AS submissionId, l_suppkey AS userId, l_partkey AS postId,
     + CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS categoryId,
   l_shipdate AS createdAt
 FROM lineitem""",
+    "ann_feed_request": """
+SELECT id AS userId, CASE WHEN id % 3 = 0 THEN NULL ELSE id % 5 END AS requestedStudyId,
+  (id % 4 = 1) AS includeClassified
+FROM ann_user""",
     "ann_classification": """
 SELECT userId, postId, questionId, categoryId, max(createdAt) AS createdAt
 FROM ann_submission GROUP BY userId, postId, questionId, categoryId""",
 }
 
 VIEW_ORDER = ["ann_study", "ann_user", "ann_user_study", "ann_post", "ann_image",
-              "ann_question", "ann_categories", "ann_submission", "ann_classification"]
+              "ann_question", "ann_categories", "ann_submission", "ann_feed_request", "ann_classification"]
 
 
 def with_views(sql: str, views: list[str] | None = None) -> str:
@@ -194,6 +200,13 @@ def _submission(lineitem: DataFrame) -> DataFrame:
     )
 
 
+def _feed_request(user: DataFrame) -> DataFrame:
+    i = F.col("id")
+    return user.select(i.alias("userId"),
+                       F.when(i % 3 == 0, F.lit(None).cast("bigint")).otherwise(i % 5).alias("requestedStudyId"),
+                       (i % 4 == 1).alias("includeClassified"))
+
+
 def classification_from_submissions(submission: DataFrame) -> DataFrame:
     """Distinct answer rows; partial aggregation keeps the shuffle small."""
     return (submission.groupBy("userId", "postId", "questionId", "categoryId")
@@ -217,4 +230,5 @@ def annotation_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         "categories": _categories(question),
         "submission": submission,
         "classification": classification_from_submissions(submission),
+        "feed_request": _feed_request(user),
     }
