@@ -2,3 +2,4 @@
 
 from . import consensus_queries  # noqa: F401
 from . import progress_queries  # noqa: F401
+from . import state_queries  # noqa: F401

@@ -213,6 +213,26 @@ def classification_from_submissions(submission: DataFrame) -> DataFrame:
             .agg(F.max("createdAt").alias("createdAt")))
 
 
+def submission_bodies(submission: DataFrame, categories: DataFrame) -> DataFrame:
+    """Request bodies: the rows of one (submissionId, user, post, question), thematic
+    ids in ``categoryIds`` and sentiment ids in ``sentimentoCategoryIds``."""
+    c = categories.select(F.col("id").alias("categoryId"), "categoryType")
+    j = submission.join(c, "categoryId", "left")
+    pick = lambda t: F.sort_array(F.collect_list(F.when(F.col("categoryType") == t, F.col("categoryId"))))
+    return (j.groupBy("submissionId", "userId", "postId", "questionId")
+            .agg(pick("tematicas").alias("categoryIds"), pick("sentimento").alias("sentimentoCategoryIds"),
+                 F.max("createdAt").alias("createdAt")))
+
+
+def legacy_bodies(bodies: DataFrame, question: DataFrame, user: DataFrame) -> DataFrame:
+    """Legacy request bodies: study instead of question, username as userId."""
+    q = question.select(F.col("id").alias("questionId"), "studyId")
+    u = user.select(F.col("id").alias("_uid"), "username")
+    return (bodies.join(q, "questionId", "left").join(u, bodies["userId"] == u["_uid"], "left")
+            .select("submissionId", "postId", "studyId", "categoryIds", "sentimentoCategoryIds",
+                    F.col("username").alias("userId"), "createdAt"))
+
+
 def annotation_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """All annotation tables for one scale-factor folder, as lazy DataFrames."""
     study = _study(read_table(spark, sf_dir, "region"))
