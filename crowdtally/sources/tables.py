@@ -13,9 +13,12 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructType
 
 from .. import schemas
 
+PARTITION_COLUMNS = {"post": ["studyId"], "classification": ["studyId"]}
+
 DRIVER_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem",
                  "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
@@ -30,8 +33,11 @@ def load_tables(spark: SparkSession, base: str, fmt: str = "parquet",
     """Study tables stored as ``<base>/<table>/`` with the schemas of ``schemas``."""
     out = {}
     for name in names or list(schemas.TABLES):
-        out[name] = (spark.read.format(fmt).schema(schemas.TABLES[name])
-                     .load(os.path.join(base, name)))
+        schema = StructType(list(schemas.TABLES[name].fields))  # copy: add() mutates
+        for part in PARTITION_COLUMNS.get(name, []):
+            if part not in schema.fieldNames():
+                schema = schema.add(part, LongType(), True)
+        out[name] = spark.read.format(fmt).schema(schema).load(os.path.join(base, name))
     return out
 
 
@@ -40,9 +46,6 @@ def classification_with_study(classification: DataFrame, question: DataFrame) ->
     return classification.join(question.select(F.col("id").alias("questionId"), "studyId"), "questionId")
 
 
-PARTITION_COLUMNS = {"post": ["studyId"], "classification": ["studyId"]}
-
-
 def write_tables(tables: dict[str, DataFrame], base: str, mode: str = "overwrite",
                  question: DataFrame | None = None) -> list[str]:
     """Sink for every table; returns the written paths.
