@@ -4,3 +4,4 @@ from . import consensus_queries  # noqa: F401
 from . import progress_queries  # noqa: F401
 from . import state_queries  # noqa: F401
 from . import ingest_queries  # noqa: F401
+from . import lookup_queries  # noqa: F401
