@@ -5,3 +5,4 @@ from . import progress_queries  # noqa: F401
 from . import state_queries  # noqa: F401
 from . import ingest_queries  # noqa: F401
 from . import lookup_queries  # noqa: F401
+from . import validate_queries  # noqa: F401
