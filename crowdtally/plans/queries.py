@@ -6,3 +6,4 @@ from . import state_queries  # noqa: F401
 from . import ingest_queries  # noqa: F401
 from . import lookup_queries  # noqa: F401
 from . import validate_queries  # noqa: F401
+from . import stream_queries  # noqa: F401
