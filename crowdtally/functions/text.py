@@ -48,22 +48,19 @@ def _build_translate() -> tuple[str, str]:
 TRANSLATE_FROM, TRANSLATE_TO = _build_translate()
 
 
-def _ws_class() -> str:
-    return "[" + "".join(f"\\x{{{ord(c):04x}}}" for c in JS_WHITESPACE) + "]"
-
-
 def slug(col: Column | str) -> Column:
-    """The category-type slug of ``col`` (null -> '')."""
+    """The category-type slug of ``col`` (null -> '').
+
+    Same result as the eight-step original with fewer passes: one
+    ``translate`` maps accented letters to their base and every whitespace
+    character to '-'; one regex drops everything outside ``[a-z_-]`` (the
+    original drops ``[^a-z0-9_-]`` and then digits); '-' runs are collapsed and
+    trimmed.  Trimming whitespace first is subsumed by trimming '-' last."""
     c = F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
-    ws = _ws_class()
-    s = F.translate(c, TRANSLATE_FROM, TRANSLATE_TO)
-    s = F.regexp_replace(s, "[\\x{0300}-\\x{036f}]", "")
-    s = F.regexp_replace(s, f"^{ws}+|{ws}+$", "")
-    s = F.regexp_replace(s, f"{ws}+", "-")
-    s = F.regexp_replace(s, "[^a-z0-9_-]", "")
-    s = F.regexp_replace(s, "[0-9]+", "")
-    s = F.regexp_replace(s, "-+", "-")
-    s = F.regexp_replace(s, "^-+|-+$", "")
+    s = F.translate(c, TRANSLATE_FROM + JS_WHITESPACE, TRANSLATE_TO + "-" * len(JS_WHITESPACE))
+    s = F.regexp_replace(s, "[^a-z_-]+", "")
+    s = F.regexp_replace(s, "-{2,}", "-")
+    s = F.btrim(s, F.lit("-"))
     return F.substring(s, 1, SLUG_MAX)
 
 

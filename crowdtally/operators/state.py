@@ -13,8 +13,9 @@ reference's classification handlers, restated):
 * the per-user view lists category ids per (post, question) in ascending id
   order where a 'sentimento' category replaces the list built so far.
 
-Winners are found with aggregates (map-side partial ``max``), not windows, so
-a (user, post, question) resubmitted very often is still combined per task.
+Winners are found with aggregates (map-side partial ``max_by``/``min``), not
+windows, so a (user, post, question) resubmitted very often is still combined
+per task.
 """
 
 from __future__ import annotations
@@ -61,18 +62,16 @@ def explode_submissions(bodies: DataFrame) -> DataFrame:
                                             "createdAt")
 
 
-def _latest(bodies: DataFrame) -> DataFrame:
-    return (bodies.groupBy(*UPQ)
-            .agg(F.max(F.struct("createdAt", "submissionId")).alias("_w"))
-            .select(*UPQ, F.col("_w.createdAt").alias("createdAt"), F.col("_w.submissionId").alias("submissionId")))
-
-
 def current_classifications(bodies: DataFrame) -> DataFrame:
-    """The answer rows in force: the latest valid body of each (user, post, question)."""
+    """The answer rows in force: the latest valid body of each (user, post, question).
+
+    One aggregate picks the whole winning body per key (``max_by`` combines
+    map-side), then only the winners are exploded."""
     valid = valid_submissions(bodies)
-    rows = explode_submissions(bodies)
-    return rows.join(_latest(valid), UPQ + ["createdAt", "submissionId"], "left_semi").select(
-        *UPQ, "categoryId", "createdAt", "submissionId")
+    body = F.struct("submissionId", "createdAt", _all_categories().alias("cats"))
+    win = valid.groupBy(*UPQ).agg(F.max_by(body, F.struct("createdAt", "submissionId")).alias("_w"))
+    return win.select(*UPQ, F.explode("_w.cats").alias("categoryId"), F.col("_w.createdAt").alias("createdAt"),
+                      F.col("_w.submissionId").alias("submissionId"))
 
 
 def submission_status(bodies: DataFrame) -> DataFrame:

@@ -233,8 +233,21 @@ def legacy_bodies(bodies: DataFrame, question: DataFrame, user: DataFrame) -> Da
                     F.col("username").alias("userId"), "createdAt"))
 
 
+_BUILT: dict[tuple, dict[str, DataFrame]] = {}
+
+
 def annotation_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """All annotation tables for one scale-factor folder, as lazy DataFrames."""
+    """All annotation tables for one scale-factor folder, as lazy DataFrames.
+
+    Built once per session and folder, like registering views: the frames are
+    plans, not data, so every query still reads the files."""
+    key = (spark.sparkContext.applicationId, id(spark), sf_dir)
+    if key not in _BUILT:
+        _BUILT[key] = _build_tables(spark, sf_dir)
+    return dict(_BUILT[key])
+
+
+def _build_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     study = _study(read_table(spark, sf_dir, "region"))
     user = _user(read_table(spark, sf_dir, "supplier"))
     part = read_table(spark, sf_dir, "part")
