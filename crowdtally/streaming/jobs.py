@@ -60,7 +60,13 @@ def _epoch_path(root: str, epoch: int) -> str:
 def merge_current(previous: DataFrame | None, bodies: DataFrame) -> DataFrame:
     """New current state from the previous state rows and a batch of bodies."""
     rows = ST.explode_submissions(bodies).select(*STATE_COLUMNS)
-    both = rows if previous is None else previous.select(*STATE_COLUMNS).unionByName(rows)
+    if previous is None:
+        both = rows
+    else:
+        # A body seen again (a replayed batch) replaces its earlier copy: idempotent.
+        keys = ["userId", "postId", "questionId", "submissionId"]
+        kept = previous.select(*STATE_COLUMNS).join(bodies.select(*keys), keys, "left_anti")
+        both = kept.unionByName(rows)
     latest = (both.groupBy("userId", "postId", "questionId")
               .agg(F.max(F.struct("createdAt", "submissionId")).alias("_w"))
               .select("userId", "postId", "questionId", F.col("_w.createdAt").alias("createdAt"),
