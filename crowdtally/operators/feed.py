@@ -93,10 +93,10 @@ def legacy_posts_page(post: DataFrame, memberships: DataFrame, viewer: str, page
     """
     mine = memberships.filter(F.col("user_name") == F.lit(viewer)).select(F.col("study_id").alias("studyId"))
     posts = post.join(mine, "studyId", "left_semi")
-    total = posts.groupBy(F.lit(viewer).alias("_v")).agg(F.count(F.lit(1)).alias("total"))
+    # The total is a scalar subquery (one aggregate row), not a join.
+    total = posts.agg(F.count(F.lit(1)).alias("total")).scalar()
     order = F.md5(F.concat_ws(":", F.lit(seed), F.lit(viewer), F.col("id").cast("string")))
     page_rows = (posts.select("id", "pageName", F.coalesce("details", F.lit("")).alias("details"),
                               "likesCount", "commentsCount", "sharesCount", "studyId", order.alias("_o"))
                  .orderBy("_o", "id").offset((page - 1) * limit).limit(limit))
-    return (page_rows.withColumn("_v", F.lit(viewer)).join(F.broadcast(total), "_v")
-            .drop("_v", "_o"))
+    return page_rows.select(*[c for c in page_rows.columns if c != "_o"], total.alias("total"))

@@ -111,8 +111,8 @@ def available_categories(categories: DataFrame, links: DataFrame, study_id: int)
     """Legacy ``NOT IN``: categories not linked to the study, ordered by type and
     name.  As in SQL, a null in the linked ids empties the result."""
     linked = links.filter(F.col("studyId") == F.lit(study_id)).select(F.col("categoryId").alias("id"))
-    has_null = linked.filter(F.col("id").isNull()).select(F.lit(1).alias("_k")).limit(1)
+    has_null = linked.filter(F.col("id").isNull())
     out = (categories.filter(F.col("id").isNotNull())
            .join(linked.filter(F.col("id").isNotNull()), "id", "left_anti")
-           .withColumn("_k", F.lit(1)).join(has_null, "_k", "left_anti").drop("_k"))
+           .filter(~has_null.exists()))
     return out.orderBy("categoryType", "name", "id")
