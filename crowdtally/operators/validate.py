@@ -41,6 +41,23 @@ def js_missing(df: DataFrame, name: str) -> Column:
     return c.isNull() | (c == 0)
 
 
+def taken_by_other(cands: DataFrame, existing: DataFrame, keys: list[str], self_id: str | None = None) -> DataFrame:
+    """``cands`` + boolean ``_taken``: some existing row has the same ``keys``; with
+    ``self_id`` (an update) rows with the candidate's own id do not count.
+
+    Existing rows are first reduced per key to (count, min id, max id), so the
+    check is one equi-join, never a join on an inequality."""
+    if self_id is None:
+        ex = existing.select(*keys).distinct().withColumn("_taken", F.lit(True))
+        return cands.join(ex, keys, "left").withColumn("_taken", F.coalesce("_taken", F.lit(False)))
+    ex = existing.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("id").alias("_lo"),
+                                     F.max("id").alias("_hi"))
+    j = cands.join(ex, keys, "left")
+    other = (F.when(F.col("_n").isNull(), F.lit(False)).when(F.col(self_id).isNull(), F.lit(True))
+             .otherwise((F.col("_n") > 1) | (F.col("_lo") != F.col(self_id))))
+    return j.withColumn("_taken", other).drop("_n", "_lo", "_hi")
+
+
 def first_wins(df: DataFrame, keys: list[str], reason_col: str = "reason") -> DataFrame:
     """Mark later candidates of a key as duplicates among rows whose reason is null."""
     ok = df.filter(F.col(reason_col).isNull())
@@ -52,46 +69,47 @@ def first_wins(df: DataFrame, keys: list[str], reason_col: str = "reason") -> Da
 
 def category_import(cands: DataFrame, categories: DataFrame, question: DataFrame,
                     legacy_global_names: bool = False) -> DataFrame:
-    """cands(batchOrder, name, categoryType, questionId) -> + normalizedType, studyId, reason.
+    """cands(batchOrder, name, categoryType, questionId[, id]) -> + normalizedType,
+    studyId, reason.
 
     Name uniqueness is per study (via the question), or over all studies in
-    the legacy rule."""
+    the legacy rule.  With an ``id`` column the batch is an update: the row's
+    own current name does not count as taken."""
     q = question.select(F.col("id").alias("questionId"), "studyId", F.lit(True).alias("_q"))
     existing = categories.join(question.select(F.col("id").alias("questionId"), "studyId"), "questionId") \
-        .select("name", "studyId").distinct().withColumn("_taken", F.lit(True))
+        .select("id", "name", "studyId")
     c = cands.withColumn("normalizedType", slug("categoryType")).join(q, "questionId", "left")
-    if legacy_global_names:
-        c = c.join(existing.select("name", "_taken").distinct(), "name", "left")
-    else:
-        c = c.join(existing, ["name", "studyId"], "left")
+    keys = ["name"] if legacy_global_names else ["name", "studyId"]
+    c = taken_by_other(c, existing, keys, "id" if "id" in cands.columns else None)
     reason = (F.when(js_missing(c, "name") | js_missing(c, "categoryType") | js_missing(c, "questionId"),
                      F.lit(MISSING))
               .when((F.col("normalizedType") == "") | ~type_valid("normalizedType"), F.lit(BAD_TYPE))
               .when(F.col("_q").isNull(), F.lit(UNKNOWN_QUESTION))
-              .when(F.col("_taken").isNotNull(), F.lit(NAME_TAKEN)))
+              .when(F.col("_taken"), F.lit(NAME_TAKEN)))
     c = c.withColumn("reason", reason).drop("_q", "_taken")
-    return first_wins(c, ["name"] if legacy_global_names else ["name", "studyId"])
+    return first_wins(c, keys)
 
 
 def question_import(cands: DataFrame, question: DataFrame) -> DataFrame:
-    """cands(batchOrder, question, content, inputType, studyId) -> + reason; duplicates
-    by LOWER(TRIM(question)) inside the study."""
-    existing = (question.select("studyId", normalized_key("question").alias("_k")).distinct()
-                .withColumn("_taken", F.lit(True)))
-    c = cands.withColumn("_k", normalized_key("question")).join(existing, ["studyId", "_k"], "left")
+    """cands(batchOrder, question, content, inputType, studyId[, id]) -> + reason;
+    duplicates by LOWER(TRIM(question)) inside the study; an ``id`` column makes
+    it an update that ignores the row itself."""
+    existing = question.select("id", "studyId", normalized_key("question").alias("_k"))
+    c = cands.withColumn("_k", normalized_key("question"))
+    c = taken_by_other(c, existing, ["studyId", "_k"], "id" if "id" in cands.columns else None)
     miss = js_missing(c, "question") | js_missing(c, "content") | js_missing(c, "inputType") \
         | js_missing(c, "studyId")
-    reason = F.when(miss, F.lit(MISSING)).when(F.col("_taken").isNotNull(), F.lit(NAME_TAKEN))
+    reason = F.when(miss, F.lit(MISSING)).when(F.col("_taken"), F.lit(NAME_TAKEN))
     c = c.withColumn("reason", reason).drop("_taken")
     return first_wins(c, ["studyId", "_k"]).drop("_k")
 
 
 def study_import(cands: DataFrame, study: DataFrame) -> DataFrame:
-    """cands(batchOrder, name, addedBy, ...) -> + reason; study names are global."""
-    existing = study.select("name").distinct().withColumn("_taken", F.lit(True))
-    c = cands.join(existing, "name", "left")
+    """cands(batchOrder, name, addedBy[, id], ...) -> + reason; study names are
+    global; an ``id`` column makes it an update that ignores the row itself."""
+    c = taken_by_other(cands, study.select("id", "name"), ["name"], "id" if "id" in cands.columns else None)
     reason = (F.when(js_missing(c, "name") | js_missing(c, "addedBy"), F.lit(MISSING))
-              .when(F.col("_taken").isNotNull(), F.lit(NAME_TAKEN)))
+              .when(F.col("_taken"), F.lit(NAME_TAKEN)))
     return first_wins(c.withColumn("reason", reason).drop("_taken"), ["name"])
 
 
@@ -133,12 +151,35 @@ def user_import(cands: DataFrame, user: DataFrame, default_created_by: str = "ad
             .withColumn("createdBy", created_by).drop("_f1", "_f2", "password"))
 
 
-def membership_import(cands: DataFrame, user_study: DataFrame) -> DataFrame:
-    """cands(batchOrder, userId, studyId) -> + reason (missing study, link exists)."""
-    existing = user_study.select("userId", "studyId").distinct().withColumn("_l", F.lit(True))
-    c = cands.join(existing, ["userId", "studyId"], "left")
-    reason = F.when(js_missing(c, "studyId"), F.lit(MISSING)).when(F.col("_l").isNotNull(), F.lit(LINK_EXISTS))
-    return first_wins(c.withColumn("reason", reason).drop("_l"), ["userId", "studyId"])
+def membership_import(cands: DataFrame, user_study: DataFrame, keys: tuple[str, str] = ("userId", "studyId"),
+                      required: tuple[str, ...] = ("studyId",)) -> DataFrame:
+    """cands(batchOrder, <keys>) -> + reason (missing field, link exists).  The
+    same rule links users to studies and, in the legacy form, categories to
+    studies (keys ("studyId", "categoryId"), both required)."""
+    k = list(keys)
+    existing = user_study.select(*k).distinct().withColumn("_l", F.lit(True))
+    c = cands.join(existing, k, "left")
+    miss = F.lit(False)
+    for r in required:
+        miss = miss | js_missing(c, r)
+    reason = F.when(miss, F.lit(MISSING)).when(F.col("_l").isNotNull(), F.lit(LINK_EXISTS))
+    return first_wins(c.withColumn("reason", reason).drop("_l"), k)
+
+
+def user_rename(cands: DataFrame, user: DataFrame) -> DataFrame:
+    """Profile update: cands(batchOrder, id, username, email) -> + reason; the new
+    username or email must not belong to another user."""
+    u = user.select("id", "username", "email")
+    c = taken_by_other(cands, u, ["username"], "id").withColumnRenamed("_taken", "_t1")
+    c = taken_by_other(c, u, ["email"], "id").withColumnRenamed("_taken", "_t2")
+    reason = F.when(F.col("_t1") | F.col("_t2"), F.lit(USER_TAKEN))
+    c = c.withColumn("reason", reason).drop("_t1", "_t2")
+    ok = c.filter(F.col("reason").isNull())
+    f1 = ok.groupBy("username").agg(F.min(ORDER).alias("_f1"))
+    f2 = ok.groupBy("email").agg(F.min(ORDER).alias("_f2"))
+    j = c.join(f1, "username", "left").join(f2, "email", "left")
+    dup = F.col("reason").isNull() & ((F.col(ORDER) != F.col("_f1")) | (F.col(ORDER) != F.col("_f2")))
+    return j.withColumn("reason", F.when(dup, F.lit(DUPLICATE)).otherwise(F.col("reason"))).drop("_f1", "_f2")
 
 
 def apply_changes(old: DataFrame, changes: DataFrame, key: str = "id") -> tuple[DataFrame, DataFrame]:

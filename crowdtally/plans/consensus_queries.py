@@ -292,3 +292,11 @@ SELECT a.anonymizedUser, ROUND(COALESCE(us.validated, 0), 2) AS validated,
 FROM Anonymized a LEFT JOIN UserScores us ON a.userId = us.userId""")
 def _q_legacy_stats_all(t, spark, sf):
     return L.legacy_stats_all(_log(t), VIEWER["username"])
+
+
+@register("timeline_events", """
+SELECT user_id AS userId, strftime(ts, '%Y-%m-%d') AS date, COUNT(*) AS count
+FROM events GROUP BY user_id, strftime(ts, '%Y-%m-%d')""")
+def _q_timeline_events(t, spark, sf):
+    from ..sources.tables import read_table
+    return S.timeline(read_table(spark, sf, "events"), ts_col="ts", user_col="user_id")

@@ -115,3 +115,19 @@ def _q_load_tables(t, spark, sf):
     write_tables({"post": t["post"], "classification": t["classification"]}, base, question=t["question"])
     back = load_tables(spark, base, names=["classification"])["classification"]
     return back.select("userId", "postId", "questionId", "categoryId", "createdAt", "studyId")
+
+
+@register("write_tables", """
+SELECT id, pageName, pageLink, postLink, postId, details, likesCount, commentsCount, sharesCount, isRetweet,
+       socialName, studyId
+FROM ann_post""")
+def _q_write_tables(t, spark, sf):
+    """Sink for every study table; the post table is read back from its
+    studyId-partitioned folder."""
+    base = os.path.join(ensure_checkpoint_dir(spark), f"tables-{uuid.uuid4().hex}")
+    tables = {k: t[k] for k in ("study", "user", "user_study", "post", "image", "question", "categories",
+                                "classification")}
+    write_tables(tables, base, question=t["question"])
+    back = load_tables(spark, base, names=["post"])["post"]
+    return back.select("id", "pageName", "pageLink", "postLink", "postId", "details", "likesCount", "commentsCount",
+                       "sharesCount", "isRetweet", "socialName", "studyId")

@@ -311,3 +311,136 @@ WHERE c.batchOrder NOT IN (SELECT batchOrder FROM Eff)""")
 def _q_apply_changes_status(t, spark, sf):
     _, stat = V.apply_changes(_post_snapshot(t), post_changes(spark, sf))
     return stat
+
+
+# ---- update forms (the row's own id does not count as taken) -----------------
+def category_updates(spark, sf):
+    d = read_table(spark, sf, "documents")
+    i = F.col("doc_id")
+    return d.select(
+        i.alias("batchOrder"), (i % 50).alias("id"),
+        F.when(i % 4 == 0, F.lit("A")).when(i % 4 == 1, F.lit("N"))
+        .otherwise(F.concat(F.lit("u"), (i % 30).cast("string"))).alias("name"),
+        F.lit("tematicas").alias("categoryType"), (i % 15 + 1).alias("questionId"))
+
+
+@register("category_update", """
+WITH Cands AS (
+  SELECT doc_id AS batchOrder, doc_id % 50 AS id,
+         CASE WHEN doc_id % 4 = 0 THEN 'A' WHEN doc_id % 4 = 1 THEN 'N'
+              ELSE concat('u', CAST(doc_id % 30 AS VARCHAR)) END AS name,
+         'tematicas' AS categoryType, doc_id % 15 + 1 AS questionId
+  FROM documents),
+R AS (
+  SELECT c.*, q.studyId, 'tematicas' AS normalizedType,
+         CASE WHEN q.id IS NULL THEN 'unknown_question'
+              WHEN EXISTS (SELECT 1 FROM ann_categories c2 JOIN ann_question q2 ON q2.id = c2.questionId
+                           WHERE c2.name = c.name AND q2.studyId = q.studyId AND c2.id <> c.id) THEN 'name_taken'
+         END AS reason0
+  FROM Cands c LEFT JOIN ann_question q ON q.id = c.questionId)
+SELECT batchOrder, id, name, categoryType, questionId, normalizedType, studyId,""" + FIRST_WINS.format(
+    keys="name, studyId") + """
+FROM R""")
+def _q_category_update(t, spark, sf):
+    return V.category_import(category_updates(spark, sf), t["categories"], t["question"])
+
+
+@register("question_update", """
+WITH Cands AS (
+  SELECT doc_id AS batchOrder, doc_id % 16 AS id,
+         CASE WHEN doc_id % 3 = 0 THEN 'Q1' ELSE concat('New ', CAST(doc_id % 20 AS VARCHAR)) END AS question,
+         text AS content, 'radio' AS inputType, doc_id % 5 AS studyId
+  FROM documents),
+R AS (
+  SELECT c.*, lower(trim(c.question)) AS k,
+         CASE WHEN c.question IS NULL OR c.question = '' OR c.content IS NULL OR c.content = ''
+                   OR c.studyId IS NULL OR c.studyId = 0 THEN 'missing_fields'
+              WHEN EXISTS (SELECT 1 FROM ann_question q WHERE q.studyId = c.studyId AND q.id <> c.id
+                           AND lower(trim(q.question)) = lower(trim(c.question))) THEN 'name_taken' END AS reason0
+  FROM Cands c)
+SELECT batchOrder, id, question, content, inputType, studyId,""" + FIRST_WINS.format(keys="studyId, k") + """
+FROM R""")
+def _q_question_update(t, spark, sf):
+    d = read_table(spark, sf, "documents")
+    i = F.col("doc_id")
+    cands = d.select(
+        i.alias("batchOrder"), (i % 16).alias("id"),
+        F.when(i % 3 == 0, F.lit("Q1")).otherwise(F.concat(F.lit("New "), (i % 20).cast("string"))).alias("question"),
+        F.col("text").alias("content"), F.lit("radio").alias("inputType"), (i % 5).alias("studyId"))
+    return V.question_import(cands, t["question"])
+
+
+@register("study_update", """
+WITH Cands AS (
+  SELECT c_custkey AS batchOrder, c_custkey % 6 AS id,
+         CASE WHEN c_custkey % 4 = 0 THEN 'ASIA' ELSE concat('S', CAST(c_custkey % 50 AS VARCHAR)) END AS name,
+         'Supplier#000000000' AS addedBy
+  FROM customer),
+R AS (
+  SELECT c.*,
+         CASE WHEN EXISTS (SELECT 1 FROM ann_study s WHERE s.name = c.name AND s.id <> c.id) THEN 'name_taken'
+         END AS reason0
+  FROM Cands c)
+SELECT batchOrder, id, name, addedBy,""" + FIRST_WINS.format(keys="name") + """
+FROM R""")
+def _q_study_update(t, spark, sf):
+    c = read_table(spark, sf, "customer")
+    k = F.col("c_custkey")
+    cands = c.select(k.alias("batchOrder"), (k % 6).alias("id"),
+                     F.when(k % 4 == 0, F.lit("ASIA")).otherwise(F.concat(F.lit("S"), (k % 50).cast("string")))
+                     .alias("name"), F.lit("Supplier#000000000").alias("addedBy"))
+    return V.study_import(cands, t["study"])
+
+
+@register("user_rename", """
+WITH Cands AS (
+  SELECT c_custkey AS batchOrder, c_custkey % 120 AS id,
+         CASE WHEN c_custkey % 5 = 0 THEN concat('Supplier#', lpad(CAST(c_custkey % 100 AS VARCHAR), 9, '0'))
+              ELSE concat('nu', CAST(c_custkey % 400 AS VARCHAR)) END AS username,
+         concat('user', CAST(c_custkey % 150 AS VARCHAR), '@mail.test') AS email
+  FROM customer),
+R AS (
+  SELECT c.*,
+         CASE WHEN EXISTS (SELECT 1 FROM ann_user u WHERE u.id <> c.id
+                           AND (u.username = c.username OR u.email = c.email)) THEN 'username_or_email_taken'
+         END AS reason0
+  FROM Cands c),
+F AS (
+  SELECT R.*,
+         MIN(CASE WHEN reason0 IS NULL THEN batchOrder END) OVER (PARTITION BY username) AS f1,
+         MIN(CASE WHEN reason0 IS NULL THEN batchOrder END) OVER (PARTITION BY email) AS f2
+  FROM R)
+SELECT batchOrder, id, username, email,
+       CASE WHEN reason0 IS NULL AND (batchOrder <> f1 OR batchOrder <> f2) THEN 'duplicate_in_batch'
+            ELSE reason0 END AS reason
+FROM F""")
+def _q_user_rename(t, spark, sf):
+    c = read_table(spark, sf, "customer")
+    k = F.col("c_custkey")
+    cands = c.select(
+        k.alias("batchOrder"), (k % 120).alias("id"),
+        F.when(k % 5 == 0, F.concat(F.lit("Supplier#"), F.lpad((k % 100).cast("string"), 9, "0")))
+        .otherwise(F.concat(F.lit("nu"), (k % 400).cast("string"))).alias("username"),
+        F.concat(F.lit("user"), (k % 150).cast("string"), F.lit("@mail.test")).alias("email"))
+    return V.user_rename(cands, t["user"])
+
+
+@register("category_link_import", """
+WITH Links AS (SELECT q.studyId, c.id AS categoryId FROM ann_categories c JOIN ann_question q ON q.id = c.questionId),
+Cands AS (SELECT o_orderkey AS batchOrder, o_orderkey % 6 AS studyId, o_custkey % 50 AS categoryId FROM orders),
+R AS (
+  SELECT c.*,
+         CASE WHEN c.studyId = 0 OR c.studyId IS NULL OR c.categoryId = 0 OR c.categoryId IS NULL
+              THEN 'missing_fields'
+              WHEN EXISTS (SELECT 1 FROM Links l WHERE l.studyId = c.studyId AND l.categoryId = c.categoryId)
+              THEN 'link_exists' END AS reason0
+  FROM Cands c)
+SELECT batchOrder, studyId, categoryId,""" + FIRST_WINS.format(keys="studyId, categoryId") + """
+FROM R""")
+def _q_category_link_import(t, spark, sf):
+    from ..operators.lookups import study_category_links
+    o = read_table(spark, sf, "orders")
+    cands = o.select(F.col("o_orderkey").alias("batchOrder"), (F.col("o_orderkey") % 6).alias("studyId"),
+                     (F.col("o_custkey") % 50).alias("categoryId"))
+    links = study_category_links(t["categories"], t["question"])
+    return V.membership_import(cands, links, keys=("studyId", "categoryId"), required=("studyId", "categoryId"))
