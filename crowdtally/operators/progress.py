@@ -28,6 +28,7 @@ from ..functions.ranking import position_in_group
 # Fixed value: posts served per feed request.
 FEED_SIZE = 10
 DEFAULT_SEED = "42"
+CANDIDATE_CHUNK = 4096
 
 
 def post_rater_counts(classification: DataFrame) -> DataFrame:
@@ -180,16 +181,25 @@ def next_posts(targets: DataFrame, post: DataFrame, study: DataFrame, classifica
                                                        "left_semi")
     d = done.groupBy("userId", "studyId").agg(F.count(F.lit(1)).alias("_d"))
     k = F.least(F.col("M"), F.col("quota") + F.coalesce("_d", F.lit(0)))
-    cand = (t.join(sizes, "studyId").join(d, ["userId", "studyId"], "left")
-            .withColumn("_off", F.pmod(_hash_int(seed, "userId"), F.col("M")))
-            .select("userId", "studyId", "quota", "M", "_off",
-                    F.explode(F.sequence(F.lit(0).cast("bigint"), (k - 1).cast("bigint"))).alias("step"))
-            .filter(F.col("step") < F.col("M")))
+    users = (t.join(sizes, "studyId").join(d, ["userId", "studyId"], "left")
+             .select("userId", "studyId", "quota", "M", k.alias("_k"),
+                     F.pmod(_hash_int(seed, "userId"), F.col("M")).alias("_off")))
+    # Candidate steps 0..k-1, generated in chunks that are spread over tasks, so a
+    # user who answered a huge number of posts is not one long task.
+    n_chunks = F.floor((F.col("_k") - 1) / CANDIDATE_CHUNK).cast("int")
+    chunks = (users.select("*", F.explode(F.sequence(F.lit(0), n_chunks)).alias("_c"))
+              .repartition("userId", "_c"))
+    lo = F.col("_c").cast("bigint") * CANDIDATE_CHUNK
+    hi = F.least(lo + CANDIDATE_CHUNK, F.col("_k")) - 1
+    cand = chunks.select("userId", "studyId", "quota", "M", "_off", F.explode(F.sequence(lo, hi)).alias("step"))
     cand = cand.withColumn("pos", F.pmod(F.col("_off") + F.col("step"), F.col("M")))
     picked = (cand.join(ranked.select("studyId", "pos", "postId"), ["studyId", "pos"])
               .join(done.select("userId", "postId"), ["userId", "postId"], "left_anti"))
     w = Window.partitionBy("userId").orderBy("step")
+    # The literal bound lets Spark keep only the first FEED_SIZE rows per user
+    # before the shuffle (WindowGroupLimit); the per-user quota is applied after.
     return (picked.withColumn("feedRank", F.row_number().over(w))
+            .filter(F.col("feedRank") <= FEED_SIZE)
             .filter(F.col("feedRank") <= F.col("quota"))
             .select("userId", "studyId", "postId", F.col("feedRank").cast("bigint").alias("feedRank")))
 

@@ -84,3 +84,30 @@ def test_feed_payload_shapes(spark):
     assert all(len(r.questions) == 3 and all(len(q.categories) == 3 for q in r.questions) for r in qs)
     imgs = FD.post_images_base64(t["image"]).collect()
     assert all(i.image_data is None or "\n" not in i.image_data for r in imgs for i in r.images)
+
+
+def test_next_posts_chunked_candidates_match_brute_force(spark, monkeypatch):
+    import hashlib
+
+    monkeypatch.setattr(P, "CANDIDATE_CHUNK", 3)
+    study = spark.createDataFrame([(1, "s", 3, None, 50)], STUDY)
+    post = spark.createDataFrame([(p, 1) for p in range(40)], "id bigint, studyId bigint")
+    done = {1: set(range(0, 40, 2)), 2: set(range(25)), 3: set()}
+    other = [(u, p) for u in (7, 8, 9) for p in range(30, 40)]           # posts 30..39 complete
+    rows = [(u, p, 1, 1, None) for u, ps in done.items() for p in ps] + [(u, p, 1, 1, None) for u, p in other]
+    cls = spark.createDataFrame(rows, CLS)
+    targets = spark.createDataFrame([(1, 1, 10), (2, 1, 4), (3, 1, 10)], "userId bigint, studyId bigint, quota bigint")
+    got = {}
+    for r in P.next_posts(targets, post, study, cls, "42").collect():
+        got.setdefault(r.userId, []).append((r.feedRank, r.postId))
+    raters = {}
+    for u, p, *_ in rows:
+        raters.setdefault(p, set()).add(u)
+    remaining = sorted((p for p in range(40) if len(raters.get(p, ())) < 3),
+                       key=lambda p: (hashlib.md5(f"42:{p}".encode()).hexdigest(), p))
+    m = len(remaining)
+    for u, quota in ((1, 10), (2, 4), (3, 10)):
+        off = int(hashlib.md5(f"42:{u}".encode()).hexdigest()[:8], 16) % m
+        walk = [remaining[(off + s) % m] for s in range(m)]
+        want = [p for p in walk if p not in done[u]][:quota]
+        assert [p for _, p in sorted(got.get(u, []))] == want
