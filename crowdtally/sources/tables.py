@@ -41,6 +41,26 @@ def load_tables(spark: SparkSession, base: str, fmt: str = "parquet",
     return out
 
 
+def load_jdbc_tables(spark: SparkSession, url: str, properties: dict, names: list[str] | None = None,
+                     partitioning: dict | None = None) -> dict[str, DataFrame]:
+    """The same tables from a relational database.  ``partitioning`` maps a table
+    to (column, lower, upper, numPartitions) so big tables are read by many
+    tasks.  Columns are cast to the schemas of ``schemas`` (the password column
+    of ``user`` is never selected).  Not exercised in tests: no server runs."""
+    out = {}
+    for name in names or list(schemas.TABLES):
+        r = spark.read
+        if partitioning and name in partitioning:
+            col, lo, hi, n = partitioning[name]
+            df = r.jdbc(url, f"`{name}`", column=col, lowerBound=lo, upperBound=hi, numPartitions=n,
+                        properties=properties)
+        else:
+            df = r.jdbc(url, f"`{name}`", properties=properties)
+        fields = [f for f in schemas.TABLES[name].fields if f.name in df.columns]
+        out[name] = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in fields])
+    return out
+
+
 def classification_with_study(classification: DataFrame, question: DataFrame) -> DataFrame:
     """studyId of each answer, taken from its question (a dimension table)."""
     return classification.join(question.select(F.col("id").alias("questionId"), "studyId"), "questionId")
