@@ -127,7 +127,8 @@ def user_quota(pairs: DataFrame, study: DataFrame, classification: DataFrame, qu
     """Per (userId, studyId) pair: done posts, quota, limitReached."""
     done = user_done_posts(classification, question)
     s = study.select(F.col("id").alias("studyId"), "maxClassificationsPerUser")
-    j = pairs.join(s, "studyId").join(done, ["userId", "studyId"], "left")
+    # Left join: without a study row the reference keeps the default of 10.
+    j = pairs.join(s, "studyId", "left").join(done, ["userId", "studyId"], "left")
     d = F.coalesce("userDonePosts", F.lit(0))
     mx = F.col("maxClassificationsPerUser")
     return j.select("userId", "studyId", d.cast("bigint").alias("totalPostsDone"),
