@@ -219,3 +219,38 @@ def apply_changes(old: DataFrame, changes: DataFrame, key: str = "id") -> tuple[
     snapshot = j.filter(keep).select(key, *[value(c).alias(c) for c in cols])
     stat = j.filter(op.isNotNull()).select(ORDER, "op", key, "status").unionByName(dup)
     return snapshot, stat
+
+
+def user_update(cands: DataFrame, user: DataFrame) -> DataFrame:
+    """Admin update: cands(batchOrder, id, username, email, type) -> + reason.
+    Required fields first, then the id must exist, then username and email
+    must not belong to another user; first candidate per key wins."""
+    ids = user.select("id").distinct().withColumn("_found", F.lit(True))
+    c = cands.join(ids, "id", "left")
+    u = user.select("id", "username", "email")
+    c = taken_by_other(c, u, ["username"], "id").withColumnRenamed("_taken", "_t1")
+    c = taken_by_other(c, u, ["email"], "id").withColumnRenamed("_taken", "_t2")
+    miss = js_missing(c, "username") | js_missing(c, "email") | js_missing(c, "type")
+    reason = (F.when(miss, F.lit(MISSING)).when(F.col("_found").isNull(), F.lit(NOT_FOUND))
+              .when(F.col("_t1") | F.col("_t2"), F.lit(USER_TAKEN)))
+    c = c.withColumn("reason", reason).drop("_found", "_t1", "_t2")
+    c = first_wins(c, ["username"])
+    return first_wins(c, ["email"])
+
+
+def profile_rename(cands: DataFrame, user: DataFrame) -> DataFrame:
+    """Profile change of one's own username: cands(batchOrder, currentUsername,
+    newUsername) -> + reason.  The current user must exist; a new name that
+    differs from the current one must be free."""
+    cur = user.select(F.col("username").alias("currentUsername")).distinct().withColumn("_found", F.lit(True))
+    names = user.select(F.col("username").alias("newUsername")).distinct().withColumn("_taken", F.lit(True))
+    c = cands.join(cur, "currentUsername", "left").join(names, "newUsername", "left")
+    changes = ~js_missing(c, "newUsername") & (F.col("newUsername") != F.col("currentUsername"))
+    reason = (F.when(F.col("_found").isNull(), F.lit(NOT_FOUND))
+              .when(changes & F.col("_taken").isNotNull(), F.lit(USER_TAKEN)))
+    c = c.withColumn("reason", reason).drop("_found", "_taken")
+    ok = c.filter(F.col("reason").isNull() & changes)
+    firsts = ok.groupBy("newUsername").agg(F.min(ORDER).alias("_first"))
+    j = c.join(firsts, "newUsername", "left")
+    dup = F.col("reason").isNull() & changes & (F.col(ORDER) != F.col("_first"))
+    return j.withColumn("reason", F.when(dup, F.lit(DUPLICATE)).otherwise(F.col("reason"))).drop("_first")

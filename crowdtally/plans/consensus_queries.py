@@ -300,3 +300,12 @@ FROM events GROUP BY user_id, strftime(ts, '%Y-%m-%d')""")
 def _q_timeline_events(t, spark, sf):
     from ..sources.tables import read_table
     return S.timeline(read_table(spark, sf, "events"), ts_col="ts", user_col="user_id")
+
+
+@register("validated_per_study", "WITH " + CTE_VALIDATED + """
+SELECT p.studyId, COUNT(*) AS validatedLabels
+FROM ValidatedQ v JOIN ann_post p ON p.id = v.postId GROUP BY p.studyId""")
+def _q_validated_per_study(t, spark, sf):
+    v = _validated(t)
+    p = t["post"].select(F.col("id").alias("postId"), "studyId")
+    return v.join(p, "postId").groupBy("studyId").agg(F.count(F.lit(1)).alias("validatedLabels"))

@@ -444,3 +444,68 @@ def _q_category_link_import(t, spark, sf):
                      (F.col("o_custkey") % 50).alias("categoryId"))
     links = study_category_links(t["categories"], t["question"])
     return V.membership_import(cands, links, keys=("studyId", "categoryId"), required=("studyId", "categoryId"))
+
+
+@register("user_update", """
+WITH Cands AS (
+  SELECT c_custkey AS batchOrder, c_custkey % 130 AS id,
+         CASE WHEN c_custkey % 5 = 0 THEN concat('Supplier#', lpad(CAST(c_custkey % 100 AS VARCHAR), 9, '0'))
+              ELSE concat('nu', CAST(c_custkey % 400 AS VARCHAR)) END AS username,
+         concat('user', CAST(c_custkey % 150 AS VARCHAR), '@mail.test') AS email,
+         CASE WHEN c_custkey % 17 = 0 THEN '' ELSE 'user' END AS type
+  FROM customer),
+R AS (
+  SELECT c.*,
+         CASE WHEN c.username IS NULL OR c.username = '' OR c.email IS NULL OR c.email = ''
+                   OR c.type IS NULL OR c.type = '' THEN 'missing_fields'
+              WHEN NOT EXISTS (SELECT 1 FROM ann_user u WHERE u.id = c.id) THEN 'not_found'
+              WHEN EXISTS (SELECT 1 FROM ann_user u WHERE u.id <> c.id
+                           AND (u.username = c.username OR u.email = c.email)) THEN 'username_or_email_taken'
+         END AS reason0
+  FROM Cands c),
+F1 AS (SELECT R.*,""" + FIRST_WINS.format(keys="username").replace("AS reason", "AS reason1") + """ FROM R),
+F2 AS (SELECT batchOrder, id, username, email, type, reason1 AS reason0 FROM F1)
+SELECT batchOrder, id, username, email, type,""" + FIRST_WINS.format(keys="email") + """
+FROM F2""")
+def _q_user_update(t, spark, sf):
+    c = read_table(spark, sf, "customer")
+    k = F.col("c_custkey")
+    cands = c.select(
+        k.alias("batchOrder"), (k % 130).alias("id"),
+        F.when(k % 5 == 0, F.concat(F.lit("Supplier#"), F.lpad((k % 100).cast("string"), 9, "0")))
+        .otherwise(F.concat(F.lit("nu"), (k % 400).cast("string"))).alias("username"),
+        F.concat(F.lit("user"), (k % 150).cast("string"), F.lit("@mail.test")).alias("email"),
+        F.when(k % 17 == 0, F.lit("")).otherwise(F.lit("user")).alias("type"))
+    return V.user_update(cands, t["user"])
+
+
+@register("profile_rename", """
+WITH Cands AS (
+  SELECT c_custkey AS batchOrder,
+         concat('Supplier#', lpad(CAST(c_custkey % 110 AS VARCHAR), 9, '0')) AS currentUsername,
+         CASE WHEN c_custkey % 7 = 0 THEN concat('Supplier#', lpad(CAST(c_custkey % 110 AS VARCHAR), 9, '0'))
+              WHEN c_custkey % 7 = 1 THEN concat('Supplier#', lpad(CAST(c_custkey % 90 AS VARCHAR), 9, '0'))
+              ELSE concat('renamed', CAST(c_custkey % 300 AS VARCHAR)) END AS newUsername
+  FROM customer),
+R AS (
+  SELECT c.*, (c.newUsername IS NOT NULL AND c.newUsername <> '' AND c.newUsername <> c.currentUsername) AS changes,
+         CASE WHEN NOT EXISTS (SELECT 1 FROM ann_user u WHERE u.username = c.currentUsername) THEN 'not_found'
+              WHEN c.newUsername IS NOT NULL AND c.newUsername <> '' AND c.newUsername <> c.currentUsername
+                   AND EXISTS (SELECT 1 FROM ann_user u WHERE u.username = c.newUsername)
+              THEN 'username_or_email_taken' END AS reason0
+  FROM Cands c)
+SELECT batchOrder, currentUsername, newUsername,
+       CASE WHEN reason0 IS NULL AND changes AND batchOrder <> MIN(CASE WHEN reason0 IS NULL AND changes
+                                                                    THEN batchOrder END)
+                                                                OVER (PARTITION BY newUsername)
+            THEN 'duplicate_in_batch' ELSE reason0 END AS reason
+FROM R""")
+def _q_profile_rename(t, spark, sf):
+    c = read_table(spark, sf, "customer")
+    k = F.col("c_custkey")
+    sup = lambda m: F.concat(F.lit("Supplier#"), F.lpad((k % m).cast("string"), 9, "0"))
+    cands = c.select(
+        k.alias("batchOrder"), sup(110).alias("currentUsername"),
+        F.when(k % 7 == 0, sup(110)).when(k % 7 == 1, sup(90))
+        .otherwise(F.concat(F.lit("renamed"), (k % 300).cast("string"))).alias("newUsername"))
+    return V.profile_rename(cands, t["user"])
