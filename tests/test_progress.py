@@ -111,3 +111,13 @@ def test_next_posts_chunked_candidates_match_brute_force(spark, monkeypatch):
         walk = [remaining[(off + s) % m] for s in range(m)]
         want = [p for p in walk if p not in done[u]][:quota]
         assert [p for _, p in sorted(got.get(u, []))] == want
+
+
+def test_completed_plus_remaining_is_total_on_driver_data(spark):
+    from crowdtally.sources.mapping import annotation_tables
+    t = annotation_tables(spark, "/root/testdata/sf0.01")
+    c = P.study_completion(t["study"], t["post"], t["classification"])
+    rows = c.filter(F.col("minClassificationsPerPost").isNotNull() & (F.col("totalPosts") > 0)).collect()
+    assert rows and all(r.completedPosts + r.remainingPosts == r.totalPosts for r in rows)
+    prog = P.study_progress(t["user_study"], t["study"], t["post"], t["classification"], t["question"])
+    assert prog.filter("availablePostsForUser < 0 OR availablePostsForUser > remainingPosts").count() == 0
