@@ -20,7 +20,7 @@ per task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 UPQ = ["userId", "postId", "questionId"]
@@ -137,3 +137,16 @@ def legacy_classified_posts(log: DataFrame, categories: DataFrame) -> DataFrame:
     ).select("userId", "postId", "thematic",
              F.when(F.col("_sent").isNull(), F.array().cast("array<bigint>"))
              .otherwise(F.array("_sent")).alias("sentiment"))
+
+
+def current_from_log(rows: DataFrame) -> DataFrame:
+    """The same replace rule on a stored flat log (one row per category, the
+    rows of a submission sharing its createdAt): rows of the latest
+    (createdAt, submissionId) per (user, post, question).  ``rank() = 1`` keeps
+    every row of the winning submission; Spark keeps only rank-1 rows per task
+    before the shuffle (WindowGroupLimit), so a hot key is cut down map-side."""
+    ok = rows.filter(~_js_missing(F.col("postId")) & ~_js_missing(F.col("questionId"))
+                     & F.col("categoryId").isNotNull())
+    w = Window.partitionBy(*UPQ).orderBy(F.col("createdAt").desc(), F.col("submissionId").desc())
+    return (ok.withColumn("_r", F.rank().over(w)).filter(F.col("_r") == 1)
+            .select(*UPQ, "categoryId", "createdAt", "submissionId"))

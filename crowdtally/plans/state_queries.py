@@ -116,3 +116,14 @@ def _q_legacy_classified_posts(t, spark, sf):
     th = n.select("userId", "postId", F.lit("thematic").alias("kind"), F.explode("thematic").alias("categoryId"))
     se = n.select("userId", "postId", F.lit("sentiment").alias("kind"), F.explode("sentiment").alias("categoryId"))
     return th.unionByName(se)
+
+
+@register("current_classifications_log", "WITH " + BODY_CTE.strip() + """,
+Ranked AS (
+  SELECT userId, postId, questionId, categoryId, bodyAt, submissionId,
+         RANK() OVER (PARTITION BY userId, postId, questionId ORDER BY bodyAt DESC, submissionId DESC) AS rnk
+  FROM ValidRows)
+SELECT userId, postId, questionId, categoryId, bodyAt AS createdAt, submissionId FROM Ranked WHERE rnk = 1""")
+def _q_current_classifications_log(t, spark, sf):
+    """Replace semantics over the stored flat submission log."""
+    return ST.current_from_log(t["submission"])
