@@ -140,13 +140,16 @@ def legacy_classified_posts(log: DataFrame, categories: DataFrame) -> DataFrame:
 
 
 def current_from_log(rows: DataFrame) -> DataFrame:
-    """The same replace rule on a stored flat log (one row per category, the
-    rows of a submission sharing its createdAt): rows of the latest
-    (createdAt, submissionId) per (user, post, question).  ``rank() = 1`` keeps
-    every row of the winning submission; Spark keeps only rank-1 rows per task
-    before the shuffle (WindowGroupLimit), so a hot key is cut down map-side."""
+    """The same replace rule on a stored flat log (one row per category): rows
+    of the latest (createdAt, submissionId) per (user, post, question), where a
+    submission's time is the latest of its rows.  ``rank() = 1`` keeps every row
+    of the winning submission; Spark keeps only rank-1 rows per task before the
+    shuffle (WindowGroupLimit), so a hot key is cut down map-side.  The first
+    window spans one submission's rows only (bounded by its categories)."""
     ok = rows.filter(~_js_missing(F.col("postId")) & ~_js_missing(F.col("questionId"))
                      & F.col("categoryId").isNotNull())
+    body = Window.partitionBy(*UPQ, "submissionId")
+    ok = ok.withColumn("createdAt", F.max("createdAt").over(body))
     w = Window.partitionBy(*UPQ).orderBy(F.col("createdAt").desc(), F.col("submissionId").desc())
     return (ok.withColumn("_r", F.rank().over(w)).filter(F.col("_r") == 1)
             .select(*UPQ, "categoryId", "createdAt", "submissionId"))
