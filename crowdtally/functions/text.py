@@ -10,6 +10,8 @@ Python's ``unicodedata`` (a rule, not a list): every BMP code point whose
 decomposition, without U+0300-U+036F and lower-cased, keeps exactly one
 character of ``[a-z0-9_-]`` maps to that character.  Everything else that is
 not whitespace is removed by the later character filter, as in the original.
+No code point above the BMP decomposes to a slug character (checked over all
+of them), so the table covers every input.
 Whitespace is the JavaScript ``\\s`` set, spelled out because Java's ``\\s`` is
 ASCII only.
 """
