@@ -279,3 +279,23 @@ def _q_study_progress_user(t, spark, sf):
     """Progress of every study of one user (the reference's per-request shape)."""
     mine = t["user_study"].filter(F.col("userId") == F.lit(VIEWER["id"]))
     return P.study_progress(mine, t["study"], t["post"], t["classification"], t["question"])
+
+
+@register("feed_progress", "WITH " + RESOLVED_CTE.strip() + ",\n" + PROGRESS_CTE.strip().replace(
+    "FROM ann_user_study us JOIN",
+    "FROM (SELECT userId, targetStudyId AS studyId FROM Targets WHERE targetStudyId IS NOT NULL) us JOIN") + """
+SELECT userId, studyId, studyName, CAST(totalPosts AS BIGINT) AS totalPosts,
+       CAST(completedPosts AS BIGINT) AS completedPosts, CAST(remainingPosts AS BIGINT) AS remainingPosts,
+       CAST(CASE WHEN maxC IS NOT NULL THEN GREATEST(0, LEAST(rawAvail, GREATEST(0, maxC - userDonePosts)))
+                 ELSE rawAvail END AS BIGINT) AS availablePostsForUser,
+       CAST(userDonePosts AS BIGINT) AS userDonePosts,
+       COALESCE(minC, 0) AS minClassificationsPerPost, maxC AS maxClassificationsPerUser,
+       CAST(CASE WHEN maxC IS NOT NULL THEN GREATEST(0, maxC - userDonePosts) END AS BIGINT) AS userRemainingLimit,
+       CAST(CASE WHEN totalPosts > 0 THEN ROUND(CAST(completedPosts AS DOUBLE) / totalPosts * 100) ELSE 0 END
+            AS BIGINT) AS completionPercentage
+FROM Prog""")
+def _q_feed_progress(t, spark, sf):
+    """The progress object of every accepted feed request (its target study)."""
+    pairs = _resolved(t).filter(F.col("targetStudyId").isNotNull()).select(
+        "userId", F.col("targetStudyId").alias("studyId"))
+    return P.study_progress(pairs, t["study"], t["post"], t["classification"], t["question"])
