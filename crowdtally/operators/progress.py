@@ -55,9 +55,10 @@ def post_status(post: DataFrame, study: DataFrame, classification: DataFrame) ->
                      F.when(n < m, 1).otherwise(0).alias("remaining"))
 
 
-def study_completion(study: DataFrame, post: DataFrame, classification: DataFrame) -> DataFrame:
+def study_completion(study: DataFrame, post: DataFrame, classification: DataFrame,
+                     status: DataFrame | None = None) -> DataFrame:
     """totalPosts, completedPosts, remainingPosts per study."""
-    st = post_status(post, study, classification)
+    st = status if status is not None else post_status(post, study, classification)
     agg = st.groupBy("studyId").agg(F.count("postId").alias("totalPosts"),
                                     F.sum("complete").cast("bigint").alias("completedPosts"),
                                     F.sum("remaining").cast("bigint").alias("remainingPosts"))
@@ -78,9 +79,9 @@ def remaining_done(classification: DataFrame, status: DataFrame) -> DataFrame:
 
 
 def user_available_posts(user_study: DataFrame, study: DataFrame, post: DataFrame,
-                         classification: DataFrame) -> DataFrame:
+                         classification: DataFrame, status: DataFrame | None = None) -> DataFrame:
     """raw available posts per membership (userId, studyId)."""
-    status = post_status(post, study, classification)
+    status = status if status is not None else post_status(post, study, classification)
     remaining = status.groupBy("studyId").agg(F.sum("remaining").cast("bigint").alias("remainingPosts"))
     done_rem = (remaining_done(classification, status).groupBy("userId", "studyId")
                 .agg(F.count(F.lit(1)).alias("_doneRem")))
@@ -97,9 +98,11 @@ def remaining_limit(max_col: Column, done_col: Column) -> Column:
 
 def study_progress(user_study: DataFrame, study: DataFrame, post: DataFrame, classification: DataFrame,
                    question: DataFrame) -> DataFrame:
-    """The full progress row for every membership."""
-    comp = study_completion(study, post, classification)
-    raw = user_available_posts(user_study, study, post, classification)
+    """The full progress row for every membership.  The post status is built
+    once and shared, so its exchanges are planned once and reused."""
+    status = post_status(post, study, classification)
+    comp = study_completion(study, post, classification, status)
+    raw = user_available_posts(user_study, study, post, classification, status)
     done = user_done_posts(classification, question)
     j = (raw.join(comp, "studyId").join(done, ["userId", "studyId"], "left")
          .withColumn("userDonePosts", F.coalesce("userDonePosts", F.lit(0)).cast("bigint")))
