@@ -182,25 +182,27 @@ def user_rename(cands: DataFrame, user: DataFrame) -> DataFrame:
     return j.withColumn("reason", F.when(dup, F.lit(DUPLICATE)).otherwise(F.col("reason"))).drop("_f1", "_f2")
 
 
-def apply_changes(old: DataFrame, changes: DataFrame, key: str = "id") -> tuple[DataFrame, DataFrame]:
+def apply_changes(old: DataFrame, changes: DataFrame, key: str | list[str] = "id") -> tuple[DataFrame, DataFrame]:
     """Apply a batch of changes to a snapshot table.
 
-    changes(batchOrder, op in 'insert'/'update'/'delete', key, any subset of the
-    table's columns); a null or absent column of an update keeps the old value.
-    The first change of a key wins; later ones are 'duplicate_in_batch'.
-    Returns (new snapshot, per-change status) from one full outer join - no
-    MERGE is needed on plain parquet; the caller writes the snapshot as a new
-    version.
+    changes(batchOrder, op in 'insert'/'update'/'delete', key column(s), any
+    subset of the table's other columns); a null or absent column of an update
+    keeps the old value.  The key may be composite (a membership is keyed by
+    user and study).  The first change of a key wins; later ones are
+    'duplicate_in_batch'.  Returns (new snapshot, per-change status) from one
+    full outer join - no MERGE is needed on plain parquet; the caller writes the
+    snapshot as a new version.
     """
-    cols = [c for c in old.columns if c != key]
-    first = changes.groupBy(key).agg(F.min(ORDER).alias("_first"))
-    ch = changes.join(first, key)
-    dup = ch.filter(F.col(ORDER) != F.col("_first")).select(ORDER, "op", key, F.lit(DUPLICATE).alias("status"))
+    keys = [key] if isinstance(key, str) else list(key)
+    cols = [c for c in old.columns if c not in keys]
+    first = changes.groupBy(*keys).agg(F.min(ORDER).alias("_first"))
+    ch = changes.join(first, keys)
+    dup = ch.filter(F.col(ORDER) != F.col("_first")).select(ORDER, "op", *keys, F.lit(DUPLICATE).alias("status"))
     eff = ch.filter(F.col(ORDER) == F.col("_first")).drop("_first")
     ch_cols = {c: F.col(f"c_{c}") for c in cols if c in eff.columns}
-    eff = eff.select(ORDER, "op", key, *[F.col(c).alias(f"c_{c}") for c in ch_cols])
+    eff = eff.select(ORDER, "op", *keys, *[F.col(c).alias(f"c_{c}") for c in ch_cols])
     o = old.withColumn("_old", F.lit(True))
-    j = o.join(eff, key, "full_outer")
+    j = o.join(eff, keys, "full_outer")
     exists, op = F.col("_old").isNotNull(), F.col("op")
     status = (F.when(op.isNull(), F.lit(None))
               .when(op == "update", F.when(exists, F.lit("updated")).otherwise(F.lit(NOT_FOUND)))
@@ -216,8 +218,8 @@ def apply_changes(old: DataFrame, changes: DataFrame, key: str = "id") -> tuple[
         return (F.when(F.col("status") == "inserted", new)
                 .when(F.col("status") == "updated", F.coalesce(new, F.col(c))).otherwise(F.col(c)))
 
-    snapshot = j.filter(keep).select(key, *[value(c).alias(c) for c in cols])
-    stat = j.filter(op.isNotNull()).select(ORDER, "op", key, "status").unionByName(dup)
+    snapshot = j.filter(keep).select(*keys, *[value(c).alias(c) for c in cols])
+    stat = j.filter(op.isNotNull()).select(ORDER, "op", *keys, "status").unionByName(dup)
     return snapshot, stat
 
 

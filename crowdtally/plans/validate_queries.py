@@ -509,3 +509,46 @@ def _q_profile_rename(t, spark, sf):
         F.when(k % 7 == 0, sup(110)).when(k % 7 == 1, sup(90))
         .otherwise(F.concat(F.lit("renamed"), (k % 300).cast("string"))).alias("newUsername"))
     return V.profile_rename(cands, t["user"])
+
+
+MEMBERSHIP_CHANGES_SQL = """
+Changes AS (
+  SELECT o_orderkey AS batchOrder, CASE WHEN o_orderstatus = 'P' THEN 'insert' ELSE 'delete' END AS op,
+         o_custkey % 110 AS userId, o_orderkey % 6 AS studyId
+  FROM orders),
+Eff AS (
+  SELECT * FROM Changes c
+  WHERE c.batchOrder = (SELECT MIN(c2.batchOrder) FROM Changes c2
+                        WHERE c2.userId = c.userId AND c2.studyId = c.studyId)),
+J AS (
+  SELECT COALESCE(o.userId, e.userId) AS userId, COALESCE(o.studyId, e.studyId) AS studyId,
+         o.userId IS NOT NULL AS existed, e.op, e.batchOrder,
+         CASE WHEN e.op IS NULL THEN NULL
+              WHEN e.op = 'delete' THEN CASE WHEN o.userId IS NOT NULL THEN 'deleted' ELSE 'not_found' END
+              ELSE CASE WHEN o.userId IS NOT NULL THEN 'id_exists' ELSE 'inserted' END END AS status
+  FROM ann_user_study o FULL OUTER JOIN Eff e ON o.userId = e.userId AND o.studyId = e.studyId)"""
+
+
+def _membership_changes(spark, sf):
+    o = read_table(spark, sf, "orders")
+    return o.select(F.col("o_orderkey").alias("batchOrder"),
+                    F.when(F.col("o_orderstatus") == "P", F.lit("insert")).otherwise(F.lit("delete")).alias("op"),
+                    (F.col("o_custkey") % 110).alias("userId"), (F.col("o_orderkey") % 6).alias("studyId"))
+
+
+@register("membership_changes", "WITH " + MEMBERSHIP_CHANGES_SQL.strip() + """
+SELECT userId, studyId FROM J WHERE (existed AND (op IS NULL OR op <> 'delete')) OR status = 'inserted'""")
+def _q_membership_changes(t, spark, sf):
+    """Membership links added and removed by a batch (composite key)."""
+    snap, _ = V.apply_changes(t["user_study"], _membership_changes(spark, sf), key=["userId", "studyId"])
+    return snap
+
+
+@register("membership_changes_status", "WITH " + MEMBERSHIP_CHANGES_SQL.strip() + """
+SELECT batchOrder, op, userId, studyId, status FROM J WHERE op IS NOT NULL
+UNION ALL
+SELECT c.batchOrder, c.op, c.userId, c.studyId, 'duplicate_in_batch' AS status FROM Changes c
+WHERE c.batchOrder NOT IN (SELECT batchOrder FROM Eff)""")
+def _q_membership_changes_status(t, spark, sf):
+    _, stat = V.apply_changes(t["user_study"], _membership_changes(spark, sf), key=["userId", "studyId"])
+    return stat
