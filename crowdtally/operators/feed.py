@@ -84,6 +84,25 @@ def feed_payload(served: DataFrame, post: DataFrame, study: DataFrame, image: Da
         F.coalesce("images", F.array()).alias("images"), F.coalesce("questions", F.array()).alias("questions"))
 
 
+def history_payload(resolved: DataFrame, hist: DataFrame, post: DataFrame, study: DataFrame, image: DataFrame,
+                    question: DataFrame, categories: DataFrame) -> DataFrame:
+    """History-mode answer: every post the user answered in the target study with
+    its latest answer time (newest first is the presentation order), the same
+    fields and nested images and questions as the feed."""
+    targets = resolved.filter(F.col("refusal").isNull() & F.col("includeClassified")).select(
+        "userId", F.col("targetStudyId").alias("studyId"))
+    h = hist.join(targets, ["userId", "studyId"], "left_semi").select("userId", "studyId", "postId", "createdAtMax")
+    p = post.select(F.col("id").alias("postId"), "pageName", "pageLink", "postLink", "details", "likesCount",
+                    "commentsCount", "sharesCount", "socialName")
+    s = study.select(F.col("id").alias("studyId"), F.col("name").alias("studyName"))
+    j = (h.join(p, "postId").join(s, "studyId").join(post_images_base64(image), "postId", "left")
+         .join(study_questionnaire(question, categories), "studyId", "left"))
+    return j.select(
+        "userId", "createdAtMax", F.col("postId").alias("id"), "pageName", "pageLink", "postLink", "details",
+        "likesCount", "commentsCount", "sharesCount", "studyId", "studyName", "socialName",
+        F.coalesce("images", F.array()).alias("images"), F.coalesce("questions", F.array()).alias("questions"))
+
+
 def legacy_posts_page(post: DataFrame, memberships: DataFrame, viewer: str, page: int = 1, limit: int = 10,
                       seed: str = P.DEFAULT_SEED) -> DataFrame:
     """Legacy paged listing: posts of the viewer's studies in random (hashed)

@@ -299,3 +299,20 @@ def _q_feed_progress(t, spark, sf):
     pairs = _resolved(t).filter(F.col("targetStudyId").isNotNull()).select(
         "userId", F.col("targetStudyId").alias("studyId"))
     return P.study_progress(pairs, t["study"], t["post"], t["classification"], t["question"])
+
+
+@register("history_payload", "WITH " + RESOLVED_CTE.strip() + "," + HISTORY_CTE.strip() + """
+SELECT h.userId, h.createdAtMax, p.id, p.pageName, p.pageLink, p.postLink, p.details, p.likesCount,
+       p.commentsCount, p.sharesCount, p.studyId, h.studyName, p.socialName,
+       CAST((SELECT COUNT(*) FROM ann_image i WHERE i.postId = p.id) AS BIGINT) AS nImages,
+       CAST((SELECT COUNT(*) FROM ann_question q WHERE q.studyId = p.studyId) AS BIGINT) AS nQuestions
+FROM Hist h JOIN Targets t ON t.userId = h.userId AND t.targetStudyId = h.studyId
+JOIN ann_post p ON p.id = h.postId
+WHERE t.refusal IS NULL AND t.includeClassified""")
+def _q_history_payload(t, spark, sf):
+    hist = P.history(t["classification"], t["post"], t["study"])
+    pay = FD.history_payload(_resolved(t), hist, t["post"], t["study"], t["image"], t["question"], t["categories"])
+    return pay.select("userId", "createdAtMax", "id", "pageName", "pageLink", "postLink", "details", "likesCount",
+                      "commentsCount", "sharesCount", "studyId", "studyName", "socialName",
+                      F.size("images").cast("bigint").alias("nImages"),
+                      F.size("questions").cast("bigint").alias("nQuestions"))
