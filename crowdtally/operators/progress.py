@@ -157,6 +157,23 @@ def resolve_requests(requests: DataFrame, user_study: DataFrame) -> DataFrame:
                     F.when(refusal.isNull(), F.coalesce("requestedStudyId", "defaultStudyId")).alias("targetStudyId"))
 
 
+def progress_requests(requests: DataFrame, user_study: DataFrame, study: DataFrame, post: DataFrame,
+                      classification: DataFrame, question: DataFrame) -> DataFrame:
+    """The progress route: requests(userId, requestedStudyId) -> refusal
+    ('missing_study' without a study, 'forbidden' for a non-member; there is no
+    default study here) or the progress row of the requested study."""
+    member = user_study.select("userId", F.col("studyId").alias("requestedStudyId"), F.lit(True).alias("_m"))
+    r = requests.select("userId", "requestedStudyId").join(member, ["userId", "requestedStudyId"], "left")
+    # Route parameters are strings: "0" is present (truthy), only a null is missing.
+    refusal = (F.when(F.col("requestedStudyId").isNull(), F.lit("missing_study"))
+               .when(F.col("_m").isNull(), F.lit("forbidden")))
+    r = r.select("userId", "requestedStudyId", refusal.alias("refusal"))
+    pairs = r.filter(F.col("refusal").isNull()).select("userId", F.col("requestedStudyId").alias("studyId"))
+    prog = study_progress(pairs, study, post, classification, question).withColumnRenamed("studyId",
+                                                                                          "requestedStudyId")
+    return r.join(prog, ["userId", "requestedStudyId"], "left")
+
+
 def _hash_order(seed: str, *cols: str) -> Column:
     return F.md5(F.concat_ws(":", F.lit(seed), *[F.col(c).cast("string") for c in cols]))
 

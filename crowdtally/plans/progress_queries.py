@@ -316,3 +316,32 @@ def _q_history_payload(t, spark, sf):
                       "commentsCount", "sharesCount", "studyId", "studyName", "socialName",
                       F.size("images").cast("bigint").alias("nImages"),
                       F.size("questions").cast("bigint").alias("nQuestions"))
+
+
+@register("progress_request", "WITH " + PROGRESS_CTE.strip().replace(
+    "FROM ann_user_study us JOIN",
+    "FROM (SELECT r.userId, r.requestedStudyId AS studyId FROM ann_feed_request r "
+    "WHERE r.requestedStudyId IS NOT NULL AND EXISTS (SELECT 1 FROM ann_user_study m "
+    "WHERE m.userId = r.userId AND m.studyId = r.requestedStudyId)) us JOIN") + """,
+R AS (
+  SELECT r.userId, r.requestedStudyId,
+         CASE WHEN r.requestedStudyId IS NULL THEN 'missing_study'
+              WHEN NOT EXISTS (SELECT 1 FROM ann_user_study m WHERE m.userId = r.userId
+                               AND m.studyId = r.requestedStudyId) THEN 'forbidden' END AS refusal
+  FROM ann_feed_request r)
+SELECT R.userId, R.requestedStudyId, R.refusal, p.studyName, CAST(p.totalPosts AS BIGINT) AS totalPosts,
+       CAST(p.completedPosts AS BIGINT) AS completedPosts, CAST(p.remainingPosts AS BIGINT) AS remainingPosts,
+       CAST(CASE WHEN p.maxC IS NOT NULL THEN GREATEST(0, LEAST(p.rawAvail, GREATEST(0, p.maxC - p.userDonePosts)))
+                 ELSE p.rawAvail END AS BIGINT) AS availablePostsForUser,
+       CAST(p.userDonePosts AS BIGINT) AS userDonePosts,
+       CASE WHEN p.userId IS NULL THEN NULL ELSE COALESCE(p.minC, 0) END AS minClassificationsPerPost,
+       p.maxC AS maxClassificationsPerUser,
+       CAST(CASE WHEN p.maxC IS NOT NULL THEN GREATEST(0, p.maxC - p.userDonePosts) END AS BIGINT) AS userRemainingLimit,
+       CAST(CASE WHEN p.userId IS NULL THEN NULL WHEN p.totalPosts > 0
+                 THEN ROUND(CAST(p.completedPosts AS DOUBLE) / p.totalPosts * 100) ELSE 0 END AS BIGINT)
+         AS completionPercentage
+FROM R LEFT JOIN Prog p ON p.userId = R.userId AND p.studyId = R.requestedStudyId""")
+def _q_progress_request(t, spark, sf):
+    """The progress route for every user's request (the feed request mapping)."""
+    return P.progress_requests(t["feed_request"], t["user_study"], t["study"], t["post"], t["classification"],
+                               t["question"])
