@@ -22,3 +22,27 @@ def test_timeline_row_example(spark):
     cls = spark.createDataFrame(rows, "userId bigint, createdAt timestamp_ntz")
     got = [tuple(r) for r in S.timeline(cls, user_id=7).collect()]
     assert got == [(7, "2026-02-20", 15), (7, "2026-02-21", 1)]
+
+
+def test_user_score_example(spark):
+    """validated 12.5, not_validated 7.5: 20 answered pairs, 12 right, one
+    half right (two categories ticked), 7 wrong."""
+    from crowdtally.operators import consensus as C
+
+    rows = []
+    for pair in range(20):
+        post, q = 100 + pair, 7
+        rows += [(u, post, q, 1) for u in (2, 3, 4)]          # the crowd agrees on category 1
+        if pair < 12:
+            rows.append((1, post, q, 1))
+        elif pair == 12:
+            rows += [(1, post, q, 1), (1, post, q, 2)]
+        else:
+            rows.append((1, post, q, 2))
+    cls = spark.createDataFrame(rows, "userId bigint, postId bigint, questionId bigint, categoryId bigint")
+    post = spark.createDataFrame([(100 + p, 1) for p in range(20)], "id bigint, studyId bigint")
+    study = spark.createDataFrame([(1, "s", 3, None, 50)], "id bigint, name string, minClassificationsPerPost int, "
+                                  "maxClassificationsPerUser int, validationAgreementPercent int")
+    user = spark.createDataFrame([(1, "ana")], "id bigint, username string")
+    v = C.validated_labels(cls, post, study)
+    assert [tuple(r) for r in C.stats_user(cls, user, v, "ana").collect()] == [(12.5, 7.5)]
