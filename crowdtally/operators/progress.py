@@ -99,10 +99,17 @@ def remaining_limit(max_col: Column, done_col: Column) -> Column:
 def study_progress(user_study: DataFrame, study: DataFrame, post: DataFrame, classification: DataFrame,
                    question: DataFrame) -> DataFrame:
     """The full progress row for every membership.  The post status is built
-    once and shared, so its exchanges are planned once and reused."""
-    status = post_status(post, study, classification)
-    comp = study_completion(study, post, classification, status)
-    raw = user_available_posts(user_study, study, post, classification, status)
+    once and shared, so its exchanges are planned once and reused.  Studies,
+    posts and answers are first cut to the studies of the given memberships
+    (semi joins), so one user's request does not count raters everywhere."""
+    wanted = user_study.select("studyId").distinct()
+    study = study.join(wanted.withColumnRenamed("studyId", "id"), "id", "left_semi")
+    post = post.join(wanted, "studyId", "left_semi")
+    answers = classification.join(post.select(F.col("id").alias("postId")), "postId", "left_semi")
+    status = post_status(post, study, answers)
+    comp = study_completion(study, post, answers, status)
+    raw = user_available_posts(user_study, study, post, answers, status)
+    # Done posts go through the question's study (not the post's): all answers.
     done = user_done_posts(classification, question)
     j = (raw.join(comp, "studyId").join(done, ["userId", "studyId"], "left")
          .withColumn("userDonePosts", F.coalesce("userDonePosts", F.lit(0)).cast("bigint")))
