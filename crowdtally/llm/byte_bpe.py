@@ -92,32 +92,35 @@ class ByteBpe:
         self.whole = {t: struct.pack("<I", r) for r, t in enumerate(tokens)}
         self.model = sentencepiece.SentencePieceProcessor(model_proto=bpe_model(tokens))
         back = {c: b for b, c in enumerate(chars)}
-        self.bytes_of = [bytes(back[c] for c in self.model.id_to_piece(i))
-                         for i in range(1, self.model.get_piece_size())]
-        self.split = regex.compile(pattern).findall
-        self.cache = PieceCache(self._compute)
-
-    def _compute(self, texts: list[str]) -> list[bytes]:
-        split = [self.split(t) for t in texts]
-        known, hard, mapped = {}, [], []
-        for p in set(itertools.chain.from_iterable(split)):
-            raw = p.encode()
-            if raw in self.whole:
-                known[p] = self.whole[raw]
-            else:
-                hard.append(p)
-                mapped.append(raw.decode("latin-1").translate(self.to_char))
-        if hard:
-            for p, ids in zip(hard, self.model.encode(mapped, out_type=int, num_threads=1)):
-                known[p] = (np.array(ids, "<u4") - np.uint32(1)).astype("<u4").tobytes()
-        return [b"".join([known[p] for p in s]) for s in split]
+        bytes_of = [bytes(back[c] for c in self.model.id_to_piece(i))
+                    for i in range(1, self.model.get_piece_size())]
+        self.all_bytes = np.frombuffer(b"".join(bytes_of), np.uint8)
+        self.n_bytes = np.array([len(b) for b in bytes_of], np.int64)
+        self.starts = np.cumsum(self.n_bytes) - self.n_bytes
+        self.cache = PieceCache(regex.compile(pattern).findall, self._encode)
+
+    def _encode(self, pretokens: list[str]) -> list[bytes]:
+        raw = [p.encode() for p in pretokens]
+        hard = [i for i, r in enumerate(raw) if r not in self.whole]
+        out = [self.whole.get(r) for r in raw]
+        mapped = [raw[i].decode("latin-1").translate(self.to_char) for i in hard]
+        for i, ids in zip(hard, self.model.encode(mapped, out_type=int, num_threads=1)):
+            out[i] = struct.pack(f"<{len(ids)}I", *[x - 1 for x in ids])
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian u32 bytes."""
         return self.cache.look_up(texts)
 
-    def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+    def decode(self, ids: bytes, part: int = 1 << 18) -> bytes:
+        """The bytes of the ids, gathered from the pieces' bytes a bounded part at a time."""
+        out, all_ids = [], np.frombuffer(ids, "<u4")
+        for at in range(0, len(all_ids), part):
+            own = all_ids[at:at + part]
+            n = self.n_bytes[own]
+            shift = self.starts[own] - (np.cumsum(n) - n)
+            out.append(self.all_bytes[np.repeat(shift, n) + np.arange(n.sum())].tobytes())
+        return b"".join(out)
 
 
 def codec(path: str, pattern: str) -> ByteBpe:

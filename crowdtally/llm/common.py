@@ -19,6 +19,8 @@ __all__ = ["read", "ship", "checkpointed", "shared_folder", "map_columns", "held
            "bounded_sample", "pieces", "PieceCache", "count_rows"]
 
 _SHIPPED = "_crowdtally_shipped"
+#: Rows of an Arrow batch: texts and id lists are long, so fewer than Spark's default.
+BATCH_ROWS = 1000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -27,8 +29,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Give executors this package (once per context), so tasks import it as a module."""
-    sc = spark.sparkContext
+    """Give executors this package (once per context), so tasks import it as a module,
+    and lower the Arrow batch size if it has its default."""
+    sc, rows = spark.sparkContext, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(rows) == "10000":
+        spark.conf.set(rows, str(BATCH_ROWS))
     if getattr(sc, _SHIPPED, False):
         return
     top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -108,8 +113,10 @@ def bounded_sample(df: DataFrame, key: str, bound: int) -> DataFrame:
     return df.where(F.pmod(F.xxhash64(F.col(key), F.lit(11)), F.lit(2**31)) < cut)
 
 
-_TOUCHING = re.compile(r" \s|\s ")
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
+#: White space other than the plain space: of ASCII, and all of it.
+_ASCII_SPACES = [chr(c) for c in range(128) if c != 32 and chr(c).isspace()]
+_SPACES = [chr(c) for c in range(0x3001) if c != 32 and chr(c).isspace()]
 
 
 def pieces(text: str) -> list[str]:
@@ -119,27 +126,70 @@ def pieces(text: str) -> list[str]:
     whole text as for its first piece followed by each later piece with one
     space before it.
     """
-    return _SAFE.split(text) if _TOUCHING.search(text) else text.split(" ")
+    if "  " in text or any(c in text and (c + " " in text or " " + c in text)
+                           for c in (_ASCII_SPACES if text.isascii() else _SPACES)):
+        return _SAFE.split(text)
+    return text.split(" ")
 
 
 class PieceCache:
-    """Piece -> value (bytes) with a bound on entries; misses are computed in batches."""
+    """Texts -> joined ids (bytes), through bounded caches of pieces and of pre-tokens.
 
-    def __init__(self, compute, limit: int = 400_000, slice_chars: int = 1_000_000):
-        self.compute, self.limit, self.slice_chars = compute, limit, slice_chars
-        self.first, self.later = {}, {}  # pieces at a text's start; pieces after a space
+    ``split`` cuts a string into pre-tokens, ``encode`` turns a list of pre-tokens
+    into their ids; ``whole`` tells pieces that ``encode`` must get uncut.
+    """
 
-    def _fill(self, known: dict, keys: set, prefix: str) -> None:
-        missing = [p for p in keys if p not in known]
+    def __init__(self, split, encode, whole=None, limit: int = 700_000,
+                 slice_chars: int = 1_000_000):
+        self.split, self.encode, self.whole = split, encode, whole
+        self.limit, self.slice_chars = limit, slice_chars
+        self.first, self.later, self.tokens = {}, {}, {}  # later: pieces that follow a space
+
+    def _tokens(self, wanted: set) -> dict:
+        known = self.tokens
+        missing = list(wanted.difference(known))
         if len(known) + len(missing) > self.limit:
             known.clear()
-            missing = list(keys)
+            missing = list(wanted)
         for at in range(0, len(missing), 20_000):
             part = missing[at:at + 20_000]
-            known.update(zip(part, self.compute([prefix + p for p in part])))
+            known.update(zip(part, self.encode(part)))
+        return known
+
+    def _compute(self, texts: list[str], joined: bool) -> list[bytes]:
+        if self.whole:
+            uncut = [t for t in texts if self.whole(t)]
+            if uncut:
+                done = dict(zip(uncut, self.encode(uncut)))
+                rest = iter(self._compute([t for t in texts if t not in done], joined))
+                return [done[t] if t in done else next(rest) for t in texts]
+        if not joined:
+            split = [self.split(t) for t in texts]
+            known = self._tokens({p for s in split for p in s})
+            return [b"".join([known[p] for p in s]) for s in split]
+        flat = self.split("".join(texts))  # each starts with its space: the cuts stay the same
+        known, out, at = self._tokens(set(flat)), [], 0
+        for t in texts:
+            n = len(t) - len(flat[at])
+            ids = known[flat[at]]
+            at += 1
+            while n:
+                n -= len(flat[at])
+                ids += known[flat[at]]
+                at += 1
+            out.append(ids)
+        return out
+
+    def _fill(self, known: dict, keys: set, prefix: str) -> None:
+        missing = keys.difference(known)
+        if len(known) + len(missing) > self.limit:
+            known.clear()
+            missing = keys
+        missing = list(missing)
+        known.update(zip(missing, self._compute([prefix + p for p in missing], bool(prefix))))
 
     def look_up(self, texts: list[str]) -> list[bytes]:
-        """The joined values of each text, worked through in slices of bounded size."""
+        """The joined ids of each text, worked through in slices of bounded size."""
         out, at = [], 0
         while at < len(texts):
             end, size = at, 0
@@ -147,12 +197,30 @@ class PieceCache:
                 size += len(texts[end]) + 1
                 end += 1
             split = [pieces(t) for t in texts[at:end]]
-            self._fill(self.first, {p[0] for p in split}, "")
-            later: set = set()
+            heads = [p[0] for p in split]
+            self._fill(self.first, set(heads), "")
             for p in split:
-                later.update(p[1:])
-            self._fill(self.later, later, " ")
-            get = self.later.__getitem__
-            out += [self.first[p[0]] + b"".join(map(get, p[1:])) for p in split]
+                p[0] = None  # stands for no ids
+            out += map(b"".join, self._values(split))
+            for i, h in enumerate(heads, at):
+                out[i] = self.first[h] + out[i]
             at = end
         return out
+
+    def _values(self, split: list[list]) -> list[list[bytes]]:
+        self.later[None] = b""
+        get, missing, holes = self.later.get, set(), []
+        values = [list(map(get, p)) for p in split]
+        for k, (p, v) in enumerate(zip(split, values)):
+            if None in v:
+                holes.append(k)
+                missing.update([x for x, ids in zip(p, v) if ids is None])
+        if missing:
+            if len(self.later) + len(missing) > self.limit:
+                self.later.clear()
+                missing = {x for k in holes for x in split[k][1:]}
+            self._fill(self.later, missing, " ")
+            self.later[None] = b""
+            for k in holes:
+                values[k] = list(map(get, split[k]))
+        return values

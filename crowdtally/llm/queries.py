@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, simhash, token_files
+from . import byte_bpe, decontaminate, simhash, token_files
 
 QUERIES = {
     "op5_token_files": token_files.query,
+    "op6_decontaminate": decontaminate.query,
     "op9_byte_bpe": byte_bpe.query,
     "op10_simhash": simhash.query,
 }

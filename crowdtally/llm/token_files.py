@@ -28,6 +28,8 @@ files and no rows; other columns are not looked at.
 from __future__ import annotations
 
 import math
+import os
+import re
 import struct
 import uuid
 import zlib
@@ -35,6 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 import xxhash
 import zstandard
 from pyarrow import fs as pafs
@@ -44,6 +47,8 @@ from pyspark.sql import types as T
 
 from .common import PieceCache, checkpointed, map_columns, per_task, read, shared_folder
 
+#: Fixed value: how the tokenizer's byte-level pre-tokenizer cuts texts.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 FRAME_TOKENS = 1 << 18
 DOCS_PER_FILE = 4096       # at least, while that gives no more than MANY_FILES files
 MANY_FILES = 2000
@@ -52,7 +57,7 @@ END_ID = 2
 TABLE_MAGIC, SKIP_MAGIC = 0x8F92EAB2, 0x184D2A5E
 ENTRY = struct.Struct("<IIIIqq")
 FOOTER = struct.Struct("<IBI")
-_CACHES: dict[str, PieceCache] = {}
+_CACHES: dict[tuple, PieceCache] = {}
 
 
 def default_vocabulary() -> str:
@@ -62,31 +67,41 @@ def default_vocabulary() -> str:
 
 # --- encoding ---------------------------------------------------------------
 
-def ids_cache(path: str) -> PieceCache:
+def id_width(path: str) -> int:
+    """Bytes that hold any id on the way to the files: 2 or 4."""
+    from tokenizers import Tokenizer
+    return 2 if Tokenizer.from_file(path).get_vocab_size() <= 1 << 16 else 4
+
+
+def ids_cache(path: str, width: int = 4) -> PieceCache:
     """Per worker process: the tokenizer behind a bounded cache of pieces."""
-    if path not in _CACHES:
-        import os
+    if (path, width) not in _CACHES:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         tok = Tokenizer.from_file(path)
         tok.encode_special_tokens = True  # a special token's string in a text is ordinary text
+        kind = {2: "H", 4: "I"}[width]
 
-        def compute(texts: list[str]) -> list[bytes]:
-            return [np.array(e.ids, "<u4").tobytes()
-                    for e in tok.encode_batch(texts, add_special_tokens=False)]
+        def encode(pretokens: list[str]) -> list[bytes]:
+            return [struct.pack(f"<{len(e)}{kind}", *e.ids)
+                    for e in tok.encode_batch(pretokens, add_special_tokens=False)]
 
-        _CACHES[path] = PieceCache(compute)
-    return _CACHES[path]
+        # The byte-level pre-tokenizer's pattern.  Where Unicode tables could differ,
+        # the tokenizer gets the piece uncut.
+        split = regex.compile(PATTERN).findall
+        rare = re.compile("[\u0250-\U0010ffff]").search
+        _CACHES[path, width] = PieceCache(split, encode, rare)
+    return _CACHES[path, width]
 
 
 def encode_ids(docs: DataFrame, vocabulary: str, text: str = "text", end_id: int = END_ID,
-               keep: list[str] | None = None) -> DataFrame:
-    """Append ``ids``: the whole text's ids and the end id, as little-endian u32 bytes."""
-    tail = struct.pack("<I", end_id)
+               keep: list[str] | None = None, width: int = 4) -> DataFrame:
+    """Append ``ids``: the whole text's ids and the end id, as little-endian unsigned bytes."""
+    tail = end_id.to_bytes(width, "little")
 
     @per_task
     def start():
-        cache = ids_cache(vocabulary)
+        cache = ids_cache(vocabulary, width)
         return lambda texts: [[b + tail for b in cache.look_up([t or "" for t in texts])]]
 
     return map_columns(docs, {"text": F.col(text)}, start,
@@ -209,9 +224,10 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int
     spark = docs.sparkSession
     bounds = np.array(file_bounds(docs.select("doc_id"), docs_per_file), dtype=np.int64)
     at = spark.sparkContext.broadcast(bounds)  # one id per file
+    width = id_width(vocabulary)
 
     ids = encode_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"),
-                     vocabulary, end_id=end_id, keep=["doc_id"])
+                     vocabulary, end_id=end_id, keep=["doc_id"], width=width)
     placed = map_columns(ids, {"doc_id": F.col("doc_id")}, lambda ids: [
         [0 if x is None else int(np.searchsorted(at.value, x, side="left")) for x in ids]],
         [T.StructField("file", T.LongType())])
@@ -247,7 +263,7 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int
                     now, tmp = file, f"{root}/.part-{file:08d}-{uuid.uuid4().hex}"
                     out = fs.open_output_stream(tmp)
                     writer = FrameWriter(out, frame_tokens)
-                writer.add(doc_id, ids.as_py())
+                writer.add(doc_id, np.frombuffer(ids.as_py(), f"<u{width}").astype("<u4").tobytes())
             if done:
                 yield table(done)
         if writer:
