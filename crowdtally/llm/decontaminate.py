@@ -224,11 +224,12 @@ MATCH = [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongTy
 
 def match_benchmark(docs: DataFrame, benchmark: DataFrame, text: str = "text",
                     window: int = WINDOW, block_words: int = BLOCK_WORDS,
-                    keep: list[str] | None = None) -> DataFrame:
+                    keep: list[str] | None = None, prefix: str = "") -> DataFrame:
     """Append n_words, n_hit, hit_spans ([start, end) in words, merged) and items
-    (sorted as strings) to the documents."""
+    (sorted as strings) to the documents; ``prefix`` goes before these names."""
     spark, out, first = docs.sparkSession, None, True
     keep = docs.columns if keep is None else keep
+    fields = [T.StructField(prefix + f.name, f.dataType) for f in MATCH]
     for block in item_blocks(benchmark, block_words):
         sent = spark.sparkContext.broadcast(block)  # at most block_words words
 
@@ -254,13 +255,13 @@ def match_benchmark(docs: DataFrame, benchmark: DataFrame, text: str = "text",
             out = checkpointed(out)
         src = docs if first else out
         needs = {"text": F.col(text),
-                 "spans": F.lit(None).cast(MATCH[2].dataType) if first else F.col("hit_spans"),
-                 "items": F.lit(None).cast(MATCH[3].dataType) if first else F.col("items")}
+                 "spans": F.lit(None).cast(MATCH[2].dataType) if first else F.col(fields[2].name),
+                 "items": F.lit(None).cast(MATCH[3].dataType) if first else F.col(fields[3].name)}
         carried = dict.fromkeys([*keep, text])
-        out = map_columns(src, needs, per_task(start), MATCH, list(carried))
+        out = map_columns(src, needs, per_task(start), fields, list(carried))
         first = False
-    return out.select(*[F.col(f"`{c}`") for c in keep if c not in {f.name for f in MATCH}],
-                      *[f.name for f in MATCH])
+    new = [f.name for f in fields]
+    return out.select(*[F.col(f"`{c}`") for c in keep if c not in new], *new)
 
 
 _AUTOMATA: dict[str, Automaton] = {}
@@ -274,8 +275,9 @@ def _automaton(sent, name: str, window: int) -> Automaton:
     return _AUTOMATA[name]
 
 
-def contaminated(coverage: int = COVERAGE):
-    return (F.col("n_hit") > 0) & (F.col("n_hit") * coverage >= F.col("n_words"))
+def contaminated(coverage: int = COVERAGE, prefix: str = ""):
+    hit, words = F.col(prefix + "n_hit"), F.col(prefix + "n_words")
+    return (hit > 0) & (hit * coverage >= words)
 
 
 def cut_spans(text: str, spans: list) -> str:
@@ -300,13 +302,13 @@ def cut_spans(text: str, spans: list) -> str:
 def remove_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text",
                          window: int = WINDOW, coverage: int = COVERAGE) -> DataFrame:
     """Documents that are not contaminated, with hit spans cut out of their texts."""
-    rows = match_benchmark(docs, benchmark, text, window)
-    left = rows.where(~contaminated(coverage))
+    rows = match_benchmark(docs, benchmark, text, window, prefix="__match_")
+    left = rows.where(~contaminated(coverage, "__match_"))
 
     def cut(texts, spans):
         return [[t if not s else cut_spans(t, s) for t, s in zip(texts, spans)]]
 
-    out = map_columns(left, {"text": F.col(text), "spans": F.col("hit_spans")}, cut,
+    out = map_columns(left, {"text": F.col(text), "spans": F.col("__match_hit_spans")}, cut,
                       [T.StructField(text, T.StringType())])
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 

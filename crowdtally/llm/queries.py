@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, decontaminate, simhash, token_files
+from . import byte_bpe, decontaminate, shard, simhash, token_files
 
 QUERIES = {
+    "op4_shard": shard.query,
     "op5_token_files": token_files.query,
     "op6_decontaminate": decontaminate.query,
     "op9_byte_bpe": byte_bpe.query,
