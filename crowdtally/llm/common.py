@@ -133,60 +133,64 @@ def pieces(text: str) -> list[str]:
 
 
 class PieceCache:
-    """Texts -> joined ids (bytes), through bounded caches of pieces and of pre-tokens.
+    """Texts -> joined ids (bytes), through bounded caches.
 
     ``split`` cuts a string into pre-tokens, ``encode`` turns a list of pre-tokens
-    into their ids; ``whole`` tells pieces that ``encode`` must get uncut.
+    into their ids; pieces that ``whole`` tells go to ``encode_whole`` uncut.
     """
 
-    def __init__(self, split, encode, whole=None, limit: int = 700_000,
-                 slice_chars: int = 1_000_000):
-        self.split, self.encode, self.whole = split, encode, whole
-        self.limit, self.slice_chars = limit, slice_chars
-        self.first, self.later, self.tokens = {}, {}, {}  # later: pieces that follow a space
-
-    def _tokens(self, wanted: set) -> dict:
-        known = self.tokens
-        missing = list(wanted.difference(known))
-        if len(known) + len(missing) > self.limit:
-            known.clear()
-            missing = list(wanted)
-        for at in range(0, len(missing), 20_000):
-            part = missing[at:at + 20_000]
-            known.update(zip(part, self.encode(part)))
-        return known
-
-    def _compute(self, texts: list[str], joined: bool) -> list[bytes]:
+    def __init__(self, split, encode, whole=None, encode_whole=None, limit: int = 1_000_000,
+                 limit_chars: int = 20_000_000, slice_chars: int = 1_000_000):
+        self.split, self.encode = split, encode
+        self.whole, self.encode_whole = whole, encode_whole
+        self.limit, self.limit_chars, self.slice_chars = limit, limit_chars, slice_chars
+        self.later: dict = {None: b""}  # by piece: its ids where a space comes before
+        self.inner: dict = {}           # by pre-token: its ids
+        self.chars = 0
+
+    def _drop_if_full(self) -> None:
+        if len(self.later) + len(self.inner) > self.limit or self.chars > self.limit_chars:
+            self.later, self.inner, self.chars = {None: b""}, {}, 0
+
+    def _fill(self, missing: list) -> None:
+        """Ids of different pieces that follow a space."""
+        later, inner, split = self.later, self.inner, self.split
+        words, cut = [], []
+        for p in missing:
+            (words if p.isalpha() else cut).append(p)
         if self.whole:
-            uncut = [t for t in texts if self.whole(t)]
+            uncut = [p for p in missing if not p.isascii() and self.whole(p)]
             if uncut:
-                done = dict(zip(uncut, self.encode(uncut)))
-                rest = iter(self._compute([t for t in texts if t not in done], joined))
-                return [done[t] if t in done else next(rest) for t in texts]
-        if not joined:
-            split = [self.split(t) for t in texts]
-            known = self._tokens({p for s in split for p in s})
-            return [b"".join([known[p] for p in s]) for s in split]
-        flat = self.split("".join(texts))  # each starts with its space: the cuts stay the same
-        known, out, at = self._tokens(set(flat)), [], 0
-        for t in texts:
-            n = len(t) - len(flat[at])
-            ids = known[flat[at]]
-            at += 1
-            while n:
-                n -= len(flat[at])
-                ids += known[flat[at]]
-                at += 1
-            out.append(ids)
-        return out
-
-    def _fill(self, known: dict, keys: set, prefix: str) -> None:
-        missing = keys.difference(known)
-        if len(known) + len(missing) > self.limit:
-            known.clear()
-            missing = keys
-        missing = list(missing)
-        known.update(zip(missing, self._compute([prefix + p for p in missing], bool(prefix))))
+                later.update(zip(uncut, self.encode_whole([" " + p for p in uncut])))
+                words = [p for p in words if p not in later]
+                cut = [p for p in cut if p not in later]
+        later.update(zip(words, self.encode([" " + p for p in words])))
+        if cut:
+            parts = [split(" " + p) for p in cut]
+            firsts = [p for p in dict.fromkeys([x[0][1:] for x in parts]) if p not in later]
+            later.update(zip(firsts, self.encode([" " + p for p in firsts])))
+            self._learn_inner([x[1:] for x in parts])
+            for p, x in zip(cut, parts):
+                if len(x) > 1:
+                    later[p] = later[x[0][1:]] + b"".join([inner[y] for y in x[1:]])
+        self.chars += sum(map(len, missing))
+
+    def _learn_inner(self, many: list[list[str]]) -> None:
+        new = [x for x in {x for parts in many for x in parts} if x not in self.inner]
+        self.inner.update(zip(new, self.encode(new)))
+        self.chars += sum(map(len, new))
+
+    def _heads(self, heads: list[str]) -> list[bytes]:
+        """Ids of pieces at a text's start."""
+        done, rest = {}, set(heads)
+        if self.whole:
+            uncut = [h for h in rest if self.whole(h)]
+            done = dict(zip(uncut, self.encode_whole(uncut)))
+            rest.difference_update(uncut)
+        cut = {h: self.split(h) for h in rest}
+        self._learn_inner(list(cut.values()))
+        done.update((h, b"".join([self.inner[x] for x in parts])) for h, parts in cut.items())
+        return [done[h] for h in heads]
 
     def look_up(self, texts: list[str]) -> list[bytes]:
         """The joined ids of each text, worked through in slices of bounded size."""
@@ -196,31 +200,25 @@ class PieceCache:
             while end < len(texts) and (size == 0 or size + len(texts[end]) <= self.slice_chars):
                 size += len(texts[end]) + 1
                 end += 1
-            split = [pieces(t) for t in texts[at:end]]
-            heads = [p[0] for p in split]
-            self._fill(self.first, set(heads), "")
-            for p in split:
+            self._drop_if_full()
+            flat, heads, ends = [], [], [0]
+            for t in texts[at:end]:
+                p = pieces(t)
+                heads.append(p[0])
                 p[0] = None  # stands for no ids
-            out += map(b"".join, self._values(split))
-            for i, h in enumerate(heads, at):
-                out[i] = self.first[h] + out[i]
+                flat += p
+                ends.append(len(flat))
+            ids = list(map(self.later.get, flat))
+            holes, hole = [], -1
+            for _ in range(ids.count(None)):
+                hole = ids.index(None, hole + 1)
+                holes.append(hole)
+            if holes:
+                self._fill(list(dict.fromkeys([flat[i] for i in holes])))
+                for i in holes:
+                    ids[i] = self.later[flat[i]]
+            for head, a, b in zip(self._heads(heads), ends, ends[1:]):
+                ids[a] = head
+                out.append(b"".join(ids[a:b]))
             at = end
         return out
-
-    def _values(self, split: list[list]) -> list[list[bytes]]:
-        self.later[None] = b""
-        get, missing, holes = self.later.get, set(), []
-        values = [list(map(get, p)) for p in split]
-        for k, (p, v) in enumerate(zip(split, values)):
-            if None in v:
-                holes.append(k)
-                missing.update([x for x, ids in zip(p, v) if ids is None])
-        if missing:
-            if len(self.later) + len(missing) > self.limit:
-                self.later.clear()
-                missing = {x for k in holes for x in split[k][1:]}
-            self._fill(self.later, missing, " ")
-            self.later[None] = b""
-            for k in holes:
-                values[k] = list(map(get, split[k]))
-        return values

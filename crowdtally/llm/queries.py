@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, decontaminate, shard, simhash, token_files
+from . import byte_bpe, decontaminate, language, shard, simhash, token_files, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.query,
     "op4_shard": shard.query,
     "op5_token_files": token_files.query,
     "op6_decontaminate": decontaminate.query,
+    "op7_language": language.query,
     "op9_byte_bpe": byte_bpe.query,
     "op10_simhash": simhash.query,
 }

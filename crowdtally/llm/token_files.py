@@ -45,6 +45,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .byte_bpe import byte_characters
 from .common import PieceCache, checkpointed, map_columns, per_task, read, shared_folder
 
 #: Fixed value: how the tokenizer's byte-level pre-tokenizer cuts texts.
@@ -82,15 +83,30 @@ def ids_cache(path: str, width: int = 4) -> PieceCache:
         tok.encode_special_tokens = True  # a special token's string in a text is ordinary text
         kind = {2: "H", 4: "I"}[width]
 
+        packers = [struct.Struct(f"<{n}{kind}").pack for n in range(64)]
+
+        def pack(ids: list[int]) -> bytes:
+            n = len(ids)
+            return packers[n](*ids) if n < 64 else struct.pack(f"<{n}{kind}", *ids)
+
+        def mapped(p: str) -> str:
+            if p.isascii() and p.isprintable():
+                return p.replace(" ", chars[32])
+            return p.encode().decode("latin-1").translate(chars)
+
         def encode(pretokens: list[str]) -> list[bytes]:
-            return [struct.pack(f"<{len(e)}{kind}", *e.ids)
-                    for e in tok.encode_batch(pretokens, add_special_tokens=False)]
+            return [pack([t.id for t in merge(mapped(p))]) for p in pretokens]
+
+        def encode_whole(texts: list[str]) -> list[bytes]:
+            return [pack(e.ids) for e in tok.encode_batch(texts, add_special_tokens=False)]
 
-        # The byte-level pre-tokenizer's pattern.  Where Unicode tables could differ,
-        # the tokenizer gets the piece uncut.
-        split = regex.compile(PATTERN).findall
+        # Pieces are cut by the byte-level pre-tokenizer's pattern, mapped as it does and
+        # given to the tokenizer's model.  Where Unicode tables could differ, the whole
+        # tokenizer gets the piece uncut.
+        merge, chars = tok.model.tokenize, dict(enumerate(byte_characters()))
         rare = re.compile("[\u0250-\U0010ffff]").search
-        _CACHES[path, width] = PieceCache(split, encode, rare)
+        _CACHES[path, width] = PieceCache(regex.compile(PATTERN).findall, encode, rare,
+                                          encode_whole)
     return _CACHES[path, width]
 
 
