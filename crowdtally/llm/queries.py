@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, decontaminate, language, shard, simhash, token_files, toxicity
+from . import byte_bpe, decontaminate, language, neighbours, pii, shard, simhash, token_files, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
+    "op3_neighbours": neighbours.query,
     "op4_shard": shard.query,
     "op5_token_files": token_files.query,
     "op6_decontaminate": decontaminate.query,
     "op7_language": language.query,
+    "op8_pii": pii.query,
     "op9_byte_bpe": byte_bpe.query,
     "op10_simhash": simhash.query,
 }
