@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, decontaminate, language, neighbours, pii, shard, simhash, token_files, toxicity
+from . import byte_bpe, decontaminate, language, neighbours, pii, shard, simhash, token_counts, token_files, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
+    "op2_token_counts": token_counts.query,
     "op3_neighbours": neighbours.query,
     "op4_shard": shard.query,
     "op5_token_files": token_files.query,

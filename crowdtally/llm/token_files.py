@@ -110,20 +110,6 @@ def ids_cache(path: str, width: int = 4) -> PieceCache:
     return _CACHES[path, width]
 
 
-def encode_ids(docs: DataFrame, vocabulary: str, text: str = "text", end_id: int = END_ID,
-               keep: list[str] | None = None, width: int = 4) -> DataFrame:
-    """Append ``ids``: the whole text's ids and the end id, as little-endian unsigned bytes."""
-    tail = end_id.to_bytes(width, "little")
-
-    @per_task
-    def start():
-        cache = ids_cache(vocabulary, width)
-        return lambda texts: [[b + tail for b in cache.look_up([t or "" for t in texts])]]
-
-    return map_columns(docs, {"text": F.col(text)}, start,
-                       [T.StructField("ids", T.BinaryType())], keep)
-
-
 # --- one file ---------------------------------------------------------------
 
 class FrameWriter:
@@ -131,7 +117,7 @@ class FrameWriter:
 
     def __init__(self, out, frame_tokens: int = FRAME_TOKENS):
         self.out, self.limit = out, frame_tokens
-        self.zip = zstandard.ZstdCompressor(level=3, write_checksum=True)
+        self.zip = zstandard.ZstdCompressor(level=1, write_checksum=True)
         self.entries: list[bytes] = []
         self.ids: list[int | None] = []
         self.parts: list[bytes] = []
@@ -242,11 +228,23 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int
     at = spark.sparkContext.broadcast(bounds)  # one id per file
     width = id_width(vocabulary)
 
-    ids = encode_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"),
-                     vocabulary, end_id=end_id, keep=["doc_id"], width=width)
-    placed = map_columns(ids, {"doc_id": F.col("doc_id")}, lambda ids: [
-        [0 if x is None else int(np.searchsorted(at.value, x, side="left")) for x in ids]],
-        [T.StructField("file", T.LongType())])
+    tail = end_id.to_bytes(width, "little")
+
+    @per_task
+    def encode():
+        cache = ids_cache(vocabulary, width)
+
+        def run(ids, texts):
+            files = [0 if x is None else int(np.searchsorted(at.value, x, side="left"))
+                     for x in ids]
+            return [[b + tail for b in cache.look_up([t or "" for t in texts])], files]
+
+        return run
+
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    placed = map_columns(slim, {"doc_id": F.col("doc_id"), "text": F.col("text")}, encode,
+                         [T.StructField("ids", T.BinaryType()), T.StructField("file", T.LongType())],
+                         ["doc_id"])
     fs, root = pafs.FileSystem.from_uri(folder)
     fs.create_dir(root, recursive=True)
 
