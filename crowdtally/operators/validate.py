@@ -3,15 +3,20 @@
 Each import takes a DataFrame of candidates with a ``batchOrder`` column and
 returns every candidate with ``reason`` (null = accepted) and, where the
 handler normalises values, the normalised columns.  Rules are checked in the
-handler's order; duplicates *inside* a batch are resolved after all other
-checks, the first candidate (by batchOrder) of a key winning, as sequential
-requests would.  First-wins is computed with a ``min`` aggregate per key and a
-join back, so a hot key is combined map-side instead of sorted in one task.
+handler's order; duplicates *inside* a batch of new rows are resolved after all
+other checks, the first candidate (by batchOrder) of a key winning.  In a batch of
+updates a candidate conflicts when the first valid candidate of its key is for
+another row; a row may be updated again under the same key.  With two keys
+(username, email) the rule holds for each key on its own: a candidate that passed
+the table checks claims both of its keys, even if one of them is refused.
+First-wins is computed with an aggregate per key and a join back, so a hot key is
+combined map-side instead of sorted in one task.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import normalized_key, slug, type_valid
@@ -58,13 +63,27 @@ def taken_by_other(cands: DataFrame, existing: DataFrame, keys: list[str], self_
     return j.withColumn("_taken", other).drop("_n", "_lo", "_hi")
 
 
-def first_wins(df: DataFrame, keys: list[str], reason_col: str = "reason") -> DataFrame:
-    """Mark later candidates of a key as duplicates among rows whose reason is null."""
+def first_wins(df: DataFrame, *key_sets: list[str], reason_col: str = "reason",
+               self_id: str | None = None) -> DataFrame:
+    """Mark conflicts inside a batch among rows whose reason is null: with a later
+    row of a key, or (``self_id``, an update) a row of another id than the first's."""
     ok = df.filter(F.col(reason_col).isNull())
-    firsts = ok.groupBy(*keys).agg(F.min(ORDER).alias("_first"))
-    j = df.join(firsts, keys, "left")
-    dup = F.col(reason_col).isNull() & (F.col(ORDER) != F.col("_first"))
-    return j.withColumn(reason_col, F.when(dup, F.lit(DUPLICATE)).otherwise(F.col(reason_col))).drop("_first")
+    conflict = F.lit(False)
+    j = df
+    for n, keys in enumerate(key_sets):
+        first = f"_first{n}"
+        pick = F.min(ORDER) if self_id is None else F.min_by(self_id, ORDER)
+        j = j.join(ok.groupBy(*keys).agg(pick.alias(first)), keys, "left")
+        conflict = conflict | F.coalesce(F.col(self_id or ORDER) != F.col(first), F.lit(False))
+    dup = F.col(reason_col).isNull() & conflict
+    return (j.withColumn(reason_col, F.when(dup, F.lit(DUPLICATE)).otherwise(F.col(reason_col)))
+            .drop(*[f"_first{n}" for n in range(len(key_sets))]))
+
+
+def known_ids(cands: DataFrame, existing: DataFrame) -> DataFrame:
+    """``cands`` + boolean ``_known``: the id is one of the existing rows'."""
+    ids = existing.select("id").distinct().withColumn("_known", F.lit(True))
+    return cands.join(ids, "id", "left").withColumn("_known", F.coalesce("_known", F.lit(False)))
 
 
 def category_import(cands: DataFrame, categories: DataFrame, question: DataFrame,
@@ -74,45 +93,61 @@ def category_import(cands: DataFrame, categories: DataFrame, question: DataFrame
 
     Name uniqueness is per study (via the question), or over all studies in
     the legacy rule.  With an ``id`` column the batch is an update: the row's
-    own current name does not count as taken."""
+    own current name does not count as taken, and the id must exist (checked
+    last, as the handler learns it from the write)."""
+    update = "id" in cands.columns
     q = question.select(F.col("id").alias("questionId"), "studyId", F.lit(True).alias("_q"))
     existing = categories.join(question.select(F.col("id").alias("questionId"), "studyId"), "questionId") \
         .select("id", "name", "studyId")
     c = cands.withColumn("normalizedType", slug("categoryType")).join(q, "questionId", "left")
     keys = ["name"] if legacy_global_names else ["name", "studyId"]
-    c = taken_by_other(c, existing, keys, "id" if "id" in cands.columns else None)
+    c = taken_by_other(c, existing, keys, "id" if update else None)
     reason = (F.when(js_missing(c, "name") | js_missing(c, "categoryType") | js_missing(c, "questionId"),
                      F.lit(MISSING))
               .when((F.col("normalizedType") == "") | ~type_valid("normalizedType"), F.lit(BAD_TYPE))
               .when(F.col("_q").isNull(), F.lit(UNKNOWN_QUESTION))
               .when(F.col("_taken"), F.lit(NAME_TAKEN)))
-    c = c.withColumn("reason", reason).drop("_q", "_taken")
-    return first_wins(c, keys)
+    if update:
+        c = known_ids(c, categories)
+        reason = reason.when(~F.col("_known"), F.lit(NOT_FOUND))
+    c = c.withColumn("reason", reason).drop("_q", "_taken", "_known")
+    return first_wins(c, keys, self_id="id" if update else None)
 
 
 def question_import(cands: DataFrame, question: DataFrame) -> DataFrame:
     """cands(batchOrder, question, content, inputType, studyId[, id]) -> + reason;
     duplicates by LOWER(TRIM(question)) inside the study; an ``id`` column makes
-    it an update that ignores the row itself."""
+    it an update that ignores the row itself and needs a known id."""
+    update = "id" in cands.columns
     existing = question.select("id", "studyId", normalized_key("question").alias("_k"))
     c = cands.withColumn("_k", normalized_key("question"))
-    c = taken_by_other(c, existing, ["studyId", "_k"], "id" if "id" in cands.columns else None)
+    c = taken_by_other(c, existing, ["studyId", "_k"], "id" if update else None)
     miss = js_missing(c, "question") | js_missing(c, "content") | js_missing(c, "inputType") \
         | js_missing(c, "studyId")
     reason = F.when(miss, F.lit(MISSING)).when(F.col("_taken"), F.lit(NAME_TAKEN))
-    c = c.withColumn("reason", reason).drop("_taken")
-    return first_wins(c, ["studyId", "_k"]).drop("_k")
+    if update:
+        c = known_ids(c, question)
+        reason = reason.when(~F.col("_known"), F.lit(NOT_FOUND))
+    c = c.withColumn("reason", reason).drop("_taken", "_known")
+    return first_wins(c, ["studyId", "_k"], self_id="id" if update else None).drop("_k")
 
 
 def study_import(cands: DataFrame, study: DataFrame) -> DataFrame:
-    """cands(batchOrder, name, addedBy[, id], ...) -> + reason; study names are
-    global; an ``id`` column makes it an update that ignores the row itself."""
-    c = taken_by_other(cands, study.select("id", "name"), ["name"], "id" if "id" in cands.columns else None)
+    """New studies: cands(batchOrder, name, addedBy, ...) -> + reason; names are global."""
+    c = taken_by_other(cands, study.select("id", "name"), ["name"])
     reason = (F.when(js_missing(c, "name") | js_missing(c, "addedBy"), F.lit(MISSING))
               .when(F.col("_taken"), F.lit(NAME_TAKEN)))
     return first_wins(c.withColumn("reason", reason).drop("_taken"), ["name"])
 
 
+def study_update(cands: DataFrame, study: DataFrame) -> DataFrame:
+    """Changed studies: cands(batchOrder, id, name, ...) -> + reason.  Only the name is
+    checked, against other studies; an unknown id is no error (nothing is written)."""
+    c = taken_by_other(cands, study.select("id", "name"), ["name"], "id")
+    reason = F.when(F.col("_taken"), F.lit(NAME_TAKEN))
+    return first_wins(c.withColumn("reason", reason).drop("_taken"), ["name"], self_id="id")
+
+
 def study_clean(updates: DataFrame) -> DataFrame:
     """'' -> null for the three limits; blank finishedAt -> null."""
     out = updates
@@ -141,14 +176,9 @@ def user_import(cands: DataFrame, user: DataFrame, default_created_by: str = "ad
         | js_missing(c, "type")
     reason = F.when(miss, F.lit(MISSING)).when(F.col("_un").isNotNull() | F.col("_em").isNotNull(), F.lit(USER_TAKEN))
     c = c.withColumn("reason", reason).drop("_un", "_em")
-    ok = c.filter(F.col("reason").isNull())
-    f1 = ok.groupBy("username").agg(F.min(ORDER).alias("_f1"))
-    f2 = ok.groupBy("email").agg(F.min(ORDER).alias("_f2"))
-    j = c.join(f1, "username", "left").join(f2, "email", "left")
-    dup = F.col("reason").isNull() & ((F.col(ORDER) != F.col("_f1")) | (F.col(ORDER) != F.col("_f2")))
     created_by = F.coalesce(F.when(~js_missing(c, "createdBy"), F.col("createdBy")), F.lit(default_created_by))
-    return (j.withColumn("reason", F.when(dup, F.lit(DUPLICATE)).otherwise(F.col("reason")))
-            .withColumn("createdBy", created_by).drop("_f1", "_f2", "password"))
+    return (first_wins(c, ["username"], ["email"])
+            .withColumn("createdBy", created_by).drop("password"))
 
 
 def membership_import(cands: DataFrame, user_study: DataFrame, keys: tuple[str, str] = ("userId", "studyId"),
@@ -174,70 +204,107 @@ def user_rename(cands: DataFrame, user: DataFrame) -> DataFrame:
     c = taken_by_other(c, u, ["email"], "id").withColumnRenamed("_taken", "_t2")
     reason = F.when(F.col("_t1") | F.col("_t2"), F.lit(USER_TAKEN))
     c = c.withColumn("reason", reason).drop("_t1", "_t2")
-    ok = c.filter(F.col("reason").isNull())
-    f1 = ok.groupBy("username").agg(F.min(ORDER).alias("_f1"))
-    f2 = ok.groupBy("email").agg(F.min(ORDER).alias("_f2"))
-    j = c.join(f1, "username", "left").join(f2, "email", "left")
-    dup = F.col("reason").isNull() & ((F.col(ORDER) != F.col("_f1")) | (F.col(ORDER) != F.col("_f2")))
-    return j.withColumn("reason", F.when(dup, F.lit(DUPLICATE)).otherwise(F.col("reason"))).drop("_f1", "_f2")
+    return first_wins(c, ["username"], ["email"], self_id="id")
+
+
+#: Changes are ordered within blocks of this many batchOrder values, then over blocks,
+#: so that one key's changes never have to be sorted by one task.
+CHANGE_BLOCK = 1_000_000
+
+
+def set_always(updates: DataFrame, columns: list[str], clear: str = "clear") -> DataFrame:
+    """Mark the null ones of ``columns`` as explicit nulls (an unconditional SET)."""
+    names = F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in columns])
+    return updates.withColumn(clear, F.array_compact(names))
 
 
-def apply_changes(old: DataFrame, changes: DataFrame, key: str | list[str] = "id") -> tuple[DataFrame, DataFrame]:
-    """Apply a batch of changes to a snapshot table.
+def apply_changes(old: DataFrame, changes: DataFrame, key: str | list[str] = "id",
+                  clear: str = "clear") -> tuple[DataFrame, DataFrame]:
+    """Apply a batch of changes to a snapshot table, each key's in batchOrder.
 
     changes(batchOrder, op in 'insert'/'update'/'delete', key column(s), any
-    subset of the table's other columns); a null or absent column of an update
-    keeps the old value.  The key may be composite (a membership is keyed by
-    user and study).  The first change of a key wins; later ones are
-    'duplicate_in_batch'.  Returns (new snapshot, per-change status) from one
-    full outer join - no MERGE is needed on plain parquet; the caller writes the
-    snapshot as a new version.
+    subset of the table's other columns[, ``clear``: array of column names]).
+    A null or absent column of an update keeps the value the row has by then,
+    unless the update names it in ``clear``: then it becomes null.  Every change
+    is applied: a row may be updated twice, or deleted and inserted again (a new
+    life, in which columns the insert doesn't give are null).  The key may be
+    composite.  Returns (new snapshot, per-change status: updated, deleted,
+    inserted, id_exists or not_found).
+
+    No change has to see the others' values: whether a row exists before a change
+    follows from the last insert or delete before it, and a column's final value
+    is that of the last change that sets it in the row's last life.  Both are
+    aggregates with map-side combination.
     """
     keys = [key] if isinstance(key, str) else list(key)
     cols = [c for c in old.columns if c not in keys]
-    first = changes.groupBy(*keys).agg(F.min(ORDER).alias("_first"))
-    ch = changes.join(first, keys)
-    dup = ch.filter(F.col(ORDER) != F.col("_first")).select(ORDER, "op", *keys, F.lit(DUPLICATE).alias("status"))
-    eff = ch.filter(F.col(ORDER) == F.col("_first")).drop("_first")
-    ch_cols = {c: F.col(f"c_{c}") for c in cols if c in eff.columns}
-    eff = eff.select(ORDER, "op", *keys, *[F.col(c).alias(f"c_{c}") for c in ch_cols])
-    o = old.withColumn("_old", F.lit(True))
-    j = o.join(eff, keys, "full_outer")
-    exists, op = F.col("_old").isNotNull(), F.col("op")
-    status = (F.when(op.isNull(), F.lit(None))
-              .when(op == "update", F.when(exists, F.lit("updated")).otherwise(F.lit(NOT_FOUND)))
-              .when(op == "delete", F.when(exists, F.lit("deleted")).otherwise(F.lit(NOT_FOUND)))
-              .when(op == "insert", F.when(exists, F.lit(CONFLICT)).otherwise(F.lit("inserted"))))
-    j = j.withColumn("status", status)
-    keep = ((exists & ((op.isNull()) | (op != "delete"))) | (F.col("status") == "inserted"))
+    given = [c for c in cols if c in changes.columns]
+    ch = changes if clear in changes.columns else changes.withColumn(
+        clear, F.lit(None).cast("array<string>"))
+    ch = ch.withColumn("_block", F.floor(F.col(ORDER) / CHANGE_BLOCK))
+    switch = F.when(F.col("op").isin("insert", "delete"), F.col("op"))
+    same = W.partitionBy(*keys, "_block").orderBy(ORDER).rowsBetween(W.unboundedPreceding, -1)
+    inside = ch.withColumn("_in", F.last(switch, ignorenulls=True).over(same))
+    over = W.partitionBy(*keys).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    blocks = (ch.groupBy(*keys, "_block").agg(F.max_by(switch, F.when(switch.isNotNull(), F.col(ORDER)))
+                                              .alias("_last"))
+              .withColumn("_over", F.last("_last", ignorenulls=True).over(over))
+              .select(*[F.col(k).alias(f"_b_{k}") for k in keys], F.col("_block").alias("_b"), "_over"))
+    on = F.col("_block") == F.col("_b")
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_b_{k}"))
+    known = old.select(*keys).distinct().withColumn("_old", F.lit(True))
+    seen = inside.join(blocks, on).join(known, keys, "left")
+    before = F.coalesce("_in", "_over")
+    exists = F.when(before.isNotNull(), before == "insert").otherwise(F.col("_old").isNotNull())
+    op = F.col("op")
+    seen = seen.withColumn("status", (
+        F.when(op == "insert", F.when(exists, F.lit(CONFLICT)).otherwise(F.lit("inserted")))
+        .when(~exists, F.lit(NOT_FOUND))
+        .when(op == "update", F.lit("updated")).when(op == "delete", F.lit("deleted"))))
+    stat = seen.select(ORDER, "op", *keys, "status")
+
+    turn = F.when(F.col("status").isin("inserted", "deleted"), F.col(ORDER))
+    lives = seen.groupBy(*keys).agg(F.max(turn).alias("_turn"),
+                                    F.max_by("status", turn).alias("_kind"))
+    last = (seen.join(lives.select(*[F.col(k).alias(f"_l_{k}") for k in keys],
+                                   F.col("_turn").alias("_from")),
+                      [F.col(k).eqNullSafe(F.col(f"_l_{k}")) for k in keys])
+            .where(F.col("status").isin("inserted", "updated"))
+            .where(F.col("_from").isNull() | (F.col(ORDER) >= F.col("_from"))))
+    sets = {c: F.when((F.col("status") == "inserted") | F.col(c).isNotNull()
+                      | F.coalesce(F.array_contains(clear, c), F.lit(False)), F.col(ORDER))
+            for c in given}
+    aggs = [a for c in given for a in (F.max(sets[c]).alias(f"_at_{c}"),
+                                       F.max_by(F.struct(c), sets[c]).alias(f"_new_{c}"))]
+    values = last.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *aggs)
+    done = lives.join(values, [lives[k].eqNullSafe(values[k]) for k in keys], "left").select(
+        *[lives[k] for k in keys], "_kind", *[n for c in given for n in (f"_at_{c}", f"_new_{c}")])
+    j = old.withColumn("_old", F.lit(True)).join(done, keys, "full_outer")
+    there = F.when(F.col("_kind").isNotNull(), F.col("_kind") == "inserted").otherwise(
+        F.col("_old").isNotNull())
 
     def value(c):
-        new = ch_cols.get(c)
-        if new is None:
-            return F.col(c)
-        return (F.when(F.col("status") == "inserted", new)
-                .when(F.col("status") == "updated", F.coalesce(new, F.col(c))).otherwise(F.col(c)))
+        kept = F.when(F.col("_kind").isNull(), F.col(c))
+        return F.when(F.col(f"_at_{c}").isNotNull(), F.col(f"_new_{c}")[c]).otherwise(kept) \
+            if c in given else kept
 
-    snapshot = j.filter(keep).select(*keys, *[value(c).alias(c) for c in cols])
-    stat = j.filter(op.isNotNull()).select(ORDER, "op", *keys, "status").unionByName(dup)
-    return snapshot, stat
+    return j.filter(there).select(*keys, *[value(c).alias(c) for c in cols]), stat
 
 
 def user_update(cands: DataFrame, user: DataFrame) -> DataFrame:
     """Admin update: cands(batchOrder, id, username, email, type) -> + reason.
     Required fields first, then the id must exist, then username and email
-    must not belong to another user; first candidate per key wins."""
-    ids = user.select("id").distinct().withColumn("_found", F.lit(True))
-    c = cands.join(ids, "id", "left")
+    must not belong to another user."""
+    c = known_ids(cands, user)
     u = user.select("id", "username", "email")
     c = taken_by_other(c, u, ["username"], "id").withColumnRenamed("_taken", "_t1")
     c = taken_by_other(c, u, ["email"], "id").withColumnRenamed("_taken", "_t2")
     miss = js_missing(c, "username") | js_missing(c, "email") | js_missing(c, "type")
-    reason = (F.when(miss, F.lit(MISSING)).when(F.col("_found").isNull(), F.lit(NOT_FOUND))
+    reason = (F.when(miss, F.lit(MISSING)).when(~F.col("_known"), F.lit(NOT_FOUND))
               .when(F.col("_t1") | F.col("_t2"), F.lit(USER_TAKEN)))
-    c = c.withColumn("reason", reason).drop("_found", "_t1", "_t2")
-    c = first_wins(c, ["username"])
-    return first_wins(c, ["email"])
+    c = c.withColumn("reason", reason).drop("_known", "_t1", "_t2")
+    return first_wins(c, ["username"], ["email"], self_id="id")
 
 
 def profile_rename(cands: DataFrame, user: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.text import JS_WHITESPACE, slug
+from ..functions.text import slug
 from ..operators import validate as V
 from ..sources.tables import read_table
 from .registry import register
@@ -91,11 +91,15 @@ def post_changes(spark, sf):
         F.when(k % 3 == 0, F.lit(None).cast("string")).otherwise(F.concat(F.lit("edit "), k.cast("string")))
         .alias("details"),
         F.when(k % 4 == 0, F.lit(None).cast("bigint")).otherwise(F.floor("o_totalprice").cast("bigint") % 100)
-        .alias("likesCount"))
+        .alias("likesCount"),
+        F.when(k % 8 == 4, F.array(F.lit("likesCount"))).when(k % 9 == 0, F.array(F.lit("details")))
+        .alias("clear"))
 
 
 # ---- candidate batches (SQL) -------------------------------------------------
-WS = "[" + JS_WHITESPACE + "]"
+#: Fixed value: the characters that JavaScript's \\s stands for, as ranges.
+WS = ("[\\x{9}-\\x{d}\\x{20}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}"
+      "\\x{3000}\\x{feff}]")
 SLUG_SQL = ("substr(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace("
             "lower(strip_accents(COALESCE({x}, ''))), '^{ws}+|{ws}+$', '', 'g'), '{ws}+', '-', 'g'), "
             "'[^a-z0-9_-]', '', 'g'), '[0-9]+', '', 'g'), '-+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 30)")
@@ -115,6 +119,13 @@ FIRST_WINS = """
        THEN 'duplicate_in_batch' ELSE reason0 END AS reason"""
 
 
+#: For updates: the first valid candidate of the key is for another row.
+FIRST_OTHER = """
+  CASE WHEN reason0 IS NULL AND id <> arg_min(id, batchOrder) FILTER (WHERE reason0 IS NULL)
+                                      OVER (PARTITION BY {keys})
+       THEN 'duplicate_in_batch' ELSE reason0 END AS reason"""
+
+
 @register("category_slug", "WITH " + CAT_CANDS.strip() + f"""
 SELECT batchOrder, {SLUG_SQL.format(x="categoryType", ws=WS)} AS normalizedType FROM Cands""")
 def _q_category_slug(t, spark, sf):
@@ -263,51 +274,51 @@ def _q_membership_import(t, spark, sf):
     return V.membership_import(membership_candidates(spark, sf), t["user_study"])
 
 
+#: Replays the batch change by change: step n holds the row after its n-th change.
 CHANGES_SQL = """
-Changes AS (
-  SELECT o_orderkey AS batchOrder,
+WITH RECURSIVE Numbered AS (
+  SELECT o_orderkey AS batchOrder, o_orderkey % 2600 AS id,
          CASE o_orderstatus WHEN 'F' THEN 'update' WHEN 'O' THEN 'delete' ELSE 'insert' END AS op,
-         o_orderkey % 2600 AS id,
-         CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE concat('edit ', CAST(o_orderkey AS VARCHAR)) END AS details,
-         CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE CAST(floor(o_totalprice) AS BIGINT) % 100 END AS likesCount
+         CASE WHEN o_orderkey % 3 <> 0 THEN concat('edit ', CAST(o_orderkey AS VARCHAR)) END AS newDetails,
+         CASE WHEN o_orderkey % 4 <> 0 THEN CAST(floor(o_totalprice) AS BIGINT) % 100 END AS newLikes,
+         o_orderkey % 8 = 4 AS clearLikes, o_orderkey % 8 <> 4 AND o_orderkey % 9 = 0 AS clearDetails,
+         row_number() OVER (PARTITION BY o_orderkey % 2600 ORDER BY o_orderkey) AS n
   FROM orders),
-Eff AS (
-  SELECT * FROM Changes c
-  WHERE c.batchOrder = (SELECT MIN(c2.batchOrder) FROM Changes c2 WHERE c2.id = c.id)),
-Old AS (SELECT id, pageName, details, likesCount FROM ann_post),
-J AS (
-  SELECT COALESCE(o.id, e.id) AS id, o.id IS NOT NULL AS existed, e.op, e.batchOrder,
-         o.pageName AS oPage, o.details AS oDetails, o.likesCount AS oLikes,
-         e.details AS cDetails, e.likesCount AS cLikes,
-         CASE WHEN e.op IS NULL THEN NULL
-              WHEN e.op = 'update' THEN CASE WHEN o.id IS NOT NULL THEN 'updated' ELSE 'not_found' END
-              WHEN e.op = 'delete' THEN CASE WHEN o.id IS NOT NULL THEN 'deleted' ELSE 'not_found' END
-              ELSE CASE WHEN o.id IS NOT NULL THEN 'id_exists' ELSE 'inserted' END END AS status
-  FROM Old o FULL OUTER JOIN Eff e ON o.id = e.id)"""
+Steps AS (
+  SELECT k.id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS batchOrder, CAST(NULL AS VARCHAR) AS op,
+         CAST(NULL AS VARCHAR) AS status, p.id IS NOT NULL AS there, p.pageName, p.details, p.likesCount
+  FROM (SELECT id FROM ann_post UNION SELECT id FROM Numbered) k LEFT JOIN ann_post p ON p.id = k.id
+  UNION ALL
+  SELECT s.id, c.n, c.batchOrder, c.op,
+         CASE WHEN c.op = 'insert' THEN CASE WHEN s.there THEN 'id_exists' ELSE 'inserted' END
+              WHEN NOT s.there THEN 'not_found' WHEN c.op = 'update' THEN 'updated' ELSE 'deleted' END,
+         c.op = 'insert' OR (s.there AND c.op = 'update'),
+         CASE WHEN s.there AND c.op <> 'delete' THEN s.pageName END,
+         CASE WHEN c.op = 'insert' AND NOT s.there THEN c.newDetails
+              WHEN c.op = 'update' AND s.there THEN
+                   CASE WHEN c.newDetails IS NOT NULL OR c.clearDetails THEN c.newDetails ELSE s.details END
+              WHEN c.op = 'insert' THEN s.details END,
+         CASE WHEN c.op = 'insert' AND NOT s.there THEN c.newLikes
+              WHEN c.op = 'update' AND s.there THEN
+                   CASE WHEN c.newLikes IS NOT NULL OR c.clearLikes THEN c.newLikes ELSE s.likesCount END
+              WHEN c.op = 'insert' THEN s.likesCount END
+  FROM Steps s JOIN Numbered c ON c.id = s.id AND c.n = s.n + 1)"""
 
 
 def _post_snapshot(t):
     return t["post"].select("id", "pageName", "details", "likesCount")
 
 
-@register("apply_changes", "WITH " + CHANGES_SQL.strip() + """
-SELECT id,
-       CASE WHEN status = 'inserted' THEN NULL ELSE oPage END AS pageName,
-       CASE WHEN status = 'inserted' THEN cDetails WHEN status = 'updated' THEN COALESCE(cDetails, oDetails)
-            ELSE oDetails END AS details,
-       CASE WHEN status = 'inserted' THEN cLikes WHEN status = 'updated' THEN COALESCE(cLikes, oLikes)
-            ELSE oLikes END AS likesCount
-FROM J WHERE (existed AND (op IS NULL OR op <> 'delete')) OR status = 'inserted'""")
+@register("apply_changes", CHANGES_SQL.strip() + """
+SELECT id, pageName, details, likesCount FROM Steps
+WHERE there AND (id, n) IN (SELECT id, max(n) FROM Steps GROUP BY id)""")
 def _q_apply_changes(t, spark, sf):
     snap, _ = V.apply_changes(_post_snapshot(t), post_changes(spark, sf))
     return snap
 
 
-@register("apply_changes_status", "WITH " + CHANGES_SQL.strip() + """
-SELECT batchOrder, op, id, status FROM J WHERE op IS NOT NULL
-UNION ALL
-SELECT c.batchOrder, c.op, c.id, 'duplicate_in_batch' AS status FROM Changes c
-WHERE c.batchOrder NOT IN (SELECT batchOrder FROM Eff)""")
+@register("apply_changes_status", CHANGES_SQL.strip() + """
+SELECT batchOrder, op, id, status FROM Steps WHERE n > 0""")
 def _q_apply_changes_status(t, spark, sf):
     _, stat = V.apply_changes(_post_snapshot(t), post_changes(spark, sf))
     return stat
@@ -336,9 +347,10 @@ R AS (
          CASE WHEN q.id IS NULL THEN 'unknown_question'
               WHEN EXISTS (SELECT 1 FROM ann_categories c2 JOIN ann_question q2 ON q2.id = c2.questionId
                            WHERE c2.name = c.name AND q2.studyId = q.studyId AND c2.id <> c.id) THEN 'name_taken'
+              WHEN c.id NOT IN (SELECT id FROM ann_categories) THEN 'not_found'
          END AS reason0
   FROM Cands c LEFT JOIN ann_question q ON q.id = c.questionId)
-SELECT batchOrder, id, name, categoryType, questionId, normalizedType, studyId,""" + FIRST_WINS.format(
+SELECT batchOrder, id, name, categoryType, questionId, normalizedType, studyId,""" + FIRST_OTHER.format(
     keys="name, studyId") + """
 FROM R""")
 def _q_category_update(t, spark, sf):
@@ -356,9 +368,10 @@ R AS (
          CASE WHEN c.question IS NULL OR c.question = '' OR c.content IS NULL OR c.content = ''
                    OR c.studyId IS NULL OR c.studyId = 0 THEN 'missing_fields'
               WHEN EXISTS (SELECT 1 FROM ann_question q WHERE q.studyId = c.studyId AND q.id <> c.id
-                           AND lower(trim(q.question)) = lower(trim(c.question))) THEN 'name_taken' END AS reason0
+                           AND lower(trim(q.question)) = lower(trim(c.question))) THEN 'name_taken'
+              WHEN c.id NOT IN (SELECT id FROM ann_question) THEN 'not_found' END AS reason0
   FROM Cands c)
-SELECT batchOrder, id, question, content, inputType, studyId,""" + FIRST_WINS.format(keys="studyId, k") + """
+SELECT batchOrder, id, question, content, inputType, studyId,""" + FIRST_OTHER.format(keys="studyId, k") + """
 FROM R""")
 def _q_question_update(t, spark, sf):
     d = read_table(spark, sf, "documents")
@@ -373,23 +386,22 @@ def _q_question_update(t, spark, sf):
 @register("study_update", """
 WITH Cands AS (
   SELECT c_custkey AS batchOrder, c_custkey % 6 AS id,
-         CASE WHEN c_custkey % 4 = 0 THEN 'ASIA' ELSE concat('S', CAST(c_custkey % 50 AS VARCHAR)) END AS name,
-         'Supplier#000000000' AS addedBy
+         CASE WHEN c_custkey % 4 = 0 THEN 'ASIA' ELSE concat('S', CAST(c_custkey % 50 AS VARCHAR)) END AS name
   FROM customer),
 R AS (
   SELECT c.*,
          CASE WHEN EXISTS (SELECT 1 FROM ann_study s WHERE s.name = c.name AND s.id <> c.id) THEN 'name_taken'
          END AS reason0
   FROM Cands c)
-SELECT batchOrder, id, name, addedBy,""" + FIRST_WINS.format(keys="name") + """
+SELECT batchOrder, id, name,""" + FIRST_OTHER.format(keys="name") + """
 FROM R""")
 def _q_study_update(t, spark, sf):
     c = read_table(spark, sf, "customer")
     k = F.col("c_custkey")
     cands = c.select(k.alias("batchOrder"), (k % 6).alias("id"),
                      F.when(k % 4 == 0, F.lit("ASIA")).otherwise(F.concat(F.lit("S"), (k % 50).cast("string")))
-                     .alias("name"), F.lit("Supplier#000000000").alias("addedBy"))
-    return V.study_import(cands, t["study"])
+                     .alias("name"))
+    return V.study_update(cands, t["study"])
 
 
 @register("user_rename", """
@@ -407,11 +419,11 @@ R AS (
   FROM Cands c),
 F AS (
   SELECT R.*,
-         MIN(CASE WHEN reason0 IS NULL THEN batchOrder END) OVER (PARTITION BY username) AS f1,
-         MIN(CASE WHEN reason0 IS NULL THEN batchOrder END) OVER (PARTITION BY email) AS f2
+         arg_min(id, batchOrder) FILTER (WHERE reason0 IS NULL) OVER (PARTITION BY username) AS f1,
+         arg_min(id, batchOrder) FILTER (WHERE reason0 IS NULL) OVER (PARTITION BY email) AS f2
   FROM R)
 SELECT batchOrder, id, username, email,
-       CASE WHEN reason0 IS NULL AND (batchOrder <> f1 OR batchOrder <> f2) THEN 'duplicate_in_batch'
+       CASE WHEN reason0 IS NULL AND (id <> f1 OR id <> f2) THEN 'duplicate_in_batch'
             ELSE reason0 END AS reason
 FROM F""")
 def _q_user_rename(t, spark, sf):
@@ -463,10 +475,14 @@ R AS (
                            AND (u.username = c.username OR u.email = c.email)) THEN 'username_or_email_taken'
          END AS reason0
   FROM Cands c),
-F1 AS (SELECT R.*,""" + FIRST_WINS.format(keys="username").replace("AS reason", "AS reason1") + """ FROM R),
-F2 AS (SELECT batchOrder, id, username, email, type, reason1 AS reason0 FROM F1)
-SELECT batchOrder, id, username, email, type,""" + FIRST_WINS.format(keys="email") + """
-FROM F2""")
+F AS (
+  SELECT R.*,
+         arg_min(id, batchOrder) FILTER (WHERE reason0 IS NULL) OVER (PARTITION BY username) AS f1,
+         arg_min(id, batchOrder) FILTER (WHERE reason0 IS NULL) OVER (PARTITION BY email) AS f2
+  FROM R)
+SELECT batchOrder, id, username, email, type,
+       CASE WHEN reason0 IS NULL AND (id <> f1 OR id <> f2) THEN 'duplicate_in_batch' ELSE reason0 END AS reason
+FROM F""")
 def _q_user_update(t, spark, sf):
     c = read_table(spark, sf, "customer")
     k = F.col("c_custkey")
@@ -511,22 +527,18 @@ def _q_profile_rename(t, spark, sf):
     return V.profile_rename(cands, t["user"])
 
 
+#: By the last earlier insert or delete of the same link.
 MEMBERSHIP_CHANGES_SQL = """
-Changes AS (
+WITH Changes AS (
   SELECT o_orderkey AS batchOrder, CASE WHEN o_orderstatus = 'P' THEN 'insert' ELSE 'delete' END AS op,
          o_custkey % 110 AS userId, o_orderkey % 6 AS studyId
   FROM orders),
-Eff AS (
-  SELECT * FROM Changes c
-  WHERE c.batchOrder = (SELECT MIN(c2.batchOrder) FROM Changes c2
-                        WHERE c2.userId = c.userId AND c2.studyId = c.studyId)),
-J AS (
-  SELECT COALESCE(o.userId, e.userId) AS userId, COALESCE(o.studyId, e.studyId) AS studyId,
-         o.userId IS NOT NULL AS existed, e.op, e.batchOrder,
-         CASE WHEN e.op IS NULL THEN NULL
-              WHEN e.op = 'delete' THEN CASE WHEN o.userId IS NOT NULL THEN 'deleted' ELSE 'not_found' END
-              ELSE CASE WHEN o.userId IS NOT NULL THEN 'id_exists' ELSE 'inserted' END END AS status
-  FROM ann_user_study o FULL OUTER JOIN Eff e ON o.userId = e.userId AND o.studyId = e.studyId)"""
+Placed AS (
+  SELECT c.*, COALESCE(lag(op) OVER (PARTITION BY userId, studyId ORDER BY batchOrder) = 'insert',
+                       EXISTS (SELECT 1 FROM ann_user_study o
+                               WHERE o.userId = c.userId AND o.studyId = c.studyId)) AS linked,
+         batchOrder = max(batchOrder) OVER (PARTITION BY userId, studyId) AS newest
+  FROM Changes c)"""
 
 
 def _membership_changes(spark, sf):
@@ -536,19 +548,22 @@ def _membership_changes(spark, sf):
                     (F.col("o_custkey") % 110).alias("userId"), (F.col("o_orderkey") % 6).alias("studyId"))
 
 
-@register("membership_changes", "WITH " + MEMBERSHIP_CHANGES_SQL.strip() + """
-SELECT userId, studyId FROM J WHERE (existed AND (op IS NULL OR op <> 'delete')) OR status = 'inserted'""")
+@register("membership_changes", MEMBERSHIP_CHANGES_SQL.strip() + """
+SELECT userId, studyId FROM Placed WHERE newest AND op = 'insert'
+UNION ALL
+SELECT userId, studyId FROM ann_user_study
+WHERE (userId, studyId) NOT IN (SELECT userId, studyId FROM Changes)""")
 def _q_membership_changes(t, spark, sf):
     """Membership links added and removed by a batch (composite key)."""
     snap, _ = V.apply_changes(t["user_study"], _membership_changes(spark, sf), key=["userId", "studyId"])
     return snap
 
 
-@register("membership_changes_status", "WITH " + MEMBERSHIP_CHANGES_SQL.strip() + """
-SELECT batchOrder, op, userId, studyId, status FROM J WHERE op IS NOT NULL
-UNION ALL
-SELECT c.batchOrder, c.op, c.userId, c.studyId, 'duplicate_in_batch' AS status FROM Changes c
-WHERE c.batchOrder NOT IN (SELECT batchOrder FROM Eff)""")
+@register("membership_changes_status", MEMBERSHIP_CHANGES_SQL.strip() + """
+SELECT batchOrder, op, userId, studyId,
+       CASE WHEN op = 'insert' AND linked THEN 'id_exists' WHEN op = 'insert' THEN 'inserted'
+            WHEN linked THEN 'deleted' ELSE 'not_found' END AS status
+FROM Placed""")
 def _q_membership_changes_status(t, spark, sf):
     _, stat = V.apply_changes(t["user_study"], _membership_changes(spark, sf), key=["userId", "studyId"])
     return stat

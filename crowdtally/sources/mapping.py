@@ -102,6 +102,8 @@ def with_views(sql: str, views: list[str] | None = None) -> str:
     names = VIEW_ORDER if views is None else [v for v in VIEW_ORDER if v in views]
     head = ",\n".join(f"{n} AS ({MAPPING_SQL[n].strip()})" for n in names)
     body = sql.strip()
+    if body[:14].upper() == "WITH RECURSIVE":
+        return f"WITH RECURSIVE {head},\n{body[14:].lstrip()}"
     if body[:4].upper() == "WITH":
         return f"WITH {head},\n{body[4:].lstrip()}"
     return f"WITH {head}\n{body}"
