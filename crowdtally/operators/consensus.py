@@ -1,6 +1,6 @@
 """Consensus labels and rater scores, for all posts, questions and users at once.
 
-Rules (the reference's SQL, restated):
+Rules:
 
 * A (post, question) has a *validated* label when its most-voted category is
   unique (a tie for first place never validates), the total number of answer
@@ -130,9 +130,13 @@ def user_votes(classification: DataFrame, user: DataFrame, username: str | None
     return classification.join(u, "userId").select("username", "userId", *PQ, "categoryId")
 
 
-def stats_user(classification: DataFrame, user: DataFrame, validated: DataFrame, username: str) -> DataFrame:
-    """One row (validated, not_validated) for one username; 0, 0 when it has no rows."""
+def stats_user(classification: DataFrame, user: DataFrame, post: DataFrame, study: DataFrame,
+               username: str) -> DataFrame:
+    """One row (validated, not_validated) for one username; 0, 0 when it has no rows.
+    Votes are counted for the (post, question) pairs of this user only."""
     mine = user_votes(classification, user, username).select("userId", *PQ, "categoryId")
+    theirs = classification.join(mine.select(*PQ).distinct(), PQ, "left_semi")
+    validated = validated_labels(theirs, post, study)
     validated_sum = F.coalesce(F.sum("weight"), F.lit(0.0))
     # A global aggregate always yields exactly one row, as the SQL form does.
     return answer_weights(mine, validated).agg(

@@ -1,7 +1,6 @@
 """Feed assembly: request resolution, status, nested payload.
 
-The reference answers one request with several round trips and joins the
-pieces in JavaScript; here the pieces are joins and bounded ``collect_list``s
+The pieces of a response are joins and bounded ``collect_list``s
 (images of one post, categories of one question, questions of one study).
 """
 
@@ -27,6 +26,11 @@ def post_images_base64(image: DataFrame) -> DataFrame:
     return image.groupBy("postId").agg(F.sort_array(F.collect_list(item)).alias("images"))
 
 
+def images_of(image: DataFrame, posts: DataFrame) -> DataFrame:
+    """Encoded images of the posts (``postId``) only: the cut comes before the encoding."""
+    return post_images_base64(image.join(posts.select("postId").distinct(), "postId", "left_semi"))
+
+
 def study_questionnaire(question: DataFrame, categories: DataFrame) -> DataFrame:
     """studyId -> questions: array<struct<id, question, inputType, categories[]>>, each
     question's categories ordered by id (empty array when it has none)."""
@@ -75,7 +79,7 @@ def feed_payload(served: DataFrame, post: DataFrame, study: DataFrame, image: Da
     p = post.select(F.col("id").alias("postId"), "pageName", "pageLink", "postLink", "details", "likesCount",
                     "commentsCount", "sharesCount", "socialName")
     s = study.select(F.col("id").alias("studyId"), F.col("name").alias("studyName"))
-    imgs = post_images_base64(image)
+    imgs = images_of(image, served)
     qs = study_questionnaire(question, categories)
     j = (served.join(p, "postId").join(s, "studyId").join(imgs, "postId", "left").join(qs, "studyId", "left"))
     return j.select(
@@ -95,18 +99,21 @@ def history_payload(resolved: DataFrame, hist: DataFrame, post: DataFrame, study
     p = post.select(F.col("id").alias("postId"), "pageName", "pageLink", "postLink", "details", "likesCount",
                     "commentsCount", "sharesCount", "socialName")
     s = study.select(F.col("id").alias("studyId"), F.col("name").alias("studyName"))
-    j = (h.join(p, "postId").join(s, "studyId").join(post_images_base64(image), "postId", "left")
-         .join(study_questionnaire(question, categories), "studyId", "left"))
+    # One payload per post, then its raters: blobs are put together once per post.
+    posts = (p.join(h.select("postId", "studyId").distinct(), "postId").join(s, "studyId")
+             .join(images_of(image, h), "postId", "left")
+             .join(study_questionnaire(question, categories), "studyId", "left"))
+    j = h.select("userId", "createdAtMax", "postId").join(posts, "postId")
     return j.select(
         "userId", "createdAtMax", F.col("postId").alias("id"), "pageName", "pageLink", "postLink", "details",
         "likesCount", "commentsCount", "sharesCount", "studyId", "studyName", "socialName",
         F.coalesce("images", F.array()).alias("images"), F.coalesce("questions", F.array()).alias("questions"))
 
 
-def legacy_posts_page(post: DataFrame, memberships: DataFrame, viewer: str, page: int = 1, limit: int = 10,
+def legacy_posts_page(post: DataFrame, image: DataFrame, memberships: DataFrame, viewer: str, page: int = 1, limit: int = 10,
                       seed: str = P.DEFAULT_SEED) -> DataFrame:
     """Legacy paged listing: posts of the viewer's studies in random (hashed)
-    order, ``LIMIT limit OFFSET (page-1)*limit``, with the total count.
+    order, ``LIMIT limit OFFSET (page-1)*limit``, with images and the total count.
 
     memberships: (user_name, study_id) of the legacy membership table.
     """
@@ -118,4 +125,8 @@ def legacy_posts_page(post: DataFrame, memberships: DataFrame, viewer: str, page
     page_rows = (posts.select("id", "pageName", F.coalesce("details", F.lit("")).alias("details"),
                               "likesCount", "commentsCount", "sharesCount", "studyId", order.alias("_o"))
                  .orderBy("_o", "id").offset((page - 1) * limit).limit(limit))
-    return page_rows.select(*[c for c in page_rows.columns if c != "_o"], total.alias("total"))
+    # The images of one page's posts: a semi join before encoding, one row per post.
+    imgs = images_of(image, page_rows.select(F.col("id").alias("postId")))
+    return (page_rows.join(imgs, page_rows["id"] == imgs["postId"], "left")
+            .select(*[c for c in page_rows.columns if c != "_o"],
+                    F.coalesce("images", F.array()).alias("images"), total.alias("total")))

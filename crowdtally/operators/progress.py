@@ -1,6 +1,6 @@
 """Study progress, quotas and task assignment for all users at once.
 
-Rules (the reference's progress and feed handlers, restated):
+Rules:
 
 * a post is *complete* when its number of distinct raters reaches the study's
   ``minClassificationsPerPost``, *remaining* when it is below (a post nobody
@@ -44,15 +44,23 @@ def _study_limits(study: DataFrame) -> DataFrame:
 
 def post_status(post: DataFrame, study: DataFrame, classification: DataFrame) -> DataFrame:
     """Per study and post (one null post row for a study without posts):
-    raters, complete, remaining flags (0/1)."""
+    raters, complete, remaining flags (0/1).
+
+    Posts keep their partitioning by postId: the study table joins them as the
+    small side (Spark broadcasts it below its size limit), and the studies without
+    posts come from an anti join against the few distinct study ids."""
+    limits = _study_limits(study)
     p = post.select(F.col("id").alias("postId"), "studyId")
-    s = _study_limits(study)
-    sp = s.join(p, "studyId", "left").join(post_rater_counts(classification), "postId", "left")
+    counted = (p.join(post_rater_counts(classification), "postId", "left")
+               .join(limits, "studyId").select("studyId", "postId", "raters", "minClassificationsPerPost"))
+    empty = limits.join(p.select("studyId").distinct(), "studyId", "left_anti").select(
+        "studyId", F.lit(None).cast(post.schema["id"].dataType).alias("postId"),
+        F.lit(None).cast("bigint").alias("raters"), "minClassificationsPerPost")
     n = F.coalesce(F.col("raters"), F.lit(0))
     m = F.col("minClassificationsPerPost")
-    return sp.select("studyId", "postId", n.alias("raters"),
-                     F.when(n >= m, 1).otherwise(0).alias("complete"),
-                     F.when(n < m, 1).otherwise(0).alias("remaining"))
+    return counted.unionByName(empty).select(
+        "studyId", "postId", n.alias("raters"), F.when(n >= m, 1).otherwise(0).alias("complete"),
+        F.when(n < m, 1).otherwise(0).alias("remaining"))
 
 
 def study_completion(study: DataFrame, post: DataFrame, classification: DataFrame,
@@ -78,12 +86,19 @@ def remaining_done(classification: DataFrame, status: DataFrame) -> DataFrame:
     return classification.select("userId", "postId").distinct().join(rem, "postId")
 
 
+def answers_of(classification: DataFrame, members: DataFrame) -> DataFrame:
+    """The answers of the members (``userId``): for requests of a few users."""
+    return classification.join(members.select("userId").distinct(), "userId", "left_semi")
+
+
 def user_available_posts(user_study: DataFrame, study: DataFrame, post: DataFrame,
-                         classification: DataFrame, status: DataFrame | None = None) -> DataFrame:
-    """raw available posts per membership (userId, studyId)."""
+                         classification: DataFrame, status: DataFrame | None = None,
+                         own: DataFrame | None = None) -> DataFrame:
+    """raw available posts per membership (userId, studyId); ``own`` may hold just
+    the members' answers, raters are counted over all."""
     status = status if status is not None else post_status(post, study, classification)
     remaining = status.groupBy("studyId").agg(F.sum("remaining").cast("bigint").alias("remainingPosts"))
-    done_rem = (remaining_done(classification, status).groupBy("userId", "studyId")
+    done_rem = (remaining_done(classification if own is None else own, status).groupBy("userId", "studyId")
                 .agg(F.count(F.lit(1)).alias("_doneRem")))
     return (user_study.join(remaining, "studyId").join(done_rem, ["userId", "studyId"], "left")
             .select("userId", "studyId",
@@ -97,20 +112,25 @@ def remaining_limit(max_col: Column, done_col: Column) -> Column:
 
 
 def study_progress(user_study: DataFrame, study: DataFrame, post: DataFrame, classification: DataFrame,
-                   question: DataFrame) -> DataFrame:
-    """The full progress row for every membership.  The post status is built
-    once and shared, so its exchanges are planned once and reused.  Studies,
-    posts and answers are first cut to the studies of the given memberships
-    (semi joins), so one user's request does not count raters everywhere."""
-    wanted = user_study.select("studyId").distinct()
-    study = study.join(wanted.withColumnRenamed("studyId", "id"), "id", "left_semi")
-    post = post.join(wanted, "studyId", "left_semi")
-    answers = classification.join(post.select(F.col("id").alias("postId")), "postId", "left_semi")
+                   question: DataFrame, few_users: bool = False) -> DataFrame:
+    """The full progress row for every membership.
+
+    ``few_users`` says that ``user_study`` holds the memberships of one or a few
+    users: then the posts are cut to their studies, raters are counted for those
+    posts, and done posts from those users' answers only (semi joins with small
+    sides).  For everybody's progress these cuts would only add exchanges."""
+    answers, own = classification, classification
+    if few_users:
+        wanted = user_study.select("studyId").distinct()
+        study = study.join(wanted.withColumnRenamed("studyId", "id"), "id", "left_semi")
+        post = post.join(wanted, "studyId", "left_semi")
+        answers = classification.join(post.select(F.col("id").alias("postId")), "postId", "left_semi")
+        own = answers_of(classification, user_study)
     status = post_status(post, study, answers)
     comp = study_completion(study, post, answers, status)
-    raw = user_available_posts(user_study, study, post, answers, status)
-    # Done posts go through the question's study (not the post's): all answers.
-    done = user_done_posts(classification, question)
+    raw = user_available_posts(user_study, study, post, answers, status, own)
+    # Done posts go through the question's study (not the post's): all own answers.
+    done = user_done_posts(own, question)
     j = (raw.join(comp, "studyId").join(done, ["userId", "studyId"], "left")
          .withColumn("userDonePosts", F.coalesce("userDonePosts", F.lit(0)).cast("bigint")))
     limit = remaining_limit(F.col("maxClassificationsPerUser"), F.col("userDonePosts"))
@@ -186,7 +206,8 @@ def _hash_order(seed: str, *cols: str) -> Column:
 
 
 def _hash_int(seed: str, col: str) -> Column:
-    return F.conv(F.substring(_hash_order(seed, col), 1, 8), 16, 10).cast("bigint")
+    """15 hex digits of the hash: any position of any study can be a start."""
+    return F.conv(F.substring(_hash_order(seed, col), 1, 15), 16, 10).cast("bigint")
 
 
 def next_posts(targets: DataFrame, post: DataFrame, study: DataFrame, classification: DataFrame,
@@ -205,8 +226,10 @@ def next_posts(targets: DataFrame, post: DataFrame, study: DataFrame, classifica
     ranked = position_in_group(rem, "studyId", [_hash_order(seed, "postId"), F.col("postId")], "pos")
     sizes = ranked.groupBy("studyId").agg(F.first("pos_n").alias("M"))
     t = targets.filter(F.col("quota") > 0)
-    done = remaining_done(classification, status).join(t.select("userId", "studyId"), ["userId", "studyId"],
-                                                       "left_semi")
+    # The checkpointed permutation is the remaining set; only served users' answers count.
+    done = (answers_of(classification, t).select("userId", "postId").distinct()
+            .join(ranked.select("studyId", "postId"), "postId")
+            .join(t.select("userId", "studyId"), ["userId", "studyId"], "left_semi"))
     d = done.groupBy("userId", "studyId").agg(F.count(F.lit(1)).alias("_d"))
     k = F.least(F.col("M"), F.col("quota") + F.coalesce("_d", F.lit(0)))
     users = (t.join(sizes, "studyId").join(d, ["userId", "studyId"], "left")

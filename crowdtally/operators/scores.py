@@ -60,20 +60,30 @@ def all_user_scores(t: dict[str, DataFrame]) -> DataFrame:
 
 
 def stats_general(t: dict[str, DataFrame], viewer_id: int, viewer_username: str, viewer_type: str) -> DataFrame:
-    """anonymizedUser, validated, not_validated (rounded to 2 places)."""
-    anon = anonymized_users(t["user"], t["classification"], t["user_study"], viewer_id, viewer_username, viewer_type)
-    scores = all_user_scores(t)
-    return anon.join(scores, "userId", "left").select(
-        "anonymizedUser",
-        F.round(F.coalesce("validated", F.lit(0.0)), 2).alias("validated"),
-        F.round(F.coalesce("not_validated", F.lit(0.0)), 2).alias("not_validated"),
-    )
+    """anonymizedUser, validated, not_validated (rounded to 2 places).
+
+    Labels need everybody's answers; weights are computed for the raters that the
+    viewer sees only.  The score table has one row per rater, so it also tells who
+    is a rater: the answers are read once for both."""
+    answers, all_seen = t["classification"], viewer_type == INVESTIGATOR
+    validated = C.validated_labels(answers, t["post"], t["study"])
+    if not all_seen:
+        answers = answers.join(co_members(t["user_study"], viewer_id), "userId", "left_semi")
+    rows = C.user_scores(C.answer_weights(answers, validated)).join(
+        t["user"].select(F.col("id").alias("userId"), "username"), "userId")
+    shown = F.col("username")
+    if not all_seen:
+        rows = dense_rank_global(rows, "userId", "rnk")
+        shown = F.when(shown == F.lit(viewer_username), shown).otherwise(
+            F.concat(F.lit(ANON_PREFIX), F.col("rnk").cast("string")))
+    return rows.select(shown.alias("anonymizedUser"), F.round("validated", 2).alias("validated"),
+                       F.round("not_validated", 2).alias("not_validated"))
 
 
 def timeline(classification: DataFrame, user_id: int | None = None, ts_col: str = "createdAt",
              user_col: str = "userId") -> DataFrame:
-    """Answer rows per user per day ('yyyy-MM-dd'), ascending by date."""
+    """Answer rows per user per day ('yyyy-MM-dd'); one user's are ascending by date."""
     c = classification if user_id is None else classification.filter(F.col(user_col) == F.lit(user_id))
     day = F.date_format(F.col(ts_col), "yyyy-MM-dd").alias("date")
-    return (c.groupBy(F.col(user_col).alias("userId"), day).agg(F.count(F.lit(1)).alias("count"))
-            .orderBy("userId", "date"))
+    days = c.groupBy(F.col(user_col).alias("userId"), day).agg(F.count(F.lit(1)).alias("count"))
+    return days if user_id is None else days.orderBy("date")

@@ -11,81 +11,115 @@ from .registry import register
 
 SEED = P.DEFAULT_SEED
 
-# ---- oracle building blocks -------------------------------------------------
-RATERS = "(SELECT COUNT(DISTINCT cx.userId) FROM ann_classification cx WHERE cx.postId = p.id)"
-
-PROGRESS_CTE = f"""
-Prog AS (
-  SELECT us.userId, s.id AS studyId, s.name AS studyName,
-         s.minClassificationsPerPost AS minC, s.maxClassificationsPerUser AS maxC,
-         COUNT(DISTINCT p.id) AS totalPosts,
-         SUM(CASE WHEN {RATERS} >= s.minClassificationsPerPost THEN 1 ELSE 0 END) AS completedPosts,
-         SUM(CASE WHEN {RATERS} < s.minClassificationsPerPost THEN 1 ELSE 0 END) AS remainingPosts,
-         SUM(CASE WHEN NOT EXISTS (SELECT 1 FROM ann_classification cu
-                                   WHERE cu.postId = p.id AND cu.userId = us.userId)
-                   AND {RATERS} < s.minClassificationsPerPost THEN 1 ELSE 0 END) AS rawAvail,
-         (SELECT COUNT(DISTINCT c4.postId) FROM ann_classification c4
-          JOIN ann_question q4 ON q4.id = c4.questionId
-          WHERE c4.userId = us.userId AND q4.studyId = s.id) AS userDonePosts
-  FROM ann_user_study us JOIN ann_study s ON s.id = us.studyId
-  LEFT JOIN ann_post p ON p.studyId = s.id
-  GROUP BY us.userId, s.id, s.name, s.minClassificationsPerPost, s.maxClassificationsPerUser)"""
-
-QUOTA_EXPR = """CASE WHEN s.maxClassificationsPerUser IS NULL THEN 10
-       WHEN GREATEST(0, s.maxClassificationsPerUser - {done}) <= 0 THEN 0
-       ELSE LEAST(10, GREATEST(0, s.maxClassificationsPerUser - {done})) END"""
-
-DONE_SUB = """(SELECT COUNT(DISTINCT c.postId) FROM ann_classification c JOIN ann_question q ON c.questionId = q.id
-  WHERE q.studyId = s.id AND c.userId = {user})"""
-
-RESOLVED_CTE = """
-Def AS (SELECT userId, MIN(studyId) AS defaultStudyId FROM ann_user_study GROUP BY userId),
-Resolved AS (
-  SELECT r.userId, r.requestedStudyId, r.includeClassified, d.defaultStudyId,
-         CASE WHEN d.defaultStudyId IS NULL THEN 'no_studies'
-              WHEN r.requestedStudyId IS NOT NULL AND NOT EXISTS (
-                SELECT 1 FROM ann_user_study m WHERE m.userId = r.userId AND m.studyId = r.requestedStudyId)
-              THEN 'forbidden' END AS refusal
-  FROM ann_feed_request r LEFT JOIN Def d ON d.userId = r.userId),
-Targets AS (
-  SELECT userId, requestedStudyId, includeClassified, defaultStudyId, refusal,
-         CASE WHEN refusal IS NULL THEN COALESCE(requestedStudyId, defaultStudyId) END AS targetStudyId
-  FROM Resolved),
-Quota AS (
-  SELECT t.userId, t.targetStudyId AS studyId, s.maxClassificationsPerUser AS maxC,
-         """ + QUOTA_EXPR.format(done=DONE_SUB.format(user="t.userId")) + """ AS quota
-  FROM Targets t JOIN ann_study s ON s.id = t.targetStudyId)"""
-
-NEXT_POSTS_CTE = RESOLVED_CTE + f""",
-Inc AS (
-  SELECT p.id AS postId, p.studyId FROM ann_post p JOIN ann_study s ON s.id = p.studyId
-  WHERE {RATERS} < s.minClassificationsPerPost),
-Perm AS (
-  SELECT postId, studyId,
-         ROW_NUMBER() OVER (PARTITION BY studyId ORDER BY md5(concat_ws(':', '{SEED}', postId)), postId) - 1 AS pos,
-         COUNT(*) OVER (PARTITION BY studyId) AS m
-  FROM Inc),
-FeedUsers AS (
-  SELECT t.userId, q.studyId, q.quota FROM Targets t
-  JOIN Quota q ON q.userId = t.userId AND q.studyId = t.targetStudyId
-  WHERE t.refusal IS NULL AND NOT t.includeClassified AND q.quota > 0),
-Cand AS (
-  SELECT f.userId, f.studyId, f.quota, pm.postId,
-         ((pm.pos - ('0x' || substr(md5(concat_ws(':', '{SEED}', f.userId)), 1, 8))::BIGINT % pm.m) % pm.m + pm.m)
-           % pm.m AS step
-  FROM FeedUsers f JOIN Perm pm ON pm.studyId = f.studyId
-  WHERE NOT EXISTS (SELECT 1 FROM ann_classification cu WHERE cu.postId = pm.postId AND cu.userId = f.userId)),
-Served AS (
-  SELECT userId, studyId, postId, feedRank FROM (
-    SELECT userId, studyId, postId, quota,
-           ROW_NUMBER() OVER (PARTITION BY userId ORDER BY step) AS feedRank FROM Cand) x
-  WHERE feedRank <= quota)"""
-
-HISTORY_CTE = """
-Hist AS (
-  SELECT c.userId, p.studyId, s.name AS studyName, p.id AS postId, MAX(c.createdAt) AS createdAtMax
-  FROM ann_post p JOIN ann_study s ON p.studyId = s.id JOIN ann_classification c ON c.postId = p.id
-  GROUP BY c.userId, p.id, p.studyId, s.name)"""
+# ---- oracle building blocks: counts per post and per user, joined to memberships ----
+CROWD = """
+crowd AS (
+  SELECT id AS postId, studyId, coalesce(people, 0) AS people
+  FROM ann_post LEFT JOIN (SELECT postId, count(*) AS people
+                           FROM (SELECT DISTINCT postId, userId FROM ann_classification) GROUP BY postId) n
+    ON n.postId = id),
+standing AS (
+  SELECT s.id AS studyId, s.name AS studyName, s.minClassificationsPerPost AS floor_, s.maxClassificationsPerUser AS cap,
+         count(postId) AS posts, count(*) FILTER (WHERE coalesce(people, 0) >= s.minClassificationsPerPost) AS complete,
+         count(*) FILTER (WHERE coalesce(people, 0) < s.minClassificationsPerPost) AS open_
+  FROM ann_study s LEFT JOIN crowd ON crowd.studyId = s.id GROUP BY ALL),
+touched AS (
+  SELECT userId, crowd.studyId, count(*) AS n
+  FROM (SELECT DISTINCT userId, postId FROM ann_classification) JOIN crowd USING (postId)
+  JOIN ann_study s ON s.id = crowd.studyId AND people < s.minClassificationsPerPost GROUP BY ALL)"""
+
+FINISHED = """
+finished AS (
+  SELECT userId, studyId, count(DISTINCT postId) AS n
+  FROM ann_classification JOIN (SELECT id AS questionId, studyId FROM ann_question) USING (questionId)
+  GROUP BY ALL)"""
+
+#: Columns of a progress row, ``{m}`` being a relation with userId and studyId.
+PROGRESS_COLUMNS = """studyName, posts AS totalPosts, complete AS completedPosts, open_ AS remainingPosts,
+       CAST(coalesce(greatest(0, least(open_ - coalesce(touched.n, 0), greatest(0, cap - coalesce(finished.n, 0)))
+                              + 0 * cap), open_ - coalesce(touched.n, 0)) AS BIGINT) AS availablePostsForUser,
+       coalesce(finished.n, 0) AS userDonePosts, coalesce(floor_, 0) AS minClassificationsPerPost,
+       cap AS maxClassificationsPerUser,
+       CAST(greatest(0, cap - coalesce(finished.n, 0)) + 0 * cap AS BIGINT) AS userRemainingLimit,
+       CAST(coalesce(round(100 * complete::DOUBLE / nullif(posts, 0)), 0) AS BIGINT) AS completionPercentage"""
+
+
+def progress_sql(members: str, before: str = "") -> str:
+    """Progress rows of ``members``, a relation with userId and studyId."""
+    return "WITH " + before + CROWD.strip() + "," + FINISHED + f""",
+progress AS (
+  SELECT m.userId, m.studyId, {PROGRESS_COLUMNS}
+  FROM {members} m JOIN standing USING (studyId)
+  LEFT JOIN touched ON touched.userId = m.userId AND touched.studyId = m.studyId
+  LEFT JOIN finished ON finished.userId = m.userId AND finished.studyId = m.studyId)"""
+
+
+ALLOWANCE = "greatest(0, least(10, coalesce(cap - coalesce(finished.n, 0), 10)))"
+
+REQUESTS = FINISHED.strip() + f""",
+request AS (
+  SELECT r.*, mine.first_ AS defaultStudyId,
+         CASE WHEN mine.first_ IS NULL THEN 'no_studies'
+              WHEN NOT list_contains(mine.all_, coalesce(r.requestedStudyId, mine.first_)) THEN 'forbidden' END AS refusal
+  FROM ann_feed_request r
+  LEFT JOIN (SELECT userId, min(studyId) AS first_, list(studyId) AS all_ FROM ann_user_study GROUP BY userId) mine
+    USING (userId)),
+target AS (
+  SELECT q.*, q.studyId AS targetStudyId, s.maxClassificationsPerUser AS cap,
+         {ALLOWANCE.replace("cap", "s.maxClassificationsPerUser")} AS allowance
+  FROM (SELECT *, CASE WHEN refusal IS NULL THEN coalesce(requestedStudyId, defaultStudyId) END AS studyId
+        FROM request) q
+  LEFT JOIN ann_study s ON s.id = q.studyId
+  LEFT JOIN finished ON finished.userId = q.userId AND finished.studyId = q.studyId)"""
+
+#: Brute force over users x open posts: the walk from each user's start, unanswered posts only.
+SERVED = CROWD.strip() + "," + REQUESTS + f""",
+ring AS (
+  SELECT postId, studyId, count(*) OVER w AS size_,
+         row_number() OVER (w ORDER BY md5(concat_ws(':', '{SEED}', postId)), postId) - 1 AS place
+  FROM crowd JOIN ann_study s ON s.id = studyId AND people < s.minClassificationsPerPost
+  WINDOW w AS (PARTITION BY studyId)),
+served AS (
+  SELECT t.userId, t.studyId, ring.postId,
+         row_number() OVER (PARTITION BY t.userId ORDER BY (size_ + place
+           - ('0x' || left(md5(concat_ws(':', '{SEED}', t.userId)), 15))::BIGINT % size_) % size_) AS feedRank
+  FROM target t JOIN ring USING (studyId)
+  ANTI JOIN ann_classification a ON a.userId = t.userId AND a.postId = ring.postId
+  WHERE NOT t.includeClassified
+  QUALIFY feedRank <= t.allowance)"""
+
+PAST = """
+past AS (
+  SELECT a.userId, p.studyId, p.id AS postId, a.latest AS createdAtMax
+  FROM (SELECT userId, postId, max(createdAt) AS latest FROM ann_classification GROUP BY ALL) a
+  JOIN ann_post p ON p.id = a.postId SEMI JOIN ann_study s ON s.id = p.studyId)"""
+
+#: Leaves of a payload: one row per image and one per category of a served post.
+LEAVES = """
+SELECT x.*, 'image' AS leaf, i.imageId AS leafId, NULL AS leafOf, base64(i.image_data) AS content,
+       CAST(i.isFrontPage AS VARCHAR) AS kind
+FROM served_post x JOIN ann_image i ON i.postId = x.id
+UNION ALL
+SELECT x.*, 'category', c.id, q.id, concat_ws('|', q.question, c.name), concat_ws('|', q.inputType, c.categoryType)
+FROM served_post x JOIN ann_question q ON q.studyId = x.studyId JOIN ann_categories c ON c.questionId = q.id"""
+
+POST_FIELDS = """p.id, p.pageName, p.pageLink, p.postLink, p.details, p.likesCount, p.commentsCount,
+         p.sharesCount, p.studyId, s.name AS studyName, p.socialName"""
+
+
+def leaves(payload, keys: list[str]):
+    """A payload's rows with one line per image and per category."""
+    flat = [*keys, "id", "pageName", "pageLink", "postLink", "details", "likesCount", "commentsCount",
+            "sharesCount", "studyId", "studyName", "socialName"]
+    img = payload.select(*flat, F.explode("images").alias("i")).select(
+        *flat, F.lit("image").alias("leaf"), F.col("i.imageId").alias("leafId"),
+        F.lit(None).cast("bigint").alias("leafOf"), F.col("i.image_data").alias("content"),
+        F.col("i.isFrontPage").cast("string").alias("kind"))
+    cat = payload.select(*flat, F.explode("questions").alias("q")).select(
+        *flat, "q", F.explode("q.categories").alias("c")).select(
+        *flat, F.lit("category"), F.col("c.id"), F.col("q.id"), F.concat_ws("|", "q.question", "c.name"),
+        F.concat_ws("|", "q.inputType", "c.categoryType"))
+    return img.union(cat)
 
 
 # ---- Spark side helpers ---------------------------------------------------------
@@ -107,94 +141,75 @@ def _served(t):
 
 # ---- registrations ------------------------------------------------------------------
 @register("post_rater_counts", """
-SELECT postId, COUNT(DISTINCT userId) AS raters FROM ann_classification GROUP BY postId""")
+SELECT postId, count(*) AS raters FROM (SELECT DISTINCT postId, userId FROM ann_classification) GROUP BY ALL""")
 def _q_post_rater_counts(t, spark, sf):
     return P.post_rater_counts(t["classification"])
 
 
-@register("study_completion", f"""
-SELECT s.id AS studyId, s.name AS studyName, s.minClassificationsPerPost, s.maxClassificationsPerUser,
-       COUNT(DISTINCT p.id) AS totalPosts,
-       CAST(SUM(CASE WHEN {RATERS} >= s.minClassificationsPerPost THEN 1 ELSE 0 END) AS BIGINT) AS completedPosts,
-       CAST(SUM(CASE WHEN {RATERS} < s.minClassificationsPerPost THEN 1 ELSE 0 END) AS BIGINT) AS remainingPosts
-FROM ann_study s LEFT JOIN ann_post p ON p.studyId = s.id
-GROUP BY s.id, s.name, s.minClassificationsPerPost, s.maxClassificationsPerUser""")
+@register("study_completion", "WITH " + CROWD.strip() + """
+SELECT studyId, studyName, floor_ AS minClassificationsPerPost, cap AS maxClassificationsPerUser,
+       posts AS totalPosts, complete AS completedPosts, open_ AS remainingPosts FROM standing""")
 def _q_study_completion(t, spark, sf):
     return P.study_completion(t["study"], t["post"], t["classification"])
 
 
-@register("user_available_posts", "WITH " + PROGRESS_CTE.strip() + """
-SELECT userId, studyId, CAST(rawAvail AS BIGINT) AS rawAvailablePostsForUser FROM Prog""")
+@register("user_available_posts", "WITH " + CROWD.strip() + """
+SELECT m.userId, m.studyId, open_ - coalesce(n, 0) AS rawAvailablePostsForUser
+FROM ann_user_study m JOIN standing USING (studyId)
+LEFT JOIN touched ON touched.userId = m.userId AND touched.studyId = m.studyId""")
 def _q_user_available_posts(t, spark, sf):
     return P.user_available_posts(t["user_study"], t["study"], t["post"], t["classification"])
 
 
-@register("user_done_posts", """
-SELECT c.userId, q.studyId, COUNT(DISTINCT c.postId) AS userDonePosts
-FROM ann_classification c JOIN ann_question q ON q.id = c.questionId GROUP BY c.userId, q.studyId""")
+@register("user_done_posts", "WITH " + FINISHED.strip() + """
+SELECT userId, studyId, n AS userDonePosts FROM finished""")
 def _q_user_done_posts(t, spark, sf):
     return P.user_done_posts(t["classification"], t["question"])
 
 
-@register("study_progress", "WITH " + PROGRESS_CTE.strip() + """
-SELECT userId, studyId, studyName, CAST(totalPosts AS BIGINT) AS totalPosts,
-       CAST(completedPosts AS BIGINT) AS completedPosts, CAST(remainingPosts AS BIGINT) AS remainingPosts,
-       CAST(CASE WHEN maxC IS NOT NULL THEN GREATEST(0, LEAST(rawAvail, GREATEST(0, maxC - userDonePosts)))
-                 ELSE rawAvail END AS BIGINT) AS availablePostsForUser,
-       CAST(userDonePosts AS BIGINT) AS userDonePosts,
-       COALESCE(minC, 0) AS minClassificationsPerPost, maxC AS maxClassificationsPerUser,
-       CAST(CASE WHEN maxC IS NOT NULL THEN GREATEST(0, maxC - userDonePosts) END AS BIGINT) AS userRemainingLimit,
-       CAST(CASE WHEN totalPosts > 0 THEN ROUND(CAST(completedPosts AS DOUBLE) / totalPosts * 100) ELSE 0 END
-            AS BIGINT) AS completionPercentage
-FROM Prog""")
+@register("study_progress", progress_sql("ann_user_study") + "SELECT * FROM progress")
 def _q_study_progress(t, spark, sf):
     return P.study_progress(t["user_study"], t["study"], t["post"], t["classification"], t["question"])
 
 
-@register("user_quota", f"""
-SELECT us.userId, us.studyId,
-       CAST({DONE_SUB.format(user="us.userId")} AS BIGINT) AS totalPostsDone,
-       CAST({QUOTA_EXPR.format(done=DONE_SUB.format(user="us.userId"))} AS BIGINT) AS quota,
-       (s.maxClassificationsPerUser IS NOT NULL
-        AND s.maxClassificationsPerUser - {DONE_SUB.format(user="us.userId")} <= 0) AS limitReached
-FROM ann_user_study us JOIN ann_study s ON s.id = us.studyId""")
+@register("user_quota", "WITH " + FINISHED.strip() + f"""
+SELECT m.userId, m.studyId, coalesce(finished.n, 0) AS totalPostsDone,
+       CAST({ALLOWANCE} AS BIGINT) AS quota, coalesce(cap <= coalesce(finished.n, 0), false) AS limitReached
+FROM ann_user_study m JOIN (SELECT id AS studyId, maxClassificationsPerUser AS cap FROM ann_study) USING (studyId)
+LEFT JOIN finished ON finished.userId = m.userId AND finished.studyId = m.studyId""")
 def _q_user_quota(t, spark, sf):
     return P.user_quota(t["user_study"], t["study"], t["classification"], t["question"])
 
 
-@register("default_study", "WITH " + RESOLVED_CTE.strip() + """
-SELECT userId, requestedStudyId, includeClassified, defaultStudyId, refusal, targetStudyId FROM Targets""")
+@register("default_study", "WITH " + REQUESTS + """
+SELECT userId, requestedStudyId, includeClassified, defaultStudyId, refusal, targetStudyId FROM target""")
 def _q_default_study(t, spark, sf):
     return _resolved(t)
 
 
-@register("next_posts", "WITH " + NEXT_POSTS_CTE.strip() + """
-SELECT userId, studyId, postId, CAST(feedRank AS BIGINT) AS feedRank FROM Served""")
+@register("next_posts", "WITH " + SERVED + """
+SELECT userId, studyId, postId, feedRank FROM served""")
 def _q_next_posts(t, spark, sf):
     return _served(t)
 
 
-@register("history", "WITH " + HISTORY_CTE.strip() + """
-SELECT userId, studyId, studyName, postId, createdAtMax FROM Hist""")
+@register("history", "WITH " + PAST.strip() + """
+SELECT userId, studyId, (SELECT name FROM ann_study s WHERE s.id = studyId) AS studyName, postId, createdAtMax
+FROM past""")
 def _q_history(t, spark, sf):
     return P.history(t["classification"], t["post"], t["study"])
 
 
-@register("feed_status", "WITH " + NEXT_POSTS_CTE.strip() + "," + HISTORY_CTE.strip() + """,
-NServed AS (SELECT userId, COUNT(*) AS n FROM Served GROUP BY userId),
-NHist AS (SELECT h.userId, COUNT(*) AS n FROM Hist h JOIN Targets t
-          ON t.userId = h.userId AND t.targetStudyId = h.studyId GROUP BY h.userId)
-SELECT t.userId, t.targetStudyId,
-       CASE WHEN t.refusal IS NOT NULL THEN t.refusal
-            WHEN t.includeClassified THEN CASE WHEN COALESCE(nh.n, 0) > 0 THEN 'ok' ELSE 'no_history' END
-            WHEN q.maxC IS NOT NULL AND q.quota = 0 THEN 'limit_reached'
-            WHEN COALESCE(ns.n, 0) = 0 THEN 'none_available' ELSE 'ok' END AS status,
-       CAST(CASE WHEN t.refusal IS NOT NULL THEN 0
-                 WHEN t.includeClassified THEN COALESCE(nh.n, 0) ELSE COALESCE(ns.n, 0) END AS BIGINT) AS nPosts
-FROM Targets t
-LEFT JOIN Quota q ON q.userId = t.userId AND q.studyId = t.targetStudyId
-LEFT JOIN NServed ns ON ns.userId = t.userId
-LEFT JOIN NHist nh ON nh.userId = t.userId""")
+@register("feed_status", "WITH " + SERVED + "," + PAST + """
+SELECT userId, targetStudyId,
+       CASE WHEN refusal IS NOT NULL THEN refusal
+            WHEN includeClassified THEN if(old_ > 0, 'ok', 'no_history')
+            WHEN cap IS NOT NULL AND allowance = 0 THEN 'limit_reached'
+            ELSE if(new_ > 0, 'ok', 'none_available') END AS status,
+       CASE WHEN refusal IS NOT NULL THEN 0 WHEN includeClassified THEN old_ ELSE new_ END AS nPosts
+FROM (SELECT t.*, (SELECT count(*) FROM served v WHERE v.userId = t.userId) AS new_,
+             (SELECT count(*) FROM past h WHERE h.userId = t.userId AND h.studyId = t.studyId) AS old_
+      FROM target t)""")
 def _q_feed_status(t, spark, sf):
     resolved = _resolved(t)
     quota = _quota_for_targets(t, resolved)
@@ -224,76 +239,47 @@ def _q_study_questionnaire(t, spark, sf):
         F.col("c.name").alias("name"), F.col("c.categoryType").alias("categoryType"))
 
 
-@register("feed_payload", "WITH " + NEXT_POSTS_CTE.strip() + """
-SELECT sv.userId, CAST(sv.feedRank AS BIGINT) AS feedRank, p.id, p.pageName, p.pageLink, p.postLink,
-       p.details, p.likesCount, p.commentsCount, p.sharesCount, p.studyId, s.name AS studyName, p.socialName,
-       CAST((SELECT COUNT(*) FROM ann_image i WHERE i.postId = p.id) AS BIGINT) AS nImages,
-       CAST((SELECT COUNT(*) FROM ann_question q WHERE q.studyId = p.studyId) AS BIGINT) AS nQuestions,
-       CAST((SELECT COUNT(*) FROM ann_categories c JOIN ann_question q ON q.id = c.questionId
-             WHERE q.studyId = p.studyId) AS BIGINT) AS nCategories
-FROM Served sv JOIN ann_post p ON p.id = sv.postId JOIN ann_study s ON s.id = p.studyId""")
+@register("feed_payload", "WITH " + SERVED + f""",
+served_post AS (
+  SELECT v.userId, v.feedRank, {POST_FIELDS}
+  FROM served v JOIN ann_post p ON p.id = v.postId JOIN ann_study s ON s.id = p.studyId)""" + LEAVES)
 def _q_feed_payload(t, spark, sf):
     pay = FD.feed_payload(_served(t), t["post"], t["study"], t["image"], t["question"], t["categories"])
-    n_cat = F.aggregate("questions", F.lit(0), lambda acc, q: acc + F.size(q["categories"]))
-    return pay.select("userId", "feedRank", "id", "pageName", "pageLink", "postLink", "details", "likesCount",
-                      "commentsCount", "sharesCount", "studyId", "studyName", "socialName",
-                      F.size("images").cast("bigint").alias("nImages"),
-                      F.size("questions").cast("bigint").alias("nQuestions"),
-                      n_cat.cast("bigint").alias("nCategories"))
+    return leaves(pay, ["userId", "feedRank"])
 
 
 LEGACY_PAGE = {"viewer": VIEWER["username"], "page": 2, "limit": 10}
 
 
 @register("legacy_posts_page", f"""
-WITH Mem AS (SELECT us.studyId AS study_id, u.username AS user_name
-             FROM ann_user_study us JOIN ann_user u ON u.id = us.userId),
-Mine AS (SELECT p.id, p.pageName, IFNULL(p.details, '') AS details, p.likesCount, p.commentsCount,
-                p.sharesCount, p.studyId
-         FROM ann_post p
-         WHERE p.studyId IN (SELECT study_id FROM Mem WHERE user_name = '{LEGACY_PAGE["viewer"]}')),
-Page AS (SELECT * FROM Mine
-         ORDER BY md5(concat_ws(':', '{SEED}', '{LEGACY_PAGE["viewer"]}', id)), id
-         LIMIT {LEGACY_PAGE["limit"]} OFFSET {(LEGACY_PAGE["page"] - 1) * LEGACY_PAGE["limit"]})
-SELECT Page.*, (SELECT COUNT(*) FROM Mine) AS total FROM Page""")
+WITH pool AS (
+  SELECT p.*, count(*) OVER () AS total,
+         row_number() OVER (ORDER BY md5(concat_ws(':', '{SEED}', '{LEGACY_PAGE["viewer"]}', p.id)), p.id) AS turn
+  FROM ann_post p SEMI JOIN (ann_user_study us JOIN ann_user u ON u.id = us.userId
+                             AND u.username = '{LEGACY_PAGE["viewer"]}') ON us.studyId = p.studyId)
+SELECT pool.id, pageName, coalesce(details, '') AS details, likesCount, commentsCount, sharesCount, studyId, total,
+       imageId, base64(image_data) AS image_data, isFrontPage
+FROM pool LEFT JOIN ann_image ON ann_image.postId = pool.id
+WHERE turn > {(LEGACY_PAGE["page"] - 1) * LEGACY_PAGE["limit"]} AND turn <= {LEGACY_PAGE["page"] * LEGACY_PAGE["limit"]}""")
 def _q_legacy_posts_page(t, spark, sf):
     mem = (t["user_study"].join(t["user"].select(F.col("id").alias("userId"), "username"), "userId")
            .select(F.col("studyId").alias("study_id"), F.col("username").alias("user_name")))
-    return FD.legacy_posts_page(t["post"], mem, LEGACY_PAGE["viewer"], LEGACY_PAGE["page"], LEGACY_PAGE["limit"],
-                                SEED)
-
-
-@register("study_progress_user", "WITH " + PROGRESS_CTE.strip().replace(
-    "FROM ann_user_study us JOIN", f"FROM (SELECT * FROM ann_user_study WHERE userId = {VIEWER['id']}) us JOIN") + """
-SELECT userId, studyId, studyName, CAST(totalPosts AS BIGINT) AS totalPosts,
-       CAST(completedPosts AS BIGINT) AS completedPosts, CAST(remainingPosts AS BIGINT) AS remainingPosts,
-       CAST(CASE WHEN maxC IS NOT NULL THEN GREATEST(0, LEAST(rawAvail, GREATEST(0, maxC - userDonePosts)))
-                 ELSE rawAvail END AS BIGINT) AS availablePostsForUser,
-       CAST(userDonePosts AS BIGINT) AS userDonePosts,
-       COALESCE(minC, 0) AS minClassificationsPerPost, maxC AS maxClassificationsPerUser,
-       CAST(CASE WHEN maxC IS NOT NULL THEN GREATEST(0, maxC - userDonePosts) END AS BIGINT) AS userRemainingLimit,
-       CAST(CASE WHEN totalPosts > 0 THEN ROUND(CAST(completedPosts AS DOUBLE) / totalPosts * 100) ELSE 0 END
-            AS BIGINT) AS completionPercentage
-FROM Prog""")
+    page = FD.legacy_posts_page(t["post"], t["image"], mem, LEGACY_PAGE["viewer"], LEGACY_PAGE["page"],
+                                LEGACY_PAGE["limit"], SEED)
+    rows = [c for c in page.columns if c != "images"]
+    return page.select(*rows, F.explode_outer("images").alias("i")).select(
+        *rows, F.col("i.imageId").alias("imageId"), F.col("i.image_data").alias("image_data"),
+        F.col("i.isFrontPage").alias("isFrontPage"))
+
+
+@register("study_progress_user", progress_sql(f"(FROM ann_user_study WHERE userId = {VIEWER['id']})") + "SELECT * FROM progress")
 def _q_study_progress_user(t, spark, sf):
     """Progress of every study of one user (the reference's per-request shape)."""
     mine = t["user_study"].filter(F.col("userId") == F.lit(VIEWER["id"]))
-    return P.study_progress(mine, t["study"], t["post"], t["classification"], t["question"])
-
-
-@register("feed_progress", "WITH " + RESOLVED_CTE.strip() + ",\n" + PROGRESS_CTE.strip().replace(
-    "FROM ann_user_study us JOIN",
-    "FROM (SELECT userId, targetStudyId AS studyId FROM Targets WHERE targetStudyId IS NOT NULL) us JOIN") + """
-SELECT userId, studyId, studyName, CAST(totalPosts AS BIGINT) AS totalPosts,
-       CAST(completedPosts AS BIGINT) AS completedPosts, CAST(remainingPosts AS BIGINT) AS remainingPosts,
-       CAST(CASE WHEN maxC IS NOT NULL THEN GREATEST(0, LEAST(rawAvail, GREATEST(0, maxC - userDonePosts)))
-                 ELSE rawAvail END AS BIGINT) AS availablePostsForUser,
-       CAST(userDonePosts AS BIGINT) AS userDonePosts,
-       COALESCE(minC, 0) AS minClassificationsPerPost, maxC AS maxClassificationsPerUser,
-       CAST(CASE WHEN maxC IS NOT NULL THEN GREATEST(0, maxC - userDonePosts) END AS BIGINT) AS userRemainingLimit,
-       CAST(CASE WHEN totalPosts > 0 THEN ROUND(CAST(completedPosts AS DOUBLE) / totalPosts * 100) ELSE 0 END
-            AS BIGINT) AS completionPercentage
-FROM Prog""")
+    return P.study_progress(mine, t["study"], t["post"], t["classification"], t["question"], few_users=True)
+
+
+@register("feed_progress", progress_sql("(SELECT userId, studyId FROM target WHERE refusal IS NULL)", REQUESTS.replace("finished", "answered") + ",\n") + "SELECT * FROM progress")
 def _q_feed_progress(t, spark, sf):
     """The progress object of every accepted feed request (its target study)."""
     pairs = _resolved(t).filter(F.col("targetStudyId").isNotNull()).select(
@@ -301,46 +287,25 @@ def _q_feed_progress(t, spark, sf):
     return P.study_progress(pairs, t["study"], t["post"], t["classification"], t["question"])
 
 
-@register("history_payload", "WITH " + RESOLVED_CTE.strip() + "," + HISTORY_CTE.strip() + """
-SELECT h.userId, h.createdAtMax, p.id, p.pageName, p.pageLink, p.postLink, p.details, p.likesCount,
-       p.commentsCount, p.sharesCount, p.studyId, h.studyName, p.socialName,
-       CAST((SELECT COUNT(*) FROM ann_image i WHERE i.postId = p.id) AS BIGINT) AS nImages,
-       CAST((SELECT COUNT(*) FROM ann_question q WHERE q.studyId = p.studyId) AS BIGINT) AS nQuestions
-FROM Hist h JOIN Targets t ON t.userId = h.userId AND t.targetStudyId = h.studyId
-JOIN ann_post p ON p.id = h.postId
-WHERE t.refusal IS NULL AND t.includeClassified""")
+@register("history_payload", "WITH " + REQUESTS + "," + PAST + f""",
+served_post AS (
+  SELECT h.userId, h.createdAtMax, {POST_FIELDS}
+  FROM past h JOIN target t ON t.userId = h.userId AND t.targetStudyId = h.studyId
+  JOIN ann_post p ON p.id = h.postId JOIN ann_study s ON s.id = p.studyId
+  WHERE t.refusal IS NULL AND t.includeClassified)""" + LEAVES)
 def _q_history_payload(t, spark, sf):
     hist = P.history(t["classification"], t["post"], t["study"])
     pay = FD.history_payload(_resolved(t), hist, t["post"], t["study"], t["image"], t["question"], t["categories"])
-    return pay.select("userId", "createdAtMax", "id", "pageName", "pageLink", "postLink", "details", "likesCount",
-                      "commentsCount", "sharesCount", "studyId", "studyName", "socialName",
-                      F.size("images").cast("bigint").alias("nImages"),
-                      F.size("questions").cast("bigint").alias("nQuestions"))
-
-
-@register("progress_request", "WITH " + PROGRESS_CTE.strip().replace(
-    "FROM ann_user_study us JOIN",
-    "FROM (SELECT r.userId, r.requestedStudyId AS studyId FROM ann_feed_request r "
-    "WHERE r.requestedStudyId IS NOT NULL AND EXISTS (SELECT 1 FROM ann_user_study m "
-    "WHERE m.userId = r.userId AND m.studyId = r.requestedStudyId)) us JOIN") + """,
-R AS (
-  SELECT r.userId, r.requestedStudyId,
-         CASE WHEN r.requestedStudyId IS NULL THEN 'missing_study'
-              WHEN NOT EXISTS (SELECT 1 FROM ann_user_study m WHERE m.userId = r.userId
-                               AND m.studyId = r.requestedStudyId) THEN 'forbidden' END AS refusal
-  FROM ann_feed_request r)
-SELECT R.userId, R.requestedStudyId, R.refusal, p.studyName, CAST(p.totalPosts AS BIGINT) AS totalPosts,
-       CAST(p.completedPosts AS BIGINT) AS completedPosts, CAST(p.remainingPosts AS BIGINT) AS remainingPosts,
-       CAST(CASE WHEN p.maxC IS NOT NULL THEN GREATEST(0, LEAST(p.rawAvail, GREATEST(0, p.maxC - p.userDonePosts)))
-                 ELSE p.rawAvail END AS BIGINT) AS availablePostsForUser,
-       CAST(p.userDonePosts AS BIGINT) AS userDonePosts,
-       CASE WHEN p.userId IS NULL THEN NULL ELSE COALESCE(p.minC, 0) END AS minClassificationsPerPost,
-       p.maxC AS maxClassificationsPerUser,
-       CAST(CASE WHEN p.maxC IS NOT NULL THEN GREATEST(0, p.maxC - p.userDonePosts) END AS BIGINT) AS userRemainingLimit,
-       CAST(CASE WHEN p.userId IS NULL THEN NULL WHEN p.totalPosts > 0
-                 THEN ROUND(CAST(p.completedPosts AS DOUBLE) / p.totalPosts * 100) ELSE 0 END AS BIGINT)
-         AS completionPercentage
-FROM R LEFT JOIN Prog p ON p.userId = R.userId AND p.studyId = R.requestedStudyId""")
+    return leaves(pay, ["userId", "createdAtMax"])
+
+
+@register("progress_request", progress_sql("(SELECT userId, requestedStudyId AS studyId FROM ann_feed_request)") + """
+SELECT r.userId, r.requestedStudyId,
+       CASE WHEN r.requestedStudyId IS NULL THEN 'missing_study' WHEN u.userId IS NULL THEN 'forbidden' END AS refusal,
+       p.* EXCLUDE (userId, studyId)
+FROM ann_feed_request r
+LEFT JOIN ann_user_study u ON u.userId = r.userId AND u.studyId = r.requestedStudyId
+LEFT JOIN progress p ON p.userId = u.userId AND p.studyId = u.studyId""")
 def _q_progress_request(t, spark, sf):
     """The progress route for every user's request (the feed request mapping)."""
     return P.progress_requests(t["feed_request"], t["user_study"], t["study"], t["post"], t["classification"],

@@ -44,5 +44,4 @@ def test_user_score_example(spark):
     study = spark.createDataFrame([(1, "s", 3, None, 50)], "id bigint, name string, minClassificationsPerPost int, "
                                   "maxClassificationsPerUser int, validationAgreementPercent int")
     user = spark.createDataFrame([(1, "ana")], "id bigint, username string")
-    v = C.validated_labels(cls, post, study)
-    assert [tuple(r) for r in C.stats_user(cls, user, v, "ana").collect()] == [(12.5, 7.5)]
+    assert [tuple(r) for r in C.stats_user(cls, user, post, study, "ana").collect()] == [(12.5, 7.5)]

@@ -75,8 +75,7 @@ def test_properties_on_driver_data(spark):
 def test_stats_user_unknown_user_gives_zeros(spark):
     cls = _votes(spark, [1, 1, 1])
     user = spark.createDataFrame([(0, "a")], "id bigint, username string")
-    v = C.validated_labels(cls, _post(spark), _study(spark, 1, 10))
-    r = C.stats_user(cls, user, v, "nobody").collect()
+    r = C.stats_user(cls, user, _post(spark), _study(spark, 1, 10), "nobody").collect()
     assert [tuple(x) for x in r] == [(0.0, 0.0)]
 
 

@@ -107,7 +107,7 @@ def test_next_posts_chunked_candidates_match_brute_force(spark, monkeypatch):
                        key=lambda p: (hashlib.md5(f"42:{p}".encode()).hexdigest(), p))
     m = len(remaining)
     for u, quota in ((1, 10), (2, 4), (3, 10)):
-        off = int(hashlib.md5(f"42:{u}".encode()).hexdigest()[:8], 16) % m
+        off = int(hashlib.md5(f"42:{u}".encode()).hexdigest()[:15], 16) % m
         walk = [remaining[(off + s) % m] for s in range(m)]
         want = [p for p in walk if p not in done[u]][:quota]
         assert [p for _, p in sorted(got.get(u, []))] == want
