@@ -1,13 +1,14 @@
-"""Post import from scraped tweets (the reference's import route and scripts).
+"""Post import from scraped tweets (import route and scripts).
 
 Field mapping (fixed): url -> postLink, user.url -> pageLink (null-safe),
 username -> pageName, id -> postId, text -> details, likes / replies /
 retweets -> likes / comments / sharesCount, socialName 'Twitter'.  The API
 import stores isRetweet = 0; the script import takes the tweet's flag.  A
 tweet fails when its JSON is malformed or id, url or username is missing; the
-batch outcome is an error only when every tweet failed.  Local post ids are
-``base + position`` along (studyId, postId, postLink): exact, gap-free and
-computed without a single-task window.
+batch outcome is an error only when every tweet failed; failed tweets are rows of
+``import_rejects`` with their reason.  A post's local id is a 60-bit hash of
+(studyId, postId, postLink): the same in any batch or stream, and no row has to
+move for it.
 """
 
 from __future__ import annotations
@@ -15,15 +16,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ranking import global_position
-
 SOCIAL_NAME = "Twitter"
 CREATED, ERROR = "created", "error"
 
 
+def reject_reason() -> F.Column:
+    """Why a tweet cannot be imported; null if it can."""
+    return (F.when(F.col("_corrupt_record").isNotNull(), F.lit("malformed"))
+            .when(F.col("id").isNull(), F.lit("missing_id"))
+            .when(F.col("url").isNull(), F.lit("missing_url"))
+            .when(F.col("username").isNull(), F.lit("missing_username")))
+
+
 def tweet_valid(raw: DataFrame) -> F.Column:
-    return (F.col("_corrupt_record").isNull() & F.col("id").isNotNull() & F.col("url").isNotNull()
-            & F.col("username").isNotNull())
+    return reject_reason().isNull()
+
+
+def import_rejects(raw: DataFrame) -> DataFrame:
+    """Tweets that are not imported, with the reason and the malformed record."""
+    return raw.withColumn("reason", reject_reason()).filter(F.col("reason").isNotNull()).select(
+        F.col("id").alias("postId"), F.col("url").alias("postLink"), F.col("username").alias("pageName"),
+        "studyId", "reason", F.col("_corrupt_record").alias("record"))
+
+
+def local_id(study: F.Column, post: F.Column, link: F.Column) -> F.Column:
+    digest = F.md5(F.concat_ws(":", study.cast("string"), post, link))
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")
 
 
 def import_rows(raw: DataFrame, study_id: int | None = None, keep_retweet_flag: bool = False) -> DataFrame:
@@ -39,12 +57,10 @@ def import_rows(raw: DataFrame, study_id: int | None = None, keep_retweet_flag:
         F.col("images"))
 
 
-def import_posts(raw: DataFrame, study_id: int | None = None, keep_retweet_flag: bool = False,
-                 id_base: int = 0) -> DataFrame:
-    """Post rows with local ids ``id_base + 1 ...`` (images kept for ``post_images``)."""
+def import_posts(raw: DataFrame, study_id: int | None = None, keep_retweet_flag: bool = False) -> DataFrame:
+    """Post rows with local ids (images kept for ``post_images``)."""
     rows = import_rows(raw, study_id, keep_retweet_flag)
-    pos = global_position(rows, ["studyId", "postId", "postLink"], "_pos")
-    return pos.select((F.col("_pos") + F.lit(id_base + 1)).alias("id"), *[c for c in rows.columns])
+    return rows.select(local_id(F.col("studyId"), F.col("postId"), F.col("postLink")).alias("id"), *rows.columns)
 
 
 def post_images(posts: DataFrame) -> DataFrame:

@@ -33,26 +33,30 @@ def studies_by_owner(study: DataFrame, owner: str | None = None) -> DataFrame:
 
 
 def studies_of_user(user_study: DataFrame, study: DataFrame, user_id: int | None = None) -> DataFrame:
-    """Membership joined with the study, newest first; all users when no id."""
+    """Membership joined with the study, newest first; all users, unordered, when no id."""
     us = user_study if user_id is None else user_study.filter(F.col("userId") == F.lit(user_id))
     s = study.select(F.col("id").alias("studyId"), "name", "obs", "createdAt")
-    return (us.join(s, "studyId").select("userId", F.col("studyId").alias("id"), "name", "obs", "createdAt")
-            .orderBy("userId", F.col("createdAt").desc(), "id"))
+    rows = us.join(s, "studyId").select("userId", F.col("studyId").alias("id"), "name", "obs", "createdAt")
+    return rows if user_id is None else rows.orderBy(F.col("createdAt").desc(), "id")
 
 
 def questions_of_study(question: DataFrame, study: DataFrame, study_id: int | None = None) -> DataFrame:
     """Questions with their study name (left join), newest first."""
     q = question if study_id is None else question.filter(F.col("studyId") == F.lit(study_id))
     s = study.select(F.col("id").alias("studyId"), F.col("name").alias("studyName"))
-    return q.join(s, "studyId", "left").select(
-        "id", "question", *[c for c in ("content", "inputType") if c in q.columns], "studyId", "studyName")
+    return _newest_questions(q.join(s, "studyId", "left"))
+
+
+def _newest_questions(q: DataFrame) -> DataFrame:
+    """Questions are a dimension table: a few rows per study, sorted for display."""
+    return q.select("id", "question", *[c for c in ("content", "inputType") if c in q.columns], "studyId",
+                    "studyName", "createdAt").orderBy(F.col("createdAt").desc(), "id")
 
 
 def questions_by_owner(question: DataFrame, study: DataFrame, owner: str) -> DataFrame:
     s = study.filter(F.col("addedBy") == F.lit(owner)).select(F.col("id").alias("studyId"),
                                                               F.col("name").alias("studyName"))
-    return question.join(s, "studyId").select(
-        "id", "question", *[c for c in ("content", "inputType") if c in question.columns], "studyId", "studyName")
+    return _newest_questions(question.join(s, "studyId"))
 
 
 def categories_by_owner(categories: DataFrame, question: DataFrame, study: DataFrame,

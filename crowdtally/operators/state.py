@@ -1,8 +1,7 @@
 """Classification state: validation of submissions, replace semantics, views.
 
 A *submission* is one request body: (submissionId, userId, postId,
-questionId, categoryIds[], sentimentoCategoryIds[], createdAt).  Rules (the
-reference's classification handlers, restated):
+questionId, categoryIds[], sentimentoCategoryIds[], createdAt).  Rules :
 
 * a body without postId or questionId (JavaScript falsy: null or 0) is
   rejected, then one with no category at all;
@@ -13,9 +12,8 @@ reference's classification handlers, restated):
 * the per-user view lists category ids per (post, question) in ascending id
   order where a 'sentimento' category replaces the list built so far.
 
-Winners are found with aggregates (map-side partial ``max_by``/``min``), not
-windows, so a (user, post, question) resubmitted very often is still combined
-per task.
+Winners of bodies are found with aggregates (map-side partial ``max_by``/``min``),
+so a (user, post, question) resubmitted very often is still combined per task.
 """
 
 from __future__ import annotations
@@ -141,15 +139,12 @@ def legacy_classified_posts(log: DataFrame, categories: DataFrame) -> DataFrame:
 
 def current_from_log(rows: DataFrame) -> DataFrame:
     """The same replace rule on a stored flat log (one row per category): rows
-    of the latest (createdAt, submissionId) per (user, post, question), where a
-    submission's time is the latest of its rows.  ``rank() = 1`` keeps every row
-    of the winning submission; Spark keeps only rank-1 rows per task before the
-    shuffle (WindowGroupLimit), so a hot key is cut down map-side.  The first
-    window spans one submission's rows only (bounded by its categories)."""
+    of the latest submission of each (user, post, question), where a submission's
+    time is the latest of its rows.  The largest (time, submission) over a key's
+    rows is that of the winning submission, so one window over the key is enough:
+    one exchange and one sort of the log."""
     ok = rows.filter(~_js_missing(F.col("postId")) & ~_js_missing(F.col("questionId"))
                      & F.col("categoryId").isNotNull())
-    body = Window.partitionBy(*UPQ, "submissionId")
-    ok = ok.withColumn("createdAt", F.max("createdAt").over(body))
-    w = Window.partitionBy(*UPQ).orderBy(F.col("createdAt").desc(), F.col("submissionId").desc())
-    return (ok.withColumn("_r", F.rank().over(w)).filter(F.col("_r") == 1)
-            .select(*UPQ, "categoryId", "createdAt", "submissionId"))
+    newest = F.max(F.struct("createdAt", "submissionId")).over(Window.partitionBy(*UPQ))
+    return (ok.withColumn("_w", newest).filter(F.col("submissionId") == F.col("_w.submissionId"))
+            .select(*UPQ, "categoryId", F.col("_w.createdAt").alias("createdAt"), "submissionId"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import ingest as IN
 from ..session import ensure_checkpoint_dir
 from ..sources.tables import load_tables, read_table, write_tables
-from ..sources.tweets import tweet_feed
+from ..sources.tweets import ID_BASE, tweet_feed, tweets_from_documents
 from .registry import register
 
 TWEETS_CTE = """
@@ -27,18 +27,21 @@ Tw AS (
          doc_id % 5 AS studyId
   FROM documents),
 Imported AS (
-  SELECT ROW_NUMBER() OVER (ORDER BY studyId, id, url) AS localId, *
+  SELECT CAST('0x' || left(md5(studyId || ':' || id || ':' || url), 15) AS BIGINT) AS localId, *
   FROM Tw WHERE id IS NOT NULL AND url IS NOT NULL AND username IS NOT NULL)"""
 
 
 def _raw(spark, sf):
-    return tweet_feed(spark, read_table(spark, sf, "documents"))
+    """Tweets as the JSON reader delivers them, without the files in between."""
+    t = tweets_from_documents(read_table(spark, sf, "documents"))
+    return t.withColumns({"_corrupt_record": F.lit(None).cast("string"),
+                          "studyId": (F.col("id").cast("bigint") - F.lit(ID_BASE)) % 5})
 
 
 @register("read_posts_json", "WITH " + TWEETS_CTE.strip() + """
 SELECT id, url, username, text, likes, replies, retweets, isRetweet, userUrl, timestamp, nImages FROM Tw""")
 def _q_read_posts_json(t, spark, sf):
-    r = _raw(spark, sf)
+    r = tweet_feed(spark, read_table(spark, sf, "documents"))
     n = F.coalesce(F.size("images"), F.lit(0))
     return r.select("id", "url", "username", "text", "likes", "replies", "retweets", "isRetweet",
                     F.col("user.url").alias("userUrl"), "timestamp",
@@ -72,6 +75,14 @@ def _q_post_images(t, spark, sf):
     return IN.post_images(IN.import_posts(_raw(spark, sf)))
 
 
+@register("import_rejects", "WITH " + TWEETS_CTE.strip() + """
+SELECT id AS postId, url AS postLink, username AS pageName, studyId, 'missing_username' AS reason,
+       CAST(NULL AS VARCHAR) AS record
+FROM Tw WHERE username IS NULL""")
+def _q_import_rejects(t, spark, sf):
+    return IN.import_rejects(_raw(spark, sf))
+
+
 @register("import_summary", "WITH " + TWEETS_CTE.strip() + """,
 S AS (SELECT studyId,
              COUNT(*) FILTER (WHERE id IS NOT NULL AND url IS NOT NULL AND username IS NOT NULL) AS inserted,

@@ -30,9 +30,11 @@ def _q_stream_classifications(t, spark, sf):
     root = _scratch(spark, "stream-cls")
     src, state, ckpt = (os.path.join(root, x) for x in ("source", "state", "checkpoint"))
     bodies = submission_bodies(t["submission"], t["categories"])
-    # Several files, each a micro-batch: the merge across versions is exercised.
-    bodies.repartition(4, "submissionId").write.parquet(src)
-    q = J.classification_stream(spark, src, state, ckpt, max_files=1)
+    # As many files as the session shuffles to, a quarter of them in each micro-batch:
+    # the merge across versions is exercised.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bodies.repartition(parts, "submissionId").write.parquet(src)
+    q = J.classification_stream(spark, src, state, ckpt, max_files=max(1, parts // 4), buckets=parts)
     q.awaitTermination()
     return J.current_state(spark, state).select(*J.STATE_COLUMNS)
 
@@ -41,10 +43,7 @@ ORACLES["stream_classifications"] = ORACLES["current_classifications"]
 
 
 @register("stream_timeline", """
-WITH D AS (SELECT user_id, date_trunc('day', ts) AS d FROM events)
-SELECT user_id AS userId, strftime(d, '%Y-%m-%d') AS date, COUNT(*) AS count FROM D
-WHERE d + INTERVAL 1 DAY <= (SELECT MAX(ts) FROM events) - INTERVAL 1 HOUR
-GROUP BY user_id, d""")
+SELECT user_id AS userId, CAST(ts::DATE AS VARCHAR) AS date, count(*) AS count FROM events GROUP BY ALL""")
 def _q_stream_timeline(t, spark, sf):
     root = _scratch(spark, "stream-timeline")
     events = read_table(spark, sf, "events")
@@ -53,7 +52,7 @@ def _q_stream_timeline(t, spark, sf):
     q = J.timeline_stream(spark, src, os.path.join(root, "sink"), os.path.join(root, "checkpoint"),
                           events.schema, watermark="1 hour")
     q.awaitTermination()
-    return spark.read.parquet(os.path.join(root, "sink")).select("userId", "date", "count")
+    return J.current_timeline(spark, os.path.join(root, "sink"))
 
 
 @register("stream_posts", "WITH " + TWEETS_CTE.strip() + """

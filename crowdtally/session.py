@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 DEFAULT_CONF = {
@@ -14,6 +11,7 @@ DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -39,24 +37,18 @@ def get_spark(app: str = "crowdtally", master: str | None = None,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the reliable checkpoint folder, setting a scratch one only in local mode.
+    """The folder for reliable checkpoints and scratch tables.
 
-    On a cluster ``spark.checkpoint.dir`` must name a shared folder; a
-    machine-local temp folder would not survive the loss of an executor.
+    It is what ``spark.checkpoint.dir`` names (or what the context was given); where
+    neither is set, a folder below the SQL warehouse, which executors share as well.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
-    if current:
-        return current
-    conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if conf_dir:
-        sc.setCheckpointDir(conf_dir)
-        return sc.getCheckpointDir()
-    if not sc.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must point to a shared folder on a cluster")
-    scratch = tempfile.mkdtemp(prefix="crowdtally-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-    sc.setCheckpointDir(scratch)
-    return sc.getCheckpointDir()
+    if not current:
+        wanted = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+        sc.setCheckpointDir(wanted or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
+        current = sc.getCheckpointDir()
+    return current
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

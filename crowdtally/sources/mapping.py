@@ -17,15 +17,19 @@ null limits and empty feeds all occur at sf0.01):
 * users = suppliers; type 'investigator' when id % 10 < 2, else 'user'
 * membership: user and study ids of equal parity
 * posts = parts, study = id % 5; images per post = p_size % 4, third one null
-* three questions per study (j = 0 radio 'sentimento', 1 and 2 checkbox
-  'tematicas'), three categories per question named 'A', 'N', 'R'
-* submissions = lineitems; category from l_returnflag A/N/R
+* three questions per study (j = 0 radio, 1 and 2 checkbox), created 2 - j days
+  after the study; three categories per question named 'A', 'N', 'R'; of type
+  'sentimento' are A and R of j = 0 and N of j = 1, the others 'tematicas'
+* submissions = lineitems; category from l_returnflag A/N/R; orders divisible by
+  11 tick the next category as well (a second row), those by 97 none (null)
 * feed requests: one per user; study id % 5 asked for unless id % 3 = 0 (then
   none, i.e. the default study); history mode when id % 4 = 1
 """
 
 from __future__ import annotations
 
+import weakref
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,26 +75,27 @@ FROM (SELECT p_partkey AS postId, p_name, unnest(range(CAST(p_size % 4 AS BIGINT
     "ann_question": """
 SELECT s.id * 3 + q.j + 1 AS id, s.id AS studyId, q.j AS j,
   concat('Q', CAST(q.j AS VARCHAR)) AS question,
-  CASE WHEN q.j = 0 THEN 'radio' ELSE 'checkbox' END AS inputType
+  CASE WHEN q.j = 0 THEN 'radio' ELSE 'checkbox' END AS inputType,
+  s.createdAt + to_days(CAST(2 - q.j AS INTEGER)) AS createdAt
 FROM ann_study s CROSS JOIN (SELECT 0 AS j UNION ALL SELECT 1 UNION ALL SELECT 2) q""",
     "ann_categories": """
 SELECT q.id * 3 + k.k AS id, k.name AS name,
-  CASE WHEN q.j = 0 THEN 'sentimento' ELSE 'tematicas' END AS categoryType, q.id AS questionId
+  CASE WHEN (q.j = 0 AND k.k <> 1) OR (q.j = 1 AND k.k = 1) THEN 'sentimento' ELSE 'tematicas' END AS categoryType,
+  q.id AS questionId
 FROM ann_question q CROSS JOIN (SELECT 0 AS k, 'A' AS name UNION ALL SELECT 1, 'N' UNION ALL SELECT 2, 'R') k""",
     "ann_submission": """
-SELECT l_orderkey AS submissionId, l_suppkey AS userId, l_partkey AS postId,
-  (l_partkey % 5) * 3 + (l_linenumber % 3) + 1 AS questionId,
-  ((l_partkey % 5) * 3 + (l_linenumber % 3) + 1) * 3
-    + CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS categoryId,
+SELECT l_orderkey AS submissionId, l_suppkey AS userId, l_partkey AS postId, q AS questionId,
+  CASE WHEN l_orderkey % 97 <> 0 THEN q * 3 + (strpos('ANR', l_returnflag) - 1 + again) % 3 END AS categoryId,
   l_shipdate AS createdAt
-FROM lineitem""",
+FROM (SELECT *, (l_partkey % 5) * 3 + (l_linenumber % 3) + 1 AS q FROM lineitem)
+JOIN (SELECT 0 AS again UNION ALL SELECT 1) ON again = 0 OR l_orderkey % 11 = 0""",
     "ann_feed_request": """
 SELECT id AS userId, CASE WHEN id % 3 = 0 THEN NULL ELSE id % 5 END AS requestedStudyId,
   (id % 4 = 1) AS includeClassified
 FROM ann_user""",
     "ann_classification": """
 SELECT userId, postId, questionId, categoryId, max(createdAt) AS createdAt
-FROM ann_submission GROUP BY userId, postId, questionId, categoryId""",
+FROM ann_submission WHERE categoryId IS NOT NULL GROUP BY userId, postId, questionId, categoryId""",
 }
 
 VIEW_ORDER = ["ann_study", "ann_user", "ann_user_study", "ann_post", "ann_image",
@@ -174,20 +179,24 @@ def _image(part: DataFrame) -> DataFrame:
 
 
 def _question(study: DataFrame) -> DataFrame:
-    q = study.select(F.col("id").alias("studyId"), F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("j"))
+    q = study.select(F.col("id").alias("studyId"), F.col("createdAt").alias("_made"),
+                     F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("j"))
     return q.select(
         (F.col("studyId") * 3 + F.col("j") + 1).alias("id"), "studyId", "j",
         F.concat(F.lit("Q"), F.col("j").cast("string")).alias("question"),
         F.when(F.col("j") == 0, F.lit("radio")).otherwise(F.lit("checkbox")).alias("inputType"),
+        (F.col("_made") + F.make_dt_interval(days=2 - F.col("j"))).alias("createdAt"),
     )
 
 
 def _categories(question: DataFrame) -> DataFrame:
     names = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(n).alias("name")) for k, n in enumerate("ANR")])
     c = question.select(F.col("id").alias("questionId"), "j", F.explode(names).alias("kn"))
+    j, k = F.col("j"), F.col("kn.k")
     return c.select(
-        (F.col("questionId") * 3 + F.col("kn.k")).alias("id"), F.col("kn.name").alias("name"),
-        F.when(F.col("j") == 0, F.lit("sentimento")).otherwise(F.lit("tematicas")).alias("categoryType"),
+        (F.col("questionId") * 3 + k).alias("id"), F.col("kn.name").alias("name"),
+        F.when(((j == 0) & (k != 1)) | ((j == 1) & (k == 1)), F.lit("sentimento")).otherwise(F.lit("tematicas"))
+        .alias("categoryType"),
         "questionId",
     )
 
@@ -195,11 +204,14 @@ def _categories(question: DataFrame) -> DataFrame:
 def _submission(lineitem: DataFrame) -> DataFrame:
     q = (F.col("l_partkey") % 5) * 3 + (F.col("l_linenumber") % 3) + 1
     flag = (F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2))
+    ticks = F.when(F.col("l_orderkey") % 11 == 0, F.array(flag, (flag + 1) % 3)).otherwise(F.array(flag))
     return lineitem.select(
         F.col("l_orderkey").alias("submissionId"), F.col("l_suppkey").alias("userId"),
-        F.col("l_partkey").alias("postId"), q.alias("questionId"),
-        (q * 3 + flag).alias("categoryId"), F.col("l_shipdate").alias("createdAt"),
-    )
+        F.col("l_partkey").alias("postId"), q.alias("questionId"), F.explode(ticks).alias("_tick"),
+        F.col("l_shipdate").alias("createdAt"),
+    ).select("submissionId", "userId", "postId", "questionId",
+             F.when(F.col("submissionId") % 97 != 0, F.col("questionId") * 3 + F.col("_tick")).alias("categoryId"),
+             "createdAt")
 
 
 def _feed_request(user: DataFrame) -> DataFrame:
@@ -211,17 +223,21 @@ def _feed_request(user: DataFrame) -> DataFrame:
 
 def classification_from_submissions(submission: DataFrame) -> DataFrame:
     """Distinct answer rows; partial aggregation keeps the shuffle small."""
-    return (submission.groupBy("userId", "postId", "questionId", "categoryId")
+    return (submission.where(F.col("categoryId").isNotNull())
+            .groupBy("userId", "postId", "questionId", "categoryId")
             .agg(F.max("createdAt").alias("createdAt")))
 
 
 def submission_bodies(submission: DataFrame, categories: DataFrame) -> DataFrame:
     """Request bodies: the rows of one (submissionId, user, post, question), thematic
-    ids in ``categoryIds`` and sentiment ids in ``sentimentoCategoryIds``."""
+    ids in ``categoryIds`` and sentiment ids in ``sentimentoCategoryIds``.
+
+    The rows are dealt by (user, post, question), which is enough for this grouping
+    and for the latest state, so both need this one exchange only."""
     c = categories.select(F.col("id").alias("categoryId"), "categoryType")
     j = submission.join(c, "categoryId", "left")
     pick = lambda t: F.sort_array(F.collect_list(F.when(F.col("categoryType") == t, F.col("categoryId"))))
-    return (j.groupBy("submissionId", "userId", "postId", "questionId")
+    return (j.repartition("userId", "postId", "questionId").groupBy("submissionId", "userId", "postId", "questionId")
             .agg(pick("tematicas").alias("categoryIds"), pick("sentimento").alias("sentimentoCategoryIds"),
                  F.max("createdAt").alias("createdAt")))
 
@@ -235,18 +251,18 @@ def legacy_bodies(bodies: DataFrame, question: DataFrame, user: DataFrame) -> Da
                     F.col("username").alias("userId"), "createdAt"))
 
 
-_BUILT: dict[tuple, dict[str, DataFrame]] = {}
+_BUILT: "weakref.WeakKeyDictionary[SparkSession, dict]" = weakref.WeakKeyDictionary()
 
 
 def annotation_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """All annotation tables for one scale-factor folder, as lazy DataFrames.
 
-    Built once per session and folder, like registering views: the frames are
-    plans, not data, so every query still reads the files."""
-    key = (spark.sparkContext.applicationId, id(spark), sf_dir)
-    if key not in _BUILT:
-        _BUILT[key] = _build_tables(spark, sf_dir)
-    return dict(_BUILT[key])
+    Built once per session object and folder, like registering views: the frames
+    are plans, not data, so every query still reads the files."""
+    built = _BUILT.setdefault(spark, {})
+    if sf_dir not in built:
+        built[sf_dir] = _build_tables(spark, sf_dir)
+    return dict(built[sf_dir])
 
 
 def _build_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:

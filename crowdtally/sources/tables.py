@@ -81,7 +81,9 @@ def write_tables(tables: dict[str, DataFrame], base: str, mode: str = "overwrite
         path = os.path.join(base, name)
         w = df.write.mode(mode)
         if parts:
-            w = w.partitionBy(*parts)
+            # Rebalanced by the partition column: large studies are split over tasks and
+            # small ones share them, so the number of files follows the data.
+            w = df.hint("rebalance", *parts).write.mode(mode).partitionBy(*parts)
         w.parquet(path)
         written.append(path)
     return written

@@ -1,16 +1,18 @@
 """Structured Streaming jobs for arriving classifications, events and posts.
 
 * ``classification_stream``: submission files -> ``foreachBatch`` merge into the
-  current-state snapshot.  Every micro-batch writes a new snapshot version
-  ``<state>/epoch=<id>`` computed from the previous committed version and the
-  batch only, so re-running a batch after a failure rewrites the same folder
-  with the same rows (idempotent); winners are picked by
-  (createdAt, submissionId), never by arrival.
-* ``timeline_stream``: per-user daily counts on event time with a watermark;
-  windows are emitted once the watermark passes them, rows later than the
-  watermark are dropped.
-* ``post_stream``: tweet JSON files -> post rows and image manifest, stateless
-  except for the id base taken from the previous committed output.
+  current state.  The state is dealt into buckets by a hash of (user, post,
+  question).  A micro-batch rewrites only the buckets it touches, into the folder
+  of its epoch, and then commits a small table that names each bucket's epoch.  It
+  is computed from the previous commit and the batch only, so re-running a batch
+  after a failure gives the same state; winners are picked by (createdAt,
+  submissionId), never by arrival.  Bucket folders that neither of the last two
+  commits names are deleted.
+* ``timeline_stream``: per-user daily counts on event time with a watermark, in
+  update mode: every batch writes the days it changed, also the open ones; rows
+  later than the watermark are dropped.
+* ``post_stream``: tweet JSON files -> post rows, image manifest and rejects;
+  stateless, as ids are hashes.
 
 All sinks and checkpoints go to folders the caller names (shared storage on
 a cluster).
@@ -57,55 +59,105 @@ def _epoch_path(root: str, epoch: int) -> str:
 
 
 # ---- classifications -------------------------------------------------------------
-def merge_current(previous: DataFrame | None, bodies: DataFrame) -> DataFrame:
-    """New current state from the previous state rows and a batch of bodies."""
-    rows = ST.explode_submissions(bodies).select(*STATE_COLUMNS)
-    if previous is None:
-        both = rows
-    else:
-        # A body seen again (a replayed batch) replaces its earlier copy: idempotent.
-        keys = ["userId", "postId", "questionId", "submissionId"]
-        kept = previous.select(*STATE_COLUMNS).join(bodies.select(*keys), keys, "left_anti")
-        both = kept.unionByName(rows)
-    latest = (both.groupBy("userId", "postId", "questionId")
-              .agg(F.max(F.struct("createdAt", "submissionId")).alias("_w"))
-              .select("userId", "postId", "questionId", F.col("_w.createdAt").alias("createdAt"),
-                      F.col("_w.submissionId").alias("submissionId")))
-    return both.join(latest, ["userId", "postId", "questionId", "createdAt", "submissionId"], "left_semi")
-
-
-def classification_batch_writer(state_root: str):
+UPQ = ["userId", "postId", "questionId"]
+
+
+def _latest(bodies: DataFrame) -> DataFrame:
+    """One row per key: its latest body; of copies of a body, that of the later epoch."""
+    body = F.struct("createdAt", "submissionId", "epoch", "cats")
+    win = bodies.groupBy("bucket", *UPQ).agg(
+        F.max_by(body, F.struct("createdAt", "submissionId", "epoch")).alias("w"))
+    return win.select("bucket", *UPQ, "w.createdAt", "w.submissionId", "w.epoch", "w.cats")
+
+
+def _commits(spark: SparkSession, state_root: str) -> list[int]:
+    return committed_epochs(spark, os.path.join(state_root, "commits"))
+
+
+def _committed(spark: SparkSession, state_root: str, epoch: int) -> dict[int, int]:
+    """bucket -> epoch of its rows, as of a commit (one row per bucket)."""
+    rows = spark.read.parquet(_epoch_path(os.path.join(state_root, "commits"), epoch)).collect()
+    return {r["bucket"]: r["at"] for r in rows}
+
+
+def _bucket_paths(state_root: str, places: dict[int, int]) -> list[str]:
+    return [os.path.join(_epoch_path(os.path.join(state_root, "data"), e), f"bucket={b}")
+            for b, e in sorted(places.items())]
+
+
+def _read_buckets(spark: SparkSession, state_root: str, places: dict[int, int]) -> DataFrame:
+    return (spark.read.option("basePath", os.path.join(state_root, "data")).schema(STATE_SCHEMA)
+            .parquet(*_bucket_paths(state_root, places)).drop("epoch")
+            .withColumn("epoch", F.col("bodyEpoch")).drop("bodyEpoch"))
+
+
+def classification_batch_writer(state_root: str, buckets: int = 64):
     def write(batch: DataFrame, epoch_id: int) -> None:
         spark = batch.sparkSession
-        prior = [e for e in committed_epochs(spark, state_root) if e < epoch_id]
-        prev = spark.read.parquet(_epoch_path(state_root, prior[-1])) if prior else None
-        merge_current(prev, batch).write.mode("overwrite").parquet(_epoch_path(state_root, epoch_id))
+        rows = (ST.valid_submissions(batch)
+                .select(F.pmod(F.xxhash64(*UPQ), F.lit(buckets)).cast("int").alias("bucket"), *UPQ, "createdAt",
+                        "submissionId", F.lit(epoch_id).cast("bigint").alias("epoch"),
+                        ST._all_categories().alias("cats")))
+        new = _latest(rows).persist()
+        touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]
+        done = [e for e in _commits(spark, state_root) if e < epoch_id]
+        places = _committed(spark, state_root, done[-1]) if done else {}
+        old = {b: e for b, e in places.items() if b in set(touched)}
+        both = _latest(_read_buckets(spark, state_root, old).unionByName(new)) if old else new
+        target = _epoch_path(os.path.join(state_root, "data"), epoch_id)
+        (both.withColumnRenamed("epoch", "bodyEpoch").repartition("bucket")
+         .write.mode("overwrite").partitionBy("bucket").parquet(target))
+        new.unpersist()
+        now = places | {b: epoch_id for b in touched}
+        (spark.createDataFrame(sorted(now.items()), "bucket int, at bigint").coalesce(1)
+         .write.mode("overwrite").parquet(_epoch_path(os.path.join(state_root, "commits"), epoch_id)))
+        _drop_unnamed(spark, state_root, [places, now], done[:-1], epoch_id)
 
     return write
 
 
+def _drop_unnamed(spark: SparkSession, state_root: str, named: list[dict[int, int]], old_commits: list[int],
+                  epoch_id: int) -> None:
+    """Delete bucket folders that none of the ``named`` commits uses, and older commits."""
+    fs, _, jvm = _fs(spark, state_root)
+    path = jvm.org.apache.hadoop.fs.Path
+    kept = {p for places in named for p in _bucket_paths("", places)}
+    for e in old_commits:
+        before = _committed(spark, state_root, e)
+        for p in _bucket_paths("", before):
+            if p not in kept:
+                fs.delete(path(os.path.join(state_root, p)), True)
+        fs.delete(path(_epoch_path(os.path.join(state_root, "commits"), e)), True)
+
+
 def classification_stream(spark: SparkSession, source: str, state_root: str, checkpoint: str,
-                          fmt: str = "parquet", available_now: bool = True, max_files: int | None = None):
-    """Start the submission stream; returns the StreamingQuery."""
+                          fmt: str = "parquet", available_now: bool = True, max_files: int | None = None,
+                          buckets: int = 64):
+    """Start the submission stream; returns the StreamingQuery.  ``buckets`` must stay
+    the same for a state; choose it so that a bucket is a few hundred megabytes."""
     r = spark.readStream.schema(schemas.SUBMISSION).format(fmt)
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)
-    w = (r.load(source).writeStream.foreachBatch(classification_batch_writer(state_root))
+    w = (r.load(source).writeStream.foreachBatch(classification_batch_writer(state_root, buckets))
          .option("checkpointLocation", checkpoint))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
     return w.start()
 
 
 def current_state(spark: SparkSession, state_root: str) -> DataFrame:
-    """The latest committed snapshot."""
-    eps = committed_epochs(spark, state_root)
-    if not eps:
+    """The rows of the latest commit, one per category."""
+    commits = _commits(spark, state_root)
+    places = _committed(spark, state_root, commits[-1]) if commits else {}
+    if not places:
         return spark.createDataFrame([], ST_SCHEMA)
-    return spark.read.parquet(_epoch_path(state_root, eps[-1]))
+    return _read_buckets(spark, state_root, places).select(
+        *UPQ, F.explode("cats").alias("categoryId"), "createdAt", "submissionId")
 
 
 ST_SCHEMA = "userId bigint, postId bigint, questionId bigint, categoryId bigint, createdAt timestamp_ntz, " \
             "submissionId bigint"
+STATE_SCHEMA = "epoch bigint, bucket int, userId bigint, postId bigint, questionId bigint, " \
+               "createdAt timestamp_ntz, submissionId bigint, bodyEpoch bigint, cats array<bigint>"
 
 
 # ---- timeline ------------------------------------------------------------------
@@ -122,7 +174,7 @@ def utc_instant(ntz):
 def timeline_stream(spark: SparkSession, source: str, sink: str, checkpoint: str, schema,
                     user_col: str = "user_id", ts_col: str = "ts", watermark: str = "1 hour",
                     fmt: str = "parquet", max_files: int | None = None):
-    """Daily per-user counts on event time, appended when a day's window closes."""
+    """Daily per-user counts on event time; each batch writes the days it changed."""
     r = spark.readStream.schema(schema).format(fmt)
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)
@@ -132,31 +184,39 @@ def timeline_stream(spark: SparkSession, source: str, sink: str, checkpoint: str
            .groupBy("userId", F.window("ts", "1 day").alias("w"))
            .agg(F.count(F.lit(1)).alias("count"))
            .select("userId", F.date_format(day, "yyyy-MM-dd").alias("date"), "count"))
-    return (agg.writeStream.outputMode("append").format("parquet").option("path", sink)
+
+    def write(batch: DataFrame, epoch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(_epoch_path(sink, epoch_id))
+
+    return (agg.writeStream.outputMode("update").foreachBatch(write)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
+def current_timeline(spark: SparkSession, sink: str) -> DataFrame:
+    """The latest count of every (user, day)."""
+    rows = read_epochs(spark, sink)
+    return rows.groupBy("userId", "date").agg(F.max_by("count", "epoch").alias("count"))
+
+
 # ---- posts ---------------------------------------------------------------------------
 def post_batch_writer(out_root: str, keep_retweet_flag: bool = False):
     def write(batch: DataFrame, epoch_id: int) -> None:
-        spark = batch.sparkSession
-        prior = [e for e in committed_epochs(spark, os.path.join(out_root, "posts")) if e < epoch_id]
-        base = 0
-        if prior:
-            prev = spark.read.parquet(*[_epoch_path(os.path.join(out_root, "posts"), e) for e in prior])
-            base = prev.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-        posts = IN.import_posts(batch, keep_retweet_flag=keep_retweet_flag, id_base=int(base))
-        posts = posts.cache()
-        IN.post_images(posts).write.mode("overwrite").parquet(_epoch_path(os.path.join(out_root, "images"), epoch_id))
-        posts.drop("images").write.mode("overwrite").parquet(_epoch_path(os.path.join(out_root, "posts"), epoch_id))
-        posts.unpersist()
+        def put(df: DataFrame, name: str) -> None:
+            df.write.mode("overwrite").parquet(_epoch_path(os.path.join(out_root, name), epoch_id))
+
+        raw = batch.persist()  # one parse for the three outputs
+        posts = IN.import_posts(raw, keep_retweet_flag=keep_retweet_flag)
+        put(IN.post_images(posts), "images")
+        put(IN.import_rejects(raw), "rejects")
+        put(posts.drop("images"), "posts")
+        raw.unpersist()
 
     return write
 
 
 def post_stream(spark: SparkSession, source: str, out_root: str, checkpoint: str, study_col: str = "studyId",
                 max_files: int | None = None, keep_retweet_flag: bool = False):
-    """Tweet JSON-lines files (one ``studyId`` per tweet) -> post and image folders."""
+    """Tweet JSON-lines files (one ``studyId`` per tweet) -> post, image and reject folders."""
     schema = StructType(list(schemas.TWEET.fields))  # copy: add() mutates
     if study_col not in schema.fieldNames():
         schema = schema.add(study_col, LongType(), True)
@@ -169,5 +229,6 @@ def post_stream(spark: SparkSession, source: str, out_root: str, checkpoint: str
 
 
 def read_epochs(spark: SparkSession, root: str) -> DataFrame:
+    """All committed epochs' rows, with the column ``epoch``."""
     eps = committed_epochs(spark, root)
-    return spark.read.parquet(*[_epoch_path(root, e) for e in eps])
+    return spark.read.option("basePath", root).parquet(*[_epoch_path(root, e) for e in eps])

@@ -11,9 +11,11 @@ SF_CHECK = "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from crowdtally.session import get_spark
 
-    s = get_spark("tests", master="local[4]", shuffle_partitions=4)
+    s = get_spark("tests", master="local[4]", shuffle_partitions=4, extra={
+        "spark.checkpoint.dir": str(tmp_path_factory.mktemp("checkpoints")),
+        "spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("warehouse"))})
     yield s
     s.stop()

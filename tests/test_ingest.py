@@ -1,9 +1,12 @@
 """Tweet JSON ingest on a hand-written array file (invented posts, reference shape)."""
 
+import hashlib
 import json
 import os
 import tempfile
 
+from pyspark.sql import functions as F
+
 from crowdtally.operators import ingest as IN
 from crowdtally.sources.tweets import read_posts_json
 
@@ -33,11 +36,15 @@ def test_read_array_file_and_import(spark):
     rows = {r.id: r for r in raw.collect()}
     assert len(rows) == 3 and rows["1880000000000000001"].text == "Olá, ação!\nlinha 2"
     assert rows["1880000000000000002"].images is None and rows["1880000000000000002"].user.url is None
-    posts = {r.postId: r for r in IN.import_posts(raw, study_id=17, id_base=100).collect()}
+    posts = {r.postId: r for r in IN.import_posts(raw, study_id=17).collect()}
     assert set(posts) == {"1880000000000000001", "1880000000000000002"}
     a = posts["1880000000000000001"]
-    assert (a.id, a.pageName, a.pageLink, a.isRetweet, a.socialName, a.studyId) == (101, "pagea", "https://x.com/a", 0,
-                                                                                  "Twitter", 17)
+    assert (a.pageName, a.pageLink, a.isRetweet, a.socialName, a.studyId) == ("pagea", "https://x.com/a", 0,
+                                                                              "Twitter", 17)
+    own = hashlib.md5(b"17:1880000000000000001:https://x.com/a/status/1").hexdigest()
+    assert a.id == int(own[:15], 16)
+    rejects = IN.import_rejects(raw.withColumn("studyId", F.lit(17))).collect()
+    assert [(r.postId, r.reason) for r in rejects] == [("1880000000000000003", "missing_url")]
     assert posts["1880000000000000002"].pageLink is None
     script = {r.postId: r.isRetweet for r in IN.import_posts(raw, study_id=17, keep_retweet_flag=True).collect()}
     assert script["1880000000000000001"] == 1

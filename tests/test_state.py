@@ -3,7 +3,7 @@
 import datetime as dt
 
 from crowdtally.operators import state as ST
-from crowdtally.streaming.jobs import merge_current
+from crowdtally.streaming import jobs as J
 
 BODY = ("submissionId bigint, userId bigint, postId bigint, questionId bigint, categoryIds array<bigint>, "
         "sentimentoCategoryIds array<bigint>, createdAt timestamp_ntz")
@@ -34,16 +34,18 @@ def test_same_time_tie_broken_by_submission_id(spark):
     assert sorted(x.categoryId for x in ST.current_classifications(b).collect()) == [2, 4]
 
 
-def test_current_is_idempotent_and_stream_merge_equals_batch(spark):
+def test_current_is_idempotent_and_stream_merge_equals_batch(spark, tmp_path):
     rows = [(i, i % 3, 5, 7, [i % 4], None, T0 + dt.timedelta(minutes=i % 5)) for i in range(1, 40)]
     b = _bodies(spark, rows)
     once = sorted(tuple(x) for x in ST.current_classifications(b).collect())
     first, second = _bodies(spark, rows[:20]), _bodies(spark, rows[20:])
-    merged = merge_current(merge_current(None, first), second)
-    again = merge_current(merged, second)
+    write = J.classification_batch_writer(str(tmp_path), buckets=4)
+    write(first, 0)
+    write(second, 1)
     cols = ["userId", "postId", "questionId", "categoryId", "createdAt", "submissionId"]
-    assert sorted(tuple(x) for x in merged.select(*cols).collect()) == once
-    assert sorted(tuple(x) for x in again.select(*cols).collect()) == once
+    assert sorted(tuple(x) for x in J.current_state(spark, str(tmp_path)).select(*cols).collect()) == once
+    write(second, 2)
+    assert sorted(tuple(x) for x in J.current_state(spark, str(tmp_path)).select(*cols).collect()) == once
 
 
 def test_sentiment_overwrite(spark):

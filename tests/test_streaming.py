@@ -36,10 +36,56 @@ def test_timeline_drops_rows_behind_the_watermark(spark):
     spark.createDataFrame([(1, d(2024, 1, 1, 5)), (2, d(2024, 1, 10, 13))], EV).coalesce(1) \
         .write.mode("append").parquet(src)
     run()
-    got = sorted(tuple(r) for r in spark.read.parquet(os.path.join(root, "sink")).collect())
+    got = sorted(tuple(r) for r in J.current_timeline(spark, os.path.join(root, "sink")).collect())
     # Jan 1 is late and dropped.  Jan 10 closed before the second file arrived, so
-    # user 2's Jan 10 row is late as well; Jan 11 is still open, so not emitted.
-    assert got == [(1, "2024-01-10", 1)]
+    # user 2's Jan 10 row is late as well; Jan 11 is still open and delivered.
+    assert got == [(1, "2024-01-10", 1), (1, "2024-01-11", 1)]
+
+
+def test_open_day_is_updated(spark):
+    root = _tmp()
+    src = os.path.join(root, "src")
+    d = dt.datetime
+    for n in range(3):
+        spark.createDataFrame([(1, d(2024, 1, 11, 12 + n))], EV).coalesce(1).write.mode("append").parquet(src)
+        J.timeline_stream(spark, src, os.path.join(root, "sink"), os.path.join(root, "ck"),
+                          spark.createDataFrame([], EV).schema).awaitTermination()
+        assert [tuple(r) for r in J.current_timeline(spark, os.path.join(root, "sink")).collect()] == [
+            (1, "2024-01-11", n + 1)]
+
+
+BODY = "submissionId bigint, userId bigint, postId bigint, questionId bigint, categoryIds array<bigint>, " \
+       "sentimentoCategoryIds array<bigint>, createdAt timestamp_ntz"
+
+
+def test_untouched_buckets_keep_their_files(spark):
+    root = _tmp()
+    src, state = os.path.join(root, "src"), os.path.join(root, "state")
+    t = dt.datetime
+
+    def send(*rows):
+        spark.createDataFrame(list(rows), BODY).coalesce(1).write.mode("append").parquet(src)
+        J.classification_stream(spark, src, state, os.path.join(root, "ck"), buckets=16).awaitTermination()
+        return sorted((r.userId, r.categoryId, r.submissionId) for r in J.current_state(spark, state).collect())
+
+    def files():
+        return {os.path.relpath(os.path.join(d, n), state) for d, _, ns in os.walk(os.path.join(state, "data"))
+                for n in ns if n.endswith(".parquet")}
+
+    first = [(u, u, 5, 6, [1, 2], None, t(2024, 1, 1)) for u in range(40)]
+    assert len(send(*first)) == 80
+    before = files()
+    now = send((100, 7, 5, 6, [3], [4], t(2024, 1, 2)))
+    assert [x for x in now if x[0] == 7] == [(7, 3, 100), (7, 4, 100)] and len(now) == 80
+    assert len(before - files()) == 0 and len(files() - before) == 1
+    # An older body and a copy of the newest change nothing; the third commit drops what
+    # the first alone named.
+    assert send((99, 7, 5, 6, [9], None, t(2023, 1, 2)), (100, 7, 5, 6, [3], [4], t(2024, 1, 2))) == now
+    assert len(before - files()) == 1
+    # A batch that is run again gives the same state.
+    batch = spark.createDataFrame([(99, 7, 5, 6, [9], None, t(2023, 1, 2))], BODY)
+    J.classification_batch_writer(state, 16)(batch, 2)
+    assert sorted((r.userId, r.categoryId, r.submissionId) for r in J.current_state(spark, state).collect()) == now
 
 
 def test_post_stream_over_several_batches_matches_batch_import(spark):
@@ -51,9 +97,11 @@ def test_post_stream_over_several_batches_matches_batch_import(spark):
                       max_files=1)
     q.awaitTermination()
     streamed = J.read_epochs(spark, os.path.join(root, "out", "posts"))
-    ids = sorted(r.id for r in streamed.select("id").collect())
-    assert ids == list(range(1, len(ids) + 1))                       # gap-free across batches
-    cols = ["postLink", "pageName", "details", "studyId"]
-    batch = IN.import_rows(tw.withColumn("_corrupt_record", F.lit(None).cast("string")))
+    cols = ["id", "postLink", "pageName", "details", "studyId"]      # ids do not depend on batches
+    whole = tw.withColumn("_corrupt_record", F.lit(None).cast("string"))
+    batch = IN.import_posts(whole)
+    assert batch.select("id").distinct().count() == batch.count()
+    rejects = J.read_epochs(spark, os.path.join(root, "out", "rejects"))
+    assert rejects.count() == IN.import_rejects(whole).count() > 0
     assert sorted(tuple(r) for r in streamed.select(*cols).collect()) == sorted(
         tuple(r) for r in batch.select(*cols).collect())
