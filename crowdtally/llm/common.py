@@ -139,8 +139,8 @@ class PieceCache:
     into their ids; pieces that ``whole`` tells go to ``encode_whole`` uncut.
     """
 
-    def __init__(self, split, encode, whole=None, encode_whole=None, limit: int = 1_300_000,
-                 limit_chars: int = 24_000_000, slice_chars: int = 1_000_000):
+    def __init__(self, split, encode, whole=None, encode_whole=None, limit: int = 300_000,
+                 limit_chars: int = 16_000_000, slice_chars: int = 1_000_000):
         self.split, self.encode = split, encode
         self.whole, self.encode_whole = whole, encode_whole
         self.limit, self.limit_chars, self.slice_chars = limit, limit_chars, slice_chars
