@@ -266,7 +266,8 @@ def nearest(vectors: DataFrame, k: int = K, query_step: int = QUERY_STEP, key: s
         keys, lows = points["key"].to_numpy(), points["low"].to_numpy()
         scores, at = search(x, lows, project(x, norm, matrix), q, project(q, None, matrix),
                             queries["least"].to_numpy(float), norm, more, limit)
-        found = [a[a >= 0] for a in at]
+        # What doesn't reach the home cell's k-th best can't be in the result.
+        found = [a[(a >= 0) & (s >= low)] for a, s, low in zip(at, scores, queries["least"])]
         return pd.DataFrame({"key": queries["key"].to_numpy(),
                              "names": [keys[a].tolist() for a in found],
                              "lows": [lows[a].tolist() for a in found],
@@ -314,12 +315,13 @@ def nearest(vectors: DataFrame, k: int = K, query_step: int = QUERY_STEP, key: s
 
     rest = (homes.join(bound, "key").select("key", "vec", "block", "least", "home")
             .mapInArrow(further, "key long, vec array<double>, block long, least double, cell long"))
-    both = near.unionByName(through(rest))
-    pairs = both.select("key", F.explode(F.arrays_zip("names", "lows", "scores")).alias("p")).select(
-        "key", F.col("p.names").alias("name"), F.col("p.lows").alias("low"),
-        F.col("p.scores").alias("score"))
-    best = (pairs.withColumn("n", F.row_number().over(
-        W.partitionBy("key").orderBy(F.desc("score"), "low"))).where(F.col("n") <= more))
+    # One short list per query and cell; each query's lists are merged as arrays.
+    both = near.unionByName(through(rest)).withColumn("p", F.transform(
+        F.arrays_zip("scores", "lows", "names"),
+        lambda x: F.struct((-x["scores"]).alias("far"), x["lows"].alias("low"), x["names"].alias("name"))))
+    best = both.groupBy("key").agg(F.flatten(F.collect_list("p")).alias("p")).select(
+        "key", F.explode(F.slice(F.array_sort("p"), 1, more)).alias("p")).select(
+        "key", (-F.col("p.far")).alias("score"), F.col("p.name").alias("name"))
     # Points back to ids; equal vectors have equal scores.
     named = (best.join(index.select(F.col("key").alias("name"), "ids"), "name")
              .groupBy("key").agg(F.collect_list(F.struct("score", "ids")).alias("found")))
