@@ -124,7 +124,7 @@ def target(symbols: list[str]) -> Transducer:
         aim, hit, kind = state
         if s == "target":
             return (REACH, 0, ""), ("aimed " + kind if hit else "other")
-        if s in ("insult", "threat"):
+        if s.endswith(("insult", "threat")):
             return ((max(0, aim - 1), 0, ""), "aimed " + s) if aim else ((0, REACH, s), s)
         left = max(0, hit - 1)
         return (max(0, aim - 1), left, kind if left else ""), s
