@@ -139,6 +139,9 @@ class PieceCache:
     into their ids; pieces that ``whole`` tells go to ``encode_whole`` uncut.
     """
 
+    #: Marks that end a word's pre-token and are one of their own at a piece's end.
+    marks = frozenset(".,;:!?")
+
     def __init__(self, split, encode, whole=None, encode_whole=None, limit: int = 300_000,
                  limit_chars: int = 16_000_000, slice_chars: int = 1_000_000):
         self.split, self.encode = split, encode
@@ -155,24 +158,28 @@ class PieceCache:
     def _fill(self, missing: list) -> None:
         """Ids of different pieces that follow a space."""
         later, inner, split = self.later, self.inner, self.split
-        words, cut = [], []
-        for p in missing:
-            (words if p.isalpha() else cut).append(p)
         if self.whole:
             uncut = [p for p in missing if not p.isascii() and self.whole(p)]
             if uncut:
                 later.update(zip(uncut, self.encode_whole([" " + p for p in uncut])))
-                words = [p for p in words if p not in later]
-                cut = [p for p in cut if p not in later]
+                missing = [p for p in missing if p not in later]
+        words, cut = [], []
+        for p in missing:
+            if p.isalpha():
+                words.append(p)
+            elif p[-1:] in self.marks and p[:-1].isalpha():
+                cut.append((p, p[:-1], [p[-1]]))
+            else:
+                parts = split(" " + p)
+                cut.append((p, parts[0][1:], parts[1:]))
         later.update(zip(words, self.encode([" " + p for p in words])))
         if cut:
-            parts = [split(" " + p) for p in cut]
-            firsts = [p for p in dict.fromkeys([x[0][1:] for x in parts]) if p not in later]
+            firsts = [p for p in dict.fromkeys([x[1] for x in cut]) if p not in later]
             later.update(zip(firsts, self.encode([" " + p for p in firsts])))
-            self._learn_inner([x[1:] for x in parts])
-            for p, x in zip(cut, parts):
-                if len(x) > 1:
-                    later[p] = later[x[0][1:]] + b"".join([inner[y] for y in x[1:]])
+            self._learn_inner([x[2] for x in cut])
+            for p, first, rest in cut:
+                later[p] = (later[first] + inner[rest[0]] if len(rest) == 1
+                            else later[first] + b"".join([inner[y] for y in rest]))
         self.chars += sum(map(len, missing))
 
     def _learn_inner(self, many: list[list[str]]) -> None:

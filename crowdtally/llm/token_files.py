@@ -50,7 +50,7 @@ from .common import PieceCache, checkpointed, map_columns, per_task, read, share
 
 #: Fixed value: how the tokenizer's byte-level pre-tokenizer cuts texts.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-CACHED = 1_000_000         # pieces and pre-tokens kept by a worker process
+CACHED = 1_700_000         # pieces and pre-tokens kept by a worker process
 FRAME_TOKENS = 1 << 18
 DOCS_PER_FILE = 4096       # at least, while that gives no more than MANY_FILES files
 MANY_FILES = 2000
@@ -107,7 +107,7 @@ def ids_cache(path: str, width: int = 4) -> PieceCache:
         merge, chars = tok.model.tokenize, dict(enumerate(byte_characters()))
         rare = re.compile("[\u0250-\U0010ffff]").search
         _CACHES[path, width] = PieceCache(regex.compile(PATTERN).findall, encode, rare,
-                                          encode_whole, limit=CACHED)
+                                          encode_whole, limit=CACHED, limit_chars=16 * CACHED)
     return _CACHES[path, width]
 
 
