@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ranking import position_in_group
+from ..session import cut_lineage
 
 # Fixed value: posts served per feed request.
 FEED_SIZE = 10
@@ -225,7 +226,8 @@ def next_posts(targets: DataFrame, post: DataFrame, study: DataFrame, classifica
     rem = status.filter((F.col("remaining") == 1) & F.col("postId").isNotNull()).select("studyId", "postId")
     ranked = position_in_group(rem, "studyId", [_hash_order(seed, "postId"), F.col("postId")], "pos")
     sizes = ranked.groupBy("studyId").agg(F.first("pos_n").alias("M"))
-    t = targets.filter(F.col("quota") > 0)
+    # One row per request, used three times below: their done counts are made once.
+    t = cut_lineage(targets.filter(F.col("quota") > 0))
     # The checkpointed permutation is the remaining set; only served users' answers count.
     done = (answers_of(classification, t).select("userId", "postId").distinct()
             .join(ranked.select("studyId", "postId"), "postId")
