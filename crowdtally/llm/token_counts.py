@@ -3,17 +3,16 @@
 Pre-tokens are runs of non-space characters with the piece model's word mark before
 them.  A pre-token's segmentation is the one with the best sum of piece scores; of
 equal ones, that with fewer tokens.  Forward scores are computed along a trie of the
-distinct pre-tokens: the best score and token count of a prefix belong to its trie
-node and are computed once for all pre-tokens that share it; a pre-token's result is
-its terminal node's.  Texts then only look their pre-tokens' terminal values up.
+distinct pre-tokens, walked depth first: the best score and token count of a prefix
+belong to its trie node and are computed once for all pre-tokens that share it; a
+pre-token's result is its terminal node's.  Texts then only look their pre-tokens' terminal values up.
 
 Piece scores come from the public piece model: the logarithm of Zipf's law over the
 rank its pieces have there (no tokenizer is trained).  A character that begins no
 known piece at its place costs one token for each of its UTF-8 bytes, at the lowest
 piece score less ``UNKNOWN`` each.
 
-Tries are built per slice of a batch for the pre-tokens not known yet and given up
-afterwards; results are kept in a bounded cache per worker process.
+Tries are walked per slice of a batch for the pre-tokens not known yet; results are kept in a bounded cache per worker process.
 
 Defined cases: a null or empty text, or one of spaces only, has no tokens and score
 zero; texts of any length are counted whole; rows are independent, so repeated rows
@@ -34,6 +33,7 @@ from .common import map_columns, per_task, read
 
 MARK = "▁"
 UNKNOWN = 10.0
+NO_ENDING = object()
 _COUNTERS: dict[str, "Counter"] = {}
 
 
@@ -53,9 +53,11 @@ def piece_scores(path: str) -> dict[str, float]:
 
 
 class Counter:
-    def __init__(self, scores: dict[str, float], limit: int = 600_000):
+    def __init__(self, scores: dict[str, float], limit: int = 1_200_000):
         self.scores, self.limit = scores, limit
-        self.longest = max(map(len, scores), default=1)
+        #: Every ending of a piece, with the score if it is a piece itself (else None).
+        self.endings: dict[str, float | None] = {p[k:]: None for p in scores for k in range(len(p))}
+        self.endings.update(scores)
         self.unknown = min(scores.values(), default=0.0) - UNKNOWN
         self.clear()
 
@@ -67,33 +69,41 @@ class Counter:
     def insert(self, words: list[str]) -> list[tuple[float, int]]:
         """Terminal (score, tokens) of each word, over one trie.
 
-        A node is (score, tokens, children by character); a word's path holds the nodes
-        of its prefixes, so a node looks back along the path for its best last piece."""
-        get, longest = self.scores.get, self.longest
-        root: tuple = (0.0, 0, {})
-        out = []
-        for word in words:
-            node, path = root, [root]
-            for end, c in enumerate(word, 1):
-                child = node[2].get(c)
-                if child is None:
-                    best, n = -math.inf, 0
-                    for start in range(max(0, end - longest), end):
-                        s = get(word[start:end])
-                        if s is not None:
-                            before = path[start]
-                            total, tokens = before[0] + s, before[1] + 1
-                            if total > best or (total == best and tokens < n):
-                                best, n = total, tokens
-                    if c not in self.scores:  # else the character is itself a piece
-                        size = len(c.encode("utf-8", "surrogatepass"))
-                        total, tokens = node[0] + size * self.unknown, node[1] + size
-                        if total > best:
-                            best, n = total, tokens
-                    child = node[2][c] = (best, n, {})
-                node = child
-                path.append(node)
-            out.append(node[:2])
+        Words are inserted in sorted order, which walks the trie depth first: the path
+        to the current node is kept, a word goes back to the node of the prefix that it
+        shares with the last one, and only its further characters make new nodes.  A
+        node looks back along the path for its best last piece, as far as some piece
+        ends with the characters passed."""
+        get, scores = self.endings.get, self.scores
+        best, count, last = [0.0], [0], ""  # of the nodes on the path; the root first
+        out: list[tuple[float, int]] = [(0.0, 0)] * len(words)
+        for k in sorted(range(len(words)), key=words.__getitem__):
+            word, shared = words[k], 0
+            for a, b in zip(word, last):
+                if a != b:
+                    break
+                shared += 1
+            del best[shared + 1:], count[shared + 1:]
+            for end in range(shared + 1, len(word) + 1):
+                top, tokens = -math.inf, 0
+                for start in range(end - 1, -1, -1):
+                    s = get(word[start:end], NO_ENDING)
+                    if s is NO_ENDING:
+                        break
+                    if s is not None:
+                        total = best[start] + s
+                        if total > top or (total == top and count[start] + 1 < tokens):
+                            top, tokens = total, count[start] + 1
+                c = word[end - 1]
+                if c not in scores:  # else the character is itself a piece
+                    size = len(c.encode("utf-8", "surrogatepass"))
+                    total = best[-1] + size * self.unknown
+                    if total > top:
+                        top, tokens = total, count[-1] + size
+                best.append(top)
+                count.append(tokens)
+            out[k] = best[-1], count[-1]
+            last = word
         return out
 
     def ids(self, words: list[str]) -> np.ndarray:
@@ -114,7 +124,7 @@ class Counter:
             ids = [self.known[w] if i is None else i for w, i in zip(words, ids)]
         return np.array(ids, np.int64)
 
-    def count(self, texts: list[str | None], slice_chars: int = 500_000):
+    def count(self, texts: list[str | None], slice_chars: int = 2_000_000):
         """(pre-tokens, tokens, score) of each text."""
         out, at = [], 0
         while at < len(texts):
