@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from ..session import cut_lineage, ensure_checkpoint_dir
 
 __all__ = ["read", "ship", "checkpointed", "shared_folder", "map_columns", "held_out_remainder",
-           "bounded_sample", "pieces", "PieceCache", "count_rows"]
+           "bounded_sample", "pieces", "PieceCache"]
 
 _SHIPPED = "_crowdtally_shipped"
 #: Rows of an Arrow batch: texts and id lists are long, so fewer than Spark's default.
@@ -58,10 +58,6 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def count_rows(df: DataFrame) -> int:
-    return df.count()
-
-
 def map_columns(df: DataFrame, needs: dict[str, Column], fn, fields: list[T.StructField],
                 keep: list[str] | None = None) -> DataFrame:
     """Append ``fields`` to the ``keep`` columns of ``df``, computed per Arrow batch.
@@ -76,8 +72,11 @@ def map_columns(df: DataFrame, needs: dict[str, Column], fn, fields: list[T.Stru
     new = {f.name.lower() for f in fields}
     kept = [c for c in (df.columns if keep is None else keep) if c.lower() not in new]
     tmp = {k: f"__need_{i}" for i, k in enumerate(needs)}
-    src = df.select(*[F.col(f"`{c}`") for c in kept], *[c.alias(tmp[k]) for k, c in needs.items()])
-    schema = T.StructType([src.schema[c] for c in kept] + fields)
+    # Plain names on the way, as Spark's call does not quote the names it is given.
+    src = df.select(*[F.col(f"`{c}`").alias(f"__kept_{i}") for i, c in enumerate(kept)],
+                    *[c.alias(tmp[k]) for k, c in needs.items()])
+    out = [T.StructField(f"__new_{i}", f.dataType) for i, f in enumerate(fields)]
+    schema = T.StructType([src.schema[f"__kept_{i}"] for i in range(len(kept))] + out)
     n_kept, names = len(kept), [f.name for f in schema.fields]
     factory = getattr(fn, "per_task", False)
     from pyspark.sql.pandas.types import to_arrow_type
@@ -91,7 +90,7 @@ def map_columns(df: DataFrame, needs: dict[str, Column], fn, fields: list[T.Stru
                 [b.column(i) for i in range(n_kept)]
                 + [pa.array(o, type=t) for o, t in zip(outs, types)], names=names)
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(run, schema).toDF(*kept, *[f.name for f in fields])
 
 
 def per_task(fn):
