@@ -95,3 +95,27 @@ def test_tokens_of_what_is_left(stages):
 
 def test_run_gives_the_last_stage(spark, stages):
     assert sorted(corpus_pipeline.run(spark, SF).collect()) == sorted(stages[5])
+
+
+WIDE = ("doc_id long, text string, lang string, source string, n_chars int, score string, fp string, spans int, "
+        "component_id string, `a.b` string")
+
+
+def test_stages_on_odd_tables(rows):
+    text = " ".join(f"word{i % 90}" for i in range(500))
+    data = [(1, text), (2, text), (1, text), (None, text), (3, None), (4, ""), (5, "you idiot scum moron trash"),
+            (None, None), (6, "mail a@b.cd"), (7, "x " * 50_000), (8, "   ")]
+    docs = rows(WIDE, *[(i, t, None, "s", 7, "clash", None, k, "clash", "dot") for k, (i, t) in enumerate(data)])
+    spark = docs.sparkSession
+    for n, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        assert stage(spark, docs.limit(0), SF).collect() == []
+        out = stage(spark, docs, SF)
+        if n < 4:
+            assert out.dtypes == docs.dtypes
+            rest = [r for r in out.collect() if r.doc_id in (7, 8)]
+            assert {r["a.b"] for r in rest} <= {"dot"} and {r.score for r in rest} <= {"clash"}
+        docs = spark.createDataFrame(out.collect(), out.schema)
+        got = sorted((r.doc_id for r in docs.collect()), key=lambda i: (i is None, i or 0))
+        # The insult goes, then all but one of each group (3 stands for the empty ones).
+        assert got == ([1, 1, 2, 3, 4, 6, 7, 8, None, None] if n == 0 else [1, 3, 6, 7])
+    assert {r.doc_id: r.n_tokens for r in docs.collect()}[3] == 0
