@@ -54,4 +54,6 @@ def position_in_group(df: DataFrame, group: str, order: list[Column | str], out:
     global); only one row per group is aggregated for the group offsets."""
     g = global_position(df, [F.col(group)] + list(order), "_g")
     starts = g.groupBy(group).agg(F.min("_g").alias("_start"), F.count(F.lit(1)).alias(f"{out}_n"))
+    # One row per group joins the rows: Spark broadcasts it below its size limit; beyond,
+    # it is a sort-merge join whose hot groups AQE splits.
     return g.join(starts, group).select(*df.columns, (F.col("_g") - F.col("_start")).alias(out), f"{out}_n")

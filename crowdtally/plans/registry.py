@@ -1,9 +1,8 @@
 """Registry of named queries: a Spark plan and the DuckDB oracle SQL for each key.
 
 Every Spark plan reads the whole driver tables through the annotation mapping;
-every oracle is written in the reference's own SQL shape (CTEs, RANK and
-self-joins, correlated subqueries) over the same mapping views, so the check
-compares two independent formulations.
+every oracle states the same rule as SQL of its own structure over the same mapping
+views, so the check compares two independent formulations.
 """
 
 from __future__ import annotations
