@@ -320,3 +320,34 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
         contaminated().alias("contaminated"))
+
+
+#: The query's rule in plain SQL: every window of every item joined to the documents' runs
+#: of as many words.
+ORACLE = r"""
+WITH cut AS (
+  SELECT kind, id, regexp_extract_all(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM (SELECT 'doc' AS kind, doc_id AS id, text FROM documents
+        UNION ALL SELECT 'item', item_id, text FROM benchmark)),
+windows AS (
+  SELECT DISTINCT id AS item_id, n, array_to_string(words[k:k + n - 1], ' ') AS gram
+  FROM (SELECT id, words, n, unnest(range(1, len(words) - n + 2)) AS k
+        FROM (SELECT id, words, least(13, len(words)) AS n FROM cut WHERE kind = 'item' AND len(words) > 0))),
+runs AS (
+  SELECT id AS doc_id, n, k, array_to_string(words[k:k + n - 1], ' ') AS gram
+  FROM (SELECT id, words, n, unnest(range(1, len(words) - n + 2)) AS k
+        FROM cut, (SELECT DISTINCT n FROM windows) WHERE kind = 'doc' AND len(words) >= n)),
+found AS (SELECT doc_id, k, n, item_id FROM runs JOIN windows USING (n, gram)),
+hit AS (
+  SELECT doc_id, count(DISTINCT place) AS n_hit
+  FROM (SELECT doc_id, unnest(range(k, k + n)) AS place FROM found) GROUP BY doc_id),
+named AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM found) GROUP BY doc_id)
+SELECT id AS doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
+       coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated
+FROM cut LEFT JOIN hit ON hit.doc_id = id LEFT JOIN named ON named.doc_id = id
+WHERE kind = 'doc'"""
