@@ -135,3 +135,13 @@ def test_query_against_brute_force_on_documents(spark):
                      sum(hit) > 0 and 20 * sum(hit) >= len(words)))
     got = result(D.query(spark, sf))
     assert got == sorted(want) and any(g[6] for g in got)
+
+
+def test_query_against_its_oracle(spark):
+    import duckdb
+    sf, db = "/root/testdata/sf0.001", duckdb.connect()
+    for t in ("documents", "benchmark"):
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    df = D.query(spark, sf)
+    want = db.execute(f"SELECT {', '.join(df.columns)} FROM ({D.ORACLE})").fetchall()
+    assert sorted(tuple(r) for r in df.collect()) == sorted(want)
