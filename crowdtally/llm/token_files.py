@@ -85,18 +85,20 @@ def ids_cache(path: str, width: int = 4) -> PieceCache:
         kind = {2: "H", 4: "I"}[width]
 
         packers = [struct.Struct(f"<{n}{kind}").pack for n in range(64)]
+        merge, chars = tok.model.tokenize, dict(enumerate(byte_characters()))
+        space = chars[32]
 
         def pack(ids: list[int]) -> bytes:
             n = len(ids)
             return packers[n](*ids) if n < 64 else struct.pack(f"<{n}{kind}", *ids)
 
-        def mapped(p: str) -> str:
-            if p.isascii() and p.isprintable():
-                return p.replace(" ", chars[32])
-            return p.encode().decode("latin-1").translate(chars)
-
         def encode(pretokens: list[str]) -> list[bytes]:
-            return [pack([t.id for t in merge(mapped(p))]) for p in pretokens]
+            out = []
+            for p in pretokens:  # mapped byte by byte; plain ASCII stays but for the space
+                mapped = (p.replace(" ", space) if p.isascii() and p.isprintable()
+                          else p.encode().decode("latin-1").translate(chars))
+                out.append(pack([t.id for t in merge(mapped)]))
+            return out
 
         def encode_whole(texts: list[str]) -> list[bytes]:
             return [pack(e.ids) for e in tok.encode_batch(texts, add_special_tokens=False)]
@@ -104,7 +106,6 @@ def ids_cache(path: str, width: int = 4) -> PieceCache:
         # Pieces are cut by the byte-level pre-tokenizer's pattern, mapped as it does and
         # given to the tokenizer's model.  Where Unicode tables could differ, the whole
         # tokenizer gets the piece uncut.
-        merge, chars = tok.model.tokenize, dict(enumerate(byte_characters()))
         rare = re.compile("[\u0250-\U0010ffff]").search
         _CACHES[path, width] = PieceCache(regex.compile(PATTERN).findall, encode, rare,
                                           encode_whole, limit=CACHED, limit_chars=16 * CACHED)
