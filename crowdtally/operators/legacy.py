@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ranking import dense_rank_global
-from .scores import ANON_PREFIX
+from .scores import ANON_PREFIX, two_places
 
 # Fixed value: minimum votes of a valid legacy category.
 LEGACY_MIN_VOTES = 3
@@ -81,5 +81,5 @@ def legacy_stats_all(log: DataFrame, viewer_username: str) -> DataFrame:
             .otherwise(F.concat(F.lit(ANON_PREFIX), F.col("rnk").cast("string"))))
     return users.join(scores, "userId", "left").select(
         name.alias("anonymizedUser"),
-        F.round(F.coalesce("validated", F.lit(0.0)), 2).alias("validated"),
-        F.round(F.coalesce("not_validated", F.lit(0.0)), 2).alias("not_validated"))
+        two_places(F.coalesce("validated", F.lit(0.0))).alias("validated"),
+        two_places(F.coalesce("not_validated", F.lit(0.0))).alias("not_validated"))

@@ -20,6 +20,12 @@ ANON_PREFIX = "Utilizador "
 INVESTIGATOR = "investigator"
 
 
+def two_places(score):
+    """Rounded to 2 places; the first rounding takes off what adding fractions in
+    another order can change, so exact halves are rounded up whatever the order."""
+    return F.round(F.round(score, 6), 2)
+
+
 def raters(classification: DataFrame) -> DataFrame:
     """Distinct user ids with at least one answer row (partial aggregation)."""
     return classification.select("userId").distinct()
@@ -76,8 +82,8 @@ def stats_general(t: dict[str, DataFrame], viewer_id: int, viewer_username: str,
         rows = dense_rank_global(rows, "userId", "rnk")
         shown = F.when(shown == F.lit(viewer_username), shown).otherwise(
             F.concat(F.lit(ANON_PREFIX), F.col("rnk").cast("string")))
-    return rows.select(shown.alias("anonymizedUser"), F.round("validated", 2).alias("validated"),
-                       F.round("not_validated", 2).alias("not_validated"))
+    return rows.select(shown.alias("anonymizedUser"), two_places("validated").alias("validated"),
+                       two_places("not_validated").alias("not_validated"))
 
 
 def timeline(classification: DataFrame, user_id: int | None = None, ts_col: str = "createdAt",

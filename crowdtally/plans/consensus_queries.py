@@ -57,7 +57,8 @@ seen AS (
 
 def _stats_general_sql(v: dict) -> str:
     return "WITH " + SHARE.strip() + "," + _seen(v) + """
-SELECT shown AS anonymizedUser, round(gained, 2) AS validated, round(answered - gained, 2) AS not_validated
+SELECT shown AS anonymizedUser, round(gained::DECIMAL(18, 6), 2)::DOUBLE AS validated,
+       round((answered - gained)::DECIMAL(18, 6), 2)::DOUBLE AS not_validated
 FROM seen JOIN board ON board.userId = seen.id"""
 
 
@@ -232,7 +233,8 @@ def _q_legacy_stats_user(t, spark, sf):
 SELECT CASE username WHEN '{VIEWER["username"]}' THEN username
        ELSE 'Utilizador ' || (SELECT count(*) FROM old_board o WHERE o.username <= old_board.username) END
          AS anonymizedUser,
-       round(gained, 2) AS validated, round(posts - gained, 2) AS not_validated
+       round(gained::DECIMAL(18, 6), 2)::DOUBLE AS validated,
+       round((posts - gained)::DECIMAL(18, 6), 2)::DOUBLE AS not_validated
 FROM old_board""")
 def _q_legacy_stats_all(t, spark, sf):
     return L.legacy_stats_all(_log(t), VIEWER["username"])
