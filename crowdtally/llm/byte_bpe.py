@@ -182,6 +182,7 @@ def digests(docs: DataFrame, text: str = "text", path: str | None = None,
                 b.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
             return [n, a, b]
 
+        run.done = bpe.cache.drop  # a worker process goes on to other stages
         return run
 
     return map_columns(docs, {"text": F.col(text)}, start,

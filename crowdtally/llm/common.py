@@ -66,7 +66,7 @@ def map_columns(df: DataFrame, needs: dict[str, Column], fn, fields: list[T.Stru
     list per entry, in that order, and returns one list per field.  A column of
     ``df`` with the name of a new field is replaced.  ``fn`` may be a factory
     (attribute ``per_task``): it is then called once per task and returns the
-    function to use.
+    function to use, whose attribute ``done`` is called after the last batch.
     """
     ship(df.sparkSession)
     new = {f.name.lower() for f in fields}
@@ -89,6 +89,8 @@ def map_columns(df: DataFrame, needs: dict[str, Column], fn, fields: list[T.Stru
             yield pa.RecordBatch.from_arrays(
                 [b.column(i) for i in range(n_kept)]
                 + [pa.array(o, type=t) for o, t in zip(outs, types)], names=names)
+        if hasattr(f, "done"):  # what a task leaves in its worker process is small
+            f.done()
 
     return src.mapInArrow(run, schema).toDF(*kept, *[f.name for f in fields])
 
@@ -150,9 +152,12 @@ class PieceCache:
         self.inner: dict = {}           # by pre-token: its ids
         self.chars = 0
 
+    def drop(self) -> None:
+        self.later, self.inner, self.chars = {None: b""}, {}, 0
+
     def _drop_if_full(self) -> None:
         if len(self.later) + len(self.inner) > self.limit or self.chars > self.limit_chars:
-            self.later, self.inner, self.chars = {None: b""}, {}, 0
+            self.drop()
 
     def _fill(self, missing: list) -> None:
         """Ids of different pieces that follow a space."""

@@ -40,7 +40,8 @@ from .common import checkpointed, map_columns, per_task, read
 
 WINDOW = 13
 COVERAGE = 20              # contaminated if hit * COVERAGE >= words
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 200_000
+PAIR_SLOTS = 1 << 22       # bytes of the table of word pairs
 #: Byte -> byte of the normalised text: a-z, 0-9 and bytes beyond ASCII stay.
 NORMAL = bytes((b + 32 if 65 <= b <= 90 else b) if b >= 128 or chr(b).isalnum() else 32
                for b in range(256))
@@ -141,13 +142,13 @@ class Automaton:
         pairs = np.array([(a, b) for key in texts for a, b in zip(key, key[1:])] or [(0, 0)],
                          np.int64)
         self.n = len(self.vocab)
-        self.pairs = np.zeros(1 << 24, bool)
+        self.pairs = np.zeros(PAIR_SLOTS, bool)
         self.pairs[self._slot(pairs[:, 0], pairs[:, 1])] = True
 
     @staticmethod
     def _slot(a, b):
         """A place in the table of pairs; pairs may share one (then more is streamed)."""
-        return (a * 0x9E3779B1 + b * 0x85EBCA77) & 0xFFFFFF
+        return (a * 0x9E3779B1 + b * 0x85EBCA77) % PAIR_SLOTS
 
     def candidates(self, ids: np.ndarray) -> list[tuple[int, int]]:
         """Runs (start, end) of words outside of which no window can occur."""

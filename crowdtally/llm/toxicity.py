@@ -48,6 +48,7 @@ STEM_LETTERS = range(4, 9)
 LEAST_CONTEXTS = 8         # different toxic contexts of a learned stem
 LEAST_SHARE = 0.9          # toxic share of a learned stem's contexts
 MOST_STEMS = 5_000
+HELD_STEMS = 100_000       # in a task's memory at a time
 NEARLY_ALL = 0.9           # of a stem's contexts, for a longer stem to stand for it
 
 # Seed words by symbol, in English, German, French and Spanish.
@@ -230,6 +231,11 @@ def learn_stems(rows: DataFrame, least: int = LEAST_CONTEXTS, share: float = LEA
     ship(rows.sparkSession)
     rows = rows.select("text", F.col("toxic").cast("int").alias("toxic"))
 
+    def counted(bad, n):
+        return pa.RecordBatch.from_arrays(
+            [pa.array(list(n), pa.string()), pa.array([bad[x] for x in n], pa.int64()),
+             pa.array(list(n.values()), pa.int64())], names=["stem", "bad", "n"])
+
     def documents(batches):
         bad, n = Counter(), Counter()
         for b in batches:
@@ -239,9 +245,10 @@ def learn_stems(rows: DataFrame, least: int = LEAST_CONTEXTS, share: float = LEA
                 n.update(stems)
                 if toxic > 0:
                     bad.update(stems)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(n), pa.string()), pa.array([bad[x] for x in n], pa.int64()),
-             pa.array(list(n.values()), pa.int64())], names=["stem", "bad", "n"])
+                if len(n) > HELD_STEMS:  # Spark adds the parts up
+                    yield counted(bad, n)
+                    bad, n = Counter(), Counter()
+        yield counted(bad, n)
 
     counts = (rows.mapInArrow(documents, "stem string, bad long, n long")
               .groupBy("stem").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n")))
