@@ -12,8 +12,8 @@ such a clause counts nothing.
 The lexicon starts from the fixed words below.  Further insult stems are learned
 from labelled documents: word beginnings that stand in many different contexts
 (previous and next word) of toxic documents and in hardly any of clean ones.
-Contexts, not documents, are counted, so copies of one toxic text teach nothing but
-what they share with others.  The pattern weights are a logistic regression on the
+Contexts, not documents, are counted, for every word beginning and each context once,
+so copies of one toxic text teach no more than the text itself.  The pattern weights are a logistic regression on the
 same documents.  Both are fitted on at most ``SAMPLE_DOCS`` labelled documents with
 held_out false (a bounded sample by hash of doc_id); everything else reads all rows.
 
@@ -47,8 +47,7 @@ SAMPLE_DOCS = 12_000       # labelled documents for fitting, at most about
 STEM_LETTERS = range(4, 9)
 LEAST_CONTEXTS = 8         # different toxic contexts of a learned stem
 LEAST_SHARE = 0.9          # toxic share of a learned stem's contexts
-MOST_STEMS = 5_000
-HELD_STEMS = 100_000       # in a task's memory at a time
+HELD_CONTEXTS = 100_000    # in a task's memory at a time
 NEARLY_ALL = 0.9           # of a stem's contexts, for a longer stem to stand for it
 
 # Seed words by symbol, in English, German, French and Spanish.
@@ -158,7 +157,8 @@ class Lexicon:
     def __init__(self, stems: list[str] = ()):
         import ahocorasick
         self.symbol = {w: s for s, words in WORDS.items() for w in words}
-        self.stems = tuple(stems)
+        self.stems = frozenset(stems)
+        self.lengths = sorted({len(w) for w in self.stems})
         self.finder = ahocorasick.Automaton()
         for w in [w for s in ("insult", "threat") for w in WORDS[s]]:
             self.finder.add_word(w, len(w))
@@ -168,7 +168,7 @@ class Lexicon:
 
     def of(self, word: str) -> str:
         got = self.symbol.get(word)
-        return got or ("insult" if word.startswith(self.stems) and self.stems else "other")
+        return got or ("insult" if any(word[:k] in self.stems for k in self.lengths) else "other")
 
     def clauses(self, text: str | None) -> list[str]:
         """The clauses (lower-cased) with a hit."""
@@ -230,60 +230,40 @@ def learn_stems(rows: DataFrame, least: int = LEAST_CONTEXTS, share: float = LEA
     """Word beginnings whose contexts are nearly all toxic, none of which begins another."""
     ship(rows.sparkSession)
     rows = rows.select("text", F.col("toxic").cast("int").alias("toxic"))
+    shortest, longest = STEM_LETTERS[0], STEM_LETTERS[-1]
 
-    def counted(bad, n):
+    def listed(seen):
+        parts = list(zip(*seen)) or [(), (), ()]
         return pa.RecordBatch.from_arrays(
-            [pa.array(list(n), pa.string()), pa.array([bad[x] for x in n], pa.int64()),
-             pa.array(list(n.values()), pa.int64())], names=["stem", "bad", "n"])
-
-    def documents(batches):
-        bad, n = Counter(), Counter()
-        for b in batches:
-            for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                words = set(WORD.findall((text or "").lower()))
-                stems = {w[:k] for w in words for k in STEM_LETTERS if k <= len(w)}
-                n.update(stems)
-                if toxic > 0:
-                    bad.update(stems)
-                if len(n) > HELD_STEMS:  # Spark adds the parts up
-                    yield counted(bad, n)
-                    bad, n = Counter(), Counter()
-        yield counted(bad, n)
-
-    counts = (rows.mapInArrow(documents, "stem string, bad long, n long")
-              .groupBy("stem").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n")))
-    likely = {r["stem"] for r in counts.where((F.col("bad") >= least / 2)
-                                              & (F.col("bad") >= share * F.col("n")))
-              .orderBy(F.desc("bad"), "stem").limit(MOST_STEMS).collect()}
+            [pa.array(parts[0], pa.string()), pa.array(parts[1], pa.int32()),
+             pa.array(parts[2], pa.int64())], names=["start", "toxic", "context"])
 
     def contexts(batches):
+        seen = set()
         for b in batches:
-            seen = set()
             for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                words = ["", *WORD.findall((text or "").lower()), ""]
-                for before, w, after in zip(words, words[1:], words[2:]):
-                    if w[:STEM_LETTERS[0]] in starts:
-                        context = xxhash.xxh64_intdigest(f"{before} {after}") >> 1
-                        seen.update((w[:k], int(toxic > 0), context) for k in STEM_LETTERS
-                                    if k <= len(w) and w[:k] in likely)
-            parts = list(zip(*seen)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(parts[0], pa.string()), pa.array(parts[1], pa.int32()),
-                 pa.array(parts[2], pa.int64())], names=["stem", "toxic", "context"])
-
-    starts = {x[:STEM_LETTERS[0]] for x in likely}
-    good = (rows.mapInArrow(contexts, "stem string, toxic int, context long")
+                words, bad = ["", *WORD.findall((text or "").lower()), ""], int(toxic > 0)
+                seen.update((w[:longest], bad, xxhash.xxh64_intdigest(f"{before} {after}") >> 1)
+                            for before, w, after in zip(words, words[1:], words[2:])
+                            if len(w) >= shortest)
+                if len(seen) > HELD_CONTEXTS:  # Spark drops what the parts share
+                    yield listed(seen)
+                    seen = set()
+        yield listed(seen)
+
+    starts = rows.mapInArrow(contexts, "start string, toxic int, context long").distinct()
+    stems = F.transform(F.sequence(F.lit(shortest), F.length("start")),
+                        lambda k: F.substring("start", 1, k))
+    good = (starts.select(F.explode(stems).alias("stem"), "toxic", "context")
             .distinct().groupBy("stem").agg(F.sum("toxic").alias("bad"), F.count("*").alias("n"))
             .where((F.col("bad") >= least) & (F.col("bad") >= share * F.col("n"))))
-    found = {r["stem"]: r["bad"] for r in good.collect()}  # at most MOST_STEMS
-    short: list[str] = []
-    out: set[str] = set()
-    for stem in sorted(found, key=len):
-        if not stem.startswith(tuple(short)) or not short:
-            short.append(stem)
-            # As many letters as nearly all of its uses share.
-            out.add(max((x for x in found if x.startswith(stem)
-                            and found[x] >= NEARLY_ALL * found[stem]), key=lambda x: (len(x), x)))
+    found = {r["stem"]: r["bad"] for r in good.collect()}  # of a bounded sample
+    begun = {}  # by found stem that none begins: the found stems it begins
+    for stem in found:
+        begun.setdefault(next(stem[:k] for k in STEM_LETTERS if stem[:k] in found), []).append(stem)
+    # As many letters as nearly all of its uses share.
+    out = {max((x for x in longer if found[x] >= NEARLY_ALL * found[stem]),
+               key=lambda x: (len(x), x)) for stem, longer in begun.items()}
     return sorted(out)
 
 
@@ -316,7 +296,7 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE_DOCS) -> Model
 def score(docs: DataFrame, model: Model, text: str = "text",
           keep: list[str] | None = None) -> DataFrame:
     """Append ``score`` and ``predicted`` (1 from one half on) to the documents."""
-    stems, weights = model.stems, model.weights  # at most MOST_STEMS stems
+    stems, weights = model.stems, model.weights
 
     @per_task
     def start():

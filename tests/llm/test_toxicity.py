@@ -82,6 +82,16 @@ def test_copies_of_one_text_teach_nothing(rows):
     assert {s[:5] for s in stems} == {"blorg", "zantu"}
 
 
+def test_topic_words_of_copies_take_no_place(rows):
+    data = corpus()
+    rnd = random.Random(8)
+    topic = " ".join("".join(rnd.choice("bcdfghjkmpqvwxyz") for _ in range(8)) for _ in range(1500))
+    copies = [(10_000 + i, topic + ".", 1) for i in range(300)]
+    docs = rows(DOC, *[(i, t, None, None, None) for i, t, _ in data + copies])
+    stems = X.train(docs, rows(LABEL, *[(i, 1, y) for i, _, y in data + copies])).stems
+    assert {s[:5] for s in stems} == {"blorg", "zantu"}
+
+
 def test_small_table_with_odd_rows(rows):
     texts = ["", None, "you idiot!", "you idiot!", "fine " * 50_000 + ". you idiot moron scum", "a clean text"]
     docs = rows(DOC, *[(i if i != 3 else None, t, "clash", "clash", None) for i, t in enumerate(texts)])
