@@ -56,7 +56,7 @@ LOOSE_HOST = re.compile(r"[^\W_][\w-]*+(?:(?:\.| ?[\[(]dot[\])] ?)[^\W_][\w-]*+)
 NUMBER = re.compile(r"(?<![\w+.])\(?[0-9](?:[ ().-]{0,2}[0-9]){6,18}(?!\w)")
 SECRET = re.compile(r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b"
                     r"|\b(?:password|passwd|pwd|token|secret|api[_-]?key)\b\s{0,3}[=:]\s{0,3}[\"']?"
-                    r"([^\s\"']{8,200})", re.I)
+                    r"([^\s\"']{8,}+)", re.I)
 
 # Fixed values of the gazetteers.
 TOP_LEVEL = set("com org net edu gov info io de fr es uk eu it nl ch at be us ca example".split())
@@ -147,7 +147,7 @@ def candidates(text: str | None, base: list[tuple[int, int, int]]) -> list[tuple
     out = set(base)
     for m in AT_SIGN.finditer(text):
         a = m.start()
-        while a and m.start() - a < 100 and (text[a - 1].isalnum() or text[a - 1] in "._%+-"):
+        while a and (text[a - 1].isalnum() or text[a - 1] in "._%+-"):
             a -= 1
         host = LOOSE_HOST.match(text, m.end())
         if a < m.start() and host:
@@ -274,7 +274,8 @@ def span_text(spans) -> str:
 
 
 def chosen(base: list, others: list, accepted: set) -> list[tuple[int, int, int]]:
-    """Base spans and accepted candidates that touch neither them nor each other."""
+    """Base spans and accepted candidates that touch neither them nor each other; of a
+    credential that holds base spans, the parts around them."""
     out = list(base)
     extra = sorted(((a, k, b) for a, k, b, p in others if p in accepted),
                    key=lambda s: (s[0], -s[2], s[1]))
@@ -285,6 +286,14 @@ def chosen(base: list, others: list, accepted: set) -> list[tuple[int, int, int]
         if a >= done and (i == len(taken) or taken[i][0] >= b):
             out.append((a, k, b))
             done = b
+        elif a >= done and KINDS[k] == "secret":
+            while i < len(taken) and taken[i][0] < b:
+                if a < taken[i][0]:
+                    out.append((a, k, taken[i][0]))
+                a, i = max(a, taken[i][1]), i + 1
+            done = max(b, a)
+            if a < b:
+                out.append((a, k, b))
     return sorted(out)
 
 

@@ -93,6 +93,34 @@ def test_added_spans_and_redaction(rows):
     assert out[8].text == "z " * 60_000 + "<EMAIL>"
 
 
+def test_long_values_stay_whole(rows):
+    rnd = random.Random(4)
+    key = "eyJ" + "".join(rnd.choice("abcdefghijklmnopqrstuvwxyzABCDEFGH0123456789_") for _ in range(600))
+    local = "jo." * 80 + "é"
+    text, mail = f"token = {key} end", f"mail {local}@mail.example.com now"
+    assert P.candidates(text, P.base_spans(text)) == [(8, 4, 8 + len(key))]
+    assert (5, 0, len(mail) - 4) in P.candidates(mail, P.base_spans(mail))
+    docs = rows(DOC, *[(i, text, i, "clash") for i in range(20)])
+    assert {r.text for r in P.redact(docs).collect()} == {"token = <SECRET> end"}
+
+
+def test_long_values_take_linear_time():
+    for run in ("token=" * 50_000, "token = " * 40_000, "é" * 300_000 + "@b.cc", "é[at]" * 60_000,
+                "token=" + "é@b.cc" * 50_000):
+        base = P.base_spans(run)
+        P.chosen(base, [(*s, "x") for s in P.candidates(run, base)], {"x"})
+
+
+def test_credential_around_a_base_span():
+    text = "token = " + "Ab3_" * 60 + ",jo@mail.example.com;" + "Cd4_" * 60 + " end"
+    base = P.base_spans(text)
+    (a, k, b), = [s for s in P.candidates(text, base) if s[1] == 4]
+    got = P.chosen(base, [(a, k, b, "x")], {"x"})
+    assert [s for s in got if s[1] == 0] == base and len(got) == 3
+    assert got[0][0] == 8 and got[-1][2] == len(text) - 4
+    assert all(x[2] <= y[0] for x, y in zip(got, got[1:]))
+
+
 def test_em_finds_the_unreliable_labeler():
     rnd = random.Random(1)
     counts = {}
