@@ -41,7 +41,6 @@ SAMPLE_PER_LANGUAGE = 2000
 GRAM = 3
 SMOOTH = 0.5
 PENALTY = 2.0
-MOST_LANGUAGES = 4         # in one document
 ROUNDS, CLOSE = 12, 1e-3
 LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -140,7 +139,7 @@ def infer(log: np.ndarray, sizes: np.ndarray, penalty: float = PENALTY) -> np.nd
     best_value = single[np.arange(n_docs), order[:, 0]]
     # Documents that are all one language need no further tries.
     open_docs = np.nonzero(share.max(axis=1) < 1 - 1e-6)[0]
-    for m in range(2, min(k, MOST_LANGUAGES) + 1):
+    for m in range(2, k + 1):
         if not len(open_docs):
             break
         part = np.concatenate([np.arange(starts[d], starts[d] + sizes[d]) for d in open_docs])

@@ -55,6 +55,13 @@ def test_mixtures_keep_the_languages_that_pay(model):
     assert lang == "aa" and abs(score - 0.7) < 0.05
 
 
+def test_more_than_four_languages_in_a_document():
+    log = np.full((120, 7), -30.0)
+    log[np.arange(120), np.arange(120) % 6] = -5.0
+    share = G.infer(log, np.array([120]))[0]
+    assert np.abs(share[:6] - 1 / 6).max() < 0.01 and share[6] == 0
+
+
 def test_slices_and_full_caches_do_not_matter(model):
     rnd = random.Random(6)
     texts = [say(rnd.choice(list(SYLLABLES)), rnd.randint(0, 30), rnd) for _ in range(60)] + [None, "", "12 34"]
