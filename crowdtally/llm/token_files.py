@@ -20,7 +20,8 @@ Files are named by their place in doc_id order (``tokens-00000007.zst``).  A tas
 writes under an attempt's own name and renames at the end; the content depends on
 the rows alone, so a repeated attempt replaces a file by the same bytes.
 
-Defined cases: a null text is an empty one (just the end id); a null doc_id sorts
+Defined cases: the string of an added token (``<|endoftext|>``) gives that token's id,
+as the library does by itself; a null text is an empty one (just the end id); a null doc_id sorts
 first; rows with equal doc_id are ordered by their ids; an empty table gives no
 files and no rows; other columns are not looked at.
 """
@@ -59,7 +60,7 @@ END_ID = 2
 TABLE_MAGIC, SKIP_MAGIC = 0x8F92EAB2, 0x184D2A5E
 ENTRY = struct.Struct("<IIIIqq")
 FOOTER = struct.Struct("<IBI")
-_CACHES: dict[tuple, PieceCache] = {}
+_CACHES: dict[tuple, Encoder] = {}
 
 
 def default_vocabulary() -> str:
@@ -75,13 +76,30 @@ def id_width(path: str) -> int:
     return 2 if Tokenizer.from_file(path).get_vocab_size() <= 1 << 16 else 4
 
 
-def ids_cache(path: str, width: int = 4) -> PieceCache:
+class Encoder:
+    """Texts -> joined ids, as the library gives them: the vocabulary's added tokens are
+    found in a text first, and what lies between them is encoded part by part."""
+
+    def __init__(self, cache: PieceCache, added: dict[str, bytes]):
+        self.cache, self.added = cache, added
+        longest_first = sorted(added, key=lambda a: (-len(a), a))
+        self.split = re.compile(f"({'|'.join(map(re.escape, longest_first))})").split
+
+    def look_up(self, texts: list[str]) -> list[bytes]:
+        if not any(a in t for a in self.added for t in texts):
+            return self.cache.look_up(texts)
+        parts = [self.split(t) if any(a in t for a in self.added) else [t] for t in texts]
+        plain = iter(self.cache.look_up([p for own in parts for p in own[::2]]))
+        return [b"".join([self.added[p] if i % 2 else next(plain) for i, p in enumerate(own)])
+                for own in parts]
+
+
+def ids_cache(path: str, width: int = 4) -> Encoder:
     """Per worker process: the tokenizer behind a bounded cache of pieces."""
     if (path, width) not in _CACHES:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         tok = Tokenizer.from_file(path)
-        tok.encode_special_tokens = True  # a special token's string in a text is ordinary text
         kind = {2: "H", 4: "I"}[width]
 
         packers = [struct.Struct(f"<{n}{kind}").pack for n in range(64)]
@@ -107,8 +125,10 @@ def ids_cache(path: str, width: int = 4) -> PieceCache:
         # given to the tokenizer's model.  Where Unicode tables could differ, the whole
         # tokenizer gets the piece uncut.
         rare = re.compile("[\u0250-\U0010ffff]").search
-        _CACHES[path, width] = PieceCache(regex.compile(PATTERN).findall, encode, rare,
-                                          encode_whole, limit=CACHED, limit_chars=16 * CACHED)
+        pieces = PieceCache(regex.compile(PATTERN).findall, encode, rare, encode_whole,
+                            limit=CACHED, limit_chars=16 * CACHED)
+        added = {a.content: pack([i]) for i, a in tok.get_added_tokens_decoder().items()}
+        _CACHES[path, width] = Encoder(pieces, added)
     return _CACHES[path, width]
 
 

@@ -15,9 +15,7 @@ END = K.END_ID
 
 @pytest.fixture(scope="module")
 def library():
-    tok = Tokenizer.from_file(K.default_vocabulary())
-    tok.encode_special_tokens = True
-    return tok
+    return Tokenizer.from_file(K.default_vocabulary())
 
 
 def ids_of(library, text):
@@ -53,6 +51,15 @@ def test_small_table_with_odd_rows(rows, library, per_file, tmp_path):
     assert (len(names) > 2) == (per_file == 2) and not glob.glob(str(tmp_path / "out" / ".part*"))
 
 
+def test_added_tokens_as_the_library_finds_them(library):
+    end, cache = "<|endoftext|>", K.ids_cache(K.default_vocabulary())
+    texts = [f"a {end} b", end, f"{end}{end}", f"x{end}\n{end} ", f" {end}é漢 <|endoftext| {end[1:]}", "no token", "",
+             f"two  spaces  {end}  here", f"{end[:-1]}{end}", " ".join([f"w{i} {end}" for i in range(500)])]
+    want = [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert cache.look_up(texts) == want
+    assert 50256 in np.frombuffer(want[0], "<u4")
+
+
 def test_empty_table(rows):
     docs = rows(DOC, (1, "x", None, None)).limit(0)
     assert K.token_positions(docs).collect() == []
