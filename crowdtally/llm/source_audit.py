@@ -52,6 +52,7 @@ SLICE_BYTES = 1 << 23
 SMALL = 4096               # pointers sorted directly
 TAILS_FROM = 64            # bytes after which few words are still equal: compared as bytes
 BLOCK_TERMS, BLOCK_SOURCES = 2048, 256
+SALTS = 32                 # parts of a hot language or source in joins
 
 #: Bytes of words: ASCII letters and every byte of a longer character; A-Z become a-z.
 _IN_WORD = np.zeros(256, bool)
@@ -216,24 +217,30 @@ def share(count, total, terms):
     return F.lit(1) + F.call_function("div", top, (total.cast("long") + ADD * terms.cast("long")).cast(wide))
 
 
-def pair_sums(kept: DataFrame, groups: DataFrame, terms: DataFrame) -> DataFrame:
-    """(lang, source, other, value) for all ordered pairs with a difference.
-    ``kept``: lang, source, term, n; ``groups``: lang, source, i, total, terms."""
-    langs = terms.select("lang", F.ceil(F.col("terms") / BLOCK_TERMS).alias("parts"))
-    blocks = groups.groupBy("lang").agg(F.floor((F.count("*") - 1) / BLOCK_SOURCES).alias("last"))
+def spread_join(big: DataFrame, small: DataFrame, on: list[str], by: str) -> DataFrame:
+    """Inner join whose keys may be hot in ``big``: its rows are dealt to ``SALTS`` parts by
+    ``by``, and ``small`` is there once for each."""
+    return (big.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(SALTS)))
+            .join(small.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))),
+                  [*on, "__salt"]).drop("__salt"))
+
+
+def pair_sums(counts: DataFrame, groups: DataFrame) -> DataFrame:
+    """(lang, i, j, value) for all ordered pairs of groups in languages with kept terms.
+    ``counts``: lang, term, n, i, terms, last; ``groups``: lang, i, total, terms, last
+    (``i`` numbers a language's groups, ``last`` is its last number)."""
     own = F.floor(F.col("i") / BLOCK_SOURCES)
     # A block of sources meets each block, itself included, as the first or the second.
-    meets = F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))).alias("b")
+    meets = F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("last") / BLOCK_SOURCES))).alias("b")
     sides = ["lang", "part", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
 
-    placed = (kept.join(langs, "lang")
-              .withColumn("part", F.pmod(F.xxhash64("term"), F.col("parts"))))
+    placed = counts.select("lang", "term", "i", "n", "last", own.alias("a"),
+                           F.pmod(F.xxhash64("term"), F.ceil(F.col("terms") / BLOCK_TERMS)).alias("part"))
     sizes = placed.select("lang", "part", "term").distinct().groupBy("lang", "part").agg(F.count("*").alias("here"))
-    numbered = placed.join(groups.select("lang", "source", "i", own.alias("a")), ["lang", "source"])
-    counts = (numbered.join(blocks, "lang").select("lang", "part", "a", meets, "term", "i", "n")
+    counts = (placed.select("lang", "part", "a", meets, "term", "i", "n")
               .select(*sides, "term", "i", "n")
               .toDF("its_lang", "its_part", "its_a", "its_b", "term", "its_i", "n"))
-    sources = (groups.withColumn("a", own).join(blocks, "lang").join(sizes, "lang")
+    sources = (spread_join(sizes, groups, ["lang"], "part").withColumn("a", own)
                .select("lang", "part", "a", meets, "i", "total", "terms", "here")
                .select(*sides, "i", "total", "terms", "here"))
 
@@ -281,24 +288,26 @@ def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, top_terms: int = TOP_TE
         .where(F.col("df") >= least_docs).drop("df"))
     occurring = docs.select("lang", "source").distinct()
     totals = kept.groupBy("lang", "source").agg(F.sum("n").alias("total"))
-    terms = (kept.select("lang", "term").distinct().groupBy("lang").agg(F.count("*").alias("terms")))
-    # One row per group; numbered within the language, whose pairs are the result's rows.
+    terms = kept.select("lang", "term").distinct().groupBy("lang").agg(F.count("*").alias("terms"))
+    # One row per group, numbered within the language, whose pairs are the result's rows.
+    by_lang = Window.partitionBy("lang")
     groups = checkpointed(
         occurring.join(totals, ["lang", "source"], "left").join(terms, "lang", "left")
         .fillna(0, ["total", "terms"])
-        .withColumn("i", F.row_number().over(Window.partitionBy("lang").orderBy("source")) - F.lit(1).cast("long")))
-    langs = groups.groupBy("lang").agg(F.sum("total").alias("all_total"), F.max("terms").alias("terms"))
+        .withColumn("i", F.row_number().over(by_lang.orderBy("source")) - F.lit(1).cast("long"))
+        .withColumn("last", F.max("i").over(by_lang)).withColumn("all_total", F.sum("total").over(by_lang)))
+    counts = spread_join(kept, groups, ["lang", "source"], "term")
 
-    used = (kept.join(groups.select("lang", "source", "total"), ["lang", "source"]).join(langs, "lang")
-            .withColumn("value", share(F.col("n"), F.col("total"), F.col("terms"))
-                        - share(F.col("everywhere"), F.col("all_total"), F.col("terms")))
+    used = (counts.withColumn("value", share(F.col("n"), F.col("total"), F.col("terms"))
+                              - share(F.col("everywhere"), F.col("all_total"), F.col("terms")))
             .where(F.col("value") > 0).select("lang", "source", F.col("term").alias("item"), "value"))
     ranked = Window.partitionBy("lang", "source").orderBy(F.col("value").desc(), "item")
-    top = (used.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= top_terms))
+    top = used.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= top_terms)
 
     one = groups.select("lang", "source", "i")
     other = groups.select("lang", F.col("source").alias("item"), F.col("i").alias("j"))
-    sums = pair_sums(kept.select("lang", "source", "term", "n"), groups, terms)
+    sums = pair_sums(counts.select("lang", "term", "n", "i", "terms", "last"),
+                     groups.select("lang", "i", "total", "terms", "last"))
     pairs = (one.join(other, "lang").where("i <> j")
              .join(sums, ["lang", "i", "j"], "left")
              .select("lang", "source", "item", F.coalesce("value", F.lit(0).cast("long")).alias("value"))
