@@ -147,7 +147,8 @@ PATTERNS = [o for o in GRAMMAR.outputs if o]
 #: Weights without training: by pattern, and the last for no match at all.
 DEFAULT = np.array([0.5 if "negated" in p or "reported" in p else 2.5 if "aimed" in p else 2.0
                     for p in PATTERNS] + [-2.5])
-CLAUSE_END = re.compile(r"[.!?;:\n]+(?=\s|$)|\n")
+#: A run of marks ends a clause if it holds a newline or white space follows.
+MARKS = re.compile(r"[.!?;:\n]+")
 WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)*")
 
 
@@ -177,14 +178,13 @@ class Lexicon:
             start = last - n + 1
             if start < done or (start and low[start - 1].isalpha()):
                 continue
-            a, b = start, last + 1
-            # The clause's bounds, looked for in steps so that it costs its own length.
-            while a > done and not CLAUSE_END.match(low, a - 1):
+            # Bounds are looked for from the hit on, each character once.
+            a = start
+            while a > done and not (low[a - 1] in ".!?;:\n" and (low[a - 1] == "\n" or low[a].isspace())):
                 a -= 1
-            m = CLAUSE_END.search(low, b)
-            b = m.start() if m else len(low)
-            out.append(low[a:b])
-            done = b
+            done = next((m.start() for m in MARKS.finditer(low, last + 1)
+                         if m.end() == len(low) or low[m.end()].isspace() or "\n" in m[0]), len(low))
+            out.append(low[a:done])
         return out
 
     def features(self, text: str | None) -> np.ndarray:
@@ -222,8 +222,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE_DOCS)
              .where(held_out_remainder(FOLDS) != 0)
              .groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
     some = bounded_sample(known, "doc_id", bound)  # at most about ``bound`` rows
+    # Of several texts of one id the first by hash, so that every run learns the same.
+    one = F.min(F.struct(F.xxhash64("text").alias("h"), "text"))["text"]
     return checkpointed(docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")
-                        .dropDuplicates(["doc_id"]).select("text", "toxic"))
+                        .groupBy("doc_id", "toxic").agg(one.alias("text")).select("text", "toxic"))
 
 
 def learn_stems(rows: DataFrame, least: int = LEAST_CONTEXTS, share: float = LEAST_SHARE) -> list[str]:

@@ -1,11 +1,17 @@
 import random
+import re
+import time
 import zlib
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from crowdtally.llm import toxicity as X
 
+#: What ends a clause, as one pattern (which needs quadratic time on long runs of marks).
+CLAUSE_END = re.compile(r"[.!?;:\n]+(?=\s|$)|\n")
 DOC = "doc_id long, text string, score string, predicted string, lang string"
 LABEL = "doc_id long, quality int, toxic int"
 
@@ -41,12 +47,73 @@ def test_clauses_are_the_ones_with_hits():
     text = "Fine here. You IDIOT!! next one; blorgish too\nclowning about, nonidiot. end trash"
     assert [c.strip() for c in lexicon.clauses(text)] == ["you idiot", "blorgish too", "clowning about, nonidiot",
                                                           "end trash"]
-    every = [c for c in X.CLAUSE_END.split(text.lower())]
+    every = [c for c in CLAUSE_END.split(text.lower())]
     whole = sum(len(matched(c, ["blorg"])) for c in every)
     assert np.expm1(lexicon.features(text)[:-1]).sum().round() == whole
     assert lexicon.clauses(None) == lexicon.clauses("") == []
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(["idiot", "trash", "word", ".", "!", "..", " ", "\n", "\t", ",", "'s", "é", "\x85", ";:"]), max_size=25))
+def test_clauses_end_where_the_pattern_says(parts):
+    text = "".join(parts)
+    lexicon, want, done = X.Lexicon(), [], 0
+    for last, n in lexicon.finder.iter(text):
+        a = last - n + 1
+        if a < done or (a and text[a - 1].isalpha()):
+            continue
+        while a > done and not CLAUSE_END.match(text, a - 1):
+            a -= 1
+        m = CLAUSE_END.search(text, last + 1)
+        done = m.start() if m else len(text)
+        want.append(text[a:done])
+    assert lexicon.clauses(text) == want
+
+
+@pytest.mark.parametrize("junk", ["." * 1_000_000, ("." * 2000 + "x") * 500, "idiot" + "!" * 1_000_000 + "x", "idiot." * 160_000,
+                                  "idiot " * 160_000, ".\n" * 500_000, "idiot;: x" * 100_000])
+def test_time_grows_with_the_text(junk):
+    lexicon, started = X.Lexicon(), time.time()
+    lexicon.features(junk)
+    assert time.time() - started < 5
+
+
+def rescored(text, model):
+    """A document's score by plain steps: all clauses, the transducers one after the other."""
+    lexicon, seen = X.Lexicon(model.stems), dict.fromkeys(X.PATTERNS, 0)
+    for clause in CLAUSE_END.split((text or "").lower()):
+        symbols = [lexicon.of(w) for w in X.WORD.findall(clause)]
+        machine = X.negation()
+        out = machine.run(symbols)
+        for make in (X.reported, X.target, X.weigher):
+            machine = make(machine.outputs)
+            out = machine.run(out)
+        for o in out:
+            if o:
+                seen[o] += 1
+    x = sum(w * np.log1p(seen[p]) for p, w in zip(X.PATTERNS, model.weights)) + model.weights[-1]
+    return 1 / (1 + np.exp(-x))
+
+
+def test_scores_by_plain_steps(spark):
+    sf = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = X.train(docs, labels)
+    odd = docs.limit(1).selectExpr("-1L AS doc_id", "'You idiot.. I said: not an idiot!!x scum\nkill you.' AS text")
+    rows = X.score(docs.select("doc_id", "text").unionAll(odd), model).collect()
+    assert len(rows) > 200 and any(r.predicted for r in rows)
+    for r in rows:
+        assert abs(r.score - rescored(r.text, model)) < 1e-9, r.text
+
+
+def test_one_text_of_a_repeated_id_teaches_whatever_the_order(spark):
+    data = [(i % 40, t) for i, t, _ in corpus()]
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(40)], LABEL)
+    found = [sorted(map(tuple, X.training_rows(spark.createDataFrame(d, "doc_id long, text string"), labels).collect()))
+             for d in (data, data[::-1])]
+    assert found[0] == found[1] and len(found[0]) > 20
+
+
 def corpus(n=600, seed=3):
     """Invented documents: toxic ones hold words that begin with 'blorg' or 'zantu'."""
     rnd = random.Random(seed)
