@@ -41,8 +41,10 @@ SAMPLE_PER_LANGUAGE = 2000
 GRAM = 3
 SMOOTH = 0.5
 PENALTY = 2.0
-ROUNDS, CLOSE = 12, 1e-3
-LETTERS = re.compile(r"[^\W\d_]+")
+ROUNDS, CLOSE = 2000, 1e-5     # a document's EM ends when no proportion moves by CLOSE
+#: Letters are what ``str.isalpha`` tells: word characters without numerals of any kind.
+NUMERALS = "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha())
+LETTERS = re.compile(f"[^\\W_{NUMERALS}]+")
 
 
 def grams(piece: str, n: int = GRAM) -> list[str]:
@@ -69,17 +71,18 @@ class Model:
 class Words:
     """Bounded cache of the likelihoods of whitespace-separated pieces."""
 
-    def __init__(self, model: Model, limit: int = 600_000):
-        self.model, self.limit = model, limit
+    def __init__(self, model: Model, limit: int = 600_000, limit_chars: int = 16_000_000):
+        self.model, self.limit, self.limit_chars = model, limit, limit_chars
         self.clear()
 
     def clear(self) -> None:
         self.known: dict[str, int] = {}
         self.rows = np.zeros((1 << 12, len(self.model.languages)), np.float32)
         self.lettered = np.zeros(1 << 12, bool)
+        self.chars = 0
 
     def ids(self, split: list[str]) -> np.ndarray:
-        if len(self.known) > self.limit:
+        if len(self.known) > self.limit or self.chars > self.limit_chars:
             self.clear()
         ids = list(map(self.known.get, split))
         if None in ids:
@@ -105,26 +108,33 @@ class Words:
             self.rows[np.nonzero(some)[0] + first] = sums
         self.lettered[first:first + len(new)] = some
         self.known.update(zip(new, range(first, first + len(new))))
+        self.chars += sum(map(len, new))
 
 
 def mixtures(log: np.ndarray, sizes: np.ndarray, allowed: np.ndarray, rounds: int = ROUNDS):
     """Proportions and log likelihood of each document.  ``log``: words by languages;
-    ``sizes``: words of each document (at least 1); ``allowed``: documents by languages."""
+    ``sizes``: words of each document (at least 1); ``allowed``: documents by languages.
+    Each document goes on until its own proportions have settled, so it gets the same
+    numbers whichever documents are there with it."""
     starts = np.cumsum(sizes) - sizes
     top = log.max(axis=1, keepdims=True)
     like = np.exp(log - top)
-    base = np.add.reduceat(top[:, 0].astype(float), starts)
     share = allowed / allowed.sum(axis=1, keepdims=True)
+    going, words, n, at = np.arange(len(sizes)), like, sizes, starts
     for _ in range(rounds):
-        w = like * np.repeat(share, sizes, axis=0)
+        w = words * np.repeat(share[going], n, axis=0)
         total = np.maximum(w.sum(axis=1, keepdims=True), 1e-300)
-        new = np.add.reduceat(w / total, starts, axis=0) / sizes[:, None]
-        done = np.abs(new - share).max() < CLOSE
-        share = new
-        if done:
+        new = np.add.reduceat(w / total, at, axis=0) / n[:, None]
+        open_ = np.abs(new - share[going]).max(axis=1) >= CLOSE
+        share[going] = new
+        if not open_.any():
             break
+        if not open_.all():
+            words = words[np.repeat(open_, n)]
+            going, n = going[open_], n[open_]
+            at = np.cumsum(n) - n
     total = np.maximum((like * np.repeat(share, sizes, axis=0)).sum(axis=1), 1e-300)
-    return share, base + np.add.reduceat(np.log(total), starts)
+    return share, np.add.reduceat(top[:, 0].astype(float), starts) + np.add.reduceat(np.log(total), starts)
 
 
 def infer(log: np.ndarray, sizes: np.ndarray, penalty: float = PENALTY) -> np.ndarray:

@@ -68,7 +68,85 @@ def test_slices_and_full_caches_do_not_matter(model):
     whole = G.classify(texts, G.Words(model))
     small = G.classify(texts, G.Words(model, limit=10), slice_chars=100)
     assert [g[0] for g in whole] == [g[0] for g in small]
-    assert np.allclose([g[1] for g in whole], [g[1] for g in small], atol=1e-2)
+    assert np.allclose([g[1] for g in whole], [g[1] for g in small], atol=1e-9, rtol=0)
+
+
+def test_a_text_gets_the_same_alone_and_among_others(model):
+    rnd = random.Random(12)
+    texts = [" ".join(say(rnd.choice(list(SYLLABLES)), rnd.randint(1, 9), rnd) for _ in range(rnd.randint(1, 4)))
+             for _ in range(400)]
+    words = G.Words(model)
+    alone = [G.classify([t], words)[0] for t in texts]
+    for got, want in zip(G.classify(texts, words), alone):
+        assert got[0] == want[0] and abs(got[1] - want[1]) < 1e-9
+
+
+def test_em_runs_until_it_has_settled(model):
+    rng = np.random.default_rng(4)
+    sizes = np.array([500, 30])
+    log = rng.normal(-8, 0.3, (530, 3))      # words that hardly tell the languages apart
+    share, value = G.mixtures(log, sizes, np.ones((2, 3)))
+    more, better = G.mixtures(log, sizes, np.ones((2, 3)), rounds=100_000)
+    assert np.array_equal(share, more) and np.array_equal(value, better)
+
+
+def chosen(log, penalty=G.PENALTY):
+    """The language set of one document, a language and a word at a time."""
+    def em(allowed):
+        p = {l: 1 / len(allowed) for l in allowed}
+        for _ in range(20_000):
+            new = dict.fromkeys(allowed, 0.0)
+            for row in log:
+                w = {l: p[l] * np.exp(row[l] - max(row)) for l in allowed}
+                total = sum(w.values())
+                for l in allowed:
+                    new[l] += w[l] / total / len(log)
+            moved = max(abs(new[l] - p[l]) for l in allowed)
+            p = new
+            if moved < 1e-7:
+                break
+        value = sum(np.log(sum(p[l] * np.exp(row[l]) for l in allowed)) for row in log)
+        return p, value
+
+    k = len(log[0])
+    order = sorted(em(range(k))[0].items(), key=lambda x: (-x[1], x[0]))
+    order = [l for l, _ in order]
+    best, value = em(order[:1])
+    for m in range(2, k + 1):
+        p, v = em(order[:m])
+        v -= (m - 1) * penalty * 0.5 * np.log(len(log) + 1)
+        if v <= value:
+            break
+        best, value = p, v
+    return best
+
+
+def test_language_sets_of_documents_by_brute_force(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").collect()
+    model = G.train(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang"))
+    words, rnd = G.Words(model), random.Random(3)
+    texts = [" ".join(r.text.split()[:60]) for r in docs[:25]]
+    texts += [" ".join(rnd.sample(a.split() + b.split(), 20)) for a, b in zip(texts, texts[1:])]
+    several = 0
+    for text, (lang, score) in zip(texts, G.classify(texts, words)):
+        ids = words.ids(text.split())
+        best = chosen(words.rows[ids[words.lettered[ids]]].astype(float).tolist())
+        top = max(best, key=lambda l: (best[l], -l))
+        several += len(best) > 1
+        assert abs(score - best[top]) < 2e-3
+        assert model.languages[top] == lang or abs(best[top] - sorted(best.values())[-2]) < 2e-3
+    assert several > 3
+
+
+@pytest.mark.parametrize("text", ["² ½", "Ⅷ", "¾", "①②", "123", "_", "٣", "", None, " \n"])
+def test_numerals_are_no_letters(model, text):
+    assert G.classify([text], G.Words(model)) == [("und", 0.0)]
+
+
+@pytest.mark.parametrize("text", ["ª", "漢", "x²", "Ⅷa", "五"])
+def test_letters_of_any_script_are(model, text):
+    assert G.classify([text], G.Words(model))[0][0] in model.languages
 
 
 def test_held_out_accuracy(rows, model):
