@@ -42,15 +42,21 @@ GRAM = 3
 SMOOTH = 0.5
 PENALTY = 2.0
 ROUNDS, CLOSE = 2000, 1e-5     # a document's EM ends when no proportion moves by CLOSE
-#: Letters are what ``str.isalpha`` tells: word characters without numerals of any kind.
-NUMERALS = "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha())
-LETTERS = re.compile(f"[^\\W_{NUMERALS}]+")
+RUNS = re.compile(r"[^\W\d_]+")
+
+
+def letter_runs(piece: str) -> list[str]:
+    """Runs of letters, as ``str.isalpha`` tells them: numerals like "\u00b2" are none."""
+    out = []
+    for run in RUNS.findall(piece):
+        out += [run] if run.isalpha() else "".join([c if c.isalpha() else " " for c in run]).split()
+    return out
 
 
 def grams(piece: str, n: int = GRAM) -> list[str]:
     """The n-grams of a piece's runs of letters, with ends marked by a blank."""
     out = []
-    for w in LETTERS.findall(piece.lower()):
+    for w in letter_runs(piece.lower()):
         w = f" {w} "
         out += [w[i:i + n] for i in range(max(1, len(w) - n + 1))]
     return out
