@@ -6,9 +6,10 @@ handler normalises values, the normalised columns.  Rules are checked in the
 handler's order; duplicates *inside* a batch of new rows are resolved after all
 other checks, the first candidate (by batchOrder) of a key winning.  In a batch of
 updates a candidate conflicts when the first valid candidate of its key is for
-another row; a row may be updated again under the same key.  With two keys
-(username, email) the rule holds for each key on its own: a candidate that passed
-the table checks claims both of its keys, even if one of them is refused.
+another row; a row may be updated again under the same key.  New users have two keys
+(username, email), of which an accepted one claims both and a refused one none
+(``claims.first_independent``); in a batch of changed users the rule holds for each
+key on its own.
 First-wins is computed with an aggregate per key and a join back, so a hot key is
 combined map-side instead of sorted in one task.
 """
@@ -20,6 +21,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import normalized_key, slug, type_valid
+from ..session import cut_lineage
+from .claims import first_independent
 
 # Rejection reasons.
 MISSING = "missing_fields"
@@ -161,14 +164,15 @@ def study_clean(updates: DataFrame) -> DataFrame:
     return out
 
 
-def user_import(cands: DataFrame, user: DataFrame, default_created_by: str = "admin") -> DataFrame:
+def user_import(cands: DataFrame, user: DataFrame, default_created_by: str = "admin",
+                log: list | None = None) -> DataFrame:
     """cands(batchOrder, username, password, email, type, createdBy) -> + reason.
 
     Taken when the username *or* the email exists (two semi-joins, not an OR
-    join).  Inside the batch a candidate is rejected when an earlier candidate
-    that passed the other checks shares its username or its email (set-based
-    form of the sequential rule).  The password is only checked for presence and
-    never returned."""
+    join).  Inside the batch a candidate is rejected when an earlier accepted
+    candidate has its username or its email, as if the requests came one by one.
+    The password is only checked for presence and never returned.  The checked
+    candidates and the rounds are materialised."""
     names = user.select("username").distinct().withColumn("_un", F.lit(True))
     mails = user.select("email").distinct().withColumn("_em", F.lit(True))
     c = cands.join(names, "username", "left").join(mails, "email", "left")
@@ -177,8 +181,12 @@ def user_import(cands: DataFrame, user: DataFrame, default_created_by: str = "ad
     reason = F.when(miss, F.lit(MISSING)).when(F.col("_un").isNotNull() | F.col("_em").isNotNull(), F.lit(USER_TAKEN))
     c = c.withColumn("reason", reason).drop("_un", "_em")
     created_by = F.coalesce(F.when(~js_missing(c, "createdBy"), F.col("createdBy")), F.lit(default_created_by))
-    return (first_wins(c, ["username"], ["email"])
-            .withColumn("createdBy", created_by).drop("password"))
+    c = cut_lineage(c.withColumn("createdBy", created_by).drop("password"))
+    valid = c.where(F.col("reason").isNull()).select(ORDER, "username", "email")
+    accepted = first_independent(valid, ["username", "email"], log).withColumn("_ok", F.lit(True))
+    refused = F.col("reason").isNull() & F.col("_ok").isNull()
+    return (c.join(accepted, ORDER, "left")
+            .withColumn("reason", F.when(refused, F.lit(DUPLICATE)).otherwise(F.col("reason"))).drop("_ok"))
 
 
 def membership_import(cands: DataFrame, user_study: DataFrame, keys: tuple[str, str] = ("userId", "studyId"),

@@ -229,8 +229,32 @@ def _q_study_clean(t, spark, sf):
     return V.study_clean(study_updates(spark, sf))
 
 
+#: Replays the valid candidates one by one; a step carries the names taken so far.
+USER_REPLAY = """,
+R AS (
+  SELECT c.*,
+         CASE WHEN c.username IS NULL OR c.username = '' OR c.password IS NULL OR c.password = ''
+                   OR c.email IS NULL OR c.email = '' OR c.type IS NULL OR c.type = '' THEN 'missing_fields'
+              WHEN EXISTS (SELECT 1 FROM ann_user u WHERE u.username = c.username OR u.email = c.email)
+                   THEN 'username_or_email_taken' END AS reason0
+  FROM Cands c),
+Valid AS (SELECT *, row_number() OVER (ORDER BY batchOrder) AS n FROM R WHERE reason0 IS NULL),
+Replay AS (
+  SELECT CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS batchOrder, false AS ok,
+         CAST([] AS VARCHAR[]) AS names, CAST([] AS VARCHAR[]) AS mails
+  UNION ALL
+  SELECT n, batchOrder, free, CASE WHEN free THEN list_append(names, username) ELSE names END,
+         CASE WHEN free THEN list_append(mails, email) ELSE mails END
+  FROM (SELECT v.n, v.batchOrder, v.username, v.email, names, mails,
+               NOT list_contains(names, v.username) AND NOT list_contains(mails, v.email) AS free
+        FROM Replay r JOIN Valid v ON v.n = r.n + 1))
+SELECT R.batchOrder, username, email, type, COALESCE(createdBy, 'admin') AS createdBy,
+       CASE WHEN reason0 IS NULL AND NOT ok THEN 'duplicate_in_batch' ELSE reason0 END AS reason
+FROM R LEFT JOIN Replay ON Replay.batchOrder = R.batchOrder"""
+
+
 @register("user_import", """
-WITH Cands AS (
+WITH RECURSIVE Cands AS (
   SELECT c_custkey AS batchOrder,
          CASE WHEN c_custkey % 50 = 0 THEN 'Supplier#000000003'
               ELSE concat('cust', CAST(c_custkey % 700 AS VARCHAR)) END AS username,
@@ -239,27 +263,28 @@ WITH Cands AS (
               ELSE concat('c', CAST(c_custkey % 900 AS VARCHAR), '@mail.test') END AS email,
          'user' AS type,
          CASE WHEN c_custkey % 2 = 0 THEN NULL ELSE 'admin2' END AS createdBy
-  FROM customer),
-R AS (
-  SELECT c.*,
-         CASE WHEN c.username IS NULL OR c.username = '' OR c.password IS NULL OR c.password = ''
-                   OR c.email IS NULL OR c.email = '' OR c.type IS NULL OR c.type = '' THEN 'missing_fields'
-              WHEN EXISTS (SELECT 1 FROM ann_user u WHERE u.username = c.username OR u.email = c.email)
-                   THEN 'username_or_email_taken' END AS reason0
-  FROM Cands c),
-F AS (
-  SELECT R.*,
-         MIN(CASE WHEN reason0 IS NULL THEN batchOrder END) OVER (PARTITION BY username) AS f1,
-         MIN(CASE WHEN reason0 IS NULL THEN batchOrder END) OVER (PARTITION BY email) AS f2
-  FROM R)
-SELECT batchOrder, username, email, type, COALESCE(createdBy, 'admin') AS createdBy,
-       CASE WHEN reason0 IS NULL AND (batchOrder <> f1 OR batchOrder <> f2) THEN 'duplicate_in_batch'
-            ELSE reason0 END AS reason
-FROM F""")
+  FROM customer)""" + USER_REPLAY)
 def _q_user_import(t, spark, sf):
     return V.user_import(user_candidates(spark, sf), t["user"])
 
 
+@register("user_import_conflicts", """
+WITH RECURSIVE Cands AS (
+  SELECT c_custkey AS batchOrder, concat('n', c_custkey * 7 % 41 + c_custkey % 30) AS username, 'pw' AS password,
+         concat('m', c_custkey * c_custkey % 53 + c_custkey % 20) AS email, 'user' AS type, c_mktsegment AS createdBy
+  FROM customer)""" + USER_REPLAY)
+def _q_user_import_conflicts(t, spark, sf):
+    """A batch in which refused candidates often share a key with acceptable ones."""
+    c = read_table(spark, sf, "customer")
+    k = F.col("c_custkey")
+    cands = c.select(
+        k.alias("batchOrder"), F.concat(F.lit("n"), (k * 7 % 41 + k % 30).cast("string")).alias("username"),
+        F.lit("pw").alias("password"),
+        F.concat(F.lit("m"), (k * k % 53 + k % 20).cast("string")).alias("email"),
+        F.lit("user").alias("type"), F.col("c_mktsegment").alias("createdBy"))
+    return V.user_import(cands, t["user"])
+
+
 @register("membership_import", """
 WITH Cands AS (SELECT o_orderkey AS batchOrder, o_custkey % 120 AS userId, o_orderkey % 6 AS studyId FROM orders),
 R AS (
