@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import normalized_key, slug, type_valid
 from ..session import cut_lineage
-from .claims import first_independent
+from .claims import GONE, HELD, WON, first_independent, replay_claims, replay_renames
 
 # Rejection reasons.
 MISSING = "missing_fields"
@@ -49,38 +49,18 @@ def js_missing(df: DataFrame, name: str) -> Column:
     return c.isNull() | (c == 0)
 
 
-def taken_by_other(cands: DataFrame, existing: DataFrame, keys: list[str], self_id: str | None = None) -> DataFrame:
-    """``cands`` + boolean ``_taken``: some existing row has the same ``keys``; with
-    ``self_id`` (an update) rows with the candidate's own id do not count.
-
-    Existing rows are first reduced per key to (count, min id, max id), so the
-    check is one equi-join, never a join on an inequality."""
-    if self_id is None:
-        ex = existing.select(*keys).distinct().withColumn("_taken", F.lit(True))
-        return cands.join(ex, keys, "left").withColumn("_taken", F.coalesce("_taken", F.lit(False)))
-    ex = existing.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("id").alias("_lo"),
-                                     F.max("id").alias("_hi"))
-    j = cands.join(ex, keys, "left")
-    other = (F.when(F.col("_n").isNull(), F.lit(False)).when(F.col(self_id).isNull(), F.lit(True))
-             .otherwise((F.col("_n") > 1) | (F.col("_lo") != F.col(self_id))))
-    return j.withColumn("_taken", other).drop("_n", "_lo", "_hi")
-
-
-def first_wins(df: DataFrame, *key_sets: list[str], reason_col: str = "reason",
-               self_id: str | None = None) -> DataFrame:
-    """Mark conflicts inside a batch among rows whose reason is null: with a later
-    row of a key, or (``self_id``, an update) a row of another id than the first's."""
-    ok = df.filter(F.col(reason_col).isNull())
-    conflict = F.lit(False)
-    j = df
-    for n, keys in enumerate(key_sets):
-        first = f"_first{n}"
-        pick = F.min(ORDER) if self_id is None else F.min_by(self_id, ORDER)
-        j = j.join(ok.groupBy(*keys).agg(pick.alias(first)), keys, "left")
-        conflict = conflict | F.coalesce(F.col(self_id or ORDER) != F.col(first), F.lit(False))
-    dup = F.col(reason_col).isNull() & conflict
-    return (j.withColumn(reason_col, F.when(dup, F.lit(DUPLICATE)).otherwise(F.col(reason_col)))
-            .drop(*[f"_first{n}" for n in range(len(key_sets))]))
+def taken_by_other(cands: DataFrame, existing: DataFrame, keys: list[str]) -> DataFrame:
+    """``cands`` + boolean ``_taken``: some existing row has the same ``keys``."""
+    ex = existing.select(*keys).distinct().withColumn("_taken", F.lit(True))
+    return cands.join(ex, keys, "left").withColumn("_taken", F.coalesce("_taken", F.lit(False)))
+
+
+def first_wins(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Mark, among rows whose reason is null, all but the first of each key as duplicates."""
+    first = df.filter(F.col("reason").isNull()).groupBy(*keys).agg(F.min(ORDER).alias("_first"))
+    dup = F.col("reason").isNull() & F.coalesce(F.col(ORDER) != F.col("_first"), F.lit(False))
+    return (df.join(first, keys, "left")
+            .withColumn("reason", F.when(dup, F.lit(DUPLICATE)).otherwise(F.col("reason"))).drop("_first"))
 
 
 def known_ids(cands: DataFrame, existing: DataFrame) -> DataFrame:
@@ -89,6 +69,17 @@ def known_ids(cands: DataFrame, existing: DataFrame) -> DataFrame:
     return cands.join(ids, "id", "left").withColumn("_known", F.coalesce("_known", F.lit(False)))
 
 
+def replayed(c: DataFrame, stored: DataFrame, names: dict[str, Column], taken: str,
+             writes: Column | None = None, stored_names: dict[str, Column] | None = None,
+             log: list | None = None) -> DataFrame:
+    """Updates ``c`` with a ``reason`` so far (null: to be decided) -> + the outcome of
+    claiming ``names`` in order.  Candidates with a reason change nothing."""
+    c = cut_lineage(c)
+    refused = replay_claims(c.where(F.col("reason").isNull()), stored, names, writes, stored_names, log)
+    outcome = F.when(F.col("outcome") == HELD, F.lit(taken)).when(F.col("outcome") == WON, F.lit(DUPLICATE))
+    return (c.join(refused, ORDER, "left").withColumn("reason", F.coalesce("reason", outcome)).drop("outcome"))
+
+
 def category_import(cands: DataFrame, categories: DataFrame, question: DataFrame,
                     legacy_global_names: bool = False) -> DataFrame:
     """cands(batchOrder, name, categoryType, questionId[, id]) -> + normalizedType,
@@ -104,17 +95,24 @@ def category_import(cands: DataFrame, categories: DataFrame, question: DataFrame
         .select("id", "name", "studyId")
     c = cands.withColumn("normalizedType", slug("categoryType")).join(q, "questionId", "left")
     keys = ["name"] if legacy_global_names else ["name", "studyId"]
-    c = taken_by_other(c, existing, keys, "id" if update else None)
     reason = (F.when(js_missing(c, "name") | js_missing(c, "categoryType") | js_missing(c, "questionId"),
                      F.lit(MISSING))
               .when((F.col("normalizedType") == "") | ~type_valid("normalizedType"), F.lit(BAD_TYPE))
-              .when(F.col("_q").isNull(), F.lit(UNKNOWN_QUESTION))
-              .when(F.col("_taken"), F.lit(NAME_TAKEN)))
+              .when(F.col("_q").isNull(), F.lit(UNKNOWN_QUESTION)))
     if update:
-        c = known_ids(c, categories)
-        reason = reason.when(~F.col("_known"), F.lit(NOT_FOUND))
-    c = c.withColumn("reason", reason).drop("_q", "_taken", "_known")
-    return first_wins(c, keys, self_id="id" if update else None)
+        c = known_ids(c.withColumn("reason", reason).drop("_q"), categories)
+        name = F.to_json(F.array(*[F.col(k).cast("string") for k in keys]))
+        done = replayed(c, existing, {"name": name}, NAME_TAKEN, F.col("_known"))
+        return _unknown_last(done)
+    c = taken_by_other(c, existing, keys)
+    reason = reason.when(F.col("_taken"), F.lit(NAME_TAKEN))
+    return first_wins(c.withColumn("reason", reason).drop("_q", "_taken"), keys)
+
+
+def _unknown_last(done: DataFrame) -> DataFrame:
+    """An unknown id is the last thing that is noticed, as the handler learns it from the write."""
+    late = F.when(F.col("reason").isNull() & ~F.col("_known"), F.lit(NOT_FOUND)).otherwise(F.col("reason"))
+    return done.withColumn("reason", late).drop("_known")
 
 
 def question_import(cands: DataFrame, question: DataFrame) -> DataFrame:
@@ -124,15 +122,15 @@ def question_import(cands: DataFrame, question: DataFrame) -> DataFrame:
     update = "id" in cands.columns
     existing = question.select("id", "studyId", normalized_key("question").alias("_k"))
     c = cands.withColumn("_k", normalized_key("question"))
-    c = taken_by_other(c, existing, ["studyId", "_k"], "id" if update else None)
     miss = js_missing(c, "question") | js_missing(c, "content") | js_missing(c, "inputType") \
         | js_missing(c, "studyId")
-    reason = F.when(miss, F.lit(MISSING)).when(F.col("_taken"), F.lit(NAME_TAKEN))
     if update:
-        c = known_ids(c, question)
-        reason = reason.when(~F.col("_known"), F.lit(NOT_FOUND))
-    c = c.withColumn("reason", reason).drop("_taken", "_known")
-    return first_wins(c, ["studyId", "_k"], self_id="id" if update else None).drop("_k")
+        c = known_ids(c.withColumn("reason", F.when(miss, F.lit(MISSING))), question)
+        name = F.to_json(F.array(F.col("studyId").cast("string"), F.col("_k")))
+        return _unknown_last(replayed(c, existing, {"name": name}, NAME_TAKEN, F.col("_known"))).drop("_k")
+    c = taken_by_other(c, existing, ["studyId", "_k"])
+    reason = F.when(miss, F.lit(MISSING)).when(F.col("_taken"), F.lit(NAME_TAKEN))
+    return first_wins(c.withColumn("reason", reason).drop("_taken"), ["studyId", "_k"]).drop("_k")
 
 
 def study_import(cands: DataFrame, study: DataFrame) -> DataFrame:
@@ -146,9 +144,8 @@ def study_import(cands: DataFrame, study: DataFrame) -> DataFrame:
 def study_update(cands: DataFrame, study: DataFrame) -> DataFrame:
     """Changed studies: cands(batchOrder, id, name, ...) -> + reason.  Only the name is
     checked, against other studies; an unknown id is no error (nothing is written)."""
-    c = taken_by_other(cands, study.select("id", "name"), ["name"], "id")
-    reason = F.when(F.col("_taken"), F.lit(NAME_TAKEN))
-    return first_wins(c.withColumn("reason", reason).drop("_taken"), ["name"], self_id="id")
+    c = known_ids(cands.withColumn("reason", F.lit(None).cast("string")), study)
+    return replayed(c, study.select("id", "name"), {"name": F.col("name")}, NAME_TAKEN, F.col("_known")).drop("_known")
 
 
 def study_clean(updates: DataFrame) -> DataFrame:
@@ -207,12 +204,9 @@ def membership_import(cands: DataFrame, user_study: DataFrame, keys: tuple[str,
 def user_rename(cands: DataFrame, user: DataFrame) -> DataFrame:
     """Profile update: cands(batchOrder, id, username, email) -> + reason; the new
     username or email must not belong to another user."""
-    u = user.select("id", "username", "email")
-    c = taken_by_other(cands, u, ["username"], "id").withColumnRenamed("_taken", "_t1")
-    c = taken_by_other(c, u, ["email"], "id").withColumnRenamed("_taken", "_t2")
-    reason = F.when(F.col("_t1") | F.col("_t2"), F.lit(USER_TAKEN))
-    c = c.withColumn("reason", reason).drop("_t1", "_t2")
-    return first_wins(c, ["username"], ["email"], self_id="id")
+    c = known_ids(cands.withColumn("reason", F.lit(None).cast("string")), user)
+    return replayed(c, user, {"username": F.col("username"), "email": F.col("email")}, USER_TAKEN,
+                    F.col("_known")).drop("_known")
 
 
 #: Changes are ordered within blocks of this many batchOrder values, then over blocks,
@@ -305,29 +299,19 @@ def user_update(cands: DataFrame, user: DataFrame) -> DataFrame:
     Required fields first, then the id must exist, then username and email
     must not belong to another user."""
     c = known_ids(cands, user)
-    u = user.select("id", "username", "email")
-    c = taken_by_other(c, u, ["username"], "id").withColumnRenamed("_taken", "_t1")
-    c = taken_by_other(c, u, ["email"], "id").withColumnRenamed("_taken", "_t2")
     miss = js_missing(c, "username") | js_missing(c, "email") | js_missing(c, "type")
-    reason = (F.when(miss, F.lit(MISSING)).when(~F.col("_known"), F.lit(NOT_FOUND))
-              .when(F.col("_t1") | F.col("_t2"), F.lit(USER_TAKEN)))
-    c = c.withColumn("reason", reason).drop("_known", "_t1", "_t2")
-    return first_wins(c, ["username"], ["email"], self_id="id")
+    reason = F.when(miss, F.lit(MISSING)).when(~F.col("_known"), F.lit(NOT_FOUND))
+    return replayed(c.withColumn("reason", reason).drop("_known"), user,
+                    {"username": F.col("username"), "email": F.col("email")}, USER_TAKEN)
 
 
 def profile_rename(cands: DataFrame, user: DataFrame) -> DataFrame:
     """Profile change of one's own username: cands(batchOrder, currentUsername,
-    newUsername) -> + reason.  The current user must exist; a new name that
-    differs from the current one must be free."""
-    cur = user.select(F.col("username").alias("currentUsername")).distinct().withColumn("_found", F.lit(True))
-    names = user.select(F.col("username").alias("newUsername")).distinct().withColumn("_taken", F.lit(True))
-    c = cands.join(cur, "currentUsername", "left").join(names, "newUsername", "left")
-    changes = ~js_missing(c, "newUsername") & (F.col("newUsername") != F.col("currentUsername"))
-    reason = (F.when(F.col("_found").isNull(), F.lit(NOT_FOUND))
-              .when(changes & F.col("_taken").isNotNull(), F.lit(USER_TAKEN)))
-    c = c.withColumn("reason", reason).drop("_found", "_taken")
-    ok = c.filter(F.col("reason").isNull() & changes)
-    firsts = ok.groupBy("newUsername").agg(F.min(ORDER).alias("_first"))
-    j = c.join(firsts, "newUsername", "left")
-    dup = F.col("reason").isNull() & changes & (F.col(ORDER) != F.col("_first"))
-    return j.withColumn("reason", F.when(dup, F.lit(DUPLICATE)).otherwise(F.col("reason"))).drop("_first")
+    newUsername) -> + reason, in order.  Somebody must bear the current name just then; a
+    new name that differs from it must be free just then."""
+    c = cut_lineage(cands)
+    new = F.when(~js_missing(c, "newUsername"), F.col("newUsername"))
+    refused = replay_renames(c, user.select(F.col("username").alias("name")), F.col("currentUsername"), new)
+    reason = (F.when(F.col("outcome") == GONE, F.lit(NOT_FOUND)).when(F.col("outcome") == HELD, F.lit(USER_TAKEN))
+              .when(F.col("outcome") == WON, F.lit(DUPLICATE)))
+    return c.join(refused, ORDER, "left").withColumn("reason", reason).drop("outcome")

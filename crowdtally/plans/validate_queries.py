@@ -119,11 +119,24 @@ FIRST_WINS = """
        THEN 'duplicate_in_batch' ELSE reason0 END AS reason"""
 
 
-#: For updates: the first valid candidate of the key is for another row.
-FIRST_OTHER = """
-  CASE WHEN reason0 IS NULL AND id <> arg_min(id, batchOrder) FILTER (WHERE reason0 IS NULL)
-                                      OVER (PARTITION BY {keys})
-       THEN 'duplicate_in_batch' ELSE reason0 END AS reason"""
+#: Replays updates one by one.  ``Rows`` (id, k1, k2) are the stored rows, ``Asked`` the
+#: candidates with their keys, ``reason0`` and ``writes``; a step carries who holds what, and
+#: whether the table knew it (s1, s2).
+REPLAY = """,
+Numbered AS (SELECT *, row_number() OVER (ORDER BY batchOrder) AS n FROM Asked WHERE reason0 IS NULL),
+Replay AS (
+  SELECT CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS batchOrder, CAST(NULL AS VARCHAR) AS outcome,
+         (SELECT list({'id': id, 'k1': k1, 'k2': k2, 's1': true, 's2': true}) FROM Rows) AS held
+  UNION ALL
+  SELECT n, batchOrder, CASE WHEN len(others) = 0 THEN NULL
+           WHEN len(list_filter(others, lambda o: (o.k1 = k1 AND o.s1) OR (o.k2 = k2 AND o.s2))) > 0 THEN 'held'
+           ELSE 'won' END,
+         CASE WHEN len(others) > 0 OR NOT writes THEN held
+              ELSE list_transform(held, lambda h: CASE WHEN h.id <> id THEN h
+                   ELSE {'id': h.id, 'k1': k1, 'k2': k2, 's1': h.s1 AND h.k1 = k1, 's2': h.s2 AND h.k2 = k2} END) END
+  FROM (SELECT c.n, c.batchOrder, c.id, c.k1, c.k2, c.writes, held,
+               list_filter(held, lambda h: h.id <> c.id AND (h.k1 = c.k1 OR COALESCE(h.k2 = c.k2, false))) AS others
+        FROM Replay r JOIN Numbered c ON c.n = r.n + 1))"""
 
 
 @register("category_slug", "WITH " + CAT_CANDS.strip() + f"""
@@ -361,43 +374,44 @@ def category_updates(spark, sf):
 
 
 @register("category_update", """
-WITH Cands AS (
+WITH RECURSIVE Cands AS (
   SELECT doc_id AS batchOrder, doc_id % 50 AS id,
          CASE WHEN doc_id % 4 = 0 THEN 'A' WHEN doc_id % 4 = 1 THEN 'N'
               ELSE concat('u', CAST(doc_id % 30 AS VARCHAR)) END AS name,
          'tematicas' AS categoryType, doc_id % 15 + 1 AS questionId
   FROM documents),
-R AS (
-  SELECT c.*, q.studyId, 'tematicas' AS normalizedType,
-         CASE WHEN q.id IS NULL THEN 'unknown_question'
-              WHEN EXISTS (SELECT 1 FROM ann_categories c2 JOIN ann_question q2 ON q2.id = c2.questionId
-                           WHERE c2.name = c.name AND q2.studyId = q.studyId AND c2.id <> c.id) THEN 'name_taken'
-              WHEN c.id NOT IN (SELECT id FROM ann_categories) THEN 'not_found'
-         END AS reason0
-  FROM Cands c LEFT JOIN ann_question q ON q.id = c.questionId)
-SELECT batchOrder, id, name, categoryType, questionId, normalizedType, studyId,""" + FIRST_OTHER.format(
-    keys="name, studyId") + """
-FROM R""")
+Rows AS (SELECT c.id, to_json([name, studyId::VARCHAR]) AS k1, NULL::VARCHAR AS k2
+         FROM ann_categories c JOIN ann_question q ON q.id = c.questionId),
+Asked AS (
+  SELECT c.*, q.studyId, 'tematicas' AS normalizedType, to_json([c.name, q.studyId::VARCHAR]) AS k1, NULL::VARCHAR AS k2,
+         c.id IN (SELECT id FROM ann_categories) AS writes,
+         CASE WHEN q.id IS NULL THEN 'unknown_question' END AS reason0
+  FROM Cands c LEFT JOIN ann_question q ON q.id = c.questionId)""" + REPLAY + """
+SELECT a.batchOrder, id, name, categoryType, questionId, normalizedType, studyId,
+       CASE WHEN reason0 IS NOT NULL THEN reason0 WHEN outcome = 'held' THEN 'name_taken'
+            WHEN outcome = 'won' THEN 'duplicate_in_batch' WHEN NOT writes THEN 'not_found' END AS reason
+FROM Asked a LEFT JOIN Replay r ON r.batchOrder = a.batchOrder""")
 def _q_category_update(t, spark, sf):
     return V.category_import(category_updates(spark, sf), t["categories"], t["question"])
 
 
 @register("question_update", """
-WITH Cands AS (
+WITH RECURSIVE Cands AS (
   SELECT doc_id AS batchOrder, doc_id % 16 AS id,
          CASE WHEN doc_id % 3 = 0 THEN 'Q1' ELSE concat('New ', CAST(doc_id % 20 AS VARCHAR)) END AS question,
          text AS content, 'radio' AS inputType, doc_id % 5 AS studyId
   FROM documents),
-R AS (
-  SELECT c.*, lower(trim(c.question)) AS k,
+Rows AS (SELECT id, to_json([studyId::VARCHAR, lower(trim(question))]) AS k1, NULL::VARCHAR AS k2 FROM ann_question),
+Asked AS (
+  SELECT c.*, to_json([studyId::VARCHAR, lower(trim(question))]) AS k1, NULL::VARCHAR AS k2,
+         c.id IN (SELECT id FROM ann_question) AS writes,
          CASE WHEN c.question IS NULL OR c.question = '' OR c.content IS NULL OR c.content = ''
-                   OR c.studyId IS NULL OR c.studyId = 0 THEN 'missing_fields'
-              WHEN EXISTS (SELECT 1 FROM ann_question q WHERE q.studyId = c.studyId AND q.id <> c.id
-                           AND lower(trim(q.question)) = lower(trim(c.question))) THEN 'name_taken'
-              WHEN c.id NOT IN (SELECT id FROM ann_question) THEN 'not_found' END AS reason0
-  FROM Cands c)
-SELECT batchOrder, id, question, content, inputType, studyId,""" + FIRST_OTHER.format(keys="studyId, k") + """
-FROM R""")
+                   OR c.studyId IS NULL OR c.studyId = 0 THEN 'missing_fields' END AS reason0
+  FROM Cands c)""" + REPLAY + """
+SELECT a.batchOrder, id, question, content, inputType, studyId,
+       CASE WHEN reason0 IS NOT NULL THEN reason0 WHEN outcome = 'held' THEN 'name_taken'
+            WHEN outcome = 'won' THEN 'duplicate_in_batch' WHEN NOT writes THEN 'not_found' END AS reason
+FROM Asked a LEFT JOIN Replay r ON r.batchOrder = a.batchOrder""")
 def _q_question_update(t, spark, sf):
     d = read_table(spark, sf, "documents")
     i = F.col("doc_id")
@@ -409,17 +423,15 @@ def _q_question_update(t, spark, sf):
 
 
 @register("study_update", """
-WITH Cands AS (
+WITH RECURSIVE Cands AS (
   SELECT c_custkey AS batchOrder, c_custkey % 6 AS id,
          CASE WHEN c_custkey % 4 = 0 THEN 'ASIA' ELSE concat('S', CAST(c_custkey % 50 AS VARCHAR)) END AS name
   FROM customer),
-R AS (
-  SELECT c.*,
-         CASE WHEN EXISTS (SELECT 1 FROM ann_study s WHERE s.name = c.name AND s.id <> c.id) THEN 'name_taken'
-         END AS reason0
-  FROM Cands c)
-SELECT batchOrder, id, name,""" + FIRST_OTHER.format(keys="name") + """
-FROM R""")
+Rows AS (SELECT id, name AS k1, NULL::VARCHAR AS k2 FROM ann_study),
+Asked AS (SELECT c.*, name AS k1, NULL::VARCHAR AS k2, id IN (SELECT id FROM ann_study) AS writes,
+                 NULL::VARCHAR AS reason0 FROM Cands c)""" + REPLAY + """
+SELECT a.batchOrder, id, name, CASE outcome WHEN 'held' THEN 'name_taken' WHEN 'won' THEN 'duplicate_in_batch' END AS reason
+FROM Asked a LEFT JOIN Replay r ON r.batchOrder = a.batchOrder""")
 def _q_study_update(t, spark, sf):
     c = read_table(spark, sf, "customer")
     k = F.col("c_custkey")
@@ -430,27 +442,21 @@ def _q_study_update(t, spark, sf):
 
 
 @register("user_rename", """
-WITH Cands AS (
+WITH RECURSIVE Cands AS (
   SELECT c_custkey AS batchOrder, c_custkey % 120 AS id,
          CASE WHEN c_custkey % 5 = 0 THEN concat('Supplier#', lpad(CAST(c_custkey % 100 AS VARCHAR), 9, '0'))
               ELSE concat('nu', CAST(c_custkey % 400 AS VARCHAR)) END AS username,
          concat('user', CAST(c_custkey % 150 AS VARCHAR), '@mail.test') AS email
   FROM customer),
-R AS (
-  SELECT c.*,
-         CASE WHEN EXISTS (SELECT 1 FROM ann_user u WHERE u.id <> c.id
-                           AND (u.username = c.username OR u.email = c.email)) THEN 'username_or_email_taken'
-         END AS reason0
-  FROM Cands c),
-F AS (
-  SELECT R.*,
-         arg_min(id, batchOrder) FILTER (WHERE reason0 IS NULL) OVER (PARTITION BY username) AS f1,
-         arg_min(id, batchOrder) FILTER (WHERE reason0 IS NULL) OVER (PARTITION BY email) AS f2
-  FROM R)
-SELECT batchOrder, id, username, email,
-       CASE WHEN reason0 IS NULL AND (id <> f1 OR id <> f2) THEN 'duplicate_in_batch'
-            ELSE reason0 END AS reason
-FROM F""")
+Rows AS (SELECT id, username AS k1, email AS k2 FROM ann_user),
+Asked AS (
+  SELECT c.*, username AS k1, email AS k2, id IN (SELECT id FROM ann_user) AS writes,
+         NULL::VARCHAR AS reason0
+  FROM Cands c)""" + REPLAY + """
+SELECT a.batchOrder, id, username, email,
+       CASE WHEN reason0 IS NOT NULL THEN reason0 WHEN outcome = 'held' THEN 'username_or_email_taken'
+            WHEN outcome = 'won' THEN 'duplicate_in_batch' END AS reason
+FROM Asked a LEFT JOIN Replay r ON r.batchOrder = a.batchOrder""")
 def _q_user_rename(t, spark, sf):
     c = read_table(spark, sf, "customer")
     k = F.col("c_custkey")
@@ -484,30 +490,24 @@ def _q_category_link_import(t, spark, sf):
 
 
 @register("user_update", """
-WITH Cands AS (
+WITH RECURSIVE Cands AS (
   SELECT c_custkey AS batchOrder, c_custkey % 130 AS id,
          CASE WHEN c_custkey % 5 = 0 THEN concat('Supplier#', lpad(CAST(c_custkey % 100 AS VARCHAR), 9, '0'))
               ELSE concat('nu', CAST(c_custkey % 400 AS VARCHAR)) END AS username,
          concat('user', CAST(c_custkey % 150 AS VARCHAR), '@mail.test') AS email,
          CASE WHEN c_custkey % 17 = 0 THEN '' ELSE 'user' END AS type
   FROM customer),
-R AS (
-  SELECT c.*,
+Rows AS (SELECT id, username AS k1, email AS k2 FROM ann_user),
+Asked AS (
+  SELECT c.*, username AS k1, email AS k2, id IN (SELECT id FROM ann_user) AS writes,
          CASE WHEN c.username IS NULL OR c.username = '' OR c.email IS NULL OR c.email = ''
                    OR c.type IS NULL OR c.type = '' THEN 'missing_fields'
-              WHEN NOT EXISTS (SELECT 1 FROM ann_user u WHERE u.id = c.id) THEN 'not_found'
-              WHEN EXISTS (SELECT 1 FROM ann_user u WHERE u.id <> c.id
-                           AND (u.username = c.username OR u.email = c.email)) THEN 'username_or_email_taken'
-         END AS reason0
-  FROM Cands c),
-F AS (
-  SELECT R.*,
-         arg_min(id, batchOrder) FILTER (WHERE reason0 IS NULL) OVER (PARTITION BY username) AS f1,
-         arg_min(id, batchOrder) FILTER (WHERE reason0 IS NULL) OVER (PARTITION BY email) AS f2
-  FROM R)
-SELECT batchOrder, id, username, email, type,
-       CASE WHEN reason0 IS NULL AND (id <> f1 OR id <> f2) THEN 'duplicate_in_batch' ELSE reason0 END AS reason
-FROM F""")
+              WHEN c.id NOT IN (SELECT id FROM ann_user) THEN 'not_found' END AS reason0
+  FROM Cands c)""" + REPLAY + """
+SELECT a.batchOrder, id, username, email, type,
+       CASE WHEN reason0 IS NOT NULL THEN reason0 WHEN outcome = 'held' THEN 'username_or_email_taken'
+            WHEN outcome = 'won' THEN 'duplicate_in_batch' END AS reason
+FROM Asked a LEFT JOIN Replay r ON r.batchOrder = a.batchOrder""")
 def _q_user_update(t, spark, sf):
     c = read_table(spark, sf, "customer")
     k = F.col("c_custkey")
@@ -521,26 +521,32 @@ def _q_user_update(t, spark, sf):
 
 
 @register("profile_rename", """
-WITH Cands AS (
+WITH RECURSIVE Cands AS (
   SELECT c_custkey AS batchOrder,
          concat('Supplier#', lpad(CAST(c_custkey % 110 AS VARCHAR), 9, '0')) AS currentUsername,
          CASE WHEN c_custkey % 7 = 0 THEN concat('Supplier#', lpad(CAST(c_custkey % 110 AS VARCHAR), 9, '0'))
               WHEN c_custkey % 7 = 1 THEN concat('Supplier#', lpad(CAST(c_custkey % 90 AS VARCHAR), 9, '0'))
               ELSE concat('renamed', CAST(c_custkey % 300 AS VARCHAR)) END AS newUsername
   FROM customer),
-R AS (
-  SELECT c.*, (c.newUsername IS NOT NULL AND c.newUsername <> '' AND c.newUsername <> c.currentUsername) AS changes,
-         CASE WHEN NOT EXISTS (SELECT 1 FROM ann_user u WHERE u.username = c.currentUsername) THEN 'not_found'
-              WHEN c.newUsername IS NOT NULL AND c.newUsername <> '' AND c.newUsername <> c.currentUsername
-                   AND EXISTS (SELECT 1 FROM ann_user u WHERE u.username = c.newUsername)
-              THEN 'username_or_email_taken' END AS reason0
-  FROM Cands c)
-SELECT batchOrder, currentUsername, newUsername,
-       CASE WHEN reason0 IS NULL AND changes AND batchOrder <> MIN(CASE WHEN reason0 IS NULL AND changes
-                                                                    THEN batchOrder END)
-                                                                OVER (PARTITION BY newUsername)
-            THEN 'duplicate_in_batch' ELSE reason0 END AS reason
-FROM R""")
+Numbered AS (
+  SELECT *, newUsername IS NOT NULL AND newUsername <> '' AND newUsername <> currentUsername AS changes,
+         row_number() OVER (ORDER BY batchOrder) AS n FROM Cands),
+Replay AS (
+  SELECT CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS batchOrder, CAST(NULL AS VARCHAR) AS currentUsername,
+         CAST(NULL AS VARCHAR) AS newUsername, CAST(NULL AS VARCHAR) AS reason,
+         (SELECT list(DISTINCT username) FROM ann_user) AS stored, CAST([] AS VARCHAR[]) AS won
+  UNION ALL
+  SELECT n, batchOrder, currentUsername, newUsername, why,
+         CASE WHEN why IS NULL AND changes THEN list_filter(stored, lambda x: x <> currentUsername) ELSE stored END,
+         CASE WHEN why IS NULL AND changes
+              THEN list_append(list_filter(won, lambda x: x <> currentUsername), newUsername) ELSE won END
+  FROM (SELECT c.n, c.batchOrder, c.currentUsername, c.newUsername, c.changes, stored, won,
+               CASE WHEN NOT list_contains(stored, c.currentUsername) AND NOT list_contains(won, c.currentUsername)
+                    THEN 'not_found'
+                    WHEN c.changes AND list_contains(stored, c.newUsername) THEN 'username_or_email_taken'
+                    WHEN c.changes AND list_contains(won, c.newUsername) THEN 'duplicate_in_batch' END AS why
+        FROM Replay r JOIN Numbered c ON c.n = r.n + 1))
+SELECT batchOrder, currentUsername, newUsername, reason FROM Replay WHERE n > 0""")
 def _q_profile_rename(t, spark, sf):
     c = read_table(spark, sf, "customer")
     k = F.col("c_custkey")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 DEFAULT_CONF = {
@@ -55,3 +57,32 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable (not local) checkpoint: materialises ``df`` into the shared folder."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+class Scratch:
+    """Tables of a loop's rounds in the shared folder.  A table that is read back has the
+    size of its files; a checkpoint keeps the estimate of its plan, which joins of a loop
+    multiply beyond all bounds.  ``table`` writes one, ``only`` removes all but some."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark = spark
+        self.root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        self.paths: dict[str, DataFrame] = {}
+
+    def table(self, df: DataFrame) -> DataFrame:
+        path = f"{self.root}/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        self.paths[path] = back = self.spark.read.schema(df.schema).parquet(path)
+        return back
+
+    def only(self, *kept: DataFrame) -> None:
+        for path, df in list(self.paths.items()):
+            if not any(df is k for k in kept):
+                remove(self.spark, path)
+                del self.paths[path]
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder through Spark's file system."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

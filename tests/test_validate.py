@@ -114,11 +114,13 @@ def test_update_rules(spark):
     r = {x.batchOrder: x.reason for x in V.study_update(ups, study).collect()}
     assert r == {1: V.NAME_TAKEN, 2: None, 3: V.DUPLICATE, 4: None, 5: None, 6: None}
     question = spark.createDataFrame([(1, 1, "q")], "id bigint, studyId bigint, question string")
-    qs = spark.createDataFrame([(1, 1, "x", "c", "t", 1), (2, 99, "y", "c", "t", 1), (3, 99, "Q ", "c", "t", 1)],
+    # The name "q" is taken until its question gets another one.
+    qs = spark.createDataFrame([(0, 99, "Q ", "c", "t", 1), (1, 1, "x", "c", "t", 1), (2, 99, "y", "c", "t", 1),
+                                (3, 99, "Q ", "c", "t", 1)],
                                "batchOrder bigint, id bigint, question string, content string, inputType string, "
                                "studyId bigint")
     r = {x.batchOrder: x.reason for x in V.question_import(qs, question).collect()}
-    assert r == {1: None, 2: V.NOT_FOUND, 3: V.NAME_TAKEN}
+    assert r == {0: V.NAME_TAKEN, 1: None, 2: V.NOT_FOUND, 3: V.NOT_FOUND}
 
 
 def test_study_clean(spark):
