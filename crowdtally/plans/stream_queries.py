@@ -34,7 +34,7 @@ def _q_stream_classifications(t, spark, sf):
     # the merge across versions is exercised.
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     bodies.repartition(parts, "submissionId").write.parquet(src)
-    q = J.classification_stream(spark, src, state, ckpt, max_files=max(1, parts // 4), buckets=parts)
+    q = J.classification_stream(spark, src, state, ckpt, max_files=max(1, parts // 4))
     q.awaitTermination()
     return J.current_state(spark, state).select(*J.STATE_COLUMNS)
 

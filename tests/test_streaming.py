@@ -58,34 +58,91 @@ BODY = "submissionId bigint, userId bigint, postId bigint, questionId bigint, ca
        "sentimentoCategoryIds array<bigint>, createdAt timestamp_ntz"
 
 
-def test_untouched_buckets_keep_their_files(spark):
-    root = _tmp()
+def _send(spark, root, *rows, fan_in=4):
     src, state = os.path.join(root, "src"), os.path.join(root, "state")
-    t = dt.datetime
+    spark.createDataFrame(list(rows), BODY).coalesce(1).write.mode("append").parquet(src)
+    J.classification_stream(spark, src, state, os.path.join(root, "ck"), fan_in=fan_in).awaitTermination()
+    return sorted((r.userId, r.categoryId, r.submissionId) for r in J.current_state(spark, state).collect())
 
-    def send(*rows):
-        spark.createDataFrame(list(rows), BODY).coalesce(1).write.mode("append").parquet(src)
-        J.classification_stream(spark, src, state, os.path.join(root, "ck"), buckets=16).awaitTermination()
-        return sorted((r.userId, r.categoryId, r.submissionId) for r in J.current_state(spark, state).collect())
-
-    def files():
-        return {os.path.relpath(os.path.join(d, n), state) for d, _, ns in os.walk(os.path.join(state, "data"))
-                for n in ns if n.endswith(".parquet")}
-
-    first = [(u, u, 5, 6, [1, 2], None, t(2024, 1, 1)) for u in range(40)]
-    assert len(send(*first)) == 80
-    before = files()
-    now = send((100, 7, 5, 6, [3], [4], t(2024, 1, 2)))
+
+def _run_rows(spark, state):
+    return {run: spark.read.parquet(os.path.join(state, "data", run)).count() for run, _ in J.committed_runs(spark, state)}
+
+
+def test_a_batch_writes_what_it_brings(spark):
+    root, t = _tmp(), dt.datetime
+    state = os.path.join(root, "state")
+    assert len(_send(spark, root, *[(u, u, 5, 6, [1, 2], None, t(2024, 1, 1)) for u in range(40)])) == 80
+    now = _send(spark, root, (100, 7, 5, 6, [3], [4], t(2024, 1, 2)))
     assert [x for x in now if x[0] == 7] == [(7, 3, 100), (7, 4, 100)] and len(now) == 80
-    assert len(before - files()) == 0 and len(files() - before) == 1
-    # An older body and a copy of the newest change nothing; the third commit drops what
-    # the first alone named.
-    assert send((99, 7, 5, 6, [9], None, t(2023, 1, 2)), (100, 7, 5, 6, [3], [4], t(2024, 1, 2))) == now
-    assert len(before - files()) == 1
+    assert _run_rows(spark, state) == {"run=0-0": 40, "run=1-0": 1}
+    # An older body and a copy of the newest change nothing.
+    assert _send(spark, root, (99, 7, 5, 6, [9], None, t(2023, 1, 2)), (100, 7, 5, 6, [3], [4], t(2024, 1, 2))) == now
     # A batch that is run again gives the same state.
     batch = spark.createDataFrame([(99, 7, 5, 6, [9], None, t(2023, 1, 2))], BODY)
-    J.classification_batch_writer(state, 16)(batch, 2)
-    assert sorted((r.userId, r.categoryId, r.submissionId) for r in J.current_state(spark, state).collect()) == now
+    for _ in range(2):
+        J.classification_batch_writer(state)(batch, 2)
+        assert sorted((r.userId, r.categoryId, r.submissionId) for r in J.current_state(spark, state).collect()) == now
+
+
+def test_runs_are_merged_by_tiers(spark):
+    root, t = _tmp(), dt.datetime
+    state = os.path.join(root, "state")
+    write, want = J.classification_batch_writer(state, 3), {}
+    for n in range(11):
+        rows = [(100 * n + u, (n * 7 + u) % 20, 5, 6, [n], None, t(2024, 1, 1 + n)) for u in range(4)]
+        want |= {r[1]: n for r in rows}
+        for _ in range(1 + n % 2):      # every other batch is run twice
+            write(spark.createDataFrame(rows, BODY), n)
+        runs = J.committed_runs(spark, state)
+        tiers = [tier for _, tier in runs]
+        assert tiers == sorted(tiers, reverse=True) and all(tiers.count(x) < 3 for x in tiers)
+        assert {r.userId: r.categoryId for r in J.current_state(spark, state).collect()} == want
+    assert [r for r, _ in J.committed_runs(spark, state)] == ["run=8-2", "run=9-0", "run=10-0"]
+    # Only what the last two commits name is left.
+    assert len(os.listdir(os.path.join(state, "commits"))) <= 2
+    assert set(os.listdir(os.path.join(state, "data"))) == {"run=8-2", "run=9-0", "run=10-0"}
+
+
+def test_a_batch_without_a_valid_body(spark):
+    root = _tmp()
+    assert J.current_state(spark, os.path.join(root, "state")).collect() == []
+    assert _send(spark, root, (1, 1, None, 6, [1], None, dt.datetime(2024, 1, 1))) == []
+
+
+def test_passed_days_are_sealed_once(spark):
+    root, d = _tmp(), dt.datetime
+    src, sink = os.path.join(root, "src"), os.path.join(root, "sink")
+    empty = spark.createDataFrame([], EV)
+    assert J.current_timeline(spark, sink).collect() == []
+
+    def send(*rows):
+        spark.createDataFrame(list(rows), EV).coalesce(1).write.mode("append").parquet(src)
+        J.timeline_stream(spark, src, sink, os.path.join(root, "ck"), empty.schema).awaitTermination()
+        return sorted(tuple(r) for r in J.current_timeline(spark, sink).select("userId", "date", "count").collect())
+
+    def sealed():
+        at = os.path.join(sink, "sealed")
+        return {os.path.join(x, f): os.path.getmtime(os.path.join(x, f)) for x, _, fs in os.walk(at)
+                for f in fs if f.endswith(".parquet")}
+
+    want = {}
+    for day in range(1, 8):
+        rows = [(u, d(2024, 1, day, 10 + u)) for u in range(3)] + [(0, d(2024, 1, day, 23))]
+        for u, ts in rows:
+            want[u, f"{ts:%Y-%m-%d}"] = want.get((u, f"{ts:%Y-%m-%d}"), 0) + 1
+        before = sealed()
+        assert send(*rows) == sorted((u, x, n) for (u, x), n in want.items())
+        assert all(sealed().get(p) == at for p, at in before.items())      # not written again
+    opened = committed = J.committed_epochs(spark, os.path.join(sink, "open"))
+    assert len(committed) <= 2
+    left = spark.read.parquet(os.path.join(sink, "open", f"epoch={opened[-1]}"))
+    assert left.select("date").distinct().count() <= 2 and len(sealed()) >= 5
+
+
+def test_reading_a_sink_without_epochs(spark):
+    assert J.read_epochs(spark, os.path.join(_tmp(), "none"), "id bigint").columns == ["id", "epoch"]
+    assert J.read_epochs(spark, os.path.join(_tmp(), "none")).collect() == []
 
 
 def test_post_stream_over_several_batches_matches_batch_import(spark):
