@@ -9,3 +9,4 @@ from . import lookup_queries  # noqa: F401
 from . import validate_queries  # noqa: F401
 from . import stream_queries  # noqa: F401
 from . import storage_queries  # noqa: F401
+from . import incremental_queries  # noqa: F401

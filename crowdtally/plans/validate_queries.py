@@ -598,3 +598,54 @@ FROM Placed""")
 def _q_membership_changes_status(t, spark, sf):
     _, stat = V.apply_changes(t["user_study"], _membership_changes(spark, sf), key=["userId", "studyId"])
     return stat
+
+
+# ---- names compared without case and accents -------------------------------------
+def _spelled(k, segment, name):
+    """Names in several spellings that a collation takes for equal."""
+    return (F.when(k % 6 == 0, F.lit("Ásia")).when(k % 6 == 1, F.concat(F.lit("Stúdy "), F.lower(segment)))
+            .when(k % 6 == 2, F.concat(F.lit("STUDY "), segment)).when(k % 6 == 3, F.upper(name)).otherwise(name))
+
+
+SPELLED = """CASE c_custkey % 6 WHEN 0 THEN 'Ásia' WHEN 1 THEN concat('Stúdy ', lower(c_mktsegment))
+         WHEN 2 THEN concat('STUDY ', c_mktsegment) WHEN 3 THEN upper(c_name) ELSE c_name END"""
+
+
+@register("study_import_collated", f"""
+WITH Cands AS (SELECT c_custkey AS batchOrder, {SPELLED} AS name, 'Supplier#000000000' AS addedBy FROM customer),
+R AS (
+  SELECT c.*, lower(strip_accents(c.name)) AS k,
+         CASE WHEN EXISTS (SELECT 1 FROM ann_study s WHERE lower(strip_accents(s.name)) = lower(strip_accents(c.name)))
+              THEN 'name_taken' END AS reason0
+  FROM Cands c)
+SELECT batchOrder, name, addedBy,""" + FIRST_WINS.format(keys="k") + """
+FROM R""")
+def _q_study_import_collated(t, spark, sf):
+    from ..operators.collation import with_collation
+    c = read_table(spark, sf, "customer")
+    cands = c.select(F.col("c_custkey").alias("batchOrder"),
+                     _spelled(F.col("c_custkey"), F.col("c_mktsegment"), F.col("c_name")).alias("name"),
+                     F.lit("Supplier#000000000").alias("addedBy"))
+    return with_collation(V.study_import, cands, ["name"], [(t["study"], ["name"])])
+
+
+@register("study_update_collated", f"""
+WITH RECURSIVE Cands AS (
+  SELECT c_custkey AS batchOrder, c_custkey % 7 AS id,
+         CASE c_custkey % 4 WHEN 0 THEN 'Ásia' WHEN 1 THEN 'ásia' WHEN 2 THEN concat('ÉS', c_custkey % 20)
+              ELSE concat('es', c_custkey % 20) END AS name
+  FROM customer),
+Rows AS (SELECT id, lower(strip_accents(name)) AS k1, NULL::VARCHAR AS k2 FROM ann_study),
+Asked AS (SELECT c.*, lower(strip_accents(name)) AS k1, NULL::VARCHAR AS k2, id IN (SELECT id FROM ann_study) AS writes,
+                 NULL::VARCHAR AS reason0 FROM Cands c)""" + REPLAY + """
+SELECT a.batchOrder, id, name, CASE outcome WHEN 'held' THEN 'name_taken' WHEN 'won' THEN 'duplicate_in_batch' END AS reason
+FROM Asked a LEFT JOIN Replay r ON r.batchOrder = a.batchOrder""")
+def _q_study_update_collated(t, spark, sf):
+    from ..operators.collation import with_collation
+    c = read_table(spark, sf, "customer")
+    k = F.col("c_custkey")
+    cands = c.select(k.alias("batchOrder"), (k % 7).alias("id"),
+                     F.when(k % 4 == 0, F.lit("Ásia")).when(k % 4 == 1, F.lit("ásia"))
+                     .when(k % 4 == 2, F.concat(F.lit("ÉS"), (k % 20).cast("string")))
+                     .otherwise(F.concat(F.lit("es"), (k % 20).cast("string"))).alias("name"))
+    return with_collation(V.study_update, cands, ["name"], [(t["study"].select("id", "name"), ["name"])])

@@ -29,13 +29,13 @@ def test_a_refused_candidate_claims_nothing(spark):
 
 
 def test_a_long_chain(spark):
-    chain = [(i, f"u{i // 2}", f"e{(i + 1) // 2}") for i in range(24)]
+    chain = [(i, f"u{i // 2}", f"e{(i + 1) // 2}") for i in range(14)]
     log = []
-    assert decided(spark, chain, log) == replay(chain) == list(range(0, 24, 2))
-    assert log[-1] == 0 and len(log) <= 14
+    assert decided(spark, chain, log) == replay(chain) == list(range(0, 14, 2))
+    assert log[-1] == 0 and len(log) <= 8
 
 
-@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("seed", range(2))
 def test_random_batches(spark, seed):
     draw = random.Random(seed)
     cands = [(i, draw.choice([None, *map(str, range(12))]), draw.choice([None, *map(str, range(15))])) for i in range(120)]
@@ -106,7 +106,7 @@ def test_a_chain_of_releases_takes_few_rounds(spark):
     assert log[-1] == 0 and len(log) <= 12
 
 
-@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("seed", range(2))
 def test_random_updates_of_two_names(spark, seed):
     draw = random.Random(seed)
     stored = [(i, f"a{i}", f"b{i}") for i in range(10)] + [(10, "a1", "b1"), (11, None, None)]
