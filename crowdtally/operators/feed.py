@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from . import progress as P
 
 NO_STUDIES, FORBIDDEN, LIMIT_REACHED = "no_studies", "forbidden", "limit_reached"
@@ -48,7 +49,8 @@ def feed_status(resolved: DataFrame, quota: DataFrame, served: DataFrame, hist:
     """Per request: status and number of posts served.
 
     resolved: resolve_requests output; quota: user_quota on the targets;
-    served: next_posts output; hist: history rows (userId, studyId, postId).
+    served: next_posts output; hist: history rows (userId, studyId, postId) of the
+    requests in history mode at least.
     """
     n_served = served.groupBy("userId").agg(F.count(F.lit(1)).alias("_served"))
     n_hist = (hist.join(resolved.select("userId", F.col("targetStudyId").alias("studyId")), ["userId", "studyId"],
@@ -66,6 +68,12 @@ def feed_status(resolved: DataFrame, quota: DataFrame, served: DataFrame, hist:
     return j.select("userId", "targetStudyId", status.alias("status"), n_posts.cast("bigint").alias("nPosts"))
 
 
+def history_targets(resolved: DataFrame) -> DataFrame:
+    """(userId, studyId) of the accepted requests in history mode."""
+    return resolved.filter(F.col("refusal").isNull() & F.col("includeClassified")).select(
+        "userId", F.col("targetStudyId").alias("studyId"))
+
+
 def feed_targets(resolved: DataFrame, quota: DataFrame) -> DataFrame:
     """(userId, studyId, quota) for accepted, non-history requests."""
     ok = resolved.filter(F.col("refusal").isNull() & ~F.col("includeClassified"))
@@ -93,8 +101,7 @@ def history_payload(resolved: DataFrame, hist: DataFrame, post: DataFrame, study
     """History-mode answer: every post the user answered in the target study with
     its latest answer time (newest first is the presentation order), the same
     fields and nested images and questions as the feed."""
-    targets = resolved.filter(F.col("refusal").isNull() & F.col("includeClassified")).select(
-        "userId", F.col("targetStudyId").alias("studyId"))
+    targets = history_targets(resolved)
     h = hist.join(targets, ["userId", "studyId"], "left_semi").select("userId", "studyId", "postId", "createdAtMax")
     p = post.select(F.col("id").alias("postId"), "pageName", "pageLink", "postLink", "details", "likesCount",
                     "commentsCount", "sharesCount", "socialName")
@@ -122,7 +129,8 @@ def legacy_posts_page(post: DataFrame, image: DataFrame, memberships: DataFrame,
     # The total is a scalar subquery (one aggregate row), not a join.
     total = posts.agg(F.count(F.lit(1)).alias("total")).scalar()
     order = F.md5(F.concat_ws(":", F.lit(seed), F.lit(viewer), F.col("id").cast("string")))
-    page_rows = (posts.select("id", "pageName", F.coalesce("details", F.lit("")).alias("details"),
+    # Ten rows, used twice below: the page is made once.
+    page_rows = cut_lineage(posts.select("id", "pageName", F.coalesce("details", F.lit("")).alias("details"),
                               "likesCount", "commentsCount", "sharesCount", "studyId", order.alias("_o"))
                  .orderBy("_o", "id").offset((page - 1) * limit).limit(limit))
     # The images of one page's posts: a semi join before encoding, one row per post.

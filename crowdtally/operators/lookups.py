@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .feed import base64_clean
+from .feed import images_of
 
 USER_PUBLIC_COLUMNS = ["id", "username", "email", "type", "createdAt", "updatedAt", "createdBy", "updatedBy"]
 
@@ -84,16 +84,14 @@ def category_types(categories: DataFrame, question: DataFrame | None = None, stu
 
 
 def posts_by_owner(post: DataFrame, study: DataFrame, image: DataFrame, owner: str) -> DataFrame:
-    """Distinct posts of an owner's studies with images (base64, null images
-    skipped) as an array per post."""
+    """Posts of an owner's studies with images (base64, null images skipped) as an array
+    per post.  Post ids are unique, so a semi join gives each post once; only the images
+    of these posts are encoded and moved."""
     s = study.filter(F.col("addedBy") == F.lit(owner)).select(F.col("id").alias("studyId"))
-    p = (post.join(s, "studyId")
+    p = (post.join(s, "studyId", "left_semi")
          .select("id", "pageName", F.coalesce("details", F.lit("")).alias("details"),
-                 "likesCount", "commentsCount", "sharesCount", "studyId").distinct())
-    imgs = (image.filter(F.col("image_data").isNotNull())
-            .groupBy("postId")
-            .agg(F.sort_array(F.collect_list(F.struct("imageId", base64_clean(F.col("image_data")).alias("image_data"),
-                                                      "isFrontPage"))).alias("images")))
+                 "likesCount", "commentsCount", "sharesCount", "studyId"))
+    imgs = images_of(image.filter(F.col("image_data").isNotNull()), p.select(F.col("id").alias("postId")))
     return (p.join(imgs, p["id"] == imgs["postId"], "left").drop("postId")
             .withColumn("images", F.coalesce("images", F.array())))
 

@@ -108,6 +108,16 @@ def _q_match_images_by_link(t, spark, sf):
     return IN.match_images_by_link(raw, IN.import_posts(raw))
 
 
+@register("matched_image_rows", "WITH " + TWEETS_CTE.strip() + """,
+FirstPost AS (SELECT url AS postLink, MIN(localId) AS postId FROM Imported GROUP BY url)
+SELECT postId, pos::INTEGER AS pos, 'https://img.test/' || doc_id || '/' || pos || '.jpg' AS url,
+       (pos = 0)::INTEGER AS isFrontPage
+FROM (SELECT doc_id, url, unnest(range(nImages)) AS pos FROM Tw) JOIN FirstPost ON postLink = url""")
+def _q_matched_image_rows(t, spark, sf):
+    raw = _raw(spark, sf)
+    return IN.matched_image_rows(raw, IN.import_posts(raw))
+
+
 @register("page_post_counts", "WITH " + TWEETS_CTE.strip() + """
 SELECT username AS page, COUNT(*) AS posts FROM Tw
 WHERE CAST(substr(timestamp, 1, 10) AS DATE) BETWEEN DATE '2025-01-15' AND DATE '2025-03-10'

@@ -200,6 +200,11 @@ def _q_history(t, spark, sf):
     return P.history(t["classification"], t["post"], t["study"])
 
 
+def _asked_history(t, resolved):
+    """History of the users who asked for it: other answers are not grouped."""
+    return P.history(P.answers_of(t["classification"], FD.history_targets(resolved)), t["post"], t["study"])
+
+
 @register("feed_status", "WITH " + SERVED + "," + PAST + """
 SELECT userId, targetStudyId,
        CASE WHEN refusal IS NOT NULL THEN refusal
@@ -214,7 +219,7 @@ def _q_feed_status(t, spark, sf):
     resolved = _resolved(t)
     quota = _quota_for_targets(t, resolved)
     served = P.next_posts(FD.feed_targets(resolved, quota), t["post"], t["study"], t["classification"], SEED)
-    hist = P.history(t["classification"], t["post"], t["study"])
+    hist = _asked_history(t, resolved)
     return FD.feed_status(resolved, quota, served, hist)
 
 
@@ -294,8 +299,8 @@ served_post AS (
   JOIN ann_post p ON p.id = h.postId JOIN ann_study s ON s.id = p.studyId
   WHERE t.refusal IS NULL AND t.includeClassified)""" + LEAVES)
 def _q_history_payload(t, spark, sf):
-    hist = P.history(t["classification"], t["post"], t["study"])
-    pay = FD.history_payload(_resolved(t), hist, t["post"], t["study"], t["image"], t["question"], t["categories"])
+    resolved = _resolved(t)
+    pay = FD.history_payload(resolved, _asked_history(t, resolved), t["post"], t["study"], t["image"], t["question"], t["categories"])
     return leaves(pay, ["userId", "createdAtMax"])
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+import warnings
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,12 +43,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The folder for reliable checkpoints and scratch tables.
 
     It is what ``spark.checkpoint.dir`` names (or what the context was given); where
-    neither is set, a folder below the SQL warehouse, which executors share as well.
+    neither is set, a folder below the SQL warehouse.  A cluster's executors must share
+    it, so there a warning says so.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if not current:
         wanted = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+        if not wanted and not sc.master.startswith("local"):
+            warnings.warn("spark.checkpoint.dir is not set: scratch data goes below the SQL warehouse "
+                          f"({spark.conf.get('spark.sql.warehouse.dir')}), which all executors must share",
+                          stacklevel=2)
         sc.setCheckpointDir(wanted or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
         current = sc.getCheckpointDir()
     return current
