@@ -109,8 +109,8 @@ WITH shown AS (
   FROM ann_image WHERE octet_length(image_data) IS NOT NULL)
 SELECT id, pageName, CASE WHEN details IS NULL THEN '' ELSE details END AS details, likesCount, commentsCount,
        sharesCount, studyId, imageId, image_data, isFrontPage
-FROM (FROM ann_post SEMI JOIN (SELECT id AS studyId FROM ann_study WHERE addedBy = '{OWNER}') USING (studyId))
-LEFT JOIN shown ON postId = id""")
+FROM ann_post LEFT JOIN shown ON shown.postId = ann_post.id
+WHERE studyId IN (SELECT id FROM ann_study WHERE addedBy = '{OWNER}')""")
 def _q_posts_by_owner(t, spark, sf):
     p = LK.posts_by_owner(t["post"], t["study"], t["image"], OWNER)
     x = p.select("id", "pageName", "details", "likesCount", "commentsCount", "sharesCount", "studyId",
