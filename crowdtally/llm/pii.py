@@ -33,6 +33,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -53,7 +54,9 @@ PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
 AT_SIGN = re.compile(r"@| ?[\[(]at[\])] ?", re.I)
 LOOSE_HOST = re.compile(r"[^\W_][\w-]*+(?:(?:\.| ?[\[(]dot[\])] ?)[^\W_][\w-]*+)++", re.I)
-NUMBER = re.compile(r"(?<![\w+.])\(?[0-9](?:[ ().-]{0,2}[0-9]){6,18}(?!\w)")
+RUN = re.compile(r"\(?[0-9](?:[ ().-]{0,2}[0-9])*+")
+PART = re.compile(r"[^ ]+")
+GROUP = re.compile(r"[0-9]+")
 SECRET = re.compile(r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b"
                     r"|\b(?:password|passwd|pwd|token|secret|api[_-]?key)\b\s{0,3}[=:]\s{0,3}[\"']?"
                     r"([^\s\"']{8,}+)", re.I)
@@ -152,18 +155,41 @@ def candidates(text: str | None, base: list[tuple[int, int, int]]) -> list[tuple
         host = LOOSE_HOST.match(text, m.end())
         if a < m.start() and host:
             out.add((a, 0, host.end()))
-    for m in NUMBER.finditer(text):
-        n = len(digits_of(m[0]))
-        plain = m[0].isdigit()
-        if n >= 12:
-            out.add((m.start(), 2, m.end()))
-        elif not plain and n <= 11 and not IP.fullmatch(m[0]):
-            out.add((m.start(), 3, m.end()))
+    out.update(numbers(text))
     for m in SECRET.finditer(text):
         out.add((*m.span(1)[:1], 4, m.end(1)) if m[1] else (m.start(), 4, m.end()))
     return sorted(out)
 
 
+def numbers(text: str) -> Iterator[tuple[int, int, int]]:
+    """Runs of digits with separators, as what they could be: of each run, and of its parts
+    between blanks that are grouped in themselves and have 9 digits or more, phone numbers
+    of 7 to 15 digits and cards of 12 to 19, both where a length allows both.  A run with
+    such parts is no phone number as a whole.  Groups that touch other characters of a word
+    are not part of a run."""
+    for m in RUN.finditer(text):
+        a, b = m.span()
+        if b - a < 7:
+            continue
+        if a and (text[a - 1].isalnum() or text[a - 1] in "_+."):
+            a = next((g.start() for g in GROUP.finditer(text, a + 1, b) if not text[g.start() - 1].isdigit()), b)
+        if b < len(text) and (text[b].isalnum() or text[b] == "_"):
+            while b > a and text[b - 1].isdigit():
+                b -= 1
+            while b > a and not text[b - 1].isdigit():
+                b -= 1
+        parts = [p.span() for p in PART.finditer(text, a, b)]
+        grouped = [(x, y) for x, y in parts if len(parts) > 1 and 9 <= len(digits_of(text[x:y]))
+                   and not text[x:y].isdigit() and not IP.fullmatch(text, x, y)]
+        for x, y in {(a, b), *grouped, *((x, y) for x, y in parts if y - x >= 12)}:
+            n = len(digits_of(text[x:y]))
+            if 12 <= n <= 19:
+                yield x, 2, y
+            if 7 <= n <= 15 and not text[x:y].isdigit() and not IP.fullmatch(text, x, y) and (
+                    (x, y) in grouped or not grouped):
+                yield x, 3, y
+
+
 def votes(text: str, a: int, kind: int, b: int, strict: bool) -> tuple[int, ...]:
     """Each labeler's vote: 1 for, -1 against, 0 abstains."""
     found, before = text[a:b], text[max(0, a - 40):a]

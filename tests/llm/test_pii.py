@@ -138,3 +138,26 @@ def test_query_on_documents(spark):
     sf = "/root/testdata/sf0.001"
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     check(P.query(spark, sf).collect(), docs)
+
+
+def could_be(text):
+    return {(P.KINDS[k], text[a:b]) for a, k, b in P.numbers(text)}
+
+
+@pytest.mark.parametrize("text, want", [
+    ("0049 170 1234567", {("phone", "0049 170 1234567"), ("card", "0049 170 1234567")}),
+    ("call 555-123-4567 2024", {("phone", "555-123-4567"), ("card", "555-123-4567 2024")}),
+    ("555-123-4567 555-987-6543", {("phone", "555-123-4567"), ("phone", "555-987-6543")}),
+    ("(555) 123-4567", {("phone", "(555) 123-4567")}), ("1234567", set()), ("10.20.30.40", set()),
+    ("4111 1111 1111 1111", {("card", "4111 1111 1111 1111")}), ("id12-345-6789", set()), ("12-345-6789x", set()),
+    ("555-123-4567 12a", {("phone", "555-123-4567")}), ("x1 555-123-4567", {("phone", "555-123-4567")})])
+def test_numbers_are_candidates_of_every_kind_they_could_be(text, want):
+    assert could_be(text) == want
+
+
+def test_runs_of_digits_take_linear_time():
+    import time
+    started = time.time()
+    for junk in ("1-" * 300_000 + "x", "1 " * 300_000, "12345678-" * 50_000, "1" * 600_000 + "x", "(1" * 200_000):
+        list(P.numbers(junk))
+    assert time.time() - started < 5
