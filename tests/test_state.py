@@ -39,7 +39,7 @@ def test_current_is_idempotent_and_stream_merge_equals_batch(spark, tmp_path):
     b = _bodies(spark, rows)
     once = sorted(tuple(x) for x in ST.current_classifications(b).collect())
     first, second = _bodies(spark, rows[:20]), _bodies(spark, rows[20:])
-    write = J.classification_batch_writer(str(tmp_path), buckets=4)
+    write = J.classification_batch_writer(str(tmp_path), fan_in=2)
     write(first, 0)
     write(second, 1)
     cols = ["userId", "postId", "questionId", "categoryId", "createdAt", "submissionId"]
