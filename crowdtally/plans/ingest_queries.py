@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import ingest as IN
 from ..session import ensure_checkpoint_dir
 from ..sources.tables import load_tables, read_table, write_tables
+from ..sources.tweet_arrays import read_posts_array, write_arrays
 from ..sources.tweets import ID_BASE, tweet_feed, tweets_from_documents
 from .registry import register
 
@@ -97,6 +98,72 @@ def _q_import_summary(t, spark, sf):
     return IN.import_summary(_raw(spark, sf))
 
 
+# The feed as array files, six batches with faults: elements that don't parse (some with brackets
+# that don't add up), without id or link, and one batch without any user name.
+ARRAYS_CTE = TWEETS_CTE.strip() + """,
+Element AS (
+  SELECT doc_id % 6 AS studyId, text, likes, nImages,
+         CASE WHEN doc_id % 211 = 17 THEN '{"id": "' || id || '", "user": {'
+              WHEN doc_id % 41 = 3 THEN '{"id": "' || id || '", "likes": many}' END AS record,
+         CASE WHEN doc_id % 43 <> 5 THEN id END AS id,
+         CASE WHEN doc_id % 47 <> 9 THEN url END AS url,
+         CASE WHEN doc_id % 6 <> 5 THEN username END AS username
+  FROM Tw),
+Arrived AS (
+  SELECT studyId, record, CASE WHEN record IS NULL THEN id END AS id, CASE WHEN record IS NULL THEN url END AS url,
+         CASE WHEN record IS NULL THEN username END AS username, CASE WHEN record IS NULL THEN text END AS text,
+         CASE WHEN record IS NULL THEN likes END AS likes, CASE WHEN record IS NULL THEN nImages ELSE 0 END AS nImages
+  FROM Element)"""
+
+
+def _arrays(spark, sf):
+    d = read_table(spark, sf, "documents")
+    at = F.col("id").cast("bigint") - F.lit(ID_BASE)
+    t = tweets_from_documents(d).withColumn("at", at)
+    head = F.concat(F.lit('{"id": "'), F.col("id"))
+    sound = F.struct(F.when(F.col("at") % 43 != 5, F.col("id")).alias("id"),
+                     F.when(F.col("at") % 47 != 9, F.col("url")).alias("url"),
+                     F.when(F.col("at") % 6 != 5, F.col("username")).alias("username"),
+                     *[c for c in t.columns if c not in ("id", "url", "username", "at")])
+    element = (F.when(F.col("at") % 211 == 17, F.concat(head, F.lit('", "user": {')))
+               .when(F.col("at") % 41 == 3, F.concat(head, F.lit('", "likes": many}')))
+               .otherwise(F.to_json(sound, {"pretty": "true"})))
+    path = os.path.join(ensure_checkpoint_dir(spark), f"arrays-{uuid.uuid4().hex}")
+    write_arrays(t.select((F.col("at") % 6).alias("studyId"), "at", element.alias("object")), path,
+                 int(spark.conf.get("spark.sql.shuffle.partitions")))
+    study = F.regexp_extract("file", r"studyId=(\d+)", 1).cast("bigint")
+    return read_posts_array(spark, path).withColumn("studyId", study)
+
+
+@register("read_posts_array", "WITH " + ARRAYS_CTE + """
+SELECT studyId, record, id, url, username, text, likes, nImages FROM Arrived""")
+def _q_read_posts_array(t, spark, sf):
+    """Array files that many tasks read, faulty elements included."""
+    n = F.coalesce(F.size("images"), F.lit(0))
+    return _arrays(spark, sf).select("studyId", F.col("_corrupt_record").alias("record"), "id", "url", "username",
+                                     "text", "likes", F.greatest(n, F.lit(0)).alias("nImages"))
+
+
+@register("import_rejects_array", "WITH " + ARRAYS_CTE + """
+SELECT id AS postId, url AS postLink, username AS pageName, studyId, record,
+       CASE WHEN record IS NOT NULL THEN 'malformed' WHEN id IS NULL THEN 'missing_id'
+            WHEN url IS NULL THEN 'missing_url' ELSE 'missing_username' END AS reason
+FROM Arrived WHERE record IS NOT NULL OR id IS NULL OR url IS NULL OR username IS NULL""")
+def _q_import_rejects_array(t, spark, sf):
+    return IN.import_rejects(_arrays(spark, sf))
+
+
+@register("import_summary_array", "WITH " + ARRAYS_CTE + """,
+Told AS (SELECT studyId, count(*) AS n, count(CASE WHEN id || url || username <> '' THEN 1 END) AS inserted
+         FROM Arrived GROUP BY studyId)
+SELECT studyId, inserted, n - inserted AS failed, if(inserted = 0, 'error', 'created') AS outcome,
+       if(inserted = 0, NULL, format('Importação concluída. {} publicações inseridas.', inserted)) AS message
+FROM Told""")
+def _q_import_summary_array(t, spark, sf):
+    """One batch of the six holds no post that can be imported."""
+    return IN.import_summary(_arrays(spark, sf))
+
+
 @register("match_images_by_link", "WITH " + TWEETS_CTE.strip() + """,
 FirstPost AS (SELECT url AS postLink, MIN(localId) AS postId FROM Imported GROUP BY url)
 SELECT Tw.url AS postLink, f.postId,
