@@ -15,9 +15,12 @@ is nearer than d would then be among those already seen with that probability.
 On Spark: the top levels of the kd-tree are fitted on at most about ``SAMPLE_BOUND``
 vectors; every vector goes to the cell it falls in.  Each query first searches its
 own cell, which gives it a distance bound; then it goes to just those other cells
-whose boxes the chi-square test does not rule out.  Queries go through a cell in
-blocks of at most ``QUERY_BLOCK`` (on average), the cell's points being sent to each
-block.  Equal vectors are one point that carries its smallest k + 1 ids, which is all
+whose boxes the chi-square test does not rule out.  Only the (query, cell) pairs are
+counted first: a cell that more than ``QUERY_BLOCK`` queries visit gets them in blocks
+of that size (on average), its points being sent to each block, so points are copied
+where queries meet, not by the number of all queries.  A cell of more than
+``CHUNK_VALUES`` vector components is cut by hash into chunks, which its queries search
+one by one, so that a task's size does not follow the table's.  Equal vectors are one point that carries its smallest k + 1 ids, which is all
 a result can use; so copies cost nothing and lose nothing.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite
@@ -47,6 +50,7 @@ CERTAINTY = 0.97
 SAMPLE_BOUND = 32_768
 CELL_POINTS, MOST_CELLS = 2048, 8192
 QUERY_BLOCK = 16_384
+CHUNK_VALUES = 1 << 22
 LEAF = 128
 SEED = 7
 
@@ -190,6 +194,31 @@ def search(points: np.ndarray, lows: np.ndarray, flat: np.ndarray, queries: np.n
 
 # --- the table --------------------------------------------------------------
 
+def layout(index: DataFrame, asks: DataFrame, dim: int) -> DataFrame:
+    """(cell, blocks, chunks) for each cell that is asked: at most ``MOST_CELLS`` rows."""
+    points = index.groupBy("cell").agg(F.ceil(F.count("*") * F.lit(dim) / F.lit(CHUNK_VALUES)).alias("chunks"))
+    blocks = asks.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(QUERY_BLOCK)).alias("blocks"))
+    return points.join(blocks, "cell")
+
+
+def _upto(n: str) -> F.Column:
+    return F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+
+
+def spread(index: DataFrame, plan: DataFrame) -> DataFrame:
+    """The points of the asked cells, each in its chunk, once for each block of queries."""
+    return index.join(F.broadcast(plan), "cell").select(
+        "cell", F.pmod(F.xxhash64("key", F.lit(11)), F.col("chunks")).alias("chunk"), _upto("blocks").alias("block"),
+        "key", "vec", "low")
+
+
+def asked_of(asks: DataFrame, plan: DataFrame) -> DataFrame:
+    """The queries (key, vec, cell, least) in their block, once for each chunk of the cell."""
+    return asks.join(F.broadcast(plan), "cell").select(
+        "cell", _upto("chunks").alias("chunk"), F.pmod(F.xxhash64("key", F.lit(3)), F.col("blocks")).alias("block"),
+        "key", "vec", "least")
+
+
 def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     """(id, vec) of rows that take part, vec as doubles."""
     rows = vectors.select(F.col(key).cast("long").alias("id"),
@@ -251,12 +280,6 @@ def nearest(vectors: DataFrame, k: int = K, query_step: int = QUERY_STEP, key: s
     owners = checkpointed(asked.select(F.col("id").alias("query_id"), "vec")
                           .join(points.select("vec", "key"), "vec").select("query_id", "key"))
     queries = index.join(owners.select("key").distinct(), "key", "left_semi")
-    blocks = max(1, math.ceil(queries.count() / QUERY_BLOCK))
-    block = F.pmod(F.xxhash64("key", F.lit(3)), F.lit(blocks))
-    spread = index.select("cell", "key", "vec", "low",
-                          F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
-                          .alias("block"))
-
     def visit(points: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if not len(points) or not len(queries):
             return pd.DataFrame({"key": np.zeros(0, np.int64), **{
@@ -275,9 +298,11 @@ def nearest(vectors: DataFrame, k: int = K, query_step: int = QUERY_STEP, key: s
 
     found_schema = "key long, names array<long>, lows array<long>, scores array<double>"
 
-    def through(asking: DataFrame) -> DataFrame:
-        return checkpointed(spread.groupBy("cell", "block").cogroup(
-            asking.groupBy("cell", "block")).applyInPandas(visit, found_schema))
+    def through(asks: DataFrame, asking: DataFrame) -> DataFrame:
+        plan = checkpointed(layout(index, asks, info["dim"]))
+        by = ("cell", "chunk", "block")
+        return checkpointed(spread(index, plan).groupBy(*by).cogroup(
+            asked_of(asking, plan).groupBy(*by)).applyInPandas(visit, found_schema))
 
     # First each query's own place in the tree (as a query, not as a point) ...
     def ask(batches):
@@ -289,11 +314,12 @@ def nearest(vectors: DataFrame, k: int = K, query_step: int = QUERY_STEP, key: s
                                              names=["key", "vec", "home"])
 
     homes = queries.select("key", "vec").mapInArrow(ask, "key long, vec array<double>, home long")
-    homes = checkpointed(homes.withColumn("block", block))
-    near = through(homes.select("key", "vec", F.col("home").alias("cell"), "block",
-                                F.lit(float("-inf")).alias("least")))
-    bound = near.select("key", F.when(F.size("scores") >= more, F.element_at("scores", more))
-                        .otherwise(F.lit(float("-inf"))).alias("least"))
+    homes = checkpointed(homes)
+    own = homes.select("key", "vec", F.col("home").alias("cell"), F.lit(float("-inf")).alias("least"))
+    near = through(own, own)
+    first = near.groupBy("key").agg(F.sort_array(F.flatten(F.collect_list("scores")), asc=False).alias("s"))
+    bound = first.select("key", F.when(F.size("s") >= more, F.element_at("s", more))
+                         .otherwise(F.lit(float("-inf"))).alias("least"))
 
     # ... then the other cells that the test does not rule out.
     def further(batches):
@@ -310,13 +336,13 @@ def nearest(vectors: DataFrame, k: int = K, query_step: int = QUERY_STEP, key: s
             who, cell = np.nonzero(go)
             at = pa.array(who)
             yield pa.RecordBatch.from_arrays(
-                [b.column(c).take(at) for c in ("key", "vec", "block", "least")]
-                + [pa.array(cell.astype(np.int64))], names=["key", "vec", "block", "least", "cell"])
+                [b.column(c).take(at) for c in ("key", "least")]
+                + [pa.array(cell.astype(np.int64))], names=["key", "least", "cell"])
 
-    rest = (homes.join(bound, "key").select("key", "vec", "block", "least", "home")
-            .mapInArrow(further, "key long, vec array<double>, block long, least double, cell long"))
-    # One short list per query and cell; each query's lists are merged as arrays.
-    both = near.unionByName(through(rest)).withColumn("p", F.transform(
+    rest = checkpointed(homes.join(bound, "key").select("key", "vec", "least", "home")
+                        .mapInArrow(further, "key long, least double, cell long"))
+    # One short list per query and chunk; each query's lists are merged as arrays.
+    both = near.unionByName(through(rest, rest.join(homes.select("key", "vec"), "key"))).withColumn("p", F.transform(
         F.arrays_zip("scores", "lows", "names"),
         lambda x: F.struct((-x["scores"]).alias("far"), x["lows"].alias("low"), x["names"].alias("name"))))
     best = both.groupBy("key").agg(F.flatten(F.collect_list("p")).alias("p")).select(

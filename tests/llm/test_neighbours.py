@@ -76,6 +76,7 @@ def test_recall_over_several_cells(spark, monkeypatch, hot):
     monkeypatch.setattr(N, "CELL_POINTS", 150)
     monkeypatch.setattr(N, "QUERY_BLOCK", 20)
     monkeypatch.setattr(N, "LEAF", 16)
+    monkeypatch.setattr(N, "CHUNK_VALUES", 24 * 60)  # several chunks a cell
     rng = np.random.default_rng(5)
     centres = rng.standard_normal((8, 24)) * 1.5
     v = (centres[rng.integers(0, 8, 1500)] + rng.standard_normal((1500, 24))).astype(np.float32)
@@ -95,3 +96,25 @@ def test_query_recall(spark):
     got, want = found(N.query(spark, sf)), exact(data)
     assert got.keys() == want.keys()
     assert sum(len(set(got[q]) & set(want[q])) for q in want) >= 0.9 * sum(map(len, want.values()))
+
+
+def test_copies_follow_the_points(spark, monkeypatch):
+    """Four times the points, queries and cells give four times the rows to shuffle; only a cell
+    that many queries visit is copied, and a large cell is cut."""
+    monkeypatch.setattr(N, "QUERY_BLOCK", 50)
+    monkeypatch.setattr(N, "CHUNK_VALUES", 400)
+    for cells in (10, 40):
+        points = spark.range(100 * cells).selectExpr(f"id % {cells} AS cell", "id AS key", "array(1D, 2D) AS vec",
+                                                     "id AS low")
+        asks = spark.range(30 * cells).selectExpr(f"id % {cells} AS cell", "id AS key", "array(1D, 2D) AS vec",
+                                                  "0D AS least")
+        plan = N.layout(points, asks, 2)
+        assert N.spread(points, plan).count() == 100 * cells
+        assert N.asked_of(asks, plan).count() == 30 * cells
+    hot = asks.union(spark.range(1000, 1100).selectExpr("3L", "id", "array(1D, 2D)", "0D"))
+    plan = N.layout(points.union(spark.range(9000, 9300).selectExpr("5L", "id", "array(1D, 2D)", "id")), hot, 2)
+    assert {r.cell: (r.blocks, r.chunks) for r in plan.collect() if (r.blocks, r.chunks) != (1, 1)} \
+        == {3: (3, 1), 5: (1, 2)}
+    sent = N.spread(points, plan)
+    assert sent.where("cell = 3").count() == 300 and sent.where("cell <> 3").count() == 3900
+    assert N.asked_of(hot, plan).where("cell = 5").count() == 60
