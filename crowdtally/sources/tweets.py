@@ -1,9 +1,8 @@
 """Scraped post JSON: reading with an explicit schema, and a derived test feed.
 
 ``read_posts_json`` reads arrays of tweet objects (``multiLine``) or JSON
-lines with the same schema.  A JSON array file can only be parsed by one task,
-so large imports should arrive as many files or as JSON lines; both are
-supported by the same call.  Malformed records are kept in ``_corrupt_record``
+lines with the same schema.  It parses an array file in one task; large ones are for
+``tweet_arrays.read_posts_array``, many files or JSON lines for this call.  Malformed records are kept in ``_corrupt_record``
 instead of failing the job.
 
 ``tweets_from_documents`` turns the driver's ``documents`` table into tweet
