@@ -18,12 +18,19 @@ points.  These edges are joined to components over all shards.
 
 Bounds: trees are fitted on at most about ``SAMPLE_BOUND`` fingerprints per round
 (the driver sees no others), and shards above ``SHARD_LIMIT`` points are split
-again with a sample of their own.  Exact copies share a fingerprint and count once.
+again with a sample of their own.  Distances in a dense shard (very many fingerprints
+a few bits apart) may be too alike for any vantage point to split it.  Its points are
+linked through the fingerprints that lie between them: two points within ``radius``
+have a common one within half of it, and no more than a ball of points share one, so
+this too is exact, and no task grows with the shard.  Exact copies share a fingerprint
+and count once.
 
 Defined cases: a null or empty text has fingerprint zero, and such documents are
-linked like any other; rows with a null doc_id get a component, whose id is the
-smallest doc_id that is not null (null if there is none); repeated rows are kept;
-an empty table gives no rows.
+linked like any other; a text of any length is hashed whole, in slices of bounded
+size; rows with a null doc_id get a component, whose id is the smallest doc_id that
+is not null (null if there is none); repeated rows are kept; an empty table gives no
+rows.  Other columns of the documents take no part in the search, whatever their names,
+and ``deduplicate`` returns them as they are.
 """
 
 from __future__ import annotations
@@ -48,6 +55,7 @@ SHARD_POINTS = 2048        # aimed at
 MOST_SHARDS = 4096         # per round
 SHARD_LIMIT = 200_000      # split again beyond
 LEAF = 512
+FLIPS = [0, *(1 << b for b in range(63)), -1 << 63]  # each bit of a signed long, and none
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -175,8 +183,9 @@ def local_links(points: np.ndarray, radius: int) -> list[tuple[int, int]]:
 
 # --- the corpus -------------------------------------------------------------
 
-def _split_shards(points: DataFrame, radius: int) -> DataFrame:
-    """(shard, fp) of distinct fingerprints, each in every shard it may have links in."""
+def _split_shards(points: DataFrame, radius: int) -> tuple[DataFrame, list[int]]:
+    """(shard, fp) of distinct fingerprints, each in every shard it may have links in;
+    and the shards above ``SHARD_LIMIT`` that no vantage point splits."""
     spark = points.sparkSession
     now = points.select(F.lit(0).cast("long").alias("shard"), "fp")
     n = now.count()
@@ -222,7 +231,27 @@ def _split_shards(points: DataFrame, radius: int) -> DataFrame:
         large = {r["shard"]: r["count"] for r in
                  now.groupBy("shard").count().where(F.col("count") > limit).toLocalIterator()
                  if r["shard"] not in settled}
-    return now
+    if n <= SHARD_LIMIT or not settled:
+        return now, []
+    left = now.where(F.col("shard").isin(list(settled))).groupBy("shard").count()
+    return now, [r["shard"] for r in left.where(F.col("count") > SHARD_LIMIT).collect()]
+
+
+def _dense_edges(points: DataFrame, radius: int) -> DataFrame:
+    """(a, b) edges between the distinct ``points`` through fingerprints between them."""
+    near = points.select("fp", F.col("fp").alias("between"))
+    for _ in range((radius + 1) // 2):
+        flipped = [F.col("between").bitwiseXOR(F.lit(m)) for m in FLIPS]
+        near = near.select("fp", F.explode(F.array(*flipped)).alias("between"))
+    # At most as many points as the ball around a fingerprint has.
+    met = near.groupBy("between").agg(F.sort_array(F.collect_set("fp")).alias("own")).where(
+        F.size("own") > 1)
+    if radius % 2 == 0:  # all that meet are linked
+        return met.select(F.explode(F.slice("own", 2, F.size("own"))).alias("a"),
+                          F.col("own")[0].alias("b")).distinct()
+    pairs = met.select(F.explode("own").alias("a"), "own").select(
+        "a", F.explode(F.filter("own", lambda b: b < F.col("a"))).alias("b"))
+    return pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius).distinct()
 
 
 def link_edges(points: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -232,7 +261,12 @@ def link_edges(points: DataFrame, radius: int = RADIUS) -> DataFrame:
         edges = np.array(local_links(own, radius), np.uint64).reshape(-1, 2).view(np.int64)
         return pd.DataFrame({"a": edges[:, 0], "b": edges[:, 1]})
 
-    return _split_shards(points, radius).groupBy("shard").applyInPandas(solve, "a long, b long")
+    shards, dense = _split_shards(points, radius)
+    if not dense:
+        return shards.groupBy("shard").applyInPandas(solve, "a long, b long")
+    among = F.col("shard").isin(dense)
+    return shards.where(~among).groupBy("shard").applyInPandas(solve, "a long, b long").union(
+        _dense_edges(shards.where(among).select("fp").distinct(), radius))
 
 
 def fingerprint_groups(prints: DataFrame, radius: int = RADIUS) -> DataFrame:

@@ -92,6 +92,27 @@ def test_top_tree_loses_no_pair(spark, monkeypatch):
     assert len({*zip(mine, want)}) == len(set(mine)) == len(set(want))
 
 
+@pytest.mark.parametrize("radius", [1, 2, 3])
+def test_dense_shard_without_a_split(spark, monkeypatch, radius):
+    """Points a few bits around a centre, which no vantage point splits, beside others."""
+    monkeypatch.setattr(S, "SHARD_POINTS", 64)
+    monkeypatch.setattr(S, "SHARD_LIMIT", 100)
+    monkeypatch.setattr(S, "SAMPLE_BOUND", 1000)
+    rng = np.random.default_rng(4)
+    far = rng.integers(0, 2**63, 60, dtype=np.uint64)
+    ball = np.full(900, far[0], np.uint64)
+    for _ in range(4):  # some of them linked, some not
+        ball ^= np.uint64(1) << rng.integers(0, 64, len(ball)).astype(np.uint64)
+    p = np.unique(np.concatenate([far, far[:20] ^ np.uint64(1), ball, ball[:100] ^ np.uint64(1 << 63)]))
+    points = spark.createDataFrame([(int(x),) for x in p.view(np.int64)], "fp long")
+    assert radius != 2 or S._split_shards(points, radius)[1]
+    want = classes(p, radius)
+    for edges in (S.link_edges(points, radius), S._dense_edges(points, radius)):
+        got = {r.node: r.root for r in components(edges).collect()}
+        mine = [got.get(int(x), int(x)) for x in p.view(np.int64)]
+        assert len({*zip(mine, want)}) == len(set(mine)) == len(set(want))
+
+
 def test_components_of_a_long_path_and_a_hub(spark):
     edges = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(1, 300)] + [(5, 5)]
     random.Random(1).shuffle(edges)
