@@ -51,7 +51,7 @@ from .components import components
 
 SHINGLE, RADIUS = 3, 2
 SAMPLE_BOUND = 1 << 16
-SHARD_POINTS = 2048        # aimed at
+SHARD_POINTS = 1 << 15     # aimed at: a task goes on splitting in memory, without copies
 MOST_SHARDS = 4096         # per round
 SHARD_LIMIT = 200_000      # split again beyond
 LEAF = 512

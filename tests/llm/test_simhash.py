@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from crowdtally.llm import simhash as S
 from crowdtally.llm.components import components
@@ -113,6 +114,14 @@ def test_dense_shard_without_a_split(spark, monkeypatch, radius):
         assert len({*zip(mine, want)}) == len(set(mine)) == len(set(want))
 
 
+def test_few_copies_of_random_fingerprints(spark):
+    """What is shuffled: each of 262,144 fingerprints in fewer than three shards."""
+    points = spark.range(1 << 18).select(F.xxhash64("id").alias("fp"))
+    shards, dense = S._split_shards(points, 2)
+    assert not dense and shards.select("shard").distinct().count() >= 8
+    assert shards.count() < 3 << 18
+
+
 def test_components_of_a_long_path_and_a_hub(spark):
     edges = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(1, 300)] + [(5, 5)]
     random.Random(1).shuffle(edges)
