@@ -17,7 +17,9 @@ is the later one.  What changes is then derived as signed differences:
    label changed, old ones subtracted and new ones added, by rater.
 
 So a batch reads the answers of the posts it touches, and nothing is recounted.  Where the
-tables are stored by ``part_of`` a post, ``parts_touched`` tells which parts to read.
+tables are stored by ``part_of`` a post, ``parts_touched`` tells which parts to read.  Every
+join and aggregate but those by rater has the post among its keys, so tables dealt by post
+(``session.Scratch.dealt``) are changed without an exchange of answers or votes.
 """
 
 from __future__ import annotations
@@ -42,10 +44,12 @@ def parts_touched(bodies: DataFrame, parts: int) -> list[int]:
     return sorted(r[0] for r in ST.valid_submissions(bodies).select(part_of(parts)).distinct().collect())
 
 
-def started(answers: DataFrame, post: DataFrame, study: DataFrame) -> dict[str, DataFrame]:
-    """The state for answers (userId, postId, questionId, categoryId, createdAt, submissionId)."""
-    votes = C.category_votes(answers)
-    labels = C.validated_labels(answers, post, study, votes=votes)
+def started(answers: DataFrame, post: DataFrame, study: DataFrame, keep=lambda df: df) -> dict[str, DataFrame]:
+    """The state for answers (userId, postId, questionId, categoryId, createdAt, submissionId).
+    ``keep`` materialises the first three tables, each of which the next ones read."""
+    answers = keep(answers)
+    votes = keep(C.category_votes(answers))
+    labels = keep(C.validated_labels(answers, post, study, votes=votes))
     return {"answers": answers, "votes": votes, "labels": labels,
             "scores": _scores(C.answer_weights(answers, labels))}
 
@@ -54,10 +58,6 @@ def _scores(weights: DataFrame) -> DataFrame:
     return weights.groupBy("userId").agg(F.sum("weight").alias("gained"), F.count(F.lit(1)).alias("answered"))
 
 
-def _semi(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
-    return df.join(keys.select(*on).distinct(), on, "left_semi")
-
-
 def differences(state: dict[str, DataFrame], bodies: DataFrame, post: DataFrame, study: DataFrame,
                 keep=lambda df: df) -> dict[str, DataFrame]:
     """What a batch of bodies changes:
@@ -71,33 +71,32 @@ def differences(state: dict[str, DataFrame], bodies: DataFrame, post: DataFrame,
     newest = (ST.valid_submissions(bodies).groupBy(*UPQ)
               .agg(F.max_by(body, F.struct("createdAt", "submissionId")).alias("b")))
     stamp = F.struct("createdAt", "submissionId")
-    pairs_seen = newest.select(*PQ).distinct()
-    near = keep(_semi(state["answers"], pairs_seen, PQ))     # answers on the touched pairs
-    known = near.groupBy(*UPQ).agg(F.max(stamp).alias("had"))
+    known = (state["answers"].join(newest.select(*UPQ), UPQ, "left_semi")
+             .groupBy(*UPQ).agg(F.max(stamp).alias("had")))
     won = F.struct(F.col("b.createdAt").alias("createdAt"), F.col("b.submissionId").alias("submissionId"))
     winners = keep(newest.join(known, UPQ, "left")
                    .where(F.col("had").isNull() | (won > F.col("had"))).select(*UPQ, "b"))
     touched = winners.select(*UPQ)
-    gone = _semi(near, touched, UPQ)
+    gone = state["answers"].join(touched, UPQ, "left_semi")
     fresh = winners.select(*UPQ, F.explode("b.cats").alias("categoryId"), "b.createdAt", "b.submissionId")
     pairs = keep(touched.select(*PQ).distinct())
 
     signed = (gone.select(*PQ, "categoryId", F.lit(-1).alias("cnt"))
               .unionAll(fresh.select(*PQ, "categoryId", F.lit(1).alias("cnt"))))
-    votes = keep(_semi(state["votes"], pairs, PQ).select(*PQ, "categoryId", "cnt")
+    votes = keep(state["votes"].join(pairs, PQ, "left_semi").select(*PQ, "categoryId", "cnt")
                  .unionAll(signed.select(*PQ, "categoryId", F.col("cnt").cast("long")))
                  .groupBy(*PQ, "categoryId").agg(F.sum("cnt").alias("cnt")).where("cnt > 0"))
     labels = keep(C.validated_labels(state["answers"], post, study, votes=votes))
-    was = keep(_semi(state["labels"], pairs, PQ))
-    flipped = (was.withColumnRenamed("topCategoryId", "was").join(labels, PQ, "full_outer")
-               .where(~F.col("was").eqNullSafe(F.col("topCategoryId"))).select(*PQ))
+    was = state["labels"].join(pairs, PQ, "left_semi")
+    flipped = keep(was.withColumnRenamed("topCategoryId", "was").join(labels, PQ, "full_outer")
+                   .where(~F.col("was").eqNullSafe(F.col("topCategoryId"))).select(*PQ))
 
     # Answers whose weight may differ: the touched ones, and all on a pair with another label.
-    before = gone.unionAll(_semi(near, flipped, PQ).join(touched, UPQ, "left_anti"))
-    after = fresh.unionAll(_semi(near, flipped, PQ).join(touched, UPQ, "left_anti"))
-    minus, plus = _scores(C.answer_weights(before, was)), _scores(C.answer_weights(after, labels))
-    scores = (minus.select("userId", (-F.col("gained")).alias("gained"), (-F.col("answered")).alias("answered"))
-              .unionAll(plus).groupBy("userId").agg(F.sum("gained").alias("gained"), F.sum("answered").alias("answered")))
+    others = state["answers"].join(flipped, PQ, "left_semi").join(touched, UPQ, "left_anti")
+    minus, plus = C.answer_weights(gone.unionAll(others), was), C.answer_weights(fresh.unionAll(others), labels)
+    scores = (minus.select("userId", (-F.col("weight")).alias("weight"), F.lit(-1).alias("n"))
+              .unionAll(plus.select("userId", "weight", F.lit(1).alias("n")))
+              .groupBy("userId").agg(F.sum("weight").alias("gained"), F.sum("n").alias("answered")))
     return {"touched": touched, "pairs": pairs, "answers": fresh, "votes": votes, "labels": labels,
             "flipped": flipped, "scores": scores}
 

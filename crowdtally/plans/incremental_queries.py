@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators import incremental as I
 from ..operators import state as ST
-from ..session import Scratch
+from ..session import Scratch, joins_as_dealt
 from ..sources.mapping import submission_bodies
 from .consensus_queries import SHARE
 from .registry import register
@@ -33,16 +33,24 @@ IN_FORCE = "WITH " + LATEST.strip() + "," + SHARE.strip().replace("ann_classific
 
 
 def _kept(t, spark):
-    scratch = Scratch(spark, "incremental")
-    bodies = scratch.table(submission_bodies(t["submission"], t["categories"]))
-    first = F.col("createdAt") < F.lit(START).cast("timestamp_ntz")
-    state = I.started(ST.current_classifications(bodies.where(first)), t["post"], t["study"])
-    state = {k: scratch.table(v) for k, v in state.items()}
-    for n in range(BATCHES):
-        batch = bodies.where(~first & (F.pmod("submissionId", F.lit(BATCHES)) == n))
-        diff = I.differences(state, batch, t["post"], t["study"], keep=scratch.table)
-        state = {k: scratch.table(v) for k, v in I.folded(state, diff).items()}
-        scratch.only(bodies, *state.values())
+    """The answers, votes and labels are dealt by post once, with the bodies; from then on
+    only rows by rater (and labels, for their study's limits) move."""
+    scratch, n = Scratch(spark, "incremental"), int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def dealt(df):
+        return scratch.dealt(df, n, "postId")
+
+    with joins_as_dealt(spark):
+        bodies = dealt(submission_bodies(t["submission"], t["categories"], (n, "postId")))
+        first = F.col("createdAt") < F.lit(START).cast("timestamp_ntz")
+        state = I.started(ST.current_classifications(bodies.where(first)), t["post"], t["study"], keep=dealt)
+        state["scores"] = scratch.table(state["scores"])
+        for k in range(BATCHES):
+            batch = bodies.where(~first & (F.pmod("submissionId", F.lit(BATCHES)) == k))
+            diff = I.differences(state, batch, t["post"], t["study"], keep=dealt)
+            state = {name: scratch.table(df) if name == "scores" else dealt(df)
+                     for name, df in I.folded(state, diff).items()}
+            scratch.only(bodies, *state.values())
     return state
 
 

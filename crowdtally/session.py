@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 import warnings
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -74,6 +75,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
         self.paths: dict[str, DataFrame] = {}
+        self.names: dict[str, str] = {}
 
     def table(self, df: DataFrame) -> DataFrame:
         path = f"{self.root}/{uuid.uuid4().hex}"
@@ -81,13 +83,38 @@ class Scratch:
         self.paths[path] = back = self.spark.read.schema(df.schema).parquet(path)
         return back
 
+    def dealt(self, df: DataFrame, buckets: int, column: str) -> DataFrame:
+        """A table dealt to ``buckets`` by ``column``.  Joins and aggregates of such tables by
+        keys with this column need no exchange (joins: within ``joins_as_dealt``), and a
+        result dealt that way is written as it lies."""
+        path, name = f"{self.root}/{uuid.uuid4().hex}", f"scratch_{uuid.uuid4().hex}"
+        (df.repartition(buckets, column).write.format("parquet").option("path", path)
+         .bucketBy(buckets, column).sortBy(column).saveAsTable(name))
+        self.paths[path] = back = self.spark.table(name)
+        self.names[path] = name
+        return back
+
     def only(self, *kept: DataFrame) -> None:
         for path, df in list(self.paths.items()):
             if not any(df is k for k in kept):
+                if path in self.names:
+                    self.spark.sql(f"DROP TABLE IF EXISTS {self.names.pop(path)}")
                 remove(self.spark, path)
                 del self.paths[path]
 
 
+@contextmanager
+def joins_as_dealt(spark: SparkSession):
+    """Joins leave rows where they are if both sides are dealt alike by some of the join's keys."""
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder through Spark's file system."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -228,16 +228,18 @@ def classification_from_submissions(submission: DataFrame) -> DataFrame:
             .agg(F.max("createdAt").alias("createdAt")))
 
 
-def submission_bodies(submission: DataFrame, categories: DataFrame) -> DataFrame:
+def submission_bodies(submission: DataFrame, categories: DataFrame,
+                      dealt: tuple = ("userId", "postId", "questionId")) -> DataFrame:
     """Request bodies: the rows of one (submissionId, user, post, question), thematic
     ids in ``categoryIds`` and sentiment ids in ``sentimentoCategoryIds``.
 
     The rows are dealt by (user, post, question), which is enough for this grouping
-    and for the latest state, so both need this one exchange only."""
+    and for the latest state, so both need this one exchange only.  ``dealt`` names other
+    arguments of ``repartition``, with columns among these three."""
     c = categories.select(F.col("id").alias("categoryId"), "categoryType")
     j = submission.join(c, "categoryId", "left")
     pick = lambda t: F.sort_array(F.collect_list(F.when(F.col("categoryType") == t, F.col("categoryId"))))
-    return (j.repartition("userId", "postId", "questionId").groupBy("submissionId", "userId", "postId", "questionId")
+    return (j.repartition(*dealt).groupBy("submissionId", "userId", "postId", "questionId")
             .agg(pick("tematicas").alias("categoryIds"), pick("sentimento").alias("sentimentoCategoryIds"),
                  F.max("createdAt").alias("createdAt")))
 
