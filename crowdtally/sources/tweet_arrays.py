@@ -31,6 +31,8 @@ from ..session import Scratch
 # A string (to the line's end if it is not closed), a bracket or comma, or what is between.
 TOKEN = r'(?s)"[^"\\]*+(?:\\.[^"\\]*+)*+"?|\\|[{}\[\],]|[^"\\{}\[\],]++'
 NO_MARKS = r'(?s)"[^"\\]*+(?:\\.[^"\\]*+)*+"?|[^"{}\[\],]++'
+# What is neither a bracket nor blank.
+NO_BRACKETS = r'(?s)"[^"\\]*+(?:\\.[^"\\]*+)*+"?|[^"{}\[\] \t\r\n]++'
 BLOCK = ("file", "block")
 BLANK = " \t\r\n"
 
@@ -64,15 +66,17 @@ def _before(blocks: DataFrame, column: str) -> F.Column:
 
 def _one_value(text) -> F.Column:
     """No object or array ends before the text does (``from_json`` overlooks what follows)."""
-    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("ends"), F.lit("").alias("last"))
+    shape = F.translate(F.regexp_replace(text, F.lit(NO_BRACKETS), F.lit(".")), BLANK, "")
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("ends"))
 
     def step(s, t):
         after = s["depth"] + _depth(t)
         return F.struct(after.alias("depth"), (s["ends"] + F.when((after == 0) & t.isin("}", "]"), 1).otherwise(0))
-                        .alias("ends"), F.when(F.trim(t, F.lit(BLANK)) == "", s["last"]).otherwise(t).alias("last"))
+                        .alias("ends"))
 
-    return F.aggregate(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), start, step, lambda s: (
-        (s["ends"] == 0) | ((s["ends"] == 1) & s["last"].isin("}", "]"))) & (s["depth"] == 0))
+    brackets = F.split(F.translate(shape, ".", ""), "")
+    return F.aggregate(brackets, start, step, lambda s: (s["depth"] == 0) & (
+        (s["ends"] == 0) | ((s["ends"] == 1) & F.right(shape, F.lit(1)).isin("}", "]"))))
 
 
 def array_elements(spark: SparkSession, path: str) -> DataFrame:
@@ -143,11 +147,14 @@ def array_elements(spark: SparkSession, path: str) -> DataFrame:
 
 def read_posts_array(spark: SparkSession, path: str) -> DataFrame:
     """Raw tweet rows with the ``schemas.TWEET`` schema, and the ``file`` they are from."""
-    parsed = F.from_json(F.when(_one_value(F.col("text")), F.col("text")), schemas.TWEET,
+    # Each step is a generator of one row: filters on what comes out stay above it, so an
+    # element is checked and parsed once however many of its columns are asked for.
+    checked = array_elements(spark, path).select("file", "text", F.explode(F.array(_one_value(F.col("text")))).alias("one"))
+    parsed = F.from_json(F.when(F.col("one"), F.col("text")), schemas.TWEET,
                          {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
-    rows = array_elements(spark, path).select("file", "text", parsed.alias("tweet"))
-    corrupt = F.when(_one_value(F.col("text")), F.col("tweet._corrupt_record")).otherwise(F.col("text"))
-    return rows.select("tweet.*", "file", corrupt.alias("own")).withColumn("_corrupt_record", F.col("own")).drop("own")
+    rows = checked.select("file", "text", "one", F.explode(F.array(parsed)).alias("tweet"))
+    own = F.when(F.col("one"), F.col("tweet._corrupt_record")).otherwise(F.col("text"))
+    return rows.select("tweet.*", "file", own.alias("own")).withColumn("_corrupt_record", F.col("own")).drop("own")
 
 
 def write_arrays(objects: DataFrame, path: str, files: int) -> None:
