@@ -55,12 +55,25 @@ def taken_by_other(cands: DataFrame, existing: DataFrame, keys: list[str]) -> Da
     return cands.join(ex, keys, "left").withColumn("_taken", F.coalesce("_taken", F.lit(False)))
 
 
-def first_wins(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Mark, among rows whose reason is null, all but the first of each key as duplicates."""
-    first = df.filter(F.col("reason").isNull()).groupBy(*keys).agg(F.min(ORDER).alias("_first"))
-    dup = F.col("reason").isNull() & F.coalesce(F.col(ORDER) != F.col("_first"), F.lit(False))
-    return (df.join(first, keys, "left")
-            .withColumn("reason", F.when(dup, F.lit(DUPLICATE)).otherwise(F.col("reason"))).drop("_first"))
+def first_wins(df: DataFrame, keys: list[str], existing: DataFrame, taken: str) -> DataFrame:
+    """Decide the rows whose reason is null: ``taken`` if an existing row has the same
+    ``keys``, else a duplicate if it is not the first of its key (rows without a key are
+    neither, rows without an order no duplicates).
+
+    Key and order alone are compared with the key's first row and the existing ones; whole
+    rows meet the outcome by key and order, so a key of many candidates is spread over the
+    tasks."""
+    open_rows = df.filter(F.col("reason").isNull()).select(*keys, ORDER).dropna(subset=keys)
+    first = taken_by_other(open_rows.groupBy(*keys).agg(F.min(ORDER).alias("_first")), existing, keys)
+    why = F.when(F.col("_taken"), F.lit(taken)).when(F.col(ORDER) != F.col("_first"), F.lit(DUPLICATE))
+    why = (open_rows.join(first, keys).select(*[F.col(k).alias(f"_k_{k}") for k in keys],
+                                              F.col(ORDER).alias("_order"), why.alias("_why"))
+           .where("_why IS NOT NULL").distinct())
+    on = F.col(ORDER).eqNullSafe(F.col("_order"))
+    for k in keys:
+        on = on & (F.col(k) == F.col(f"_k_{k}"))
+    return (df.join(why, on, "left").withColumn("reason", F.coalesce("reason", "_why"))
+            .select(*keys, *[c for c in df.columns if c not in keys]))
 
 
 def known_ids(cands: DataFrame, existing: DataFrame) -> DataFrame:
@@ -104,9 +117,7 @@ def category_import(cands: DataFrame, categories: DataFrame, question: DataFrame
         name = F.to_json(F.array(*[F.col(k).cast("string") for k in keys]))
         done = replayed(c, existing, {"name": name}, NAME_TAKEN, F.col("_known"))
         return _unknown_last(done)
-    c = taken_by_other(c, existing, keys)
-    reason = reason.when(F.col("_taken"), F.lit(NAME_TAKEN))
-    return first_wins(c.withColumn("reason", reason).drop("_q", "_taken"), keys)
+    return first_wins(c.withColumn("reason", reason).drop("_q"), keys, existing, NAME_TAKEN)
 
 
 def _unknown_last(done: DataFrame) -> DataFrame:
@@ -128,17 +139,14 @@ def question_import(cands: DataFrame, question: DataFrame) -> DataFrame:
         c = known_ids(c.withColumn("reason", F.when(miss, F.lit(MISSING))), question)
         name = F.to_json(F.array(F.col("studyId").cast("string"), F.col("_k")))
         return _unknown_last(replayed(c, existing, {"name": name}, NAME_TAKEN, F.col("_known"))).drop("_k")
-    c = taken_by_other(c, existing, ["studyId", "_k"])
-    reason = F.when(miss, F.lit(MISSING)).when(F.col("_taken"), F.lit(NAME_TAKEN))
-    return first_wins(c.withColumn("reason", reason).drop("_taken"), ["studyId", "_k"]).drop("_k")
+    c = c.withColumn("reason", F.when(miss, F.lit(MISSING)))
+    return first_wins(c, ["studyId", "_k"], existing, NAME_TAKEN).drop("_k")
 
 
 def study_import(cands: DataFrame, study: DataFrame) -> DataFrame:
     """New studies: cands(batchOrder, name, addedBy, ...) -> + reason; names are global."""
-    c = taken_by_other(cands, study.select("id", "name"), ["name"])
-    reason = (F.when(js_missing(c, "name") | js_missing(c, "addedBy"), F.lit(MISSING))
-              .when(F.col("_taken"), F.lit(NAME_TAKEN)))
-    return first_wins(c.withColumn("reason", reason).drop("_taken"), ["name"])
+    miss = js_missing(cands, "name") | js_missing(cands, "addedBy")
+    return first_wins(cands.withColumn("reason", F.when(miss, F.lit(MISSING))), ["name"], study, NAME_TAKEN)
 
 
 def study_update(cands: DataFrame, study: DataFrame) -> DataFrame:
@@ -192,13 +200,10 @@ def membership_import(cands: DataFrame, user_study: DataFrame, keys: tuple[str,
     same rule links users to studies and, in the legacy form, categories to
     studies (keys ("studyId", "categoryId"), both required)."""
     k = list(keys)
-    existing = user_study.select(*k).distinct().withColumn("_l", F.lit(True))
-    c = cands.join(existing, k, "left")
     miss = F.lit(False)
     for r in required:
-        miss = miss | js_missing(c, r)
-    reason = F.when(miss, F.lit(MISSING)).when(F.col("_l").isNotNull(), F.lit(LINK_EXISTS))
-    return first_wins(c.withColumn("reason", reason).drop("_l"), k)
+        miss = miss | js_missing(cands, r)
+    return first_wins(cands.withColumn("reason", F.when(miss, F.lit(MISSING))), k, user_study, LINK_EXISTS)
 
 
 def user_rename(cands: DataFrame, user: DataFrame) -> DataFrame:
